@@ -1,15 +1,83 @@
-"""The corpus pipeline: language ID, near-duplicates, repeated passages, benchmark leaks, packing."""
+"""The corpus pipeline: language ID, near-duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of `documents`. `run` applies them in order, each result written as Parquet to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexspan.llm import decontaminate, langid, near_dedup, packing, passages
+from lexspan.llm.common import Stage, small, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text whose best language covers less of it is rejected, as is one without a letter.
+LEAST_SHARE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep texts in one learned language, and name it."""
+    found = langid.identify(spark, docs.select("doc_id", "text", "lang"), carry=("text", "source", "n_chars"))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group, the one with the smallest id; of repeated rows, one."""
+    stage = Stage(spark, "pipeline-near")
+    found = near_dedup.near_duplicates(spark, docs)
+    gone = stage.put(found.where("not kept and doc_id is not null").select("doc_id").distinct())
+    kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
+    repeated = stage.put(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    n = repeated.count()
+    if not n:
+        return kept
+    some = small(repeated, n)
+    twice = kept.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(some, "doc_id", "left_anti").select(*COLUMNS).unionByName(twice.select(*COLUMNS))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out every repeated passage but its first occurrence; texts left blank go."""
+    stage = Stage(spark, "pipeline-passages")
+    found = passages.repeated_passages(spark, docs)
+    places = stage.put(found.where("not kept and doc_id is not null").groupBy("doc_id", "place").agg(F.lit(False).alias("kept")))
+    n = places.select("doc_id").distinct().count()
+    left = passages.without_passages(docs.select(*COLUMNS), places, rows=n)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    stage = Stage(spark, "pipeline-leaks")
+    found = decontaminate.leaks(spark, docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    gone = stage.put(found.select("doc_id").where("doc_id is not null").distinct())
+    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: Language ID and packing cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs, stage = table(spark, sf_dir, "documents", *COLUMNS), Stage(spark, "pipeline")
+    for k, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage.put(docs)
     return docs

@@ -57,6 +57,15 @@ def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Up to so many rows of an id or a hash are broadcast (about 16 bytes each); beyond it Spark shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a side of counted size, or leave it to a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 # Vectorised hashing ------------------------------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240607)
@@ -175,3 +184,13 @@ def components(stage: Stage, edges: DataFrame) -> DataFrame:
             stage.drop(x)
     stage.drop(edges)
     return labels
+
+
+def joined(stage: Stage, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, component) after further edges (a, b): only the components that they touch are joined."""
+    for x in "ab":
+        edges = edges.join(labels.select(F.col("node").alias(x), F.col("component").alias(f"{x}2")), x, "left")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    moved = components(stage, edges.select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b")))
+    every = labels.unionByName(nodes).join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return stage.put(every.select("node", F.coalesce("to", "component").alias("component")))

@@ -9,9 +9,10 @@ whole sequence as one if it has fewer words. Two texts are linked if 100 * |inte
 3. Within a bucket every class is compared with one leader only (the member with the most collisions): as many pairs
    as rows. Signatures are compared in batches; a pair is dropped once the posterior probability that it reaches the
    threshold falls under MISS. Survivors are confirmed on the full sets.
-4. Components of the confirmed links are found; a bucket whose members still lie in several components is compared
-   again, members outside its largest component against all others, in blocks of bounded size. Pairs in one component
-   need no link, so no component is lost, however large a bucket is.
+4. Components of the confirmed links are found. Where a bucket's members still lie in several, those outside its
+   largest component are compared with another member of it, again one pair a row, as long as rounds find links (a group
+   without a centre grows together in a few). What is left outside is compared with every member of another component,
+   in blocks of bounded size. Pairs in one component need no link, so no component is lost, however large a bucket is.
 
 Null, empty and blank texts have empty sets and are linked with nothing. Repeated rows are kept as rows; rows with a
 null doc_id take part in classes through the others' ids and are never `kept`. An empty table gives an empty result.
@@ -19,7 +20,8 @@ null doc_id take part in classes through the others' ids and are never `kept`. A
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from math import comb
 
 import numpy as np
@@ -28,19 +30,63 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, components, shingle_sets, slices, spread
+from .common import Stage, components, joined, shingle_sets, slices, small, spread
 
-BANDS, ROWS, MINHASHES, BATCH = 25, 5, 128, 16
-PERCENT, SHINGLE, MISS = 85, 5, 1e-7
+MINHASHES, BATCH, SHINGLE, MISS = 128, 16, 5, 1e-7
+#: Rounds of further leaders at most, before what is left is compared in blocks.
+ROUNDS = 8
 #: Members of a bucket that one row of the block comparison holds at most, about.
 BLOCK = 256
 
+
+@dataclass(frozen=True)
+class Rule:
+    """BANDS bands of ROWS minima; a pair is linked from PERCENT per cent of Jaccard similarity on."""
+
+    percent: int = 85
+    bands: int = 25
+    rows: int = 5
+
+    def band_keys(self, low: np.ndarray) -> list[int]:
+        raw, size = low[: self.bands * self.rows].tobytes(), 4 * self.rows
+        return [xxhash.xxh3_64_intdigest(raw[i * size : (i + 1) * size], seed=i) - 2**63 for i in range(self.bands)]
+
+    def least_matches(self, miss: float = MISS) -> list[int]:
+        """By number of batches: the matches below which a pair reaches the threshold with probability under `miss`.
+
+        With a uniform prior the posterior after m of n matches is Beta(m + 1, n - m + 1); its mass above t is a
+        binomial sum.
+        """
+        t, out = self.percent / 100, []
+        for n in range(BATCH, MINHASHES + 1, BATCH):
+            mass, m = 0.0, -1
+            while mass < miss:
+                m += 1
+                mass += comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
+            out.append(m)
+        return out
+
+    def plausible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Indices of the row pairs that no batch of the signatures rules out."""
+        alive, same = np.arange(len(left)), np.zeros(len(left), np.int32)
+        for k, least in enumerate(self.least_matches()):
+            at = slice(k * BATCH, (k + 1) * BATCH)
+            same = same + (left[alive, at] == right[alive, at]).sum(axis=1, dtype=np.int32)
+            keep = same >= least
+            alive, same = alive[keep], same[keep]
+        return alive
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= self.percent * (len(x) + len(y) - both)
+
+
+RULE = Rule()
+
 _RNG = np.random.default_rng(97)
 _MUL = _RNG.integers(0, 2**31, MINHASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, MINHASHES, dtype=np.uint32)
 
-FEATURES = "doc_id long, n_shingles long, class binary, signature binary, bands array<long>"
-
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """Minima of MINHASHES permutations of the 32-bit halves of a set's hashes."""
@@ -54,145 +100,131 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def band_keys(low: np.ndarray) -> list[int]:
-    rows = low[: BANDS * ROWS].tobytes()
-    return [xxhash.xxh3_64_intdigest(rows[i * 4 * ROWS : (i + 1) * 4 * ROWS], seed=i) - 2**63 for i in range(BANDS)]
+def described(hashes: np.ndarray, rule: Rule) -> tuple:
+    """(class, signature, bands) of a set; nulls for an empty one. Equal sets have equal classes."""
+    if not len(hashes):
+        return None, None, None
+    low = signature(hashes)
+    return xxhash.xxh3_128_digest(hashes.tobytes()), (low >> np.uint32(16)).astype(np.uint16).tobytes(), rule.band_keys(low)
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = list(batch["text"])
-        for a, b in slices(texts):
-            rows = []
-            for doc_id, s in zip(batch["doc_id"][a:b], shingle_sets(texts[a:b], SHINGLE)):
-                low = signature(s) if len(s) else None
-                rows.append((doc_id, len(s)) + ((None, None, None) if low is None else (xxhash.xxh3_128_digest(s.tobytes()), (low >> np.uint32(16)).astype(np.uint16).tobytes(), band_keys(low))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "signature", "bands"]).astype({"doc_id": "Int64"})
-
-
-def features(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return spread(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(_features, FEATURES)
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, MINHASHES)
 
 
-def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
-    """By number of batches: the matches below which a pair reaches the threshold with probability under `miss`.
+def link_classes(stage: Stage, classes: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (a, b) and components (node, component) of classes (rep, signature, bands).
 
-    With a uniform prior the posterior after m of n matches is Beta(m + 1, n - m + 1); its mass above t is a binomial sum.
+    sets_of gives (rep, hashes), sorted distinct 64-bit hashes as bytes, for a table of wanted reps.
     """
-    t, out = percent / 100, []
-    for n in range(BATCH, MINHASHES + 1, BATCH):
-        mass, m = 0.0, -1
-        while mass < miss:
-            m += 1
-            mass += comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
-        out.append(m)
-    return out
-
-
-def plausible(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Indices of the row pairs that no batch of the signatures rules out."""
-    alive, same = np.arange(len(left)), np.zeros(len(left), np.int32)
-    for k, least in enumerate(least_matches()):
-        at = slice(k * BATCH, (k + 1) * BATCH)
-        same = same + (left[alive, at] == right[alive, at]).sum(axis=1, dtype=np.int32)
-        keep = same >= least
-        alive, same = alive[keep], same[keep]
-    return alive
-
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, MINHASHES)
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.iloc[rule.plausible(_matrix(batch["s1"]), _matrix(batch["s2"]))][["a", "b"]]
+
+    def compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Compare the members of two blocks that lie in different components."""
+        for batch in batches:
+            for few, few_c, few_s, all_, all_c, all_s in batch.itertuples(index=False):
+                few, few_c, all_, all_c = (np.asarray(x) for x in (few, few_c, all_, all_c))
+                few_s, all_s = _matrix(few_s), _matrix(all_s)
+                for i in range(len(few)):
+                    other = np.flatnonzero(all_c != few_c[i])
+                    hit = other[rule.plausible(np.broadcast_to(few_s[i], (len(other), MINHASHES)), all_s[other])]
+                    if len(hit):
+                        yield pd.DataFrame({"a": np.minimum(few[i], all_[hit]), "b": np.maximum(few[i], all_[hit])})
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [rule.linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["h1"], batch["h2"])]
+            yield batch[keep][["a", "b"]]
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        sets = stage.put(sets_of(stage.put(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())))
+        rows = pairs.join(sets.toDF("b", "h2"), "b").join(sets.toDF("a", "h1"), "a")
+        links = stage.put(rows.select("a", "b", "h1", "h2").mapInPandas(verify, "a long, b long"))
+        stage.drop(sets)
+        return links
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(sigs.toDF("b", "s2"), "b").join(sigs.toDF("a", "s1"), "a").select("a", "b", "s1", "s2")
+        return stage.put(rows.mapInPandas(prune, "a long, b long"))
 
+    sigs = classes.select("rep", "signature")
+    rows = classes.select("rep", F.explode("bands").alias("bucket"))
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    live = stage.put(rows.join(crowded, "bucket"))
+    weight = live.groupBy("rep").agg(F.sum("members").alias("weight"))
+    leaders = live.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top"))
+    leaders = stage.put(leaders.select("bucket", (-F.col("top.r")).alias("leader")))
+    stars = live.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    links = confirm(plausible(stars))
+    labels = components(stage, links)
 
-def _prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            yield batch.iloc[plausible(_matrix(batch["s1"]), _matrix(batch["s2"]))][["a", "b"]]
+    # Buckets that the stars leave in several components.
+    for round_ in range(ROUNDS + 1):
+        placed = live.where("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "members", "rep", F.coalesce("component", "rep").alias("component"))
+        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        tops = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        open_ = stage.put(placed.join(tops.select("bucket", F.col("top.component").alias("largest")), "bucket"))
+        if round_ == ROUNDS or not open_.limit(1).count():
+            break
+        inside = open_.where("component = largest").groupBy("bucket").agg(F.max_by("rep", F.xxhash64("bucket", "rep", F.lit(round_))).alias("leader"))
+        tries = open_.where("component <> largest").join(inside, "bucket").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        found = confirm(plausible(tries))
+        stage.drop(open_)
+        if not found.limit(1).count():
+            break
+        links = stage.put(links.unionByName(found))
+        labels = joined(stage, labels, found)
+    rest = placed.join(tops.select("bucket", F.col("top.component").alias("largest")), "bucket").join(leaders, "bucket").where("rep <> leader").join(sigs, "rep")
+    rest = stage.put(rest.select("bucket", "rep", "component", "signature", (F.col("component") != F.col("largest")).alias("outside"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK)).alias("block")))
+    pack = lambda df: df.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "component", "signature")).alias("rows"))
+    flat = lambda df, x: pack(df).select("bucket", F.col("rows.rep").alias(f"{x}_r"), F.col("rows.component").alias(f"{x}_c"), F.col("rows.signature").alias(f"{x}_s"))
+    more = flat(rest.where("outside"), "f").join(flat(rest, "e"), "bucket").drop("bucket")
+    more = stage.put(more.mapInPandas(compare_blocks, "a long, b long").distinct())
+    if more.limit(1).count():
+        found = confirm(more)
+        links = stage.put(links.unionByName(found))
+        labels = joined(stage, labels, found)
+    for x in (live, leaders, rest, more):
+        stage.drop(x)
+    return links, labels
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compare the members of two blocks that lie in different components."""
+def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for few, few_c, few_s, all_, all_c, all_s in batch.itertuples(index=False):
-            few, few_c, all_, all_c = (np.asarray(x) for x in (few, few_c, all_, all_c))
-            few_s, all_s = _matrix([few_s]), _matrix([all_s])
-            for i in range(len(few)):
-                other = np.flatnonzero(all_c != few_c[i])
-                hit = other[plausible(np.broadcast_to(few_s[i], (len(other), MINHASHES)), all_s[other])]
-                if len(hit):
-                    yield pd.DataFrame({"a": np.minimum(few[i], all_[hit]), "b": np.maximum(few[i], all_[hit])})
+        texts = list(batch["text"])
+        for a, b in slices(texts):
+            rows = [(doc_id, len(s), *described(s, RULE)) for doc_id, s in zip(batch["doc_id"][a:b], shingle_sets(texts[a:b], SHINGLE))]
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "signature", "bands"]).astype({"doc_id": "Int64"})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = list(batch["text"])
         for a, b in slices(texts):
-            yield pd.DataFrame({"rep": batch["doc_id"][a:b].to_numpy(), "hashes": [s.tobytes() for s in shingle_sets(texts[a:b], SHINGLE)]})
-
-
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch["h1"], batch["h2"]):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch[keep][["a", "b"]]
-
-
-def confirm(spark: SparkSession, stage: Stage, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets reach the threshold. Only their texts are read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stage.put(texts.mapInPandas(_sets, "rep long, hashes binary"))
-    rows = pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("h2")), "b")
-    rows = rows.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("h1")), "a")
-    links = stage.put(rows.select("a", "b", "h1", "h2").mapInPandas(_confirm, "a long, b long"))
-    stage.drop(sets)
-    return links
+            yield pd.DataFrame({"doc_id": batch["doc_id"][a:b].to_numpy(), "hashes": [s.tobytes() for s in shingle_sets(texts[a:b], SHINGLE)]})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the text's class)."""
+    """doc_id, n_shingles, component_id, kept."""
     stage = Stage(spark, "near")
-    made = stage.put(features(spark, docs))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = stage.put(spread(spark, docs).mapInPandas(_features, "doc_id long, n_shingles long, class binary, signature binary, bands array<long>"))
     grouped = made.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = stage.put(grouped.where("rep is not null"))
-    sigs = classes.select("rep", "signature")
 
-    rows = classes.select("rep", F.explode("bands").alias("bucket"))
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    live = stage.put(rows.join(crowded, "bucket"))
-    weight = live.groupBy("rep").agg(F.sum("members").alias("weight"))
-    leaders = live.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top"))
-    leaders = stage.put(leaders.select("bucket", (-F.col("top.r")).alias("leader")))
-    stars = live.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    pairs = stars.join(sigs.toDF("b", "s2"), "b").join(sigs.toDF("a", "s1"), "a").select("a", "b", "s1", "s2")
-    pairs = stage.put(pairs.mapInPandas(_prune, "a long, b long"))
-    links = confirm(spark, stage, docs, pairs)
-    labels = components(stage, links)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Only the wanted texts are read again; of a repeated doc_id the row that stands for the class."""
+        ids = small(wanted.select(F.col("rep").alias("doc_id")), wanted.count())
+        found = docs.join(ids, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, hashes binary")
+        found = found.join(classes.select(F.col("rep").alias("doc_id"), "class", "rep"), "doc_id")
+        return found.select("rep", "hashes").dropDuplicates(["rep"])
 
-    # Buckets that the stars leave in several components.
-    placed = live.where("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "members", "rep", F.coalesce("component", "rep").alias("component"))
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    tops = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(tops.select("bucket", F.col("top.component").alias("largest")), "bucket").join(leaders, "bucket").where("rep <> leader").join(sigs, "rep")
-    open_ = stage.put(open_.select("bucket", "rep", "component", "signature", (F.col("component") != F.col("largest")).alias("outside"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK)).alias("block")))
-    pack = lambda df: df.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "component", "signature")).alias("rows"))
-    flat = lambda df, x: df.select("bucket", F.col("rows.rep").alias(f"{x}_r"), F.col("rows.component").alias(f"{x}_c"), F.unhex(F.array_join(F.transform("rows", lambda r: F.hex(r["signature"])), "")).alias(f"{x}_s"))
-    few, every = flat(pack(open_.where("outside")), "f"), flat(pack(open_), "e")
-    more = few.join(every, "bucket").drop("bucket").mapInPandas(_blocks, "a long, b long").distinct()
-    more = stage.put(more)
-    if more.limit(1).count():
-        found = confirm(spark, stage, docs, more)
-        links = stage.put(links.union(found))
-        labels = components(stage, links)
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    by_class = classes.select("class", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    by_class = by_class.select("class", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    for x in (live, leaders, pairs, open_, more):
-        stage.drop(x)
+    _, labels = link_classes(stage, classes.select("rep", "signature", "bands"), RULE, sets_of)
+    by_class = classes.select("class", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     out = made.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
