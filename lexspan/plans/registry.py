@@ -1,8 +1,15 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import text_queries
+
+QUERIES: dict = {**text_queries.QUERIES}
+ORACLES: dict[str, str] = {**text_queries.ORACLES}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to tokens, periods and context windows with digests."""
+    return text_queries.ctx_window_digests(spark, sf_dir)
