@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Stage, shingle_sets, slices, small, spread
 from .near_dedup import SHINGLE, Rule, described, link_classes
 
-WORDS = 50
+WORDS = 25
 RULE = Rule(percent=80, bands=25, rows=4)
 
 

@@ -14,6 +14,7 @@ unfinished document, counted like any other. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -44,6 +45,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.cache = Tokenizer.from_file(path), np.dtype(f"<u{width}"), {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         self.tokenizer.encode_special_tokens = literal
 
     @classmethod
