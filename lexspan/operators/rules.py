@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import materialized
 from . import tree
 
 # The rules' lists and the catalogue.
@@ -59,13 +60,21 @@ def enriched(rows: DataFrame) -> DataFrame:
 
 
 class Index:
-    """The joined tables that the rules share; cached once for a run by whoever needs several rules."""
+    """The joined tables that the rules share, written once, so that each rule's plan starts from a leaf."""
 
     def __init__(self, rows: DataFrame):
-        self.tokens = enriched(rows)
+        self.rows = rows
+        self.tokens = materialized(enriched(rows))
         self.regions = self.tokens.select("doc_id", "ord", "region")
         self.own = tree.own_tokens(self.tokens)
-        self.below = tree.ancestry(rows).select("doc_id", F.col("ancestor").alias("top"), "ord")
+        self.below = materialized(tree.ancestry(rows).select("doc_id", F.col("ancestor").alias("top"), "ord"))
+        self._pairs: DataFrame | None = None
+
+    def pairs(self) -> DataFrame:
+        """The correlative pairs, found once."""
+        if self._pairs is None:
+            self._pairs = materialized(correlatives(self))
+        return self._pairs
 
     def scoped(self, found: DataFrame, nucleus: str = "nuc", constituent: str | None = None) -> DataFrame:
         """found: doc_id, ord (the marker), region, region_closed and a nucleus column. Adds scope: the nucleus' own
@@ -249,22 +258,21 @@ def therefore(ix: Index) -> DataFrame:
     return _result(t, "therefore", F.lit("consequence"), F.array("por", "ord"), F.col("nuc"), _links(("consequent", F.col("nuc")), ("antecedent", before)))
 
 
-def detect(rows: DataFrame, enabled: list[str] | None = None, index: Index | None = None) -> DataFrame:
-    """Occurrences of the enabled rules. With the correlative rule enabled, the simple ones leave its markers alone."""
+def detect(rows: DataFrame, enabled: list[str] | None = None, index: Index | None = None, only: list[str] | None = None) -> DataFrame:
+    """Occurrences of the enabled rules (of them `only` some, if named). With the correlative rule enabled, the simple
+    ones leave its markers alone."""
     names = [r for r, _, _ in CATALOGUE] if enabled is None else list(enabled)
     unknown = set(names) - {r for r, _, _ in CATALOGUE}
     if unknown or len(set(names)) < len(names):
         raise ValueError(f"unknown or repeated rules: {sorted(unknown) or names}")
     ix = index or Index(rows)
-    pairs = correlatives(ix) if "correlative_negation" in names else None
-    hidden = suppressed(pairs) if pairs is not None else None
-    single = negators(ix, hidden)
+    hidden = lambda: suppressed(ix.pairs()) if "correlative_negation" in names else None
     made = {
-        "correlative_negation": lambda: pairs, "clause": lambda: clauses(ix), "negation_multiple": lambda: multiple(ix, single), "tense": lambda: tense(ix), "relative_time": lambda: relative_time(ix),
-        "modal_verbal": lambda: modal_verbal(ix), "modal_lexical": lambda: modal_lexical(ix), "connector": lambda: connectors(ix, hidden), "therefore": lambda: therefore(ix),
+        "correlative_negation": ix.pairs, "clause": lambda: clauses(ix), "negation_multiple": lambda: multiple(ix, negators(ix, hidden())), "tense": lambda: tense(ix), "relative_time": lambda: relative_time(ix),
+        "modal_verbal": lambda: modal_verbal(ix), "modal_lexical": lambda: modal_lexical(ix), "connector": lambda: connectors(ix, hidden()), "therefore": lambda: therefore(ix),
     }
-    made |= {n: lambda n=n: single.where(F.col("rule") == n) for n in ("negation_nao", "negation_nunca", "negation_nem")}
-    found = reduce(DataFrame.unionByName, (made[n]().select(*OUT) for n in names))
+    made |= {n: lambda n=n: negators(ix, hidden()).where(F.col("rule") == n) for n in ("negation_nao", "negation_nunca", "negation_nem")}
+    found = reduce(DataFrame.unionByName, (made[n]().select(*OUT) for n in names if only is None or n in only))
     return guarded(found, rows)
 
 

@@ -74,4 +74,4 @@ def as_sql() -> str:
     """The same rows as a VALUES list."""
     quoted = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
     values = ",\n".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows())
-    return f"SELECT * FROM (VALUES {values}) AS v(doc_id, period, ord, token, lemma, pos, dep, head, feats)"
+    return f"SELECT * REPLACE (CAST(doc_id AS BIGINT) AS doc_id) FROM (VALUES {values}) AS v(doc_id, period, ord, token, lemma, pos, dep, head, feats)"
