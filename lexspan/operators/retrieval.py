@@ -130,7 +130,7 @@ def covered(citations: DataFrame, fragments: DataFrame) -> DataFrame:
     rows = rows.withColumn("x", F.greatest("a", "start_pos")).withColumn("y", F.least("b", "end_pos"))
     order = Window.partitionBy("citation").orderBy("x", "y")
     upto = F.coalesce(F.max("y").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("a"))
-    rows = rows.withColumn("ok", F.coalesce((F.col("x") < F.col("y")) & (F.col("x") <= upto), F.lit(False)))
+    rows = rows.withColumn("ok", F.col("start_pos").isNotNull() & F.coalesce((F.col("x") < F.col("y")) & (F.col("x") <= upto), F.lit(False)))
     found = rows.groupBy("citation").agg((F.bool_and("ok") & (F.max("y") >= F.max("b")) & (F.count("frag_no") == F.count_distinct("frag_no"))).alias("ok"))
     return citations.select("citation").join(found, "citation", "left").select("citation", F.coalesce("ok", F.lit(False)).alias("covered"))
 

@@ -31,11 +31,12 @@ def configuration(profile: str = "retrieval", max_tokens: int | None = None, bat
 
 def targets(units: DataFrame, paragraphs: DataFrame, docs: DataFrame) -> DataFrame:
     """Focus and window of each unit in turn, then paragraphs, then the document: doc_id, ord, kind, start_pos, end_pos."""
-    pick = lambda df, part, kind, at, a, b: df.select("doc_id", F.lit(part).alias("part"), at.cast("long").alias("place"), F.lit(kind).alias("kind"), F.col(a).cast("long").alias("start_pos"), F.col(b).cast("long").alias("end_pos"))
-    rows = pick(units, 0, "focus", 2 * F.col("period"), "start_pos", "end_pos").unionByName(pick(units, 0, "window", 2 * F.col("period") + 1, "window_start", "window_end"))
-    rows = rows.unionByName(pick(paragraphs, 1, "paragraph", F.col("paragraph"), "start_pos", "end_pos"))
+    one = lambda part, place, kind, a, b: F.struct(F.lit(part).alias("part"), place.cast("long").alias("place"), F.lit(kind).alias("kind"), F.col(a).cast("long").alias("start_pos"), F.col(b).cast("long").alias("end_pos"))
+    both = F.array(one(0, 2 * F.col("period"), "focus", "start_pos", "end_pos"), one(0, 2 * F.col("period") + 1, "window", "window_start", "window_end"))
+    rows = units.select("doc_id", F.explode(both).alias("t"))
+    rows = rows.unionByName(paragraphs.select("doc_id", one(1, F.col("paragraph"), "paragraph", "start_pos", "end_pos").alias("t")))
     whole = docs.where("text is not null").select("doc_id", F.lit(0).alias("zero"), F.length("text").alias("chars"))
-    rows = rows.unionByName(pick(whole, 2, "document", F.lit(0), "zero", "chars"))
+    rows = rows.unionByName(whole.select("doc_id", one(2, F.lit(0), "document", "zero", "chars").alias("t"))).select("doc_id", "t.*")
     order = Window.partitionBy("doc_id").orderBy("part", "place")
     return rows.select("doc_id", (F.row_number().over(order) - 1).alias("ord"), "kind", "start_pos", "end_pos")
 

@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def safe_unions(spark: SparkSession) -> None:
+    """Spark 4.1 takes a union of equally partitioned inputs for partitioned itself, and then skips the exchange that a
+    window behind it needs; with partitions coalesced at run time the rows no longer line up and row numbers repeat."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """What spark.checkpoint.dir names; only where it is unset (tests), a temporary folder of one machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
