@@ -64,8 +64,8 @@ def _ranged(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bounds = F.array(*(F.lit(int(x)).cast("long") for x in edges)) if edges else F.array().cast("array<long>")
     part = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(-1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id").isNull(), -1).otherwise(part).alias("part"), F.lit(0).alias("last"))
-    tops = rows.groupBy("part").agg(F.max("doc_id").alias("top"))  # a row for each range
-    heads = rows.join(tops.withColumnRenamed("part", "p"), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("part").agg(F.max("text").alias("text"))
+    tops = rows.groupBy("part").agg(F.max("doc_id").alias("top"))
+    heads = rows.join(F.broadcast(tops.withColumnRenamed("part", "p")), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("part").agg(F.max("text").alias("text"))  # tops has a row for each range, n + 1 at most
     below = Window.orderBy(F.desc("part"))
     around = heads.select(F.col("part"), F.coalesce(F.lead("text").over(below), F.first("text").over(below)).alias("text"))
     sentinels = around.select(F.lit(None).cast("long").alias("doc_id"), "text", "part", F.lit(1).alias("last"))
