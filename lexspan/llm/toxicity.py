@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import slices, spread
 from .langid import Words, held_out
 
-WINDOW, STRIDE, TRAIN_ROWS, THRESHOLD = 32, 16, 6000, 0.3
+WINDOW, STRIDE, TRAIN_ROWS, THRESHOLD = 32, 16, 3000, 0.3
 ODDS, WORD_DIM, CHAR_DIM, HIDDEN = 3, 6, 4, 8
 EPOCHS, BATCH, RATE = 6, 256, 0.01
 INPUT = ODDS + WORD_DIM + CHAR_DIM
@@ -43,15 +43,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Texts:
-    """Word and gram ids, and the windows, of some texts."""
-
-    def __init__(self, texts: list[str | None]):
-        w = Words(texts, BITS, long_grams=True)
-        self.word, self.four, self.six, self.at, self.first = w.word, w.four, w.six, w.at, w.first
-        self.tri = w.tri >> COARSE
-        self.sizes = np.diff(np.append(w.at, len(w.tri))) if len(w.at) else np.zeros(0, int)
+    """Word and gram ids, and the windows, of some texts; hashed slice by slice, so that what is kept is small."""
+
+    def __init__(self, texts: list[str | None], slice_chars: int = 500_000):
+        parts: dict[str, list] = {k: [np.zeros(0, np.int32)] for k in ("word", "tri", "four", "six", "sizes", "texts")}
+        for a, b in slices(texts, slice_chars):
+            w = Words(texts[a:b], BITS, long_grams=True)
+            for k, ids in (("word", w.word), ("tri", w.tri >> COARSE), ("four", w.four), ("six", w.six), ("sizes", w.size + 1), ("texts", np.diff(w.first))):
+                parts[k].append(ids.astype(np.int32))
+        self.word, self.tri, self.four, self.six, self.sizes, per_text = (np.concatenate(parts.pop(k)) for k in ("word", "tri", "four", "six", "sizes", "texts"))
+        self.at = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.first = np.concatenate([[0], np.cumsum(per_text, dtype=np.int64)])
         begins, owner = [], []
-        for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:])):
+        for i, (a, b) in enumerate(zip(self.first[:-1], self.first[1:])):
             starts = np.arange(a, max(a + 1, b - (WINDOW - STRIDE)), STRIDE)
             begins.append(np.stack([starts, np.minimum(starts + WINDOW, b)], 1))
             owner.append(np.full(len(starts), i))
@@ -100,9 +104,22 @@ class Network:
             return np.zeros((0, ODDS), np.float32)
         return np.stack([word[t.word], np.maximum.reduceat(four[t.four], t.at), np.maximum.reduceat(six[t.six], t.at)], 1)
 
-    def inputs(self, t: Texts, fixed: np.ndarray) -> np.ndarray:
-        chars = np.add.reduceat(self.p["C"][t.tri], t.at, axis=0) / t.sizes[:, None].astype(np.float32) if len(t.at) else np.zeros((0, CHAR_DIM), np.float32)
-        return np.concatenate([fixed, self.p["E"][t.word >> COARSE], chars.astype(np.float32)], axis=1)
+    def inputs(self, t: Texts, fixed: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Inputs of the words from a to b."""
+        if a == b:
+            return np.zeros((0, INPUT), np.float32)
+        begin = t.at[a]
+        chars = np.add.reduceat(self.p["C"][t.tri[begin : t.at[b - 1] + t.sizes[b - 1]]], t.at[a:b] - begin, axis=0) / t.sizes[a:b, None].astype(np.float32)
+        return np.concatenate([fixed[a:b], self.p["E"][t.word[a:b] >> COARSE], chars.astype(np.float32)], axis=1)
+
+    def window_logits(self, t: Texts, fixed: np.ndarray) -> np.ndarray:
+        """Logits of all windows, some at a time."""
+        out = [np.zeros(0, np.float32)]
+        for i in range(0, len(t.windows), 2048):
+            windows = t.windows[i : i + 2048]
+            a, b = int(windows[0, 0]), int(windows[:, 1].max())
+            out.append(self.forward(self.inputs(t, fixed, a, max(a, b)), windows - a))
+        return np.concatenate(out)
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False):
         """x: (steps, rows, 3 * HIDDEN) input projections in reading order; a masked step leaves the state."""
@@ -122,9 +139,6 @@ class Network:
 
     def forward(self, x: np.ndarray, windows: np.ndarray, keep: bool = False):
         """Logits of windows over the input rows x."""
-        if len(x):
-            low = windows[:, 0].min()
-            x, windows = x[low : max(windows[:, 1].max(), low + 1)], windows - low
         steps = np.arange(WINDOW)[:, None]
         at = windows[:, 0][None] + steps
         mask = (at < windows[:, 1][None]).astype(np.float32)
@@ -180,10 +194,8 @@ class Network:
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """The largest window logit of each text."""
         t = Texts(texts)
-        x = self.inputs(t, self.fixed(t))
-        every = [self.forward(x, t.windows[i : i + 2048]) for i in range(0, len(t.windows), 2048)]
         out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, t.owner, np.concatenate(every) if every else np.zeros(0))
+        np.maximum.at(out, t.owner, self.window_logits(t, self.fixed(t)))
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -226,15 +238,15 @@ def train(texts: list[str], labels: np.ndarray) -> Network | None:
     one, other = log_odds(t, labels, half), log_odds(t, labels, ~half)
     net, rng = Network(tuple((a + b) / 2 for a, b in zip(one, other))), np.random.default_rng(3)
     fixed = np.where(np.repeat(half, np.diff(t.first))[:, None], net.fixed(t, other), net.fixed(t, one))
+    t.four = t.six = None
     common = np.bincount(np.concatenate([np.unique(ids) for ids in t.spans("word")]), minlength=1 << BITS) >= FREQUENT
     adam, balance = Adam(net.p), float(np.sqrt((labels == 0).sum() / (labels == 1).sum()))
     for epoch in range(EPOCHS):
-        x = net.inputs(t, fixed)
         if epoch == 0:  # before training the window with the largest odds stands for its text
             best = fixed.sum(axis=1)
             value = np.array([best[a:b].max(initial=-9) for a, b in t.windows])
         else:
-            value = np.concatenate([net.forward(x, t.windows[i : i + 2048]) for i in range(0, len(t.windows), 2048)])
+            value = net.window_logits(t, fixed)
         order = np.lexsort((-value, t.owner))
         top = order[first]
         extra = first + rng.integers(0, np.append(first[1:], len(t.owner)) - first)
@@ -261,8 +273,7 @@ def train(texts: list[str], labels: np.ndarray) -> Network | None:
             tables = {"E": _sum_by(t.word[words[often]] >> COARSE, back[often, ODDS : ODDS + WORD_DIM]), "C": _sum_by(tri, (back[:, ODDS + WORD_DIM :] / t.sizes[words][:, None])[owner])}
             adam.step(net.p, grad, tables)
     # Calibration of the texts' largest logits: logistic regression by Newton steps.
-    x = net.inputs(t, fixed)
-    value = np.concatenate([net.forward(x, t.windows[i : i + 2048]) for i in range(0, len(t.windows), 2048)])
+    value = net.window_logits(t, fixed)
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, t.owner, value)
     z, theta = np.stack([best, np.ones_like(best)], 1), np.array([1.0, 0.0])
