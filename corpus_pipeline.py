@@ -20,7 +20,7 @@ LEAST_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in one learned language, and name it."""
-    found = langid.identify(spark, docs.select("doc_id", "text", "lang"), carry=("text", "source", "n_chars"))
+    found = langid.identify(spark, docs.select(*COLUMNS), carry=("text", "source", "n_chars"))
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 

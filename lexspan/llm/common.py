@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stage import safe_unions, shared_dir
+
 #: Words are runs without the ASCII white space of the contract.
 WORD_BREAKS = b" \t\n\x0b\x0c\r"
 
@@ -18,22 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests), a temporary one."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="lexspan-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
 class Stage:
     """Written tables of one operator run. They cut the lineage, survive lost executors and are dropped when done."""
 
     def __init__(self, spark: SparkSession, name: str):
+        safe_unions(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -101,11 +91,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash every lower-cased word of some texts at once.
+def split_words(texts: list[str | None], marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash every lower-cased (A-Z) word of some texts at once.
 
-    Returns the words' hashes, each text's first word (one more entry than texts), and each word's first and last byte
-    in the texts joined by line feeds. A word's hash depends on its bytes alone.
+    Returns the words' hashes, each text's first word (one more entry than texts), each word's first and last byte in the
+    texts joined by line feeds, and those bytes. A word's hash depends on its bytes alone. With `marks` a full stop or
+    comma between a Latin-1 letter and white space is a word of its own.
     """
     parts = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
@@ -113,13 +104,25 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     inside = ~_IS_BREAK[raw]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0)))
     starts, ends = edge[0::2], edge[1::2]
+    if marks and len(ends):
+        last, one, two = raw[ends - 1], raw[np.maximum(ends - 2, 0)], raw[np.maximum(ends - 3, 0)]
+        letter = ((one >= 97) & (one <= 122)) | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))
+        own = letter & ((last == 44) | (last == 46)) & (ends - starts >= 2 + ((one >= 0x80).astype(np.int64)))
+        at = np.flatnonzero(own)
+        starts, ends = np.insert(starts, at + 1, ends[at] - 1), np.insert(ends, at, ends[at] - 1)
     up, down = _powers(len(raw) + 1)
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
     hashes = mix64((total[ends] - total[starts]) * down[starts])
     first = np.concatenate([[0], np.searchsorted(starts, ends_at)]) if len(parts) else np.zeros(1, np.int64)
-    return hashes, first, starts, ends
+    return hashes, first, starts, ends, raw
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, and each text's first word (one more entry than texts)."""
+    hashes, first, *_ = split_words(texts)
+    return hashes, first
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -136,7 +139,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    words, first, _, _ = word_hashes(texts)
+    words, first = word_hashes(texts)
     return [np.unique(shingle_hashes(words[a:b], k)) for a, b in zip(first[:-1], first[1:])]
 
 

@@ -83,6 +83,8 @@ class Model:
     def __init__(self, texts: list[str], langs: list[str]):
         self.langs = sorted(set(langs))
         n, size = len(self.langs), 1 << TABLE_BITS
+        if not n:
+            return
         counts = np.zeros((3, size, n))
         scripts = np.zeros((n, SCRIPTS))
         for k, lang in enumerate(self.langs):

@@ -30,7 +30,7 @@ from .langid import Words, held_out
 
 WINDOW, STRIDE, TRAIN_ROWS, THRESHOLD = 32, 16, 3000, 0.3
 ODDS, WORD_DIM, CHAR_DIM, HIDDEN = 3, 6, 4, 8
-EPOCHS, BATCH, RATE = 6, 256, 0.01
+EPOCHS, STEPS, BATCH, RATE = 6, 120, 256, 0.01
 INPUT = ODDS + WORD_DIM + CHAR_DIM
 #: Hashes have BITS bits; the embeddings' tables are smaller by COARSE bits.
 BITS, COARSE = 20, 4
@@ -241,7 +241,7 @@ def train(texts: list[str], labels: np.ndarray) -> Network | None:
     t.four = t.six = None
     common = np.bincount(np.concatenate([np.unique(ids) for ids in t.spans("word")]), minlength=1 << BITS) >= FREQUENT
     adam, balance = Adam(net.p), float(np.sqrt((labels == 0).sum() / (labels == 1).sum()))
-    for epoch in range(EPOCHS):
+    for epoch in range(max(EPOCHS, -(-STEPS * BATCH // (len(labels) + int((labels == 0).sum()))))):
         if epoch == 0:  # before training the window with the largest odds stands for its text
             best = fixed.sum(axis=1)
             value = np.array([best[a:b].max(initial=-9) for a, b in t.windows])
