@@ -24,19 +24,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, spread
+from .common import Stage, split_words, spread
 
-BLOCK, END_ID, CACHE_WORDS = 1 << 18, 49407, 300_000
+BLOCK, END_ID, CACHE_WORDS = 1 << 18, 49407, 1_000_000
 
-_ASCII_BREAK = re.compile("[ \t\n\r\x0b\x0c]+")
-_OTHER_BREAK = re.compile("[" + "".join(chr(c) for c in range(0x1C, 0x3001) if chr(c).isspace() and c != 0x20) + "]")
+_LETTERS = re.compile("[a-zà-öø-ÿ]+").fullmatch
 
 
 class Encoder:
     """Ids as little-endian bytes, `width` bytes an id.
 
-    The vocabulary's pieces never span white space, so a text's ids are those of its words in turn; a word is encoded
-    once while it stays in a cache of bounded size.
+    The vocabulary ignores case and its pieces span neither white space nor a letter and a punctuation mark. So a text's
+    ids are those of its words in turn, and a stop or comma between a letter and white space is a word of its own. Words
+    are hashed for many texts at once (numpy); a distinct one is encoded once while it stays in a table of bounded size,
+    and ids are put together by gathers. Texts that mention a special token go through the tokenizer as they are.
     """
 
     _made: dict = {}
@@ -44,9 +45,20 @@ class Encoder:
     def __init__(self, path: str, width: int = 4, literal: bool = False):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.cache = Tokenizer.from_file(path), np.dtype(f"<u{width}"), {}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
+        self.tokenizer, self.kind = Tokenizer.from_file(path), np.dtype(f"<u{width}")
         self.tokenizer.encode_special_tokens = literal
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
+        if not self.ends.any():
+            self.ends = None
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words: hashes in ascending order, and the place and number of each one's ids in `pool`."""
+        self.known, self.place, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.kind)
 
     @classmethod
     def get(cls, path: str, width: int = 4, literal: bool = False) -> Encoder:
@@ -55,17 +67,53 @@ class Encoder:
             cls._made[key] = cls(*key)
         return cls._made[key]
 
+    def _encoded(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(indices, ids of each, their ids in turn). Words of letters are one piece each, so many go through as one text
+        whose ids are cut behind each id that ends a word; should the number not agree, each goes alone."""
+        letters = [self.ends is not None and _LETTERS(w) is not None for w in words]
+        plain, left = [i for i, x in enumerate(letters) if x], [i for i, x in enumerate(letters) if not x]
+        for k in range(0, len(plain), 512):
+            some = plain[k : k + 512]
+            ids = np.array(self.tokenizer.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                yield some, np.diff(stops, prepend=0), ids
+            else:
+                left += some
+        for k in range(0, len(left), 20_000):
+            some = left[k : k + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)]
+            yield some, np.array([len(x) for x in ids]), np.array([x for part in ids for x in part], self.kind)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        pool, order, counts = [self.pool], [], []
+        for indices, count, ids in self._encoded(words):
+            pool.append(ids)
+            order += indices
+            counts.append(count)
+        count = np.concatenate(counts).astype(np.int64)
+        known = np.concatenate([self.known, hashes[order]])
+        place = np.concatenate([self.place, len(self.pool) + np.cumsum(count) - count])
+        by = np.argsort(known, kind="stable")
+        self.pool, self.known, self.place, self.count = np.concatenate(pool), known[by], place[by], np.concatenate([self.count, count])[by]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [[] if not t else [w for w in _ASCII_BREAK.split(t) if w] if _OTHER_BREAK.search(t) else t.split() for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        missing = list({w for words in split for w in words if w not in cache})
-        for i in range(0, len(missing), 50_000):
-            some = missing[i : i + 50_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join([cache[w] for w in words]) for words in split]
+        special = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if t and "<|" in t}
+        hashes, first, starts, ends, raw = split_words([None if i in special else t for i, t in enumerate(texts)], marks=True)
+        unique, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > CACHE_WORDS:
+            self._forget()
+        found = np.searchsorted(self.known, unique)
+        new = np.flatnonzero((self.known[np.minimum(found, len(self.known) - 1)] != unique) if len(self.known) else np.ones(len(unique), bool))
+        if len(new):
+            data = raw.tobytes()
+            self._learn(unique[new], [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            found = np.searchsorted(self.known, unique)
+        place, count = self.place[found][which], self.count[found][which]
+        before = np.concatenate([[0], np.cumsum(count)])
+        ids = self.pool[np.arange(before[-1]) + np.repeat(place - before[:-1], count)].tobytes()
+        cut = (before[first] * self.kind.itemsize).tolist()
+        return [np.array(special[i], self.kind).tobytes() if i in special else ids[cut[i] : cut[i + 1]] for i in range(len(texts))]
 
 
 def flatten(docs: DataFrame, path: str) -> DataFrame:
