@@ -143,7 +143,7 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(words[a:b], k)) for a, b in zip(first[:-1], first[1:])]
 
 
-def slices(texts, most: int = 4_000_000):
+def slices(texts, most: int = 1_500_000):
     """Index ranges of a column of texts that hold about so many characters together; a longer text stands alone."""
     begin, size = 0, 0
     for i, t in enumerate(texts):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, slices, spread
 
-TRAIN_ROWS, TABLE_BITS, SWITCH, UNKNOWN = 6000, 17, 6.0, "und"
+TRAIN_ROWS, TABLE_BITS, SWITCH, UNKNOWN = 4000, 17, 6.0, "und"
 #: A language is a candidate for a script that holds at least this share of its training bytes.
 SCRIPT_SHARE = 0.01
 #: Held out: crc32 of the id as text has this remainder modulo FOLDS.
@@ -89,7 +89,7 @@ class Model:
         scripts = np.zeros((n, SCRIPTS))
         for k, lang in enumerate(self.langs):
             own = [t for t, x in zip(texts, langs) if x == lang]
-            for a, b in slices(own):
+            for a, b in slices(own, 500_000):
                 w = Words(own[a:b])
                 for j, ids in enumerate((w.tri, w.four, w.word)):
                     counts[j, :, k] += np.bincount(ids, minlength=size)
@@ -185,7 +185,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, c
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(texts, 2_000_000):
+            for a, b in slices(texts, 700_000):
                 found = model.label(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in keep), pa.array([x for x, _ in found]), pa.array([s for _, s in found])], names=[*keep, "lang_pred", "score"])
 

@@ -101,19 +101,26 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def described(hashes: np.ndarray, rule: Rule) -> tuple:
-    """(class, signature, bands) of a set; nulls for an empty one. Equal sets have equal classes."""
+    """(class, signature, bands) of a set; nulls for an empty one. Equal sets have equal classes. A signature keeps one
+    byte of each minimum: a chance match in 256 can only spare a pair."""
     if not len(hashes):
         return None, None, None
     low = signature(hashes)
-    return xxhash.xxh3_128_digest(hashes.tobytes()), (low >> np.uint32(16)).astype(np.uint16).tobytes(), rule.band_keys(low)
+    return xxhash.xxh3_128_digest(hashes.tobytes()), mixed_bytes(low), rule.band_keys(low)
+
+
+def mixed_bytes(low: np.ndarray) -> bytes:
+    """A byte of each minimum; minima are small numbers, so they are mixed first."""
+    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, MINHASHES)
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, MINHASHES)
 
 
 def link_classes(stage: Stage, classes: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) and components (node, component) of classes (rep, signature, bands).
+    """Confirmed links (a, b) and components (node, component) of classes (rep, signature, bands); repeated rows of a
+    class do no harm. Only buckets with two classes go on, and only their members' signatures.
 
     sets_of gives (rep, hashes), sorted distinct 64-bit hashes as bytes, for a table of wanted reps.
     """
@@ -151,10 +158,14 @@ def link_classes(stage: Stage, classes: DataFrame, rule: Rule, sets_of: Callable
         rows = pairs.join(sigs.toDF("b", "s2"), "b").join(sigs.toDF("a", "s1"), "a").select("a", "b", "s1", "s2")
         return stage.put(rows.mapInPandas(prune, "a long, b long"))
 
-    sigs = classes.select("rep", "signature")
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    live = stage.put(rows.join(crowded, "bucket"))
+    crowded = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("bucket")
+    crowded = stage.put(crowded)
+    live = stage.put(rows.join(small(crowded, crowded.count()), "bucket").distinct())
+    stage.drop(crowded)
+    reps = stage.put(live.select("rep").distinct())
+    sigs = stage.put(classes.select("rep", "signature").join(small(reps, reps.count()), "rep", "left_semi").dropDuplicates(["rep"]))
+    live = stage.put(live.join(live.groupBy("bucket").agg(F.count("*").alias("members")), "bucket"))
     weight = live.groupBy("rep").agg(F.sum("members").alias("weight"))
     leaders = live.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top"))
     leaders = stage.put(leaders.select("bucket", (-F.col("top.r")).alias("leader")))

@@ -1,8 +1,8 @@
 """Operator 4: repeated passages by paragraph MinHash banding.
 
 A paragraph is a line of a text that holds at least WORDS words; shorter lines (headings, signatures, licence lines) are
-left alone. Paragraphs are lower-cased (A-Z) and compared as sets of five-word shingles. Bands of four minima are tuned
-for recall: at the threshold of 0.8 a linked pair shares no band with probability (1 - 0.8^4)^25, about 2e-6. Equal sets
+left alone. Paragraphs are lower-cased (A-Z) and compared as sets of five-word shingles. Bands of three minima are tuned
+for recall: at the threshold of 0.8 a linked pair shares no band with probability (1 - 0.8^3)^16, about 1e-5. Equal sets
 collapse first; colliding paragraphs are pruned on signatures and confirmed by exact Jaccard similarity (see near_dedup
 for how a large bucket is treated without meeting pairwise). Of each component the first occurrence, by doc_id and
 place, stays; the others are removed.
@@ -24,7 +24,7 @@ from .common import Stage, shingle_sets, slices, small, spread
 from .near_dedup import SHINGLE, Rule, described, link_classes
 
 WORDS = 25
-RULE = Rule(percent=80, bands=25, rows=4)
+RULE = Rule(percent=80, bands=16, rows=3)
 
 
 def _paragraphs(text: str | None) -> list[tuple[int, int, str]]:
@@ -64,22 +64,24 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stage = Stage(spark, "passages")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = spread(spark, docs).mapInPandas(_features, "doc_id long, place long, start long, length long, class binary, signature binary, bands array<long>")
-    made = stage.put(made.withColumn("row", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
-    classes = stage.put(made.groupBy("class").agg(F.min("row").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), first, F.count("*").alias("copies")))
+    made = stage.put(made.withColumn("id", F.conv(F.substring(F.hex("class"), 2, 15), 16, 10).cast("long")))
+    named = made.where("doc_id is not null")
+    place = F.min(F.struct("doc_id", "place")).alias("p")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Only texts that hold a wanted paragraph are read again."""
-        where = classes.join(wanted, "rep").select("rep", "class", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")).where("doc_id is not null")
+        few = small(wanted.select(F.col("rep").alias("id")), wanted.count())
+        where = stage.put(named.join(few, "id", "left_semi").groupBy("id", "class").agg(place).select(F.col("id").alias("rep"), "class", "p.doc_id", "p.place"))
         by_doc = stage.put(where.groupBy("doc_id").agg(F.collect_set("place").alias("places")))
         found = docs.join(small(by_doc, by_doc.count()), "doc_id").mapInPandas(_wanted_sets, "class binary, hashes binary")
-        return where.join(found.dropDuplicates(["class"]), "class").select("rep", "hashes")
-
-    _, labels = link_classes(stage, classes.where("first.doc_id is not null").select("rep", "signature", "bands"), RULE, sets_of)
-    placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"), "first", "copies")
-    tops = placed.groupBy("component").agg(F.min("first").alias("top"), F.sum("copies").alias("n")).where("n > 1")
-    repeated = stage.put(placed.join(tops, "component").select("class", "top"))
-    out = made.select("doc_id", "place", "start", "length", "class").join(repeated, "class")
+        return where.select("rep", "class").join(found.dropDuplicates(["class"]), "class").select("rep", "hashes")
+
+    _, labels = link_classes(stage, named.select(F.col("id").alias("rep"), "signature", "bands"), RULE, sets_of)
+    labels = small(labels.select(F.col("node").alias("id"), "component"), labels.count())
+    rows = made.select("doc_id", "place", "start", "length", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("top")
+    tops = stage.put(rows.groupBy("component").agg(first, F.count("*").alias("n")).where("n > 1").select("component", "top"))
+    out = rows.join(small(tops, 3 * tops.count()), "component")
     kept = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("place") == F.col("top.place"))
     return out.select("doc_id", "place", "start", "length", F.col("top.doc_id").alias("component_id"), F.col("top.place").alias("component_place"), kept.alias("kept"))
 
