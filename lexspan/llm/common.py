@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..sources.stage import safe_unions, shared_dir
 
+#: Rows of an Arrow batch; texts may be long, and a worker holds a batch more than once.
+BATCH_ROWS = "1000"
 #: Words are runs without the ASCII white space of the contract.
 WORD_BREAKS = b" \t\n\x0b\x0c\r"
 
@@ -24,6 +26,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         safe_unions(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -43,6 +46,7 @@ class Stage:
 
 def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A table read as fewer splits than there are cores is dealt out before heavy row work."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

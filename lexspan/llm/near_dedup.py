@@ -148,11 +148,8 @@ def link_classes(stage: Stage, classes: DataFrame, rule: Rule, sets_of: Callable
             yield batch[keep][["a", "b"]]
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        sets = stage.put(sets_of(stage.put(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())))
         rows = pairs.join(sets.toDF("b", "h2"), "b").join(sets.toDF("a", "h1"), "a")
-        links = stage.put(rows.select("a", "b", "h1", "h2").mapInPandas(verify, "a long, b long"))
-        stage.drop(sets)
-        return links
+        return stage.put(rows.select("a", "b", "h1", "h2").mapInPandas(verify, "a long, b long"))
 
     def plausible(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(sigs.toDF("b", "s2"), "b").join(sigs.toDF("a", "s1"), "a").select("a", "b", "s1", "s2")
@@ -165,6 +162,7 @@ def link_classes(stage: Stage, classes: DataFrame, rule: Rule, sets_of: Callable
     stage.drop(crowded)
     reps = stage.put(live.select("rep").distinct())
     sigs = stage.put(classes.select("rep", "signature").join(small(reps, reps.count()), "rep", "left_semi").dropDuplicates(["rep"]))
+    sets = stage.put(sets_of(reps).select("rep", "hashes"))  # read once, for all rounds
     live = stage.put(live.join(live.groupBy("bucket").agg(F.count("*").alias("members")), "bucket"))
     weight = live.groupBy("rep").agg(F.sum("members").alias("weight"))
     leaders = live.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top"))
@@ -199,7 +197,7 @@ def link_classes(stage: Stage, classes: DataFrame, rule: Rule, sets_of: Callable
         found = confirm(more)
         links = stage.put(links.unionByName(found))
         labels = joined(stage, labels, found)
-    for x in (live, leaders, rest, more):
+    for x in (live, leaders, rest, more, sets, sigs):
         stage.drop(x)
     return links, labels
 
