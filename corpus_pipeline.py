@@ -44,7 +44,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Cut out every repeated passage but its first occurrence; texts left blank go."""
     stage = Stage(spark, "pipeline-passages")
     found = passages.repeated_passages(spark, docs)
-    places = stage.put(found.where("not kept and doc_id is not null").groupBy("doc_id", "place").agg(F.lit(False).alias("kept")))
+    places = stage.put(found.where("not kept and doc_id is not null").groupBy("doc_id", "start", "length").agg(F.lit(False).alias("kept")))
     n = places.select("doc_id").distinct().count()
     left = passages.without_passages(docs.select(*COLUMNS), places, rows=n)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

@@ -7,7 +7,16 @@ collapse first; colliding paragraphs are pruned on signatures and confirmed by e
 for how a large bucket is treated without meeting pairwise). Of each component the first occurrence, by doc_id and
 place, stays; the others are removed.
 
-Null and empty texts have no paragraphs. Rows with a null doc_id come last, so another occurrence is kept before theirs.
+Lines do not bound every passage, so a second pass reads what the first leaves, whole texts without the lines that go. Its
+words are cut at content-defined places: of every 26 neighbouring segments of 25 words the one with the least hash is an
+anchor, so any two equal runs of RUN words share an anchor inside them. Around the anchors that occur twice all runs of
+RUN words are compared, and equal ones grow together to whole common runs: exactly the words of the runs of RUN words that
+occur more than once are found, wherever they lie in a line and over however many lines. Code points of scripts without
+spaces are words of their own. The rows of a run hold its first line, start and length; of its occurrences, too, the
+first stays.
+
+Null and empty texts have no paragraphs. Rows with a null doc_id come last, so another occurrence is kept before theirs;
+the second pass leaves them out, as nothing can be cut from them.
 Repeated rows repeat their paragraphs: occurrences are told apart by doc_id, place and text, so equal rows stay or go
 together. An empty table gives an empty result.
 """
@@ -16,15 +25,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, shingle_sets, slices, small, spread
+from .common import Stage, _powers, mix64, shingle_sets, slices, small, spread
 from .near_dedup import SHINGLE, Rule, described, link_classes
 
 WORDS = 25
 RULE = Rule(percent=80, bands=16, rows=3)
+#: Words of the shortest run found inside or across lines.
+RUN = 50
+#: Scripts without spaces: Thai to Myanmar, Khmer, kana to Hangul's neighbours (Hangul has spaces), ideographs.
+_OWN = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
 def _paragraphs(text: str | None) -> list[tuple[int, int, str]]:
@@ -58,11 +73,144 @@ def _wanted_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(described(s, RULE)[0], s.tobytes()) for s in sets if len(s)], columns=["class", "hashes"])
 
 
+def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first and end code points and lines of the lower-cased (A-Z) words of a text."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where((c >= 65) & (c <= 90), c + np.uint32(32), c)
+    space = (c == 32) | ((c >= 9) & (c <= 13))
+    own = np.zeros(len(c), bool)
+    if len(c) and c.max() >= _OWN[0][0]:
+        for a, b in _OWN:
+            own |= (c >= a) & (c <= b)
+    edge = np.ones(len(c) + 1, bool)
+    edge[1:-1] = (space[1:] != space[:-1]) | own[1:] | own[:-1]
+    at = np.flatnonzero(edge)
+    if len(at) < 2:
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
+    word = ~space[at[:-1]]
+    a, b = at[:-1][word], at[1:][word]
+    up, down = _powers(len(c) + 1)
+    total = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum(mix64(c.astype(np.uint64) + np.uint64(1)) * up[: len(c)], out=total[1:])
+    return mix64((total[b] - total[a]) * down[a]), a, b, np.searchsorted(np.flatnonzero(c == 10), a)
+
+
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of so many words, by their first word."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix64((total[size:] - total[:n]) * down[:n])
+
+
+def _left(text: str, gone) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word, lines, hashes, first and end code points) of the stretches of a text between the lines that go."""
+    words, a, b, line = _words(text)
+    stay = np.ones(len(a), bool) if gone is None else ~np.isin(line, np.asarray(gone))
+    edge = np.flatnonzero(np.diff(stay.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    for i, j in zip(edge[0::2], edge[1::2]):
+        if j - i >= RUN:
+            yield int(i), line[i:j], words[i:j], a[i:j], b[i:j]
+
+
+def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors: the least segment of WORDS words (the first, if equal) of every RUN - WORDS + 1."""
+    h = _runs(words, WORDS)
+    span = RUN - WORDS + 1
+    near = np.lib.stride_tricks.sliding_window_view(h, span)
+    at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+    return at, h[at]
+
+
+def _text_key(text: str) -> int:
+    """Tells the texts of a repeated doc_id apart."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+
+
+def _frame(parts: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """One frame from (doc_id, text_key, array, ...) of many stretches."""
+    sizes = [len(p[2]) for p in parts]
+    ids = [np.repeat(np.array([p[k] for p in parts], np.int64), sizes) for k in (0, 1)]
+    rest = [np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(2, len(columns))]
+    return pd.DataFrame(dict(zip(columns, ids + rest)))
+
+
+def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        parts = []
+        for doc_id, text, gone in zip(batch["doc_id"], batch["text"], batch["gone"]):
+            for first, _, words, _, _ in _left(text, gone):
+                at, h = _anchors(words)
+                parts.append((doc_id, _text_key(text), at + first, h.view(np.int64)))
+        if parts:
+            yield _frame(parts, ["doc_id", "text_key", "at", "hash"])
+
+
+def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All runs of RUN words around the repeated anchors."""
+    for batch in batches:
+        parts = []
+        for doc_id, text, gone, key, places in zip(batch["doc_id"], batch["text"], batch["gone"], batch["text_key"], batch["places"]):
+            if _text_key(text) != key:
+                continue
+            repeated = np.asarray(places)
+            for first, line, words, a, b in _left(text, gone):
+                at = repeated[(repeated >= first) & (repeated < first + len(words))] - first
+                h = _runs(words, RUN)
+                near = np.zeros(len(h) + 1, np.int64)
+                np.add.at(near, np.clip(at - (RUN - WORDS), 0, len(h)), 1)
+                np.add.at(near, np.clip(at + 1, 0, len(h)), -1)
+                i = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+                if len(i):
+                    parts.append((doc_id, key, i + first, h[i].view(np.int64), line[i], a[i], b[i + RUN - 1]))
+        if parts:
+            yield _frame(parts, ["doc_id", "text_key", "at", "hash", "place", "start", "stop"])
+
+
+def _common_runs(stage: Stage, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Runs of at least RUN words that occur more than once in what is left of the texts without the found lines."""
+    gone = stage.put(found.where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("place").alias("gone")))
+    left = docs.where("doc_id is not null and text is not null").join(small(gone, 4 * gone.count()), "doc_id", "left")
+    anchors = stage.put(spread(stage.spark, left).mapInPandas(_anchor_rows, "doc_id long, text_key long, at long, hash long"))
+    spot = F.xxhash64("doc_id", "text_key", "at")  # repeated rows are one occurrence
+    repeated = lambda df: stage.put(df.groupBy("hash").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("hash"))
+    twice = repeated(anchors)
+    by_doc = anchors.join(small(twice, twice.count()), "hash", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("places"))
+    by_doc = stage.put(by_doc)
+    n = by_doc.select(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    rows = left.join(small(by_doc, n), "doc_id").mapInPandas(_window_rows, "doc_id long, text_key long, at long, hash long, place long, start long, stop long")
+    rows = stage.put(rows)
+    again = repeated(rows)
+    rows = rows.join(small(again, again.count()), "hash", "left_semi")
+    tops = stage.put(rows.groupBy("hash").agg(F.min(F.struct("doc_id", "text_key", "at")).alias("low")))
+    rows = rows.join(small(tops, 3 * tops.count()), "hash").dropDuplicates(["doc_id", "text_key", "at"])
+    # Neighbouring windows that continue the same first occurrence are one run; first occurrences are runs of their own.
+    kept = (F.col("doc_id") == F.col("low.doc_id")) & (F.col("text_key") == F.col("low.text_key")) & (F.col("at") == F.col("low.at"))
+    rows = rows.select("doc_id", "text_key", "at", "place", "start", "stop", "low", kept.alias("kept"), (F.col("at") - F.col("low.at")).alias("shift"))
+    by = Window.partitionBy("doc_id", "text_key", "low.doc_id", "low.text_key", "shift").orderBy("at")
+    rows = rows.withColumn("island", F.col("at") - F.row_number().over(by))
+    runs = rows.groupBy("doc_id", "text_key", F.col("low.doc_id").alias("component_id"), F.col("low.text_key").alias("top_key"), "shift", "island", "kept")
+    runs = runs.agg(F.min("place").alias("place"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("low.at").alias("top_at"))
+    firsts = rows.where("kept").select(F.col("doc_id").alias("component_id"), F.col("text_key").alias("top_key"), F.col("at").alias("top_at"), F.col("place").alias("component_place"))
+    runs = runs.join(firsts, ["component_id", "top_key", "top_at"])
+    return runs.select("doc_id", "place", "start", (F.col("stop") - F.col("start")).alias("length"), "component_id", "component_place", "kept")
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Paragraphs that occur more than once: doc_id, place (line), start, length, component_id (doc_id of the first
-    occurrence), component_place, kept."""
+    """Passages that occur more than once, whole lines and runs of words: doc_id, place (line, of a run its first), start,
+    length, component_id (doc_id of the first occurrence), component_place, kept."""
     stage = Stage(spark, "passages")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lines = stage.put(_repeated_lines(stage, docs))
+    return lines.unionByName(_common_runs(stage, docs, lines))
+
+
+def _repeated_lines(stage: Stage, docs: DataFrame) -> DataFrame:
+    """Paragraphs that occur more than once."""
+    spark = stage.spark
     made = spread(spark, docs).mapInPandas(_features, "doc_id long, place long, start long, length long, class binary, signature binary, bands array<long>")
     made = stage.put(made.withColumn("id", F.conv(F.substring(F.hex("class"), 2, 15), 16, 10).cast("long")))
     named = made.where("doc_id is not null")
@@ -86,17 +234,32 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "place", "start", "length", F.col("top.doc_id").alias("component_id"), F.col("top.place").alias("component_place"), kept.alias("kept"))
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
+def _cut(text: Column, gone: Column) -> Column:
+    """text without the spans (start, length) of code points; whole lines go with their line feed."""
+    sub = lambda a, n: F.substr(text, (a + 1).cast("int"), n.cast("int"))
+    size, feed = F.length(text).cast("long"), F.lit("\n")
+    start = F.struct(F.lit("").alias("left"), F.lit(0).cast("long").alias("at"), F.lit(False).alias("last"))
+
+    def step(state: Column, span: Column) -> Column:
+        a, b = F.greatest(span["start"], state["at"]), F.greatest(span["start"] + span["length"], state["at"])
+        whole = (span["start"] == 0) | (sub(span["start"] - 1, F.lit(1)) == feed)
+        b = F.when(whole & (sub(b, F.lit(1)) == feed), b + 1).otherwise(b)
+        return F.struct(F.concat(state["left"], sub(state["at"], a - state["at"])).alias("left"), b.alias("at"), (state["last"] | (whole & (b == size))).alias("last"))
+
+    def end(state: Column) -> Column:
+        left = F.concat(state["left"], sub(state["at"], size))
+        return F.when(state["last"], F.regexp_replace(left, "\n\\z", "")).otherwise(left)
+
+    return F.aggregate(F.array_sort(gone), start, step, end)
 
 
 def without_passages(docs: DataFrame, found: DataFrame, rows: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """rows: number of documents that lose a passage, if counted. docs with the paragraphs that are not kept cut out; texts left blank go. Other columns stay as they are."""
-    gone = found.where("not kept").where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("place").alias("_gone"))
+    """rows: number of documents that lose a passage, if counted. docs with the passages that are not kept cut out; texts left blank go. Other columns stay as they are."""
+    span = F.struct(F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"))
+    gone = found.where("not kept").where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set(span).alias("_gone"))
     if rows is not None:
         gone = small(gone, 4 * rows)
     rows = docs.join(gone, F.col(key) == F.col("_key"), "left")
-    left = F.array_join(F.filter(_lines(F.col(text)), lambda line, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")
-    rows = rows.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left))
+    rows = rows.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_cut(F.col(text), F.col("_gone"))))
     blank = F.col("_gone").isNotNull() & (F.trim(F.translate(F.col(text), "\n\t\r", "   ")) == "")
     return rows.where(~blank).drop("_key", "_gone")

@@ -172,6 +172,24 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(spark, docs.limit(0)).count() == 0
 
 
+def test_repeated_passages_inside_and_across_lines(spark):
+    """A passage in longer lines, wrapped over short lines, or in a script without spaces is found whole and cut once."""
+    rng = random.Random(6)
+    inside, wrapped, cjk = prose(rng, 60), prose(rng, 70), "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(90))
+    short = inside.split(" ")[:40]
+    wrap = lambda w: "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+    a = [f"{prose(rng, 90)} FIRST {inside} ONE {prose(rng, 90)}", f"intro one\n{wrap(wrapped.split(' '))}\nleaves", f"独{cjk}自", f"{prose(rng, 60)} X {' '.join(short)} Y"]
+    b = [f"{prose(rng, 30)} SECOND {inside} TWO {prose(rng, 150)}", f"{prose(rng, 20)} OTHER {wrapped} END", f"{prose(rng, 9)}\n别{cjk}的", f"{prose(rng, 60)} Z {' '.join(short)} W"]
+    texts = a + b
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = passages.repeated_passages(spark, docs)
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.start + r.length].replace("\n", " "), r.component_id, r.kept) for r in found.collect()}
+    want = [(0, inside), (1, wrapped), (2, cjk)]
+    assert got == {(i, t, i, True) for i, t in want} | {(i + 4, t, i, False) for i, t in want}
+    left = {r.doc_id: r.text for r in passages.without_passages(docs, found).collect()}
+    assert left == {i: t.replace(dict(want)[i - 4], "") if i in (4, 5, 6) else t for i, t in enumerate(texts)}
+
+
 HARD = """<html><head><title>T</title><style>p{}</style></head><body class=x><nav><ul><li><a href=/>Home</a></li></ul></nav><header><p>Site name</p></header>
 <div class="cookie-notice">We use cookies. Accept them now.</div><article><h1>A &amp; B</h1><p>First <b>par</b>agraph
  here, with text.<p>Second&nbsp;one &lt;x&gt;, also long enough.<script>var a="</p>";</script><ul><li>one thing.<li>two things.</ul><div class="ad">Buy now!</div></article>
