@@ -46,7 +46,7 @@ def _targets(spark, sf_dir) -> DataFrame:
 
 
 def _blocks(spark, sf_dir) -> DataFrame:
-    b = vectors.chunks(_targets(spark, sf_dir).where("doc_id % 20 = 0"), blank_lined(spark, sf_dir), BUDGET)
+    b = vectors.chunks(_targets(spark, sf_dir), blank_lined(spark, sf_dir), BUDGET)
     return b.withColumn("artifact", vectors.artifact_id(F.col("block_text"), "passage: ", BUDGET))
 
 
@@ -73,7 +73,7 @@ def vec_cache_split(spark, sf_dir):
 
 @query(BLOCKS + ", s AS (SELECT doc_id, ord, count(*) AS blocks FROM arts GROUP BY ALL) SELECT t.kind, CASE WHEN blocks IS NULL THEN 'no_content' WHEN blocks = 1 THEN 'direct' ELSE 'aggregated' END AS construction, count(*) AS representations, CAST(sum(coalesce(blocks, 0)) AS BIGINT) AS blocks FROM targets t LEFT JOIN s USING (doc_id, ord) WHERE doc_id % 20 = 0 GROUP BY ALL")
 def vec_construction(spark, sf_dir):
-    made = vectors.construction(_blocks(spark, sf_dir), _targets(spark, sf_dir).where("doc_id % 20 = 0"))
+    made = vectors.construction(_blocks(spark, sf_dir), _targets(spark, sf_dir))
     return made.groupBy("kind", "construction").agg(F.count("*").alias("representations"), F.sum("blocks").cast("long").alias("blocks"))
 
 
