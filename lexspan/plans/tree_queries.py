@@ -34,8 +34,8 @@ ft AS (SELECT doc_id, period, ord, token, i, CAST(CASE WHEN i = 0 THEN ord ELSE
 
 
 def formula_trees(spark, sf_dir) -> DataFrame:
-    """Heap trees over the tokens of every fourth document's periods: head(i) = (i - 1) div 2."""
-    rows = tagged(spark, sf_dir).where("doc_id % 4 = 0")
+    """Heap trees over the tokens of every document's periods: head(i) = (i - 1) div 2."""
+    rows = tagged(spark, sf_dir)
     first = rows.groupBy("doc_id", "period").agg(F.min("ord").alias("low"))
     rows = rows.join(first, ["doc_id", "period"]).withColumn("i", F.col("ord") - F.col("low"))
     made = annotate.formula(F.length("token"), F.col("i"))

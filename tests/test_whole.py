@@ -17,6 +17,12 @@ WHOLE = {
     "vec_cache_split": [("doc_id % 20 = 0", "true")],
     "vec_construction": [("doc_id % 20 = 0", "true")],
     "vec_limits": [("doc_id % 20 = 0", "true")],
+    "tree_owner": [("doc_id % 4 = 0", "true")],
+    "tree_own_tokens": [("doc_id % 4 = 0", "true")],
+    "tree_descendants": [("doc_id % 4 = 0", "true")],
+    "tree_children": [("doc_id % 4 = 0", "true")],
+    "tree_validate": [("doc_id % 4 = 0", "true")],
+    "occ_fragments": [("doc_id % 4 = 0", "true")],
 }
 
 
