@@ -271,7 +271,7 @@ def ctx_recompute_check(spark, sf_dir):
 
 
 def stories(spark, sf_dir):
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.left("text", F.lit(600)).alias("text"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
 _W = STORY_WORD.replace("'", "''")

@@ -23,6 +23,8 @@ WHOLE = {
     "tree_children": [("doc_id % 4 = 0", "true")],
     "tree_validate": [("doc_id % 4 = 0", "true")],
     "occ_fragments": [("doc_id % 4 = 0", "true")],
+    "txt_periods": [("left(text, 600)", "text")],
+    "txt_structure": [("left(text, 600)", "text")],
 }
 
 
