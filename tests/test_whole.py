@@ -25,6 +25,12 @@ WHOLE = {
     "occ_fragments": [("doc_id % 4 = 0", "true")],
     "txt_periods": [("left(text, 600)", "text")],
     "txt_structure": [("left(text, 600)", "text")],
+    "bm25_index": [("df >= 3", "true")],
+    "bm25_topk": [("item_id < 20", "true")],
+    "block_ranks": [("item_id < 20", "true"), ("vec_id < 20", "vec_id % 20 = 0")],
+    "rrf_fusion": [("item_id < 20", "true"), ("vec_id < 20", "vec_id % 20 = 0")],
+    "hybrid_final": [("item_id < 20", "true"), ("vec_id < 20", "vec_id % 20 = 0")],
+    "dense_topk": [("vec_id < 20", "vec_id % 20 = 0")],
 }
 
 
