@@ -212,7 +212,7 @@ g AS (SELECT doc_id, substring(text, s + 1, 100) AS t FROM f) SELECT doc_id AS b
 UNION ALL SELECT doc_id, sha256(coalesce(substring(text, 1, 100), '') || coalesce(substring(text, 161), '')), CASE WHEN length(text) > 160 THEN 1 ELSE 0 END FROM d WHERE length(text) > 0 AND doc_id % 30 = 0""")
 def block_rebuild(spark, sf_dir):
     """Blocks from overlapping fragments; every third lacks its second fragment, so a gap must be named."""
-    d = documents(spark, sf_dir).where((F.col("doc_id") % 10 == 0) & (F.length("text") <= 20000) & (F.length("text") > 0))
+    d = documents(spark, sf_dir).where(F.length("text") > 0)
     f = d.select(F.col("doc_id").alias("block"), "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(80))).alias("start_pos"))
     f = f.where(~((F.col("block") % 30 == 0) & (F.col("start_pos") == 80)))
     f = f.select("block", (F.col("start_pos") / 80).cast("int").alias("frag_no"), "start_pos", F.least(F.col("start_pos") + 100, F.length("text")).alias("end_pos"), F.substr("text", F.col("start_pos") + 1, F.lit(100)).alias("text"))
@@ -225,15 +225,16 @@ o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY id ORDER BY k) - length(pi
 
 @query(_PASS + " SELECT id, CAST(s AS BIGINT) AS start_pos, CAST(s + length(body) AS BIGINT) AS end_pos, body AS passage FROM b WHERE body <> ''")
 def passages(spark, sf_dir):
-    return retrieval.passages(documents(spark, sf_dir).where("doc_id % 5 = 0").withColumnRenamed("doc_id", "id"))
+    return retrieval.passages(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"))
 
 
 @query("SELECT doc_id, item_id, contains(d.text, b.text) AS literal FROM (SELECT doc_id, text FROM documents WHERE doc_id % 10 = 1) d JOIN benchmark b ON b.item_id = d.doc_id % 40")
 def citation_check(spark, sf_dir):
     """A quote offered with the place where it is first found, or with none."""
-    d = documents(spark, sf_dir).where("doc_id % 10 = 1")
+    d = documents(spark, sf_dir)
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    rows = d.join(b, F.col("doc_id") % 40 == F.col("item_id")).withColumn("at", F.instr("text", F.col("quote")) - 1)
+    top = b.agg((F.max("item_id") + 1).alias("items"))  # every item is offered to some documents
+    rows = d.crossJoin(F.broadcast(top)).join(b, F.col("doc_id") % F.col("items") == F.col("item_id")).withColumn("at", F.instr("text", F.col("quote")) - 1)
     return rows.select("doc_id", "item_id", retrieval.literal(F.col("quote"), F.col("text"), F.col("at"), F.col("at") + F.length("quote")).alias("literal"))
 
 
@@ -295,7 +296,7 @@ def eval_summary(spark, sf_dir):
 
 @query("SELECT doc_id AS case_id, CAST(5 AS BIGINT) AS start_pos, 'literal' AS \"check\" FROM documents WHERE doc_id % 10 = 4 AND length(text) > 20 UNION ALL SELECT doc_id, 8, 'overlap' FROM documents WHERE doc_id % 10 = 4 AND length(text) > 20")
 def eval_reference_checks(spark, sf_dir):
-    d = documents(spark, sf_dir).where((F.col("doc_id") % 10 == 4) & (F.length("text") > 20))
+    d = documents(spark, sf_dir).where(F.length("text") > 20)
     at = lambda a, b, change: d.select(F.col("doc_id").alias("case_id"), "text", F.concat(F.substring("text", a + 1, b - a), F.lit(change)).alias("target"), F.lit(a).alias("start_pos"), F.lit(b).alias("end_pos"))
     return bigints(evaluate.reference_violations(at(0, 4, "").unionByName(at(5, 10, "#")).unionByName(at(8, 12, ""))))
 

@@ -31,6 +31,10 @@ WHOLE = {
     "rrf_fusion": [("item_id < 20", "true"), ("vec_id < 20", "vec_id % 20 = 0")],
     "hybrid_final": [("item_id < 20", "true"), ("vec_id < 20", "vec_id % 20 = 0")],
     "dense_topk": [("vec_id < 20", "vec_id % 20 = 0")],
+    "block_rebuild": [("doc_id % 10 = 0 AND length(text) <= 20000", "true")],
+    "passages": [("doc_id % 5 = 0", "true")],
+    "citation_check": [("doc_id % 10 = 1", "text IS NOT NULL"), ("d.doc_id % 40", "d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)")],
+    "eval_reference_checks": [("doc_id % 10 = 4", "true")],
 }
 
 
