@@ -35,6 +35,7 @@ WHOLE = {
     "passages": [("doc_id % 5 = 0", "true")],
     "citation_check": [("doc_id % 10 = 1", "text IS NOT NULL"), ("d.doc_id % 40", "d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)")],
     "eval_reference_checks": [("doc_id % 10 = 4", "true")],
+    "prep_map_intervals": [(" WHERE length(work) <= 20000", "")],
 }
 
 
@@ -52,3 +53,12 @@ def test_whole_table(spark, name):
     got = canonical([tuple(r) for r in df.collect()], df.columns)
     print("ROWS", name, len(con.sql(registry.ORACLES[name]).fetchall()), len(got))
     assert got == canonical(want.fetchall(), want.columns)
+
+
+def test_map_intervals_of_a_long_text(spark, tmp_path):
+    """A text of more than 20,000 characters is mapped: an interval's ends move by the line feeds before them."""
+    text = "some words\n" * 2500
+    spark.createDataFrame([(1, text), (2, "a\nb")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in registry.QUERIES["prep_map_intervals"](spark, str(tmp_path)).select("doc_id", "work_start", "work_end", "original_start", "original_end").collect()}
+    ends = [(i, t, s, min(s + 41, len(t))) for i, t in ((1, text), (2, "a\nb")) for s in range(0, len(t), 97)]
+    assert got == {(i, s, e, s + t[:s].count("\n"), e + t[:e].count("\n")) for i, t, s, e in ends}
