@@ -38,10 +38,20 @@ class Stage:
         out.stage_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no lazy result reads any more."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(df.stage_path)
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        self._delete(df.stage_path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Write the operator's result and delete all its other tables."""
+        out = self.put(df)
+        for k in range(1, self.n):
+            self._delete(f"{self.root}/{k}")
+        return out
 
 
 def spread(spark: SparkSession, df: DataFrame) -> DataFrame:

@@ -5,17 +5,21 @@ whole sequence as one if it has fewer words. Two texts are linked if 100 * |inte
 
 1. Each text becomes a signature of MINHASHES minima and BANDS band keys (Arrow batches, numpy). At the threshold a
    linked pair shares no band with probability (1 - 0.85^5)^25, under 5e-7.
-2. Texts with equal sets collapse to one class (a grouped minimum), so that copies never meet pairwise.
+2. Texts with equal sets are one class, named by a 128-bit digest, so that copies never meet pairwise. Only classes that
+   share a bucket go on, as numbered nodes; their texts are read a second time for the full sets.
 3. Within a bucket every class is compared with one leader only (the member with the most collisions): as many pairs
    as rows. Signatures are compared in batches; a pair is dropped once the posterior probability that it reaches the
-   threshold falls under MISS. Survivors are confirmed on the full sets.
-4. Components of the confirmed links are found. Where a bucket's members still lie in several, those outside its
-   largest component are compared with another member of it, again one pair a row, as long as rounds find links (a group
-   without a centre grows together in a few). What is left outside is compared with every member of another component,
-   in blocks of bounded size. Pairs in one component need no link, so no component is lost, however large a bucket is.
-
-Null, empty and blank texts have empty sets and are linked with nothing. Repeated rows are kept as rows; rows with a
-null doc_id take part in classes through the others' ids and are never `kept`. An empty table gives an empty result.
+   threshold falls under MISS. Survivors are confirmed on the full sets. A leader of many pairs is dealt by salts.
+4. Where a bucket's members still lie in several components, shingles that no other such member holds are counted. They
+   bound what a member can reach with anyone, so most edited copies are proved unlinked in linear time. Those that
+   remain outside the largest component are compared with another member of it, again one pair a row, as long as rounds
+   find links. What is left then meets in blocks of bounded size that hold the full sets, and each block gives back only
+   confirmed links that join components, never more than its members. Pairs in one component need no link, so no
+   component is lost, however large a bucket is.
+
+Null, empty and blank texts have empty sets and are linked with nothing. Repeated rows are kept as rows. Rows of one
+doc_id with different texts are different texts, each with its own component. Rows with a null doc_id take part in
+classes through the others' ids and are never `kept`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, components, joined, shingle_sets, slices, small, spread
+from .common import Stage, components, joined, mix64, shingle_sets, slices, small, spread
 
 MINHASHES, BATCH, SHINGLE, MISS = 128, 16, 5, 1e-7
 #: Rounds of further leaders at most, before what is left is compared in blocks.
-ROUNDS = 8
-#: Members of a bucket that one row of the block comparison holds at most, about.
+ROUNDS = 4
+#: Members of a bucket that one block of the last comparison holds, about.
 BLOCK = 256
+#: Pairs of one leader that are dealt together, about.
+HOT = 256
 
 
 @dataclass(frozen=True)
@@ -51,6 +57,17 @@ class Rule:
         raw, size = low[: self.bands * self.rows].tobytes(), 4 * self.rows
         return [xxhash.xxh3_64_intdigest(raw[i * size : (i + 1) * size], seed=i) - 2**63 for i in range(self.bands)]
 
+    def bands_of(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Band keys (a row for each set) of sets whose hashes lie one behind another; each set begins at `at`."""
+        x = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
+        out = np.empty((len(at), self.bands), np.uint64)
+        for band in range(self.bands):
+            key = np.full(len(at), band + 1, np.uint64)
+            for i in range(band * self.rows, (band + 1) * self.rows):
+                key = mix64((key << np.uint64(32)) ^ key ^ np.minimum.reduceat(_permuted(x, i), at))
+            out[:, band] = key
+        return out.view(np.int64)
+
     def least_matches(self, miss: float = MISS) -> list[int]:
         """By number of batches: the matches below which a pair reaches the threshold with probability under `miss`.
 
@@ -88,15 +105,19 @@ _MUL = _RNG.integers(0, 2**31, MINHASHES, dtype=np.uint32) * np.uint32(2) + np.u
 _ADD = _RNG.integers(0, 2**32, MINHASHES, dtype=np.uint32)
 
 
+def _permuted(x: np.ndarray, i) -> np.ndarray:
+    y = x * _MUL[i] + _ADD[i]
+    y ^= y >> np.uint32(15)
+    y *= np.uint32(0x2C1B3C6D)
+    return y
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """Minima of MINHASHES permutations of the 32-bit halves of a set's hashes."""
     x = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
     low = np.full(MINHASHES, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 512):
-        y = x[i : i + 512, None] * _MUL + _ADD
-        y ^= y >> np.uint32(15)
-        y *= np.uint32(0x2C1B3C6D)
-        np.minimum(low, y.min(axis=0), out=low)
+        np.minimum(low, _permuted(x[i : i + 512, None], slice(None)).min(axis=0), out=low)
     return low
 
 
@@ -118,88 +139,160 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, MINHASHES)
 
 
+def _compare(rule: Rule, rows: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
+    """Confirmed links (a, b) between members (id, component, signature, hashes, block) of blocks i and j that lie in
+    different components; only those that join components."""
+    sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+    sigs = None if rows["signature"].isna().any() else _matrix(rows["signature"])
+    ids, component, block = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy()
+    root = {int(c): int(c) for c in component}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    joins = []
+    for x in range(len(rows)):
+        apart = component[x + 1 :] != component[x]
+        other = x + 1 + np.flatnonzero(apart & (block[x + 1 :] != block[x]) if i != j else apart)
+        if sigs is not None and len(other):
+            other = other[rule.plausible(np.broadcast_to(sigs[x], (len(other), MINHASHES)), sigs[other])]
+        for y in other:
+            p, q = find(int(component[x])), find(int(component[y]))
+            if p != q and rule.linked(sets[x], sets[y]):
+                root[max(p, q)] = min(p, q)
+                joins.append((ids[x], ids[y]))
+    return pd.DataFrame(joins, columns=["a", "b"]).astype("int64")
+
+
 def link_classes(stage: Stage, classes: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) and components (node, component) of classes (rep, signature, bands); repeated rows of a
-    class do no harm. Only buckets with two classes go on, and only their members' signatures.
+    """Nodes (id, class), one for each class that shares a bucket, and components (node, component) of linked ids.
 
-    sets_of gives (rep, hashes), sorted distinct 64-bit hashes as bytes, for a table of wanted reps.
+    classes: class (digest), bands and, if the rule prunes, signature; repeated rows of a class do no harm. Only
+    buckets with two classes go on. sets_of gives (class, hashes), sorted distinct 64-bit hashes as bytes, for nodes.
     """
+    pruning = "signature" in classes.columns
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 yield batch.iloc[rule.plausible(_matrix(batch["s1"]), _matrix(batch["s2"]))][["a", "b"]]
 
-    def compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Compare the members of two blocks that lie in different components."""
-        for batch in batches:
-            for few, few_c, few_s, all_, all_c, all_s in batch.itertuples(index=False):
-                few, few_c, all_, all_c = (np.asarray(x) for x in (few, few_c, all_, all_c))
-                few_s, all_s = _matrix(few_s), _matrix(all_s)
-                for i in range(len(few)):
-                    other = np.flatnonzero(all_c != few_c[i])
-                    hit = other[rule.plausible(np.broadcast_to(few_s[i], (len(other), MINHASHES)), all_s[other])]
-                    if len(hit):
-                        yield pd.DataFrame({"a": np.minimum(few[i], all_[hit]), "b": np.maximum(few[i], all_[hit])})
-
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [rule.linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["h1"], batch["h2"])]
             yield batch[keep][["a", "b"]]
 
+    def beside(pairs: DataFrame, what: str) -> DataFrame:
+        """Pairs (a, b, n, salt) with a's and b's column; a is the leader, and n salts deal its pairs."""
+        mine = nodes_with.select(F.col("id").alias("b"), F.col(what).alias("y"))
+        salts = pairs.groupBy("a").agg(F.max("n").alias("n"))
+        theirs = nodes_with.select(F.col("id").alias("a"), F.col(what).alias("x")).join(salts, "a")
+        theirs = theirs.select("a", "x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
+        return pairs.join(mine, "b").join(theirs, ["a", "salt"])
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(sets.toDF("b", "h2"), "b").join(sets.toDF("a", "h1"), "a")
-        return stage.put(rows.select("a", "b", "h1", "h2").mapInPandas(verify, "a long, b long"))
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(sigs.toDF("b", "s2"), "b").join(sigs.toDF("a", "s1"), "a").select("a", "b", "s1", "s2")
-        return stage.put(rows.mapInPandas(prune, "a long, b long"))
-
-    rows = classes.select("rep", F.explode("bands").alias("bucket"))
-    crowded = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("bucket")
-    crowded = stage.put(crowded)
-    live = stage.put(rows.join(small(crowded, crowded.count()), "bucket").distinct())
-    stage.drop(crowded)
-    reps = stage.put(live.select("rep").distinct())
-    sigs = stage.put(classes.select("rep", "signature").join(small(reps, reps.count()), "rep", "left_semi").dropDuplicates(["rep"]))
-    sets = stage.put(sets_of(reps).select("rep", "hashes"))  # read once, for all rounds
-    live = stage.put(live.join(live.groupBy("bucket").agg(F.count("*").alias("members")), "bucket"))
-    weight = live.groupBy("rep").agg(F.sum("members").alias("weight"))
-    leaders = live.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top"))
-    leaders = stage.put(leaders.select("bucket", (-F.col("top.r")).alias("leader")))
-    stars = live.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    links = confirm(plausible(stars))
-    labels = components(stage, links)
-
-    # Buckets that the stars leave in several components.
+        """The linked ones of pairs (a, b), of which a leads many."""
+        pairs = stage.put(pairs)
+        many = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).cast("int").alias("n"))
+        dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("n")))
+        made = [pairs]
+        if pruning:
+            made.append(stage.put(beside(dealt, "signature").select("a", "b", F.col("x").alias("s1"), F.col("y").alias("s2")).mapInPandas(prune, "a long, b long")))
+            left = made[-1]
+            many = left.groupBy("a").agg(F.ceil(F.count("*") / HOT).cast("int").alias("n"))
+            dealt = left.join(many, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("n")))
+        out = stage.put(beside(dealt, "hashes").select("a", "b", F.col("x").alias("h1"), F.col("y").alias("h2")).mapInPandas(verify, "a long, b long"))
+        for x in made:
+            stage.drop(x)
+        return out
+
+    # Buckets with two classes, and their members as numbered nodes.
+    rows = classes.select("class", F.explode("bands").alias("bucket"))
+    name = F.xxhash64("class")
+    crowded = stage.put(rows.groupBy("bucket").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low <> high").select("bucket"))
+    met = stage.put(rows.join(small(crowded, crowded.count()), "bucket").distinct())
+    nodes = stage.put(met.select("class").distinct().select("class", F.monotonically_increasing_id().alias("id")))
+    n_nodes = nodes.count()
+    live = stage.put(met.join(small(nodes, n_nodes), "class").select("bucket", "id"))
+    for x in (crowded, met):
+        stage.drop(x)
+    with_sets = sets_of(nodes).join(small(nodes, n_nodes), "class").dropDuplicates(["id"])
+    nodes_with = with_sets.select("id", "hashes")
+    if pruning:
+        signed = classes.select("class", "signature").join(small(nodes, n_nodes), "class").dropDuplicates(["id"]).select("id", "signature")
+        nodes_with = nodes_with.join(signed, "id")
+    nodes_with = stage.put(nodes_with)  # read once, for all rounds
+
+    # Stars: every member against the one of its bucket that meets the most others.
+    counts = stage.put(live.groupBy("bucket").agg(F.count("*").alias("members")))
+    weight = stage.put(live.join(counts, "bucket").groupBy("id").agg(F.sum("members").alias("weight")))
+    top = F.max(F.struct("weight", (-F.col("id")).alias("r"))).alias("top")
+    leaders = stage.put(live.join(weight, "id").groupBy("bucket").agg(top).select("bucket", (-F.col("top.r")).alias("leader")))
+    stars = live.join(leaders, "bucket").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    labels = components(stage, confirm(stars))
+    for x in (counts, weight, leaders):
+        stage.drop(x)
+
+    # Buckets that the stars leave in several components, and the members that can have another link.
+    component = F.coalesce("component", "id").alias("component")
+    place = lambda live, *more: live.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", component, *more)
+    several = lambda placed: placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    placed = stage.put(place(live))
+    live_open = stage.put(placed.join(stage.put(several(placed)), "bucket").select("bucket", "id"))
+    stage.drop(placed)
+    stage.drop(live)
+    if not live_open.limit(1).count():
+        return nodes, labels
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.int64) for x in batch["hashes"]]
+            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), [len(x) for x in sets]), "h": np.concatenate(sets) if sets else np.zeros(0, np.int64)})
+
+    in_open = nodes_with.join(live_open.select("id").distinct(), "id", "left_semi")
+    alone = in_open.select("id", "hashes").mapInPandas(shingles, "id long, h long").groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("id"))
+    alone = alone.where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    measure = stage.put(in_open.select("id", F.expr("octet_length(hashes) div 8").alias("size")).join(alone, "id", "left").select("id", "size", F.coalesce("alone", F.lit(0)).alias("alone")))
+    sized = live_open.join(measure, "id")
+    least = stage.put(sized.groupBy("bucket").agg(F.min("size").alias("least")))
+    shared = F.col("size") - F.col("alone")
+    reach = 100 * shared >= rule.percent * (F.col("alone") + F.greatest("least", shared))
+    live = stage.put(sized.join(least, "bucket").where(reach).select("bucket", "id"))
+    for x in (live_open, measure, least):
+        stage.drop(x)
+
     for round_ in range(ROUNDS + 1):
-        placed = live.where("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "members", "rep", F.coalesce("component", "rep").alias("component"))
-        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        tops = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = stage.put(placed.join(tops.select("bucket", F.col("top.component").alias("largest")), "bucket"))
-        if round_ == ROUNDS or not open_.limit(1).count():
+        placed = stage.put(place(live))
+        sizes = stage.put(placed.groupBy("bucket", "component").agg(F.count("*").alias("n")))
+        tops = stage.put(sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1").select("bucket", F.col("top.component").alias("largest"), "members"))
+        stage.drop(sizes)
+        open_ = stage.put(placed.join(tops, "bucket"))
+        for x in (placed, tops):
+            stage.drop(x)
+        if not open_.limit(1).count():
+            return nodes, labels
+        if round_ == ROUNDS:
             break
-        inside = open_.where("component = largest").groupBy("bucket").agg(F.max_by("rep", F.xxhash64("bucket", "rep", F.lit(round_))).alias("leader"))
-        tries = open_.where("component <> largest").join(inside, "bucket").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        found = confirm(plausible(tries))
-        stage.drop(open_)
+        inside = stage.put(open_.where("component = largest").groupBy("bucket").agg(F.max(F.struct(F.xxhash64("bucket", "id", F.lit(round_)), "id")).alias("top")).select("bucket", F.col("top.id").alias("leader")))
+        found = confirm(open_.where("component <> largest").join(inside, "bucket").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+        stage.drop(inside)
         if not found.limit(1).count():
             break
-        links = stage.put(links.unionByName(found))
+        stage.drop(open_)
         labels = joined(stage, labels, found)
-    rest = placed.join(tops.select("bucket", F.col("top.component").alias("largest")), "bucket").join(leaders, "bucket").where("rep <> leader").join(sigs, "rep")
-    rest = stage.put(rest.select("bucket", "rep", "component", "signature", (F.col("component") != F.col("largest")).alias("outside"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK)).alias("block")))
-    pack = lambda df: df.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "component", "signature")).alias("rows"))
-    flat = lambda df, x: pack(df).select("bucket", F.col("rows.rep").alias(f"{x}_r"), F.col("rows.component").alias(f"{x}_c"), F.col("rows.signature").alias(f"{x}_s"))
-    more = flat(rest.where("outside"), "f").join(flat(rest, "e"), "bucket").drop("bucket")
-    more = stage.put(more.mapInPandas(compare_blocks, "a long, b long").distinct())
-    if more.limit(1).count():
-        found = confirm(more)
-        links = stage.put(links.unionByName(found))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rest = open_.select("bucket", "id", "component", F.pmod(F.hash("id"), blocks).alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rest = rest.select("bucket", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rest = rest.join(nodes_with if pruning else nodes_with.withColumn("signature", F.lit(None).cast("binary")), "id")
+    found = stage.put(rest.groupBy("bucket", "i", "j").applyInPandas(lambda key, rows: _compare(rule, rows, key[1], key[2]), "a long, b long"))
+    if found.limit(1).count():
         labels = joined(stage, labels, found)
-    for x in (live, leaders, rest, more, sets, sigs):
+    for x in (live, open_, found, nodes_with):
         stage.drop(x)
-    return links, labels
+    return nodes, labels
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +307,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = list(batch["text"])
         for a, b in slices(texts):
-            yield pd.DataFrame({"doc_id": batch["doc_id"][a:b].to_numpy(), "hashes": [s.tobytes() for s in shingle_sets(texts[a:b], SHINGLE)]})
+            sets = [s for s in shingle_sets(texts[a:b], SHINGLE) if len(s)]
+            yield pd.DataFrame({"class": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "hashes": [s.tobytes() for s in sets]})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -222,18 +316,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stage = Stage(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = stage.put(spread(spark, docs).mapInPandas(_features, "doc_id long, n_shingles long, class binary, signature binary, bands array<long>"))
-    grouped = made.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    classes = stage.put(grouped.where("rep is not null"))
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """Only the wanted texts are read again; of a repeated doc_id the row that stands for the class."""
-        ids = small(wanted.select(F.col("rep").alias("doc_id")), wanted.count())
-        found = docs.join(ids, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, hashes binary")
-        found = found.join(classes.select(F.col("rep").alias("doc_id"), "class", "rep"), "doc_id")
-        return found.select("rep", "hashes").dropDuplicates(["rep"])
-
-    _, labels = link_classes(stage, classes.select("rep", "signature", "bands"), RULE, sets_of)
-    by_class = classes.select("class", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
+    named = made.where("n_shingles > 0 and doc_id is not null")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Only one text of each class is read again."""
+        first = named.join(small(nodes, nodes.count()), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+        ids = stage.put(first.select("doc_id").distinct())
+        return docs.join(small(ids, ids.count()), "doc_id", "left_semi").mapInPandas(_sets, "class binary, hashes binary")
+
+    nodes, labels = link_classes(stage, named.select("class", "signature", "bands"), RULE, sets_of)
+    rep = stage.put(named.groupBy("class").agg(F.min("doc_id").alias("rep")))
+    linked = stage.put(nodes.join(labels.withColumnRenamed("node", "id"), "id").select("class", "component").join(rep, "class"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    n = linked.count()
+    moved = linked.join(small(least, n), "component").select("class", "least")
+    by_class = rep.join(small(moved, 2 * n), "class", "left").select("class", F.coalesce("least", "rep").alias("component"))
     out = made.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return stage.result(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")))

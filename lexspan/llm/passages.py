@@ -1,19 +1,19 @@
 """Operator 4: repeated passages by paragraph MinHash banding.
 
-A paragraph is a line of a text that holds at least WORDS words; shorter lines (headings, signatures, licence lines) are
-left alone. Paragraphs are lower-cased (A-Z) and compared as sets of five-word shingles. Bands of three minima are tuned
-for recall: at the threshold of 0.8 a linked pair shares no band with probability (1 - 0.8^3)^16, about 1e-5. Equal sets
-collapse first; colliding paragraphs are pruned on signatures and confirmed by exact Jaccard similarity (see near_dedup
-for how a large bucket is treated without meeting pairwise). Of each component the first occurrence, by doc_id and
-place, stays; the others are removed.
+A paragraph is a line of a text that holds at least WORDS words between ASCII white space; shorter lines (headings,
+signatures, licence lines) are left alone. Paragraphs are lower-cased (A-Z) and compared as sets of five-word shingles.
+Bands of two minima are tuned for recall: at the threshold of 0.8 a linked pair shares no band with probability
+(1 - 0.8^2)^10, under 4e-5. Equal paragraphs are one class, named by a 128-bit digest; colliding classes are confirmed by
+exact Jaccard similarity (see near_dedup for how a large bucket is treated without meeting pairwise). Of each component
+the first occurrence, by doc_id and place, stays; the others are removed.
 
 Lines do not bound every passage, so a second pass reads what the first leaves, whole texts without the lines that go. Its
 words are cut at content-defined places: of every 26 neighbouring segments of 25 words the one with the least hash is an
 anchor, so any two equal runs of RUN words share an anchor inside them. Around the anchors that occur twice all runs of
-RUN words are compared, and equal ones grow together to whole common runs: exactly the words of the runs of RUN words that
-occur more than once are found, wherever they lie in a line and over however many lines. Code points of scripts without
-spaces are words of their own. The rows of a run hold its first line, start and length; of its occurrences, too, the
-first stays.
+RUN words are compared, and neighbours of them grow together to whole common runs: exactly the words of the runs of RUN
+words that occur more than once are found, wherever they lie in a line and over however many lines. Code points of
+scripts without spaces are words of their own. The rows of a run hold its first line, start and length and where its
+first RUN words occur first; of the occurrences of any RUN words, too, the first stays.
 
 Null and empty texts have no paragraphs. Rows with a null doc_id come last, so another occurrence is kept before theirs;
 the second pass leaves them out, as nothing can be cut from them.
@@ -31,46 +31,66 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, _powers, mix64, shingle_sets, slices, small, spread
-from .near_dedup import SHINGLE, Rule, described, link_classes
+from .common import Stage, _powers, mix64, shingle_hashes, slices, small, split_words, spread
+from .near_dedup import SHINGLE, Rule, link_classes
 
 WORDS = 25
-RULE = Rule(percent=80, bands=16, rows=3)
+RULE = Rule(percent=80, bands=10, rows=2)
 #: Words of the shortest run found inside or across lines.
 RUN = 50
 #: Scripts without spaces: Thai to Myanmar, Khmer, kana to Hangul's neighbours (Hangul has spaces), ideographs.
 _OWN = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
-def _paragraphs(text: str | None) -> list[tuple[int, int, str]]:
-    """(place, first code point, text) of the lines that may hold WORDS words."""
-    out, at = [], 0
-    for place, line in enumerate((text or "").split("\n")):
-        if len(line) >= 2 * WORDS - 1 and len(line.split()) >= WORDS - 1:
-            out.append((place, at, line))
-        at += len(line) + 1
-    return out
+def _paragraphs(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Lines of some texts that hold at least WORDS words: text, place (line number), first code point, length, first
+    word and end among the words; and the words' hashes."""
+    words, first, starts, _, raw = split_words(texts)
+    feeds = np.flatnonzero(raw == 10)
+    ends_at = feeds[np.searchsorted(feeds, np.cumsum([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts]) - 1)] if texts else feeds
+    line = np.searchsorted(feeds, starts)
+    edge = np.flatnonzero(np.diff(line, prepend=-1))
+    size = np.diff(edge, append=len(line))
+    long = size >= WORDS
+    a, n = edge[long], size[long]
+    number = line[a]
+    text = np.searchsorted(ends_at, feeds[number])
+    points = np.cumsum((raw & 0xC0) != 0x80)  # code points up to a byte, it included
+    begin_line = np.where(number > 0, feeds[number - 1] + 1, 0)
+    last = np.concatenate([[-1], ends_at])  # the byte in front of each text
+    before = np.concatenate([[0], points])
+    first_line = np.searchsorted(feeds, last[text] + 1)
+    start = before[begin_line] - before[last[text] + 1]
+    return text, number - first_line, start, before[feeds[number]] - before[begin_line], a, a + n, words
+
+
+def _shingles_of(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of the word ranges from a to b (of SHINGLE words at least), one behind another, and where each
+    range's shingles begin."""
+    every = shingle_hashes(words, SHINGLE)
+    n = b - a - SHINGLE + 1
+    at = np.cumsum(n) - n
+    return every[np.arange(n.sum()) + np.repeat(a - at, n)], at
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = list(batch["text"])
-        for a, b in slices(texts):
-            found = [(doc_id, *p) for doc_id, t in zip(batch["doc_id"][a:b].astype("Int64").array, texts[a:b]) for p in _paragraphs(t)]
-            rows = []
-            for (doc_id, place, start, line), s in zip(found, shingle_sets([f[3] for f in found], SHINGLE)):
-                if len(s):
-                    rows.append((doc_id, place, start, len(line), *described(s, RULE)))
-            yield pd.DataFrame(rows, columns=["doc_id", "place", "start", "length", "class", "signature", "bands"]).astype({"doc_id": "Int64"})
+        texts, ids = list(batch["text"]), batch["doc_id"].astype("Int64")
+        for i, j in slices(texts, 500_000):
+            text, place, start, length, a, b, words = _paragraphs(texts[i:j])
+            if len(text):
+                hashes, at = _shingles_of(words, a, b)
+                digests = [xxhash.xxh3_128_digest(words[x:y].tobytes()) for x, y in zip(a, b)]
+                yield pd.DataFrame({"doc_id": ids[i:j].array[text], "place": place, "start": start, "length": length, "class": digests, "bands": list(RULE.bands_of(hashes, at))})
 
 
 def _wanted_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, places in zip(batch["text"], batch["places"]):
-            lines = (text or "").split("\n")
-            places = [p for p in places if p < len(lines)]
-            sets = shingle_sets([lines[p] for p in places], SHINGLE)
-            yield pd.DataFrame([(described(s, RULE)[0], s.tobytes()) for s in sets if len(s)], columns=["class", "hashes"])
+            _, place, _, _, a, b, words = _paragraphs([text])
+            take = np.isin(place, np.asarray(places))
+            rows = [(xxhash.xxh3_128_digest(words[x:y].tobytes()), np.unique(shingle_hashes(words[x:y], SHINGLE)).tobytes()) for x, y in zip(a[take], b[take])]
+            yield pd.DataFrame(rows, columns=["class", "hashes"])
 
 
 def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,14 +159,14 @@ def _frame(parts: list[tuple], columns: list[str]) -> pd.DataFrame:
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each text: its anchors' places and hashes."""
     for batch in batches:
-        parts = []
+        rows = []
         for doc_id, text, gone in zip(batch["doc_id"], batch["text"], batch["gone"]):
-            for first, _, words, _, _ in _left(text, gone):
-                at, h = _anchors(words)
-                parts.append((doc_id, _text_key(text), at + first, h.view(np.int64)))
-        if parts:
-            yield _frame(parts, ["doc_id", "text_key", "at", "hash"])
+            found = [(at + first, h.view(np.int64)) for first, _, words, _, _ in _left(text, gone) for at, h in [_anchors(words)]]
+            if found:
+                rows.append((doc_id, _text_key(text), *(np.concatenate(x) for x in zip(*found))))
+        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "at", "hash"])
 
 
 def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,29 +194,25 @@ def _common_runs(stage: Stage, docs: DataFrame, found: DataFrame) -> DataFrame:
     """Runs of at least RUN words that occur more than once in what is left of the texts without the found lines."""
     gone = stage.put(found.where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("place").alias("gone")))
     left = docs.where("doc_id is not null and text is not null").join(small(gone, 4 * gone.count()), "doc_id", "left")
-    anchors = stage.put(spread(stage.spark, left).mapInPandas(_anchor_rows, "doc_id long, text_key long, at long, hash long"))
+    anchors = stage.put(spread(stage.spark, left).mapInPandas(_anchor_rows, "doc_id long, text_key long, at array<long>, hash array<long>"))
+    anchors = anchors.select("doc_id", "text_key", F.explode(F.arrays_zip("at", "hash")).alias("a")).select("doc_id", "text_key", "a.at", "a.hash")
     spot = F.xxhash64("doc_id", "text_key", "at")  # repeated rows are one occurrence
-    repeated = lambda df: stage.put(df.groupBy("hash").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("hash"))
-    twice = repeated(anchors)
+    twice = stage.put(anchors.groupBy("hash").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("hash"))
     by_doc = anchors.join(small(twice, twice.count()), "hash", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("places"))
     by_doc = stage.put(by_doc)
     n = by_doc.select(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     rows = left.join(small(by_doc, n), "doc_id").mapInPandas(_window_rows, "doc_id long, text_key long, at long, hash long, place long, start long, stop long")
     rows = stage.put(rows)
-    again = repeated(rows)
-    rows = rows.join(small(again, again.count()), "hash", "left_semi")
-    tops = stage.put(rows.groupBy("hash").agg(F.min(F.struct("doc_id", "text_key", "at")).alias("low")))
-    rows = rows.join(small(tops, 3 * tops.count()), "hash").dropDuplicates(["doc_id", "text_key", "at"])
-    # Neighbouring windows that continue the same first occurrence are one run; first occurrences are runs of their own.
+    low = F.min(F.struct("doc_id", "text_key", "at", "place")).alias("low")
+    tops = stage.put(rows.groupBy("hash").agg(low, F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("hash", "low"))
+    rows = rows.join(small(tops, 4 * tops.count()), "hash")
+    # Neighbouring windows are one run; first occurrences are runs of their own.
     kept = (F.col("doc_id") == F.col("low.doc_id")) & (F.col("text_key") == F.col("low.text_key")) & (F.col("at") == F.col("low.at"))
-    rows = rows.select("doc_id", "text_key", "at", "place", "start", "stop", "low", kept.alias("kept"), (F.col("at") - F.col("low.at")).alias("shift"))
-    by = Window.partitionBy("doc_id", "text_key", "low.doc_id", "low.text_key", "shift").orderBy("at")
-    rows = rows.withColumn("island", F.col("at") - F.row_number().over(by))
-    runs = rows.groupBy("doc_id", "text_key", F.col("low.doc_id").alias("component_id"), F.col("low.text_key").alias("top_key"), "shift", "island", "kept")
-    runs = runs.agg(F.min("place").alias("place"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("low.at").alias("top_at"))
-    firsts = rows.where("kept").select(F.col("doc_id").alias("component_id"), F.col("text_key").alias("top_key"), F.col("at").alias("top_at"), F.col("place").alias("component_place"))
-    runs = runs.join(firsts, ["component_id", "top_key", "top_at"])
-    return runs.select("doc_id", "place", "start", (F.col("stop") - F.col("start")).alias("length"), "component_id", "component_place", "kept")
+    rows = rows.select("doc_id", "text_key", "at", "place", "start", "stop", "low", kept.alias("kept"))
+    island = F.col("at") - F.dense_rank().over(Window.partitionBy("doc_id", "text_key", "kept").orderBy("at"))
+    runs = rows.withColumn("island", island).groupBy("doc_id", "text_key", "kept", "island")
+    runs = runs.agg(F.min("place").alias("place"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(F.struct("at", "low")).alias("first"))
+    return runs.select("doc_id", "place", "start", (F.col("stop") - F.col("start")).alias("length"), F.col("first.low.doc_id").alias("component_id"), F.col("first.low.place").alias("component_place"), "kept")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -205,31 +221,29 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stage = Stage(spark, "passages")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = stage.put(_repeated_lines(stage, docs))
-    return lines.unionByName(_common_runs(stage, docs, lines))
+    return stage.result(lines.unionByName(_common_runs(stage, docs, lines)))
 
 
 def _repeated_lines(stage: Stage, docs: DataFrame) -> DataFrame:
     """Paragraphs that occur more than once."""
-    spark = stage.spark
-    made = spread(spark, docs).mapInPandas(_features, "doc_id long, place long, start long, length long, class binary, signature binary, bands array<long>")
-    made = stage.put(made.withColumn("id", F.conv(F.substring(F.hex("class"), 2, 15), 16, 10).cast("long")))
+    made = stage.put(spread(stage.spark, docs).mapInPandas(_features, "doc_id long, place long, start long, length long, class binary, bands array<long>"))
     named = made.where("doc_id is not null")
-    place = F.min(F.struct("doc_id", "place")).alias("p")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """Only texts that hold a wanted paragraph are read again."""
-        few = small(wanted.select(F.col("rep").alias("id")), wanted.count())
-        where = stage.put(named.join(few, "id", "left_semi").groupBy("id", "class").agg(place).select(F.col("id").alias("rep"), "class", "p.doc_id", "p.place"))
-        by_doc = stage.put(where.groupBy("doc_id").agg(F.collect_set("place").alias("places")))
-        found = docs.join(small(by_doc, by_doc.count()), "doc_id").mapInPandas(_wanted_sets, "class binary, hashes binary")
-        return where.select("rep", "class").join(found.dropDuplicates(["class"]), "class").select("rep", "hashes")
-
-    _, labels = link_classes(stage, named.select(F.col("id").alias("rep"), "signature", "bands"), RULE, sets_of)
-    labels = small(labels.select(F.col("node").alias("id"), "component"), labels.count())
-    rows = made.select("doc_id", "place", "start", "length", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Only one text that holds a wanted paragraph is read again."""
+        first = named.join(small(nodes, nodes.count()), "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "place")).alias("p"))
+        by_doc = stage.put(first.groupBy("p.doc_id").agg(F.collect_set("p.place").alias("places")))
+        n = by_doc.select(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+        return docs.join(small(by_doc, n), "doc_id").mapInPandas(_wanted_sets, "class binary, hashes binary")
+
+    nodes, labels = link_classes(stage, named.select("class", "bands"), RULE, sets_of)
+    linked = stage.put(nodes.join(labels.withColumnRenamed("node", "id"), "id").select("class", F.col("component").alias("linked")))
+    rows = made.select("doc_id", "place", "start", "length", "class").join(small(linked, 2 * linked.count()), "class", "left")
+    # A group is a component of linked classes, or one class of copies.
+    rows = rows.withColumn("group", F.when(F.col("linked").isNull(), F.col("class")).otherwise(F.encode(F.col("linked").cast("string"), "utf-8"))).drop("class", "linked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("top")
-    tops = stage.put(rows.groupBy("component").agg(first, F.count("*").alias("n")).where("n > 1").select("component", "top"))
-    out = rows.join(small(tops, 3 * tops.count()), "component")
+    tops = stage.put(rows.groupBy("group").agg(first, F.count("*").alias("n")).where("n > 1").select("group", "top"))
+    out = rows.join(small(tops, 3 * tops.count()), "group")
     kept = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("place") == F.col("top.place"))
     return out.select("doc_id", "place", "start", "length", F.col("top.doc_id").alias("component_id"), F.col("top.place").alias("component_place"), kept.alias("kept"))
 
