@@ -8,8 +8,8 @@ content if the marginal of its nearest element is at least 0.5. The parameters a
 construction); PAGES of them are used, and none of the pages to be extracted.
 
 Scripts, styles, templates and comments of the markup hold no text. Character references are decoded, white space inside
-a block becomes one space, blocks are trimmed and joined in page order by one space. Broken markup is read as browsers
-do in the main cases: unknown end tags are dropped, open elements are closed with their parent.
+a block becomes one space, blocks are trimmed and joined in page order by one space. Broken markup is read as browsers do
+in the main cases: unknown end tags are dropped, open elements are closed with their parent.
 
 A null or empty html gives an empty text; a page without elements is one block of text, which is content. Repeated rows
 are repeated, nulls in page_id and url are kept. An empty table gives an empty result.
@@ -36,6 +36,7 @@ SILENT = set("script style template noscript head title svg math iframe object s
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 #: An opening tag closes these open elements first, up to the nearest one that bounds them.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tr", "td", "th"}}
+ENDED = set().union(*CLOSES.values())
 BOUNDS = set("ul ol dl table body article section main div aside nav header footer form".split())
 BLOCKS = set("p div section article aside header footer nav main ul ol li dl dt dd table form h1 h2 h3 h4 h5 h6 pre blockquote figure hr address fieldset tbody tr td th".split())
 
@@ -69,10 +70,16 @@ _NAME = re.compile(r"[a-z]+(?:-[a-z]+)?|[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "items", "hidden", "index", "label", "chars", "linked", "stops", "paragraphs")
+    __slots__ = ("tag", "names", "parent", "children", "items", "hidden", "index", "label", "chars", "linked", "stops", "paragraphs", "p", "item", "run", "inlines")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.parent, self.children, self.items, self.label = tag, parent, [], [], None
+        # While the page is read, so that no tag walks up the tree twice: the paragraph that a block would end, the
+        # nearest element that another of its kind ends, the element that holds the run of inline ones, and that run's tags.
+        self.p = self if tag == "p" else parent.p if parent and tag in INLINE else None
+        self.item = self if tag in ENDED else parent.item if parent and tag not in BOUNDS else None
+        self.run = parent.run if parent and tag in INLINE else self
+        self.inlines: dict[str, int] | None = None
         self.names = groups(" ".join(str(attrs.get(k) or "") for k in ("class", "id", "role", "aria-label")))
         self.hidden = "hidden" in attrs or "display:none" in str(attrs.get("style") or "").replace(" ", "") or attrs.get("aria-hidden") == "true"
         self.label = attrs.get("data-label")
@@ -95,9 +102,27 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", {}, None)
         self.silent: list[str] = []
+        self.open: dict[str, int] = {}
         self.feed(html)
         self.close()
 
+    def _counts(self, node: Node) -> dict[str, int]:
+        """Open elements by tag: of the node's run for inline tags, of the page for others."""
+        if node.tag not in INLINE:
+            return self.open
+        if node.run.inlines is None:
+            node.run.inlines = {}
+        return node.run.inlines
+
+    def _leave(self, node: Node):
+        """Close all open elements below a node's parent."""
+        while True:
+            counts, done = self._counts(self.at), self.at is node
+            counts[self.at.tag] -= 1
+            self.at = self.at.parent
+            if done:
+                return
+
     def handle_starttag(self, tag, attrs):
         if self.silent:
             if tag not in VOID and tag == self.silent[-1]:
@@ -110,16 +135,17 @@ class Dom(HTMLParser):
             if tag == "head" or tag not in VOID:
                 self.silent.append(tag)
             return
-        if tag == "body" or tag in BLOCKS:
-            self._close_paragraph()
+        if tag in BLOCKS and self.at.p is not None:
+            self._leave(self.at.p)
         if tag in CLOSES:
-            node = self.at
-            while node is not self.root and node.tag not in BOUNDS:
-                if node.tag in CLOSES[tag]:
-                    self.at = node.parent
+            item = self.at.item
+            while item is not None:
+                outer = item.parent.item
+                if item.tag in CLOSES[tag]:
+                    self._leave(item)
                     if tag not in ("tr", "tbody"):
                         break
-                node = node.parent
+                item = outer
         if tag in VOID:
             self.at.items.append(" " if tag in ("br", "hr") else "")
             return
@@ -127,18 +153,12 @@ class Dom(HTMLParser):
         self.at.children.append(node)
         self.at.items.append(node)
         self.at = node
+        counts = self._counts(node)
+        counts[tag] = counts.get(tag, 0) + 1
 
     def _name(self, node: Node, attrs: dict):
         node.names |= groups(str(attrs.get("class") or ""))
 
-    def _close_paragraph(self):
-        node = self.at
-        while node is not self.root and (node.tag in INLINE or node.tag == "p"):
-            if node.tag == "p":
-                self.at = node.parent
-                return
-            node = node.parent
-
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in SILENT:
@@ -153,13 +173,11 @@ class Dom(HTMLParser):
             elif tag == "head":
                 self.silent.clear()
             return
-        node = self.at
-        while node is not self.root and node.tag != tag:
-            if tag in INLINE and node.tag not in INLINE:
-                return
-            node = node.parent
-        if node is not self.root:
-            self.at = node.parent
+        if (((self.at.run.inlines or {}) if tag in INLINE else self.open)).get(tag, 0):
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self._leave(node)
 
     def handle_data(self, data):
         if not self.silent:
@@ -196,10 +214,13 @@ def features(nodes: list[Node]) -> np.ndarray:
     x = np.zeros((len(nodes), FEATURES))
     above: list[set[int]] = []
     total = max(nodes[0].chars, 1)
-    inside = 0
+    in_article, in_junk = [False] * len(nodes), [False] * len(nodes)
     for i, node in enumerate(nodes):
-        inherited = above[node.parent.index] if node.parent else set()
-        above.append(inherited | node.names)
+        if up := node.parent:
+            in_article[i] = in_article[up.index] or up.tag in ("article", "main")
+            in_junk[i] = in_junk[up.index] or up.tag in ("nav", "footer", "aside", "form")
+        inherited = above[up.index] if up else set()
+        above.append(inherited if node.names <= inherited else inherited | node.names)
         x[i, 0] = 1
         x[i, 1 + kind(node)] = 1
         for g in node.names:
@@ -208,20 +229,10 @@ def features(nodes: list[Node]) -> np.ndarray:
             x[i, 2 + OTHER + GROUPS + g] = 1
         n, at = node.chars, 2 + OTHER + 2 * GROUPS
         links = node.linked / n if n else 0.0
-        article = bool(node.parent) and _inside(node, "article main")
-        x[i, at : at + 13] = (n == 0, 0 < n < 25, 25 <= n < 100, 100 <= n < 400, n >= 400, links > 0.6, 0.2 < links <= 0.6, n > 0 and node.stops / max(n, 1) > 0.008, n / total > 0.5, node.paragraphs >= 2, article, node.hidden, _inside(node, "nav footer aside form"))
+        x[i, at : at + 13] = (n == 0, 0 < n < 25, 25 <= n < 100, 100 <= n < 400, n >= 400, links > 0.6, 0.2 < links <= 0.6, n > 0 and node.stops / max(n, 1) > 0.008, n / total > 0.5, node.paragraphs >= 2, in_article[i], node.hidden, in_junk[i])
     return x
 
 
-def _inside(node: Node, tags: str) -> bool:
-    up = node.parent
-    while up:
-        if up.tag in tags.split():
-            return True
-        up = up.parent
-    return False
-
-
 class Model:
     """unary: weights of the features; pair[kind][parent's state][child's state]: log potentials."""
 
