@@ -88,10 +88,28 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return parsed.select("conv_id", checked.alias("formatted"), mask.alias("loss_mask"), "turns")
 
 
+#: Spans cut out of one chunk of a long text, so that no cut walks the whole text.
+TOGETHER = 64
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """The stretches of a text under sorted spans (start, length) of code points, one behind another."""
+    groups = F.sequence(F.lit(0), F.ceil(F.size(spans) / TOGETHER).cast("int") - 1)
+    sub = lambda t, a, n: F.substr(t, (a + 1).cast("int"), n.cast("int"))
+
+    def cut_group(some: Column) -> Column:
+        begin, last = F.element_at(some, 1)["start"], F.element_at(some, -1)
+        chunk = F.struct(sub(text, begin, last["start"] + last["length"] - begin).alias("t"))
+        return F.element_at(F.transform(F.array(chunk), lambda c: F.array_join(F.transform(some, lambda s: unescape(sub(c["t"], s["start"] - begin, s["length"]))), "")), 1)
+
+    parts = F.transform(F.transform(groups, lambda g: F.slice(spans, g * TOGETHER + 1, TOGETHER)), cut_group)
+    return F.when(F.size(spans) > 0, F.array_join(parts, "")).otherwise("")
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """What can be read back from the output alone."""
+    """What can be read back from the output alone: turns as the parser recovers them, the learned text under the mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED), lambda t: unescape(t["raw"])), "")
+    learned = cut(F.col("formatted"), F.col("loss_mask"))
     out = formatted.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), learned.alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
     return out.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
 

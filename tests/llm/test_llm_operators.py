@@ -148,6 +148,25 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_loss_is_cut_by_the_mask(spark):
+    """Many long turns; a mask moved by one code point gives another text."""
+    turns = [(1, i, "assistant" if i % 3 == 0 else "user", f"é{i} </turn> " + "x😀" * 400) for i in range(500)] + [(2, 0, "user", "nothing learned")]
+    made = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    want = "".join(t for _, _, r, t in turns if r == "assistant")
+    got = {r.conv_id: r for r in chat.digest(made).collect()}
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(want), hashlib.sha256(want.encode()).hexdigest())
+    assert (got[2].loss_chars, got[2].loss_sha256) == (0, hashlib.sha256(b"").hexdigest())
+    moved = made.withColumn("loss_mask", F.transform("loss_mask", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length"))))
+    assert {r.conv_id: r.loss_sha256 for r in chat.digest(moved).collect()}[1] != got[1].loss_sha256
+
+
+def test_chat_raises_on_a_broken_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(chat, "escape", lambda text: text)
+    df = spark.createDataFrame([(1, 0, "user", "a </turn>\n b")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="round trip differs in conversation 1"):
+        chat.format_conversations(df).collect()
+
+
 def test_chat_equals_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
