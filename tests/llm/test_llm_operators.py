@@ -110,6 +110,16 @@ def test_decontamination_equals_brute_force(spark):
     items = {i: prose(rng, n) for i, n in enumerate((4, 5, 12, 30, 30, 59))} | {90: None, 91: "", 92: "…"}
     texts = [prose(rng, 50) + " " + items[rng.randint(1, 5)] + ". " + prose(rng, 20) for _ in range(12)]
     texts += [edited(rng, items[5], 1), edited(rng, items[5], 3), items[3].upper().replace(" ", ", "), items[2], items[0], prose(rng, 80), None, "", prose(rng, 9000) + " " + items[4]]
+    # Both ends changed and words inserted inside: the best window is aligned with none of the shared shingles.
+    core = items[5].split(" ")
+    texts.append(" ".join([prose(rng, 40), "first", *core[1:30], "two", "more", *core[30:-1], "last", prose(rng, 40)]))
+    for _ in range(40):
+        own = list(core)
+        for _ in range(rng.randint(1, 3)):
+            i = rng.choice([0, 1, len(own) - 1, rng.randrange(len(own))])
+            own[i : i + rng.randint(0, 1)] = [f"x{rng.randint(0, 999)}" for _ in range(rng.randint(0, 2))]
+        texts.append(prose(rng, 30) + " " + " ".join(own) + " " + prose(rng, 30))
+    texts.append(" ".join(core[30:] + core[:30]))  # halves exchanged
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(i, t, 1) for i, t in items.items()], "item_id long, text string, doc_id int")
     split = lambda t: [w for w in re.split(r"[^\w]+|_+", (t or "").lower()) if w]
@@ -135,6 +145,28 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.leaks(spark, docs, bench.limit(0)).count() == 0 == decontaminate.leaks(spark, docs.limit(0), bench).count()
 
 
+def test_a_leak_with_changed_ends_and_insertions_is_found(spark):
+    """A 79-word item whose copy has its first and last word changed and two words inserted in the middle."""
+    rng = random.Random(79)
+    core = prose(rng, 79).split(" ")
+    bench = spark.createDataFrame([(1, " ".join(core))] + [(i, prose(rng, 30)) for i in range(2, 30)], "item_id long, text string")
+    changed = ["zz", *core[1:39], "one", "two", *core[39:-1], "yy"]
+    docs = spark.createDataFrame([(1, " ".join([prose(rng, 300), *changed, prose(rng, 300)])), (2, " ".join(core)), (3, prose(rng, 500))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(spark, docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1)} and got[2, 1].similarity == 1 and got[1, 1].similarity > 0.8
+
+
+def test_decontamination_odd_cases(spark):
+    """Null ids keep their null, equal texts tie on the first window, one id may stand for several texts or items."""
+    rng = random.Random(3)
+    one, two = prose(rng, 20), prose(rng, 25)
+    bench = spark.createDataFrame([(1, one), (1, two), (2, one), (None, two), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, one), (None, two), (None, prose(rng, 40)), (7, f"{one} {one}"), (8, one), (8, two), (8, one), (9, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or -1, r.item_id or -1, r.start, r.size) for r in decontaminate.leaks(spark, docs, bench).collect()))
+    assert [g[:2] for g in got] == [(-1, -1), (-1, 1), (-1, 2), (7, 1), (7, 2), (8, -1), (8, 1), (8, 2)]
+    assert all(start == 0 for _, _, start, _ in got)
+
+
 def test_chat_round_trip(spark):
     tricky = [chat.TRICKY, "\\", "\\\\", "</turn>", "<\\/turn>", "### ", "#### x", "#\\## ", "a: b", "\n", "", None, "😀</turn>\n### user: hi", "</turn", "<</turn>>"]
     turns = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(tricky)] + [(2, 0, r, "x") for r in ("sys: tem", "### a", "</turn>", None, "a:", "\\")] + [(3, 0, "user", "a"), (3, 0, "user", "a"), (None, 0, "assistant", "n")]
