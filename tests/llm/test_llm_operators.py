@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -343,30 +344,96 @@ def test_token_counts(spark, tmp_path, monkeypatch):
     assert got == list(enumerate(lengths))
 
 
-def test_fingerprints(spark, odd_docs):
+def xx(*values):
+    """The engine's 64-bit hash: each value seeds the next; an array hashes its members in turn."""
+    seed = 42
+    for v in values:
+        for x in v if isinstance(v, list) else [v]:
+            raw = x.encode() if isinstance(x, str) else (x & (2**64 - 1)).to_bytes(8, "little") if not isinstance(x, np.int32) else int(x).to_bytes(4, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed=seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def syncmers(text):
+    """(place, 32-bit hash) of the closed syncmers of a text, by the definition."""
+    k, s = fingerprint.UNITS, fingerprint.INNER
+    space = "[ \t\n\x0b\f\r]+"
+    words = [w for w in re.split(space, text) if w]
+    if len(text) > (fingerprint.LONG + 1) * len(words):
+        words = list(re.sub(space, "", text))
+    h = [xx(w) for w in words]
+    if not h:
+        return []
+    if len(h) < k:
+        return [(0, xx(h) & 0xFFFFFFFF)]
+    out = []
+    for i in range(len(h) - k + 1):
+        inner = [xx(*h[j : j + s]) for j in range(i, i + k - s + 1)]
+        if min(inner[0], inner[-1]) == min(inner):
+            out.append((i, xx(*h[i : i + k]) & 0xFFFFFFFF))
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark, odd_docs):
+    space = fingerprint.SPLIT
     got = fingerprint.fingerprints(spark, odd_docs).toPandas()
-    rows = sorted(((r.doc_id, r.text or "") for r in odd_docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    rows = sorted(((r.doc_id, r.text or "") for r in odd_docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, xx(r[1]) % space, r[1]), reverse=True)
     assert len(got) == len(rows)
+
+    def printed(found):
+        return "".join(f"{h:08x}{at - (found[i - 1][0] if i else 0):02x}" for i, (at, h) in enumerate(found))
+
+    def parts(found):
+        return {h for _, h in found} | {xx(x[1], y[1], np.int32(y[0] - x[0])) for x, y in zip(found, found[1:])}
+
+    def like(a, b):
+        a, b = parts(a), parts(b)
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
     want = Counter()
     for k, (i, t) in enumerate(rows):
         m, after = len(t) // 3, rows[(k + 1) % len(rows)][1]
-        want[i, len(t), hashlib.sha256((t[: len(t) - m] + after[:m]).encode()).hexdigest()] += 1
-    assert Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.n_chars, r.edited_sha256) for r in got.itertuples()) == want
-    text_of = dict(odd_docs.where("doc_id is not null").select("doc_id", "text").collect())
-    seen = defaultdict(set)
-    for r in got.itertuples():
-        if r.doc_id == r.doc_id:
-            seen[text_of[r.doc_id]].add(r.fingerprint)
-    assert all(len(x) == 1 for x in seen.values())
-    assert got.near_edited.between(0, 1).all() and got.near_next.between(0, 1).all()
+        edited = t[: len(t) - m] + after[:m]
+        own, changed = syncmers(t), syncmers(edited)
+        assert all(y[0] - x[0] <= fingerprint.UNITS - fingerprint.INNER for x, y in zip(own, own[1:]))
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), printed(own), printed(changed), round(like(own, changed), 9), round(like(own, syncmers(after)), 9)] += 1
+    assert Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got.itertuples()) == want
     assert fingerprint.fingerprints(spark, odd_docs.limit(0)).count() == 0
 
 
+def test_fingerprints_odd_cases(spark):
+    """A single document follows itself; a hot id, null included, is dealt over ranges; scripts without spaces."""
+    rng = random.Random(9)
+    one = prose(rng, 50)
+    r = fingerprint.fingerprints(spark, spark.createDataFrame([(1, one)], "doc_id long, text string")).first()
+    assert (r.near_next, r.edited_sha256) == (1.0, hashlib.sha256((one[: len(one) - len(one) // 3] + one[: len(one) // 3]).encode()).hexdigest())
+    rows = [(None if i % 3 else i, prose(rng, 20)) for i in range(300)] + [(7, prose(rng, 20)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, xx(r[1]) % fingerprint.SPLIT, r[1]), reverse=True)
+    want = Counter((i, hashlib.sha256((t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprint.fingerprints(spark, df).collect()) == want
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200))
+    two = spark.createDataFrame([(1, han), (2, han[:150] + "好" + han[150:])], "doc_id long, text string")
+    assert all(0.6 < r.near_next < 1 for r in fingerprint.fingerprints(spark, two).collect())
+
+
+def test_likeness_follows_positions(spark):
+    """Long texts that share a passage share its anchors; the same words in another order are less alike."""
+    rng = random.Random(11)
+    a, b, shared = prose(rng, 6000), prose(rng, 6000), prose(rng, 3000)
+    parts_of = lambda c: fingerprint.parts(fingerprint.text_anchors(F.col(c)))
+    words = shared.split(" ")
+    mixed = " ".join(w for i in rng.sample(range(0, 3000, 60), 50) for w in words[i : i + 60])
+    df = spark.createDataFrame([(f"{a} {shared}", f"{shared} {b}", shared, mixed)], "x string, y string, s string, m string")
+    r = df.select(fingerprint.likeness(parts_of("x"), parts_of("y")).alias("passage"), fingerprint.likeness(parts_of("s"), parts_of("m")).alias("mixed"), fingerprint.likeness(parts_of("s"), parts_of("s")).alias("same")).first()
+    assert 0.18 < r.passage < 0.22 and 0.4 < r.mixed < 0.9 and r.same == 1
+
+
 def test_syncmers_are_context_free(spark):
     rng = random.Random(6)
     a, b = prose(rng, 400), prose(rng, 30)
-    got = spark.createDataFrame([(a,), (b + " " + a,)], "t string").select(F.explode(fingerprint.let(F.transform(fingerprint.units(F.col("t")), lambda w: F.xxhash64(w)), fingerprint.anchors)).alias("h"), "t").collect()
-    one, two = ({r.h for r in got if r.t == t} for t in (a, b + " " + a))
+    got = spark.createDataFrame([(a,), (b + " " + a,)], "t string").select("t", F.explode(fingerprint.text_anchors(F.col("t"))).alias("x")).collect()
+    one, two = ({r.x.h for r in got if r.t == t} for t in (a, b + " " + a))
     assert one <= two
 
 
