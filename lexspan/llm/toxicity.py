@@ -1,15 +1,15 @@
 """Operator 9: toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text is lower-cased and cut into words at white space, ASCII digits and punctuation. Word inputs are the word's hashed
-embedding (for frequent words) and its shrunken log odds in toxic texts; char inputs are the mean of its byte trigrams'
-embeddings and the largest log odds of its four-byte and six-byte grams. The network trains on odds counted in the other
-half of the training texts, so that it does not learn to trust chance. It reads windows of WINDOW words, each STRIDE
-words after the one before, so that every word of the whole text lies in overlapping windows; attention pools the states
-of a window, and the text's logit is the largest of its windows' logits, calibrated on the training rows.
+A text is lower-cased and cut into words at white space, ASCII digits and punctuation. Word inputs are the word's
+embedding, char inputs the summed embeddings of its byte trigrams, four-grams and six-grams (with the word's edges), all
+hashed to tables of fixed size that begin with zeros and are learned with the network. It reads windows of WINDOW words,
+each STRIDE words after the one before, so that every word of the whole text lies in overlapping windows; attention pools
+the states of a window, and the text's logit is the largest of its windows' logits, calibrated on the training rows.
 
-Training uses at most TRAIN_ROWS labelled texts outside the held-out fold, the first in the order of xxhash64(doc_id);
-that bound is a parameter. Tables and weights have fixed sizes. In each pass the window with the largest logit stands
-for its text, with one further window for clean texts, since labels belong to texts and not to words.
+Training uses at most TRAIN_ROWS labelled texts of at most TRAIN_CHARS code points outside the held-out fold, the first
+in the order of xxhash64(doc_id); those bounds are parameters. In each pass the window with the largest logit stands for
+its text, with one further window for clean texts, since labels belong to texts and not to words; before the first pass
+the window is chosen by log odds of words, which are no input. Small training sets get more passes.
 
 Null and empty texts, or texts without words, get the score of an empty window. A text's labels must agree to be used in
 training; null labels are not. Repeated rows are repeated; a null doc_id is kept, not held out, and never trained on.
@@ -28,14 +28,15 @@ from pyspark.sql import functions as F
 from .common import slices, spread
 from .langid import Words, held_out
 
-WINDOW, STRIDE, TRAIN_ROWS, THRESHOLD = 32, 16, 3000, 0.3
-ODDS, WORD_DIM, CHAR_DIM, HIDDEN = 3, 6, 4, 8
-EPOCHS, STEPS, BATCH, RATE = 6, 120, 256, 0.01
-INPUT = ODDS + WORD_DIM + CHAR_DIM
-#: Hashes have BITS bits; the embeddings' tables are smaller by COARSE bits.
-BITS, COARSE = 20, 4
-#: Pseudo-counts of the log odds, and texts in which a word must occur for an embedding of its own.
-SHRINK, FREQUENT = 5.0, 20
+WINDOW, STRIDE, TRAIN_ROWS, TRAIN_CHARS, THRESHOLD = 32, 16, 3000, 100_000, 0.3
+DIM, HIDDEN = 6, 8
+EPOCHS, STEPS, BATCH, RATE, TABLE_RATE = 12, 400, 64, 0.01, 0.05
+INPUT = 2 * DIM
+#: Words, trigrams, four-grams and six-grams are hashed to so many bits; each has a table of that size.
+BITS = {"word": 18, "tri": 16, "four": 18, "six": 18}
+GRAMS = ("tri", "four", "six")
+#: Texts in which a word or gram must occur for an embedding of its own, and pseudo-counts of the first windows' odds.
+FREQUENT, SHRINK = 4, 5.0
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -48,8 +49,8 @@ class Texts:
     def __init__(self, texts: list[str | None], slice_chars: int = 500_000):
         parts: dict[str, list] = {k: [np.zeros(0, np.int32)] for k in ("word", "tri", "four", "six", "sizes", "texts")}
         for a, b in slices(texts, slice_chars):
-            w = Words(texts[a:b], BITS, long_grams=True)
-            for k, ids in (("word", w.word), ("tri", w.tri >> COARSE), ("four", w.four), ("six", w.six), ("sizes", w.size + 1), ("texts", np.diff(w.first))):
+            w = Words(texts[a:b], max(BITS.values()), long_grams=True)
+            for k, ids in (("word", w.word), ("tri", w.tri >> (max(BITS.values()) - BITS["tri"])), ("four", w.four), ("six", w.six), ("sizes", w.size + 1), ("texts", np.diff(w.first))):
                 parts[k].append(ids.astype(np.int32))
         self.word, self.tri, self.four, self.six, self.sizes, per_text = (np.concatenate(parts.pop(k)) for k in ("word", "tri", "four", "six", "sizes", "texts"))
         self.at = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
@@ -71,54 +72,52 @@ class Texts:
                 yield getattr(self, what)[self.at[a] : self.at[b - 1] + self.sizes[b - 1]]
 
 
-def log_odds(t: Texts, labels: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Shrunken log odds of words, four-grams and six-grams in the toxic ones of the texts to use."""
-    out, share = [], labels[use].mean() if use.any() else 0.0
-    for what in ("word", "four", "six"):
-        counts = np.zeros((2, 1 << BITS), np.float32)
-        for ids, y, take in zip(t.spans(what), labels, use):
-            if take:
-                counts[int(y), np.unique(ids)] += 1
-        out.append(np.log((counts[1] + SHRINK) / (counts.sum(axis=0) * share + SHRINK)).astype(np.float32))
-    return tuple(out)
+def log_odds(t: Texts, labels: np.ndarray) -> np.ndarray:
+    """Shrunken log odds of each word in toxic texts, by the texts without its own one."""
+    share = labels.mean()
+    odds = np.zeros(len(t.at))
+    for what in ("word", "six"):
+        counts = np.zeros((2, 1 << BITS[what]))
+        seen = [np.unique(ids) for ids in t.spans(what)]
+        for ids, y in zip(seen, labels):
+            counts[int(y), ids] += 1
+        ids = getattr(t, what)
+        owner = np.repeat(labels, np.diff(t.first)) if what == "word" else np.repeat(np.repeat(labels, np.diff(t.first)), t.sizes)
+        one, every = counts[1][ids] - owner, counts.sum(axis=0)[ids] - 1
+        value = np.log((one + SHRINK * share) / (every * share + SHRINK * share))
+        odds += value if what == "word" else np.maximum.reduceat(value, t.at) if len(t.at) else 0
+    return odds
 
 
 class Network:
-    """odds: fixed tables; weights p: E words, C trigrams, and for each direction W (input), U (recurrent), b;
-    attention a; output o, c."""
+    """Weights p: tables of word and gram embeddings, and for each direction W (input), U (recurrent), b; attention a;
+    output o, c. Tables begin with zeros, so that what was never learned adds nothing."""
 
-    def __init__(self, odds: tuple[np.ndarray, ...], seed: int = 11):
+    def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
-        self.odds = odds
-        self.p = {"E": np.zeros((1 << (BITS - COARSE), WORD_DIM), np.float32), "C": draw(1 << (BITS - COARSE), CHAR_DIM) * np.float32(0.1)}
+        self.p = {k: np.zeros((1 << n, DIM), np.float32) for k, n in BITS.items()}
         for d in "fb":
             self.p |= {f"W{d}": draw(INPUT, 3 * HIDDEN), f"U{d}": draw(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"a": draw(2 * HIDDEN), "o": draw(2 * HIDDEN), "c": np.zeros(1, np.float32)}
         self.scale, self.shift = 1.0, 0.0
 
-    def fixed(self, t: Texts, odds: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
-        """The log odds of each word and the largest ones of its four-grams and six-grams."""
-        word, four, six = odds or self.odds
-        if not len(t.at):
-            return np.zeros((0, ODDS), np.float32)
-        return np.stack([word[t.word], np.maximum.reduceat(four[t.four], t.at), np.maximum.reduceat(six[t.six], t.at)], 1)
-
-    def inputs(self, t: Texts, fixed: np.ndarray, a: int, b: int) -> np.ndarray:
-        """Inputs of the words from a to b."""
+    def inputs(self, t: Texts, a: int, b: int) -> np.ndarray:
+        """Inputs of the words from a to b: the word's embedding, and its grams' summed ones by the root of their number."""
         if a == b:
             return np.zeros((0, INPUT), np.float32)
-        begin = t.at[a]
-        chars = np.add.reduceat(self.p["C"][t.tri[begin : t.at[b - 1] + t.sizes[b - 1]]], t.at[a:b] - begin, axis=0) / t.sizes[a:b, None].astype(np.float32)
-        return np.concatenate([fixed[a:b], self.p["E"][t.word[a:b] >> COARSE], chars.astype(np.float32)], axis=1)
+        begin, end = t.at[a], t.at[b - 1] + t.sizes[b - 1]
+        grams = sum(self.p[k][getattr(t, k)[begin:end]] for k in GRAMS)
+        chars = np.add.reduceat(grams, t.at[a:b] - begin, axis=0) / np.sqrt(t.sizes[a:b, None].astype(np.float32))
+        return np.concatenate([self.p["word"][t.word[a:b]], chars], axis=1)
 
-    def window_logits(self, t: Texts, fixed: np.ndarray) -> np.ndarray:
+    def window_logits(self, t: Texts) -> np.ndarray:
         """Logits of all windows, some at a time."""
         out = [np.zeros(0, np.float32)]
         for i in range(0, len(t.windows), 2048):
             windows = t.windows[i : i + 2048]
             a, b = int(windows[0, 0]), int(windows[:, 1].max())
-            out.append(self.forward(self.inputs(t, fixed, a, max(a, b)), windows - a))
+            out.append(self.forward(self.inputs(t, a, max(a, b)), windows - a))
         return np.concatenate(out)
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False):
@@ -195,7 +194,7 @@ class Network:
         """The largest window logit of each text."""
         t = Texts(texts)
         out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, t.owner, self.window_logits(t, self.fixed(t)))
+        np.maximum.at(out, t.owner, self.window_logits(t))
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -203,18 +202,26 @@ class Network:
 
 
 class Adam:
+    """Adam for the dense weights. Rows of the tables take plain steps, scaled by one measure for a whole table, so that
+    what many texts agree on grows and what one text holds by chance hardly moves."""
+
     def __init__(self, p: dict):
-        self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+        dense = {k: x for k, x in p.items() if k not in BITS}
+        self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in dense.items()}, {k: np.zeros_like(x) for k, x in dense.items()}, 0
+        self.size = dict.fromkeys(BITS, 0.0)
 
     def step(self, p: dict, grad: dict, rows: dict) -> None:
         """grad: dense gradients; rows: (ids, gradients) of the tables."""
         self.t += 1
         fix = RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for k, g in [*grad.items(), *rows.items()]:
-            at, g = g if k in rows else (slice(None), g)
-            self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * g
-            self.v[k][at] = 0.999 * self.v[k][at] + 0.001 * g * g
-            p[k][at] -= fix * self.m[k][at] / (np.sqrt(self.v[k][at]) + 1e-8)
+        for k, g in grad.items():
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g
+            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
+            p[k] -= fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+        for k, (ids, g) in rows.items():
+            if len(ids):
+                self.size[k] = 0.99 * self.size[k] + 0.01 * float((g * g).mean())
+                p[k][ids] -= TABLE_RATE * g / (np.sqrt(self.size[k] / (1 - 0.99**self.t)) + 1e-12)
 
 
 def _sum_by(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,24 +240,20 @@ def train(texts: list[str], labels: np.ndarray) -> Network | None:
         return None
     t = Texts(texts)
     first = np.searchsorted(t.owner, np.arange(len(texts)))
-    half = np.arange(len(texts)) % 2 == 0
-    # A text's own label must not stand behind its inputs: while training, its odds come from the other half.
-    one, other = log_odds(t, labels, half), log_odds(t, labels, ~half)
-    net, rng = Network(tuple((a + b) / 2 for a, b in zip(one, other))), np.random.default_rng(3)
-    fixed = np.where(np.repeat(half, np.diff(t.first))[:, None], net.fixed(t, other), net.fixed(t, one))
-    t.four = t.six = None
-    common = np.bincount(np.concatenate([np.unique(ids) for ids in t.spans("word")]), minlength=1 << BITS) >= FREQUENT
+    net, rng = Network(), np.random.default_rng(3)
+    odds = log_odds(t, labels)
+    least = min(FREQUENT, max(2, len(texts) // 100))
+    common = {k: np.bincount(np.concatenate([np.unique(ids) for ids in t.spans(k)]), minlength=1 << n) >= least for k, n in BITS.items()}
     adam, balance = Adam(net.p), float(np.sqrt((labels == 0).sum() / (labels == 1).sum()))
-    for epoch in range(max(EPOCHS, -(-STEPS * BATCH // (len(labels) + int((labels == 0).sum()))))):
+    clean = np.flatnonzero(labels == 0)
+    for epoch in range(max(EPOCHS, -(-STEPS * BATCH // (len(labels) + len(clean))))):
         if epoch == 0:  # before training the window with the largest odds stands for its text
-            best = fixed.sum(axis=1)
-            value = np.array([best[a:b].max(initial=-9) for a, b in t.windows])
+            value = np.array([odds[a:b].max(initial=-9) for a, b in t.windows])
         else:
-            value = net.window_logits(t, fixed)
+            value = net.window_logits(t)
         order = np.lexsort((-value, t.owner))
         top = order[first]
         extra = first + rng.integers(0, np.append(first[1:], len(t.owner)) - first)
-        clean = np.flatnonzero(labels == 0)
         picked = np.concatenate([top, extra[clean]])
         y = np.concatenate([labels, np.zeros(len(clean), np.float32)])
         shuffle = rng.permutation(len(picked))
@@ -260,20 +263,22 @@ def train(texts: list[str], labels: np.ndarray) -> Network | None:
             words = np.unique(np.minimum(windows[:, :1] + np.arange(WINDOW), max(len(t.word) - 1, 0)))
             local = np.searchsorted(words, windows[:, 0])
             near = np.stack([local, local + windows[:, 1] - windows[:, 0]], 1)
-            spans = [np.arange(t.at[w], t.at[w] + t.sizes[w]) for w in words]
-            owner = np.repeat(np.arange(len(words)), t.sizes[words])
-            tri = t.tri[np.concatenate(spans)]
-            chars = _sum_by(owner, net.p["C"][tri])[1].reshape(len(words), CHAR_DIM)
-            chars /= t.sizes[words][:, None]
-            grad = net.gradients(np.concatenate([fixed[words], net.p["E"][t.word[words] >> COARSE], chars], axis=1), near, yy, np.where(yy > 0, balance, 1).astype(np.float32))
+            at = np.concatenate([np.arange(t.at[w], t.at[w] + t.sizes[w]) for w in words])
+            owner, root = np.repeat(np.arange(len(words)), t.sizes[words]), np.sqrt(t.sizes[words][:, None]).astype(np.float32)
+            ids = {k: getattr(t, k)[at] for k in GRAMS} | {"word": t.word[words]}
+            chars = np.add.reduceat(sum(net.p[k][ids[k]] for k in GRAMS), np.searchsorted(owner, np.arange(len(words))), axis=0) / root
+            grad = net.gradients(np.concatenate([net.p["word"][ids["word"]], chars], axis=1), near, yy, np.where(yy > 0, balance, 1).astype(np.float32))
             used, dx = grad.pop("rows")
             back = np.zeros((len(words), INPUT), np.float32)
             back[used] = dx
-            often = common[t.word[words]]
-            tables = {"E": _sum_by(t.word[words[often]] >> COARSE, back[often, ODDS : ODDS + WORD_DIM]), "C": _sum_by(tri, (back[:, ODDS + WORD_DIM :] / t.sizes[words][:, None])[owner])}
+            down = (back[:, DIM:] / root)[owner]
+            tables = {}
+            for k in BITS:
+                often = common[k][ids[k]]
+                tables[k] = _sum_by(ids[k][often], (back[:, :DIM] if k == "word" else down)[often])
             adam.step(net.p, grad, tables)
     # Calibration of the texts' largest logits: logistic regression by Newton steps.
-    value = net.window_logits(t, fixed)
+    value = net.window_logits(t)
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, t.owner, value)
     z, theta = np.stack([best, np.ones_like(best)], 1), np.array([1.0, 0.0])
@@ -288,7 +293,7 @@ def train(texts: list[str], labels: np.ndarray) -> Network | None:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
     said = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("low"), F.max("toxic").alias("toxic")).where("low = toxic").where(~held_out(F.col("doc_id")))
     chosen = said.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "toxic")
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(rows).toPandas().drop_duplicates("text")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(rows).toPandas().drop_duplicates("text")
     return train(list(sample["text"]), sample["toxic"].to_numpy(float))
 
 

@@ -487,9 +487,43 @@ def test_toxicity(spark):
     assert toxicity.rate(spark, docs.limit(0), tags).count() == 0
 
 
+def auc(score, label):
+    """Share of pairs of a toxic and a clean text in the right order, ties by half."""
+    a, b = np.asarray(score)[label == 1], np.sort(np.asarray(score)[label == 0])
+    return float((np.searchsorted(b, a, "left") + np.searchsorted(b, a, "right")).mean() / 2 / len(b))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_of_held_out_documents(spark, sf):
+    """On whole tables, trained on some hundred and some thousand labels: the network beats a table of word and gram odds."""
+    path = f"/root/testdata/{sf}"
+    labels = spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "toxic")
+    texts = spark.read.parquet(f"{path}/documents.parquet").where("text is not null").select("doc_id", "text").join(labels, "doc_id").toPandas()
+    got = queries.op9_toxicity(spark, path).toPandas().set_index("doc_id")
+    assert len(got) == spark.read.parquet(f"{path}/documents.parquet").count()
+    texts["held"] = [zlib.crc32(str(i).encode()) % 4 == 2 for i in texts.doc_id]
+    train, held = texts[~texts.held], texts[texts.held]
+    label = held.toxic.to_numpy()
+    score = got.score.loc[held.doc_id].to_numpy()
+    # The plainer way: the largest sum of shrunken log odds of a word and its six-grams.
+    t, e = toxicity.Texts(list(train.text)), toxicity.Texts(list(held.text))
+    table = {}
+    for what in ("word", "six"):
+        counts = np.zeros((2, 1 << toxicity.BITS[what]))
+        for ids, y in zip(t.spans(what), train.toxic):
+            counts[int(y), np.unique(ids)] += 1
+        table[what] = np.log((counts[1] + 5) / (counts.sum(axis=0) * train.toxic.mean() + 5))
+    odds = table["word"][e.word] + np.maximum.reduceat(table["six"][e.six], e.at)
+    plain = [odds[a:b].max(initial=-9) for a, b in zip(e.first[:-1], e.first[1:])]
+    hit = score >= toxicity.THRESHOLD
+    print("TOXICITY", sf, len(train), "auc", auc(score, label), "odds", auc(plain, label), "precision", label[hit].mean(), "recall", hit[label == 1].mean())
+    assert auc(score, label) > max(0.9, auc(plain, label) + 0.02)
+    assert label[hit].mean() > 0.8 and hit[label == 1].mean() > 0.5
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(2)
-    net = toxicity.Network(tuple(np.zeros(4, np.float32) for _ in range(3)))
+    net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x, windows = rng.normal(size=(40, toxicity.INPUT)), np.array([[0, 20], [8, 40]])
     y, w = np.array([1.0, 0.0]), np.array([1.0, 1.0])
