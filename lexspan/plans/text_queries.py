@@ -113,7 +113,7 @@ def prep_change_log(spark, sf_dir):
 iw AS (SELECT doc_id, work, ws, least(ws + 41, length(work)) AS we FROM iv)
 SELECT doc_id, CAST(ws AS BIGINT) AS work_start, CAST(we AS BIGINT) AS work_end,
   CAST(ws + length(substring(work, 1, ws)) - length(replace(substring(work, 1, ws), chr(10), '')) AS BIGINT) AS original_start,
-  CAST(we + length(substring(work, 1, we)) - length(replace(substring(work, 1, we), chr(10), '')) AS BIGINT) AS original_end FROM iw WHERE length(work) <= 20000""")
+  CAST(we + length(substring(work, 1, we)) - length(replace(substring(work, 1, we), chr(10), '')) AS BIGINT) AS original_end FROM iw""")
 def prep_map_intervals(spark, sf_dir):
     p = prepared(spark, sf_dir)
     intervals = p.where("work_length > 0").select("doc_id", "work_length", F.explode(F.sequence(F.lit(0), F.col("work_length") - 1, F.lit(97))).alias("work_start"))
@@ -275,7 +275,7 @@ def stories(spark, sf_dir):
 
 
 _W = STORY_WORD.replace("'", "''")
-STORIES = "WITH s AS (SELECT doc_id AS id, left(text, 600) AS text FROM documents WHERE text IS NOT NULL)"
+STORIES = "WITH s AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)"
 
 
 @query(f"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '{_W}')) AS BIGINT) AS words FROM documents WHERE text IS NOT NULL")
@@ -284,7 +284,7 @@ def txt_word_count(spark, sf_dir):
 
 
 _KINDS = {"colon": ":", "semicolon": ";", "ellipsis": r"\.{3,}|…", "dash": "[—―]"}
-FORBIDDEN = STORIES.replace("left(text, 600)", "text") + ", " + ", ".join(f"""{k}_p AS (SELECT id, unnest(regexp_extract_all(text, '(?s){p}|.')) AS piece, generate_subscripts(regexp_extract_all(text, '(?s){p}|.'), 1) AS k FROM s WHERE regexp_matches(text, '{p}')),
+FORBIDDEN = STORIES + ", " + ", ".join(f"""{k}_p AS (SELECT id, unnest(regexp_extract_all(text, '(?s){p}|.')) AS piece, generate_subscripts(regexp_extract_all(text, '(?s){p}|.'), 1) AS k FROM s WHERE regexp_matches(text, '{p}')),
 {k}_o AS (SELECT id, piece, sum(length(piece)) OVER (PARTITION BY id ORDER BY k) AS end_pos FROM {k}_p)""" for k, p in _KINDS.items())
 
 

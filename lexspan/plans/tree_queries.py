@@ -28,7 +28,7 @@ _POS = ["NOUN", "VERB", "ADV", "DET", "AUX", "ADJ", "ADP"]
 _DEP = ["nsubj", "obj", "advmod", "aux", "xcomp", "conj", "cop", "mark"]
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
-FORMULA = PERIODS + f""", fp AS (SELECT doc_id, CAST(period AS BIGINT) AS period, CAST(ord AS BIGINT) AS ord, token, ord - min(ord) OVER (PARTITION BY doc_id, period) AS i FROM tagged WHERE doc_id % 4 = 0),
+FORMULA = PERIODS + f""", fp AS (SELECT doc_id, CAST(period AS BIGINT) AS period, CAST(ord AS BIGINT) AS ord, token, ord - min(ord) OVER (PARTITION BY doc_id, period) AS i FROM tagged),
 ft AS (SELECT doc_id, period, ord, token, i, CAST(CASE WHEN i = 0 THEN ord ELSE ord - i + (i - 1) // 2 END AS BIGINT) AS head,
   {_list(_POS)}[length(token) % 7 + 1] AS pos, CASE WHEN i = 0 THEN 'root' ELSE {_list(_DEP)}[(length(token) + i) % 8 + 1] END AS d FROM fp)"""
 

@@ -37,7 +37,7 @@ TARGETS = windows_sql(1, 1, False) + """, paras AS (SELECT doc_id, paragraph, mi
 tg AS (SELECT doc_id, 0 AS part, 2 * period AS place, 'focus' AS kind, start_pos, end_pos FROM units UNION ALL SELECT doc_id, 0, 2 * period + 1, 'window', window_start, window_end FROM units
   UNION ALL SELECT doc_id, 1, paragraph, 'paragraph', start_pos, end_pos FROM paras UNION ALL SELECT doc_id, 2, 0, 'document', 0, length(text) FROM docs),
 targets AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, place) - 1 AS ord, kind, CAST(start_pos AS BIGINT) AS start_pos, CAST(end_pos AS BIGINT) AS end_pos FROM tg)"""
-BLOCKS = TARGETS + f""", few AS (SELECT t.*, substring(text, start_pos + 1, end_pos - start_pos) AS content FROM targets t JOIN docs USING (doc_id) WHERE doc_id % 20 = 0),
+BLOCKS = TARGETS + f""", few AS (SELECT t.*, substring(text, start_pos + 1, end_pos - start_pos) AS content FROM targets t JOIN docs USING (doc_id)),
 bl AS (SELECT doc_id, ord, kind, content, unnest(range(0, length(content), {ROOM})) AS offs FROM few WHERE regexp_matches(content, '\\S')),
 blocks AS (SELECT doc_id, ord, kind, offs // {ROOM} AS block, offs AS start_pos, substring(content, offs + 1, {ROOM}) AS block_text FROM bl),
 arts AS (SELECT *, length(regexp_replace(block_text, '\\s', '', 'g')) AS weight, sha256('{{"input":"' || sha256('passage: ' || block_text) || '","max_tokens":{BUDGET},"version":"1.0.0"}}') AS artifact FROM blocks)"""
@@ -73,7 +73,7 @@ def vec_cache_split(spark, sf_dir):
     return vectors.cache_split(vectors.distinct_inputs(b), b.where("doc_id % 40 = 0")).groupBy("origin").agg(F.count("*").alias("artifacts"))
 
 
-@query(BLOCKS + ", s AS (SELECT doc_id, ord, count(*) AS blocks FROM arts GROUP BY ALL) SELECT t.kind, CASE WHEN blocks IS NULL THEN 'no_content' WHEN blocks = 1 THEN 'direct' ELSE 'aggregated' END AS construction, count(*) AS representations, CAST(sum(coalesce(blocks, 0)) AS BIGINT) AS blocks FROM targets t LEFT JOIN s USING (doc_id, ord) WHERE doc_id % 20 = 0 GROUP BY ALL")
+@query(BLOCKS + ", s AS (SELECT doc_id, ord, count(*) AS blocks FROM arts GROUP BY ALL) SELECT t.kind, CASE WHEN blocks IS NULL THEN 'no_content' WHEN blocks = 1 THEN 'direct' ELSE 'aggregated' END AS construction, count(*) AS representations, CAST(sum(coalesce(blocks, 0)) AS BIGINT) AS blocks FROM targets t LEFT JOIN s USING (doc_id, ord) GROUP BY ALL")
 def vec_construction(spark, sf_dir):
     made = vectors.construction(_blocks(spark, sf_dir), _targets(spark, sf_dir))
     return made.groupBy("kind", "construction").agg(F.count("*").alias("representations"), F.sum("blocks").cast("long").alias("blocks"))
@@ -130,10 +130,10 @@ _STOP = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
 _TERMS = f"[x FOR x IN regexp_extract_all(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '\\p{{L}}+') IF length(x) > 1 AND x NOT IN ({_STOP})]"
 BM25 = f"""WITH ft AS (SELECT doc_id AS frag, unnest({_TERMS}) AS term FROM documents), post AS (SELECT frag, term, count(*) AS tf FROM ft GROUP BY ALL),
 sz AS (SELECT frag, sum(tf) AS size FROM post GROUP BY frag), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(size) FROM sz) / (SELECT count(*) FROM documents) AS mean),
-qt AS (SELECT DISTINCT item_id AS query, unnest({_TERMS}) AS term FROM benchmark WHERE item_id < 20), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+qt AS (SELECT DISTINCT item_id AS query, unnest({_TERMS}) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 sc AS (SELECT query, frag, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 9) AS score FROM qt JOIN df USING (term) JOIN post USING (term) JOIN sz USING (frag) CROSS JOIN st GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT query, frag, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, frag) AS rank FROM sc WHERE score > 0) WHERE rank <= 50)"""
-DENSE = """, dq AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id < 20), dsc AS (SELECT query, vec_id AS frag, round(list_inner_product(q::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM embeddings CROSS JOIN dq),
+DENSE = """, dq AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), dsc AS (SELECT query, vec_id AS frag, round(list_inner_product(q::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM embeddings CROSS JOIN dq),
 de AS (SELECT * FROM (SELECT query, frag, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, frag) AS rank FROM dsc) WHERE rank <= 50)"""
 RANKS = """, br AS (SELECT query, block, row_number() OVER (PARTITION BY query ORDER BY f) AS block_rank, f AS first_rank FROM (SELECT query, frag // 4 AS block, min(rank) AS f FROM bm GROUP BY ALL)),
 dr AS (SELECT query, block, row_number() OVER (PARTITION BY query ORDER BY f) AS block_rank FROM (SELECT query, frag // 4 AS block, min(rank) AS f FROM de GROUP BY ALL)),
@@ -166,7 +166,7 @@ def _blocked(spark, sf_dir, ranked):
     return retrieval.block_ranks(ranked, frags)
 
 
-@query(BM25 + " SELECT term, df FROM df WHERE df >= 3")
+@query(BM25 + " SELECT term, df FROM df")
 def bm25_index(spark, sf_dir):
     return retrieval.postings(_fragments(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"))
 
@@ -207,7 +207,7 @@ def report_intake(spark, sf_dir):
     return retrieval.report_intake(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.replace("text", F.lit("\n"), F.lit("\r\r")).alias("text")))
 
 
-@query("""WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 = 0 AND length(text) <= 20000), f AS (SELECT doc_id, text, unnest(range(0, length(text), 80)) AS s FROM d),
+@query("""WITH d AS (SELECT doc_id, text FROM documents), f AS (SELECT doc_id, text, unnest(range(0, length(text), 80)) AS s FROM d),
 g AS (SELECT doc_id, substring(text, s + 1, 100) AS t FROM f) SELECT doc_id AS block, sha256(text) AS sha256, CAST(0 AS BIGINT) AS gaps FROM d WHERE length(text) > 0 AND doc_id % 30 <> 0
 UNION ALL SELECT doc_id, sha256(coalesce(substring(text, 1, 100), '') || coalesce(substring(text, 161), '')), CASE WHEN length(text) > 160 THEN 1 ELSE 0 END FROM d WHERE length(text) > 0 AND doc_id % 30 = 0""")
 def block_rebuild(spark, sf_dir):
@@ -219,7 +219,7 @@ def block_rebuild(spark, sf_dir):
     return bigints(retrieval.rebuilt_blocks(f).drop("text"))
 
 
-_PASS = """WITH d AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 5 = 0), p AS (SELECT id, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*|[.!?\\n]+')) AS piece, generate_subscripts(regexp_extract_all(text, '[^.!?\\n]+[.!?]*|[.!?\\n]+'), 1) AS k FROM d),
+_PASS = """WITH d AS (SELECT doc_id AS id, text FROM documents), p AS (SELECT id, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*|[.!?\\n]+')) AS piece, generate_subscripts(regexp_extract_all(text, '[^.!?\\n]+[.!?]*|[.!?\\n]+'), 1) AS k FROM d),
 o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY id ORDER BY k) - length(piece) AS at0 FROM p), b AS (SELECT id, piece, at0 + length(piece) - length(regexp_replace(piece, '^\\s+', '')) AS s, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS body FROM o WHERE NOT regexp_full_match(piece, '[.!?\\n]+'))"""
 
 
@@ -228,7 +228,7 @@ def passages(spark, sf_dir):
     return retrieval.passages(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"))
 
 
-@query("SELECT doc_id, item_id, contains(d.text, b.text) AS literal FROM (SELECT doc_id, text FROM documents WHERE doc_id % 10 = 1) d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query("SELECT doc_id, item_id, contains(d.text, b.text) AS literal FROM (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)")
 def citation_check(spark, sf_dir):
     """A quote offered with the place where it is first found, or with none."""
     d = documents(spark, sf_dir)
@@ -294,7 +294,7 @@ def eval_summary(spark, sf_dir):
     return evaluate.summary(evaluate.compared(table(spark, sf_dir, "labels"), _predicted(spark, sf_dir), ["doc_id"], ["quality", "toxic"]), ["quality", "toxic"])
 
 
-@query("SELECT doc_id AS case_id, CAST(5 AS BIGINT) AS start_pos, 'literal' AS \"check\" FROM documents WHERE doc_id % 10 = 4 AND length(text) > 20 UNION ALL SELECT doc_id, 8, 'overlap' FROM documents WHERE doc_id % 10 = 4 AND length(text) > 20")
+@query("SELECT doc_id AS case_id, CAST(5 AS BIGINT) AS start_pos, 'literal' AS \"check\" FROM documents WHERE length(text) > 20 UNION ALL SELECT doc_id, 8, 'overlap' FROM documents WHERE length(text) > 20")
 def eval_reference_checks(spark, sf_dir):
     d = documents(spark, sf_dir).where(F.length("text") > 20)
     at = lambda a, b, change: d.select(F.col("doc_id").alias("case_id"), "text", F.concat(F.substring("text", a + 1, b - a), F.lit(change)).alias("target"), F.lit(a).alias("start_pos"), F.lit(b).alias("end_pos"))
