@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,16 +175,47 @@ def slices(texts, most: int = 1_500_000):
 # Components --------------------------------------------------------------------------------------------------------
 
 
+#: Edges that one task joins locally at most.
+LOCAL = 200_000
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component) of the edges (a, b) of one partition: each node's smallest reachable node."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+    nodes = list(root)
+    yield pd.DataFrame({"node": nodes, "component": [find(x) for x in nodes]}, dtype=np.int64)
+
+
 def components(stage: Stage, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b); nodes without an edge to another don't appear.
 
-    Each round hooks every node to its smallest neighbour, follows the pointers twice and contracts the edges, so the
-    edges shrink fast and a hub never meets in one task: only minima, joins and distinct rows are used.
+    Up to LOCAL edges are joined by one task. Beyond that, pieces of so many edges are each reduced to stars first; then
+    each round hooks every node to its smallest neighbour, follows the pointers twice and contracts the edges, so the
+    edges shrink fast and a hub never meets in one task, until a task can join what is left.
     """
-    spark = stage.spark
     edges = stage.put(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    solved = lambda edges: stage.put(edges.repartition(1).mapInPandas(_forest, "node long, component long"))
+    n = edges.count()
+    if n <= LOCAL:
+        labels = solved(edges)
+        stage.drop(edges)
+        return labels
+    stars = edges.repartition(-(-n // LOCAL)).mapInPandas(_forest, "node long, component long").where("node <> component")
+    old, edges = edges, stage.put(stars.select(F.col("component").alias("a"), F.col("node").alias("b")).distinct())
+    stage.drop(old)
     labels = stage.put(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")))
-    while edges.limit(1).count():
+    while (n := edges.count()) > LOCAL:
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
         up = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
         up = stage.put(up)
@@ -199,6 +232,11 @@ def components(stage: Stage, edges: DataFrame) -> DataFrame:
         labels = stage.put(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
         for x in (old, old_labels, up):
             stage.drop(x)
+    if n:
+        moved, old_labels = solved(edges), labels
+        labels = stage.put(labels.join(F.broadcast(moved.select(F.col("node").alias("component"), F.col("component").alias("to"))), "component", "left").select("node", F.coalesce("to", "component").alias("component")))  # 2 * LOCAL rows at most
+        for x in (moved, old_labels):
+            stage.drop(x)
     stage.drop(edges)
     return labels
 

@@ -38,7 +38,7 @@ from .common import Stage, components, joined, mix64, shingle_sets, slices, smal
 
 MINHASHES, BATCH, SHINGLE, MISS = 128, 16, 5, 1e-7
 #: Rounds of further leaders at most, before what is left is compared in blocks.
-ROUNDS = 4
+ROUNDS = 2
 #: Members of a bucket that one block of the last comparison holds, about.
 BLOCK = 256
 #: Pairs of one leader that are dealt together, about.
@@ -139,12 +139,13 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, MINHASHES)
 
 
-def _compare(rule: Rule, rows: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
-    """Confirmed links (a, b) between members (id, component, signature, hashes, block) of blocks i and j that lie in
-    different components; only those that join components."""
-    sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
-    sigs = None if rows["signature"].isna().any() else _matrix(rows["signature"])
-    ids, component, block = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy()
+def _compare(rule: Rule, rows: pd.DataFrame, across: bool) -> pd.DataFrame:
+    """Confirmed links (a, b) between members (id, component, hashes, side) of different components, only those that
+    join components; across: only between sides. Each member meets all others at once, by marking its shingles."""
+    sizes = rows["hashes"].str.len().to_numpy() // 8
+    _, shingle = np.unique(np.frombuffer(b"".join(rows["hashes"]), np.uint64), return_inverse=True)
+    at = np.cumsum(sizes) - sizes
+    ids, component, side = rows["id"].tolist(), rows["component"].to_numpy(), rows["side"].to_numpy()
     root = {int(c): int(c) for c in component}
 
     def find(x: int) -> int:
@@ -153,15 +154,16 @@ def _compare(rule: Rule, rows: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
             x = root[x]
         return x
 
-    joins = []
-    for x in range(len(rows)):
-        apart = component[x + 1 :] != component[x]
-        other = x + 1 + np.flatnonzero(apart & (block[x + 1 :] != block[x]) if i != j else apart)
-        if sigs is not None and len(other):
-            other = other[rule.plausible(np.broadcast_to(sigs[x], (len(other), MINHASHES)), sigs[other])]
-        for y in other:
+    joins, marked = [], np.zeros(int(shingle.max(initial=0)) + 1, bool)
+    for x in range(len(rows) - 1):
+        own = shingle[at[x] : at[x] + sizes[x]]
+        marked[own] = True
+        both = np.add.reduceat(marked[shingle[at[x + 1] :]], at[x + 1 :] - at[x + 1], dtype=np.int64)
+        marked[own] = False
+        fits = (100 * both >= rule.percent * (sizes[x] + sizes[x + 1 :] - both)) & (component[x + 1 :] != component[x])
+        for y in x + 1 + np.flatnonzero(fits & (side[x + 1 :] != side[x]) if across else fits):
             p, q = find(int(component[x])), find(int(component[y]))
-            if p != q and rule.linked(sets[x], sets[y]):
+            if p != q:
                 root[max(p, q)] = min(p, q)
                 joins.append((ids[x], ids[y]))
     return pd.DataFrame(joins, columns=["a", "b"]).astype("int64")
@@ -267,10 +269,10 @@ def link_classes(stage: Stage, classes: DataFrame, rule: Rule, sets_of: Callable
     for round_ in range(ROUNDS + 1):
         placed = stage.put(place(live))
         sizes = stage.put(placed.groupBy("bucket", "component").agg(F.count("*").alias("n")))
-        tops = stage.put(sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1").select("bucket", F.col("top.component").alias("largest"), "members"))
-        stage.drop(sizes)
+        tops = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1")
+        tops = stage.put(tops.select("bucket", F.col("top.component").alias("largest"), F.col("top.n").alias("inside"), (F.col("members") - F.col("top.n")).alias("outside")))
         open_ = stage.put(placed.join(tops, "bucket"))
-        for x in (placed, tops):
+        for x in (placed, sizes, tops):
             stage.drop(x)
         if not open_.limit(1).count():
             return nodes, labels
@@ -283,11 +285,16 @@ def link_classes(stage: Stage, classes: DataFrame, rule: Rule, sets_of: Callable
             break
         stage.drop(open_)
         labels = joined(stage, labels, found)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = open_.select("bucket", "id", "component", F.pmod(F.hash("id"), blocks).alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rest = rest.select("bucket", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rest = rest.join(nodes_with if pruning else nodes_with.withColumn("signature", F.lit(None).cast("binary")), "id")
-    found = stage.put(rest.groupBy("bucket", "i", "j").applyInPandas(lambda key, rows: _compare(rule, rows, key[1], key[2]), "a long, b long"))
+    # Members outside the largest component in blocks; each block meets every block of its bucket.
+    outside = F.col("component") != F.col("largest")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    few, many = blocks("outside"), blocks("inside")
+    own = F.when(outside, F.pmod(F.hash("id"), few)).otherwise(-1 - F.pmod(F.hash("id"), many))
+    others = F.when(outside, F.concat(F.sequence(F.lit(0), few - 1), F.sequence(-many, F.lit(-1)))).otherwise(F.sequence(F.lit(0), few - 1))
+    rest = open_.select("bucket", "id", "component", own.alias("side"), F.explode(others).alias("other"))
+    rest = rest.select("bucket", "id", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    rest = rest.join(nodes_with.select("id", "hashes"), "id")
+    found = stage.put(rest.groupBy("bucket", "i", "j").applyInPandas(lambda key, rows: _compare(rule, rows, key[1] != key[2]), "a long, b long"))
     if found.limit(1).count():
         labels = joined(stage, labels, found)
     for x in (live, open_, found, nodes_with):

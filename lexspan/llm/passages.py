@@ -86,10 +86,13 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _wanted_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for text, places in zip(batch["text"], batch["places"]):
-            _, place, _, _, a, b, words = _paragraphs([text])
-            take = np.isin(place, np.asarray(places))
-            rows = [(xxhash.xxh3_128_digest(words[x:y].tobytes()), np.unique(shingle_hashes(words[x:y], SHINGLE)).tobytes()) for x, y in zip(a[take], b[take])]
+        texts, wanted = list(batch["text"]), list(batch["places"])
+        for i, j in slices(texts, 500_000):
+            text, place, _, _, a, b, words = _paragraphs(texts[i:j])
+            pairs = {(k, p) for k, places in enumerate(wanted[i:j]) for p in places}
+            take = [k for k, pair in enumerate(zip(text.tolist(), place.tolist())) if pair in pairs]
+            every = shingle_hashes(words, SHINGLE)
+            rows = [(xxhash.xxh3_128_digest(words[x:y].tobytes()), np.unique(every[x : y - SHINGLE + 1]).tobytes()) for x, y in zip(a[take], b[take])]
             yield pd.DataFrame(rows, columns=["class", "hashes"])
 
 
@@ -98,12 +101,13 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     c = np.where((c >= 65) & (c <= 90), c + np.uint32(32), c)
     space = (c == 32) | ((c >= 9) & (c <= 13))
-    own = np.zeros(len(c), bool)
+    edge = np.ones(len(c) + 1, bool)
+    edge[1:-1] = space[1:] != space[:-1]
     if len(c) and c.max() >= _OWN[0][0]:
+        own = np.zeros(len(c), bool)
         for a, b in _OWN:
             own |= (c >= a) & (c <= b)
-    edge = np.ones(len(c) + 1, bool)
-    edge[1:-1] = (space[1:] != space[:-1]) | own[1:] | own[:-1]
+        edge[1:-1] |= own[1:] | own[:-1]
     at = np.flatnonzero(edge)
     if len(at) < 2:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
@@ -136,13 +140,29 @@ def _left(text: str, gone) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
             yield int(i), line[i:j], words[i:j], a[i:j], b[i:j]
 
 
-def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors: the least segment of WORDS words (the first, if equal) of every RUN - WORDS + 1."""
-    h = _runs(words, WORDS)
+def _near(x: np.ndarray, f, span: int) -> np.ndarray:
+    """f (minimum or maximum) of every `span` neighbours, by windows of twice the length each time."""
+    size = 1
+    while 2 * size <= span:
+        x = f(x[:-size], x[size:])
+        size *= 2
+    return f(x[: len(x) - (span - size)], x[span - size :]) if span > size else x
+
+
+def _anchors(words: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Which words begin an anchor: the least segment of WORDS words of every RUN - WORDS + 1 in one stretch (all, if
+    equal). Stretches are numbered in ascending order; negative ones are left out."""
+    begins = np.zeros(len(words), bool)
+    if len(words) < RUN:
+        return begins
     span = RUN - WORDS + 1
-    near = np.lib.stride_tricks.sliding_window_view(h, span)
-    at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
-    return at, h[at]
+    h = _runs(words, WORDS)
+    low = _near(h, np.minimum, span)
+    # A window that is no stretch's own counts as 0, so no segment is equal to its least hash.
+    low = np.where((stretch[RUN - 1 :] == stretch[: len(low)]) & (stretch[: len(low)] >= 0), low, np.uint64(0))
+    none = np.zeros(span - 1, np.uint64)
+    begins[: len(h)] = (_near(np.concatenate([none, low, none]), np.maximum, span) == h) & (h > 0)
+    return begins
 
 
 def _text_key(text: str) -> int:
@@ -161,28 +181,39 @@ def _frame(parts: list[tuple], columns: list[str]) -> pd.DataFrame:
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each text: its anchors' places and hashes."""
     for batch in batches:
-        rows = []
-        for doc_id, text, gone in zip(batch["doc_id"], batch["text"], batch["gone"]):
-            found = [(at + first, h.view(np.int64)) for first, _, words, _, _ in _left(text, gone) for at, h in [_anchors(words)]]
-            if found:
-                rows.append((doc_id, _text_key(text), *(np.concatenate(x) for x in zip(*found))))
-        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "at", "hash"])
+        texts, gone = list(batch["text"]), list(batch["gone"])
+        for i, j in slices(texts, 300_000):
+            words, at, _, line = _words("\n".join(texts[i:j]))
+            size = np.array([len(t) + 1 for t in texts[i:j]])
+            begin = np.cumsum(size) - size
+            first = np.searchsorted(at, np.append(begin, begin[-1] + size[-1]))
+            stretch = np.repeat(np.arange(j - i), np.diff(first))
+            feeds = np.cumsum([0, *(t.count("\n") + 1 for t in texts[i:j])])
+            for k in range(j - i):
+                if gone[i + k] is not None:
+                    own = slice(first[k], first[k + 1])
+                    out = np.isin(line[own] - feeds[k], np.asarray(gone[i + k]))
+                    stretch[own] = np.where(out, -1, np.cumsum(np.diff(out.astype(np.int8), prepend=np.int8(0)) != 0) * (j - i) + k)
+            begins = np.flatnonzero(_anchors(words, stretch))
+            h = _runs(words, WORDS)[begins].view(np.int64) if len(begins) else np.zeros(0, np.int64)
+            edge = np.searchsorted(begins, first)
+            rows = [(doc_id, _text_key(t), begins[a:b] - f, h[a:b]) for doc_id, t, f, a, b in zip(batch["doc_id"][i:j], texts[i:j], first, edge, edge[1:]) if b > a]
+            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "at", "hash"])
 
 
 def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All runs of RUN words around the repeated anchors."""
     for batch in batches:
         parts = []
-        for doc_id, text, gone, key, places in zip(batch["doc_id"], batch["text"], batch["gone"], batch["text_key"], batch["places"]):
+        for doc_id, text, gone, key, ranges in zip(batch["doc_id"], batch["text"], batch["gone"], batch["text_key"], batch["ranges"]):
             if _text_key(text) != key:
                 continue
-            repeated = np.asarray(places)
+            low, high = (np.array([r[k] for r in ranges]) for k in ("low", "high"))
             for first, line, words, a, b in _left(text, gone):
-                at = repeated[(repeated >= first) & (repeated < first + len(words))] - first
                 h = _runs(words, RUN)
                 near = np.zeros(len(h) + 1, np.int64)
-                np.add.at(near, np.clip(at - (RUN - WORDS), 0, len(h)), 1)
-                np.add.at(near, np.clip(at + 1, 0, len(h)), -1)
+                np.add.at(near, np.clip(low - first - (RUN - WORDS), 0, len(h)), 1)
+                np.add.at(near, np.clip(high - first + 1, 0, len(h)), -1)
                 i = np.flatnonzero(np.cumsum(near[:-1]) > 0)
                 if len(i):
                     parts.append((doc_id, key, i + first, h[i].view(np.int64), line[i], a[i], b[i + RUN - 1]))
@@ -195,17 +226,20 @@ def _common_runs(stage: Stage, docs: DataFrame, found: DataFrame) -> DataFrame:
     gone = stage.put(found.where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("place").alias("gone")))
     left = docs.where("doc_id is not null and text is not null").join(small(gone, 4 * gone.count()), "doc_id", "left")
     anchors = stage.put(spread(stage.spark, left).mapInPandas(_anchor_rows, "doc_id long, text_key long, at array<long>, hash array<long>"))
-    anchors = anchors.select("doc_id", "text_key", F.explode(F.arrays_zip("at", "hash")).alias("a")).select("doc_id", "text_key", "a.at", "a.hash")
+    anchors = anchors.select("doc_id", "text_key", F.posexplode(F.arrays_zip("at", "hash")).alias("n", "a")).select("doc_id", "text_key", "n", "a.at", "a.hash")
     spot = F.xxhash64("doc_id", "text_key", "at")  # repeated rows are one occurrence
     twice = stage.put(anchors.groupBy("hash").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("hash"))
-    by_doc = anchors.join(small(twice, twice.count()), "hash", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("places"))
-    by_doc = stage.put(by_doc)
-    n = by_doc.select(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-    rows = left.join(small(by_doc, n), "doc_id").mapInPandas(_window_rows, "doc_id long, text_key long, at long, hash long, place long, start long, stop long")
+    again = anchors.join(small(twice, twice.count()), "hash", "left_semi")
+    # Ranges of repeated anchors without another between them: every run of RUN words there holds one of them.
+    island = F.col("n") - F.dense_rank().over(Window.partitionBy("doc_id", "text_key").orderBy("n"))
+    ranges = again.withColumn("island", island).groupBy("doc_id", "text_key", "island").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    by_doc = stage.put(ranges.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
+    n = by_doc.select(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
+    rows = left.join(small(by_doc, 2 * n), "doc_id").mapInPandas(_window_rows, "doc_id long, text_key long, at long, hash long, place long, start long, stop long")
     rows = stage.put(rows)
     low = F.min(F.struct("doc_id", "text_key", "at", "place")).alias("low")
     tops = stage.put(rows.groupBy("hash").agg(low, F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("hash", "low"))
-    rows = rows.join(small(tops, 4 * tops.count()), "hash")
+    rows = rows.join(tops.hint("merge"), "hash")
     # Neighbouring windows are one run; first occurrences are runs of their own.
     kept = (F.col("doc_id") == F.col("low.doc_id")) & (F.col("text_key") == F.col("low.text_key")) & (F.col("at") == F.col("low.at"))
     rows = rows.select("doc_id", "text_key", "at", "place", "start", "stop", "low", kept.alias("kept"))
