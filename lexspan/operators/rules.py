@@ -7,7 +7,9 @@ is null where it cannot be settled) and links (array of struct(kind, target)).
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,8 +145,9 @@ def suppressed(correlative: DataFrame) -> DataFrame:
     return correlative.select("doc_id", F.explode(F.array(F.element_at("marker", 1), F.element_at("marker", 3))).alias("ord"))
 
 
-def negators(ix: Index, hidden: DataFrame | None = None) -> DataFrame:
-    """não, nunca, nem: permitted by class and label, or mentioned inside quotes. rule names the word."""
+def negator_tokens(ix: Index, hidden: DataFrame | None = None) -> DataFrame:
+    """não, nunca, nem: permitted by class and label, or mentioned inside quotes; with part (does it negate a constituent
+    only?), nuc and scope."""
     t = ix.tokens.where(F.col("low").isin(list(NEGATORS)))
     if hidden is not None:
         t = t.join(hidden, ["doc_id", "ord"], "left_anti")
@@ -156,7 +159,12 @@ def negators(ix: Index, hidden: DataFrame | None = None) -> DataFrame:
     t = t.withColumn("part", part).withColumn("nuc", F.when(unknown, None).when(F.col("part"), F.col("head")).otherwise(F.col("owner")))
     t = ix.scoped(t, "nuc", "part")
     stray = F.col("region").isNotNull() & (F.col("nuc").isNull() | ~F.col("nucleus_region").eqNullSafe(F.col("region")))
-    t = t.withColumn("scope", F.when(F.col("allowed") & ~stray, F.col("scope"))).withColumn("nuc", F.when(~stray, F.col("nuc")))
+    return t.withColumn("scope", F.when(F.col("allowed") & ~stray, F.col("scope"))).withColumn("nuc", F.when(~stray, F.col("nuc")))
+
+
+def negators(ix: Index, hidden: DataFrame | None = None) -> DataFrame:
+    """The occurrences of negator_tokens; rule names the word."""
+    t = negator_tokens(ix, hidden)
     out = _result(t, "", _map(F.col("low"), NEGATORS), F.array("ord"), F.col("nuc"), _links(("modifies", F.col("nuc"))))
     names = {v: f"negation_{a}" for (k, v), a in zip(NEGATORS.items(), ("nao", "nunca", "nem"))}
     return out.withColumn("rule", _map(F.col("category"), names)).select(*OUT)
@@ -203,7 +211,8 @@ def _within_quotes(ix: Index, found: DataFrame) -> DataFrame:
     return found.join(cut, ["doc_id", "ord"], "left").withColumn("scope", F.when(F.col("region").isNull() | F.col("region_closed"), F.col("cut"))).drop("cut")
 
 
-def modal_verbal(ix: Index) -> DataFrame:
+def modal_verbs(ix: Index) -> DataFrame:
+    """Modal verbs with comps, content (null if none) and words (que, de of a verbal complement)."""
     t = _contents(ix, ix.tokens.where(F.col("pos").isin(tree.VERBAL) & F.col("lem").isin(list(MODALS))))
     helper = F.col("dep") == "aux"
     below = ix.below.groupBy("doc_id", F.col("top").alias("head")).agg(F.array_sort(F.collect_list("ord")).alias("under"))
@@ -217,18 +226,25 @@ def modal_verbal(ix: Index) -> DataFrame:
     verbs = kinds.where(F.col("c_pos").isin(tree.VERBAL) & F.col("c_dep").isin("xcomp", "ccomp")).join(words, ["doc_id", "c"]).groupBy("doc_id", "ord").agg(F.array_sort(F.collect_set("w")).alias("words"))
     able = kinds.where(infinitive).select("doc_id", "ord").distinct().withColumn("able", F.lit(True))
     t = t.join(able, ["doc_id", "ord"], "left").join(verbs, ["doc_id", "ord"], "left")
-    t = t.where(F.when(F.col("lem").isin("conseguir", "saber"), F.coalesce("able", F.lit(False))).when(F.col("lem") == "ter", F.col("words").isNotNull()).otherwise(True))
-    t = _within_quotes(ix, t)
+    return t.where(F.when(F.col("lem").isin("conseguir", "saber"), F.coalesce("able", F.lit(False))).when(F.col("lem") == "ter", F.col("words").isNotNull()).otherwise(True))
+
+
+def modal_verbal(ix: Index) -> DataFrame:
+    t = _within_quotes(ix, modal_verbs(ix))
     marker = F.when(F.col("lem") == "ter", F.array_sort(F.array_union(F.array("ord"), "words"))).otherwise(F.array("ord"))
     links = F.transform("comps", lambda c: F.struct(F.lit("content").alias("kind"), c.cast("int").alias("target"))).cast(LINK)
     return _result(t, "modal_verbal", _map(F.col("lem"), MODALS), marker, F.col("ord"), links)
 
 
+def modal_adjectives(ix: Index) -> DataFrame:
+    """Modal adjectives that are a clause's nucleus, with comps and content."""
+    return _contents(ix, ix.tokens.where(~F.col("low").isin(list(MODAL_ADVERBS)) & F.col("lem").isin(list(MODAL_ADJECTIVES)) & (F.col("pos") == "ADJ") & F.col("nucleus")))
+
+
 def modal_lexical(ix: Index) -> DataFrame:
     adverbs = ix.tokens.where(F.col("low").isin(list(MODAL_ADVERBS)) & (F.col("pos") == "ADV") & F.col("dep").isin("advmod", "discourse")).withColumn("nuc", F.col("owner"))
     one = _result(ix.scoped(adverbs), "modal_lexical", _map(F.col("low"), MODAL_ADVERBS), F.array("ord"), F.col("nuc"), _links(("predicate", F.col("nuc"))))
-    adjectives = ix.tokens.where(~F.col("low").isin(list(MODAL_ADVERBS)) & F.col("lem").isin(list(MODAL_ADJECTIVES)) & (F.col("pos") == "ADJ") & F.col("nucleus"))
-    adjectives = _contents(ix, adjectives).withColumn("scope", F.col("content"))
+    adjectives = modal_adjectives(ix).withColumn("scope", F.col("content"))
     return one.unionByName(_result(adjectives, "modal_lexical", _map(F.col("lem"), MODAL_ADJECTIVES), F.array("ord"), F.col("ord"), _links(("predicate", F.col("ord")))))
 
 
@@ -261,10 +277,7 @@ def therefore(ix: Index) -> DataFrame:
 def detect(rows: DataFrame, enabled: list[str] | None = None, index: Index | None = None, only: list[str] | None = None) -> DataFrame:
     """Occurrences of the enabled rules (of them `only` some, if named). With the correlative rule enabled, the simple
     ones leave its markers alone."""
-    names = [r for r, _, _ in CATALOGUE] if enabled is None else list(enabled)
-    unknown = set(names) - {r for r, _, _ in CATALOGUE}
-    if unknown or len(set(names)) < len(names):
-        raise ValueError(f"unknown or repeated rules: {sorted(unknown) or names}")
+    names = configuration(enabled)[0]
     ix = index or Index(rows)
     hidden = lambda: suppressed(ix.pairs()) if "correlative_negation" in names else None
     made = {
@@ -313,12 +326,25 @@ def reported_speech(ix: Index) -> DataFrame:
     return hit.select("doc_id", F.col("real").alias("ord"), "verb")
 
 
-def states(found: DataFrame, pendings: DataFrame, enabled: DataFrame) -> DataFrame:
-    """enabled: rule, enabled. (rule, occurrences, pendings, state)."""
-    n = found.groupBy("rule").agg(F.count("*").alias("occurrences"))
-    p = pendings.groupBy("rule").agg(F.count("*").alias("pendings"))
+def configuration(enabled: list[str] | None = None) -> tuple[list[str], str]:
+    """The enabled rules in order of priority and name, whatever order the caller gives, and the catalogue's digest."""
+    names = [r for r, _, _ in CATALOGUE] if enabled is None else list(enabled)
+    unknown = set(names) - {r for r, _, _ in CATALOGUE}
+    if unknown or len(set(names)) < len(names):
+        raise ValueError(f"unknown or repeated rules: {sorted(unknown) or names}")
+    order = [r for _, r in sorted((p, r) for r, p, _ in CATALOGUE)]
+    digest = sha256(json.dumps(sorted(CATALOGUE), ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    return [r for r in order if r in names], digest
+
+
+def states(found: DataFrame, pendings: DataFrame, enabled: DataFrame, failed: list[str] = ()) -> DataFrame:
+    """enabled: rule, enabled. (rule, occurrences, pendings, state); an enabled rule named in `failed` has failed, and
+    neither its occurrences nor its pendings count."""
+    broken = F.col("rule").isin(list(failed))
+    n = found.where(~broken).groupBy("rule").agg(F.count("*").alias("occurrences"))
+    p = pendings.where(~broken).groupBy("rule").agg(F.count("*").alias("pendings"))
     rows = enabled.join(n, "rule", "left").join(p, "rule", "left").select("rule", "enabled", F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.coalesce("pendings", F.lit(0)).alias("pendings"))
-    state = F.when(~F.col("enabled"), "disabled").when(F.col("pendings") == 0, "done").when(F.col("occurrences") > 0, "done_with_pendings").otherwise("blocked")
+    state = F.when(~F.col("enabled"), "disabled").when(broken, "failed").when(F.col("pendings") == 0, "done").when(F.col("occurrences") > 0, "done_with_pendings").otherwise("blocked")
     return rows.select("rule", F.when(F.col("enabled"), F.col("occurrences")).otherwise(0).alias("occurrences"), "pendings", state.alias("state"))
 
 

@@ -45,6 +45,35 @@ Consegui/conseguir/VERB/ROOT/1/Tense=Past|VerbForm=Fin abrir/abrir/VERB/xcomp/1/
 Não/não/ADV/advmod/2/_ duvido/duvidar/VERB/ROOT/2/Tense=Pres|VerbForm=Fin que/que/SCONJ/mark/4/_ venha/vir/VERB/ccomp/2/Mood=Sub|VerbForm=Fin ././PUNCT/punct/2/_
 Algo/algo/_/nsubj/2/_ precisa/precisar/VERB/ROOT/2/Tense=Pres|VerbForm=Fin mudar/mudar/VERB/xcomp/2/VerbForm=Inf ././PUNCT/punct/2/_
 Não/não/INTJ/ROOT/1/_ ././PUNCT/punct/1/_
+
+Não/não/ADV/advmod/3/_ só/só/ADV/advmod/3/_ escreveu/escrever/VERB/ROOT/3/Tense=Past|VerbForm=Fin mas/mas/CCONJ/cc/6/_ também/também/ADV/advmod/6/_ leu/ler/VERB/conj/3/Tense=Past|VerbForm=Fin
+Não/não/ADV/advmod/2/_ posso/poder/VERB/ROOT/2/Mood=Ind|VerbForm=Fin sair/sair/VERB/xcomp/2/VerbForm=Inf ././PUNCT/punct/2/_
+Quero/querer/VERB/ROOT/1/Tense=Pres|VerbForm=Fin não/não/ADV/advmod/3/_ ir/ir/VERB/xcomp/1/VerbForm=Inf ././PUNCT/punct/1/_
+Deve/dever/VERB/ROOT/1/Tense=Pres|VerbForm=Fin chover/chover/VERB/xcomp/1/VerbForm=Inf hoje/hoje/ADV/advmod/2/_ ././PUNCT/punct/1/_
+Pode/poder/VERB/ROOT/1/Tense=Pres|VerbForm=Fin ././PUNCT/punct/1/_
+Eu/eu/PRON/nsubj/5/_ não/não/ADV/advmod/5/_ sou/ser/AUX/cop/5/Tense=Pres|VerbForm=Fin bem/bem/ADV/advmod/5/_ capaz/capaz/ADJ/ROOT/5/_ de/de/ADP/mark/8/_ nunca/nunca/ADV/advmod/8/_ mentir/mentir/VERB/xcomp/5/VerbForm=Inf ././PUNCT/punct/5/_
+
+Eles/ele/PRON/nsubj/4/_ não/não/ADV/advmod/4/_ só/só/ADV/advmod/4/_ cantam/cantar/VERB/ROOT/4/Tense=Pres|VerbForm=Fin mas/mas/CCONJ/cc/7/_ também/também/ADV/advmod/7/_ dançam/dançar/VERB/conj/4/Tense=Pres|VerbForm=Fin
+Não/não/_/advmod/2/_ saiu/sair/VERB/ROOT/2/Tense=Past|VerbForm=Fin ././PUNCT/punct/2/_
+Foi/ir/VERB/ROOT/1/_ embora/embora/ADV/advmod/1/_ ././PUNCT/punct/1/_
+Fez/_/VERB/ROOT/1/Tense=Past|VerbForm=Fin tudo/tudo/PRON/obj/1/_ ././PUNCT/punct/1/_
+São/ser/AUX/cop/2/Tense=Pres|VerbForm=Fin obrigatórias/_/ADJ/ROOT/2/_ ././PUNCT/punct/2/_
+Sabe/saber/VERB/ROOT/1/Tense=Pres|VerbForm=Fin nadar/nadar/VERB/xcomp/1/_ ././PUNCT/punct/1/_
+
+Nunca/nunca/ADV/advmod/3/_ não/não/ADV/advmod/3/_ respondi/responder/VERB/ROOT/3/Tense=Past|VerbForm=Fin ././PUNCT/punct/3/_
+Nem/nem/CCONJ/cc/3/_ nunca/nunca/ADV/advmod/3/_ dormiu/dormir/VERB/ROOT/3/Tense=Past|VerbForm=Fin ././PUNCT/punct/3/_
+Não/não/ADV/advmod/2/_ comeu/comer/VERB/ROOT/2/Tense=Past|VerbForm=Fin nem/nem/CCONJ/cc/4/_ bebeu/beber/VERB/conj/2/Tense=Past|VerbForm=Fin ././PUNCT/punct/2/_
+Viu/ver/VERB/ROOT/1/Tense=Past|VerbForm=Fin nem/nem/CCONJ/cc/3/_ casas/casa/NOUN/obj/1/_ ././PUNCT/punct/1/_
+
+Choveu/chover/VERB/ROOT/1/Tense=Past|VerbForm=Fin ,/,/PUNCT/punct/5/_ por/por/ADP/case/4/_ isso/isso/PRON/obl/5/_ ficou/ficar/VERB/conj/1/Tense=Past|VerbForm=Fin ././PUNCT/punct/1/_
+Por/por/ADP/case/2/_ isso/isso/PRON/obl/3/_ partiu/partir/VERB/ROOT/3/Tense=Past|VerbForm=Fin ././PUNCT/punct/3/_
+Por/por/ADP/case/2/_ isso/isso/_/obl/3/_ veio/vir/VERB/ROOT/3/Tense=Past|VerbForm=Fin ././PUNCT/punct/3/_
+Disse/dizer/VERB/ROOT/1/Tense=Past|VerbForm=Fin que/que/SCONJ/mark/3/_ ficou/ficar/VERB/ccomp/1/Tense=Past|VerbForm=Fin porque/porque/SCONJ/mark/5/_ chovia/chover/VERB/advcl/3/Tense=Imp|VerbForm=Fin ././PUNCT/punct/1/_
+Contou/contar/VERB/ROOT/1/Tense=Past|VerbForm=Fin porque/porque/SCONJ/mark/3/_ fugiu/fugir/VERB/ccomp/1/Tense=Past|VerbForm=Fin ././PUNCT/punct/1/_
+
+Ele/ele/PRON/nsubj/2/_ gritou/gritar/VERB/ROOT/2/Tense=Past|VerbForm=Fin “/“/PUNCT/punct/6/_ «/«/PUNCT/punct/6/_ nunca/nunca/ADV/advmod/6/_ volto/voltar/VERB/parataxis/2/Tense=Pres|VerbForm=Fin »/»/PUNCT/punct/6/_ ”/”/PUNCT/punct/6/_
+Mas/mas/_/cc/2/_ saiu/sair/VERB/ROOT/2/Tense=Past|VerbForm=Fin ././PUNCT/punct/2/_
+Quando/quando/_/advmod/2/_ chegou/chegar/VERB/advcl/4/Tense=Past|VerbForm=Fin ,/,/PUNCT/punct/4/_ saiu/sair/VERB/ROOT/4/Tense=Past|VerbForm=Fin ././PUNCT/punct/4/_
 """
 
 COLUMNS = "doc_id long, period int, ord int, token string, lemma string, pos string, dep string, head int, feats string"
@@ -59,7 +88,7 @@ def rows() -> list[tuple]:
         words = line.split(" ")
         for w in words:
             form, lemma, pos, dep, head, feats = w.split("/") if not w.startswith("/") else [w[0], *w[2:].split("/")]
-            out.append((doc, period, len([r for r in out if r[0] == doc]), form, lemma, None if pos == "_" else pos, dep, ord_ + int(head) - 1, None if feats == "_" else feats))
+            out.append((doc, period, len([r for r in out if r[0] == doc]), form, None if lemma == "_" else lemma, None if pos == "_" else pos, dep, ord_ + int(head) - 1, None if feats == "_" else feats))
         ord_ += len(words)
         period += 1
     return out

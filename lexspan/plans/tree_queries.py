@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import annotate, rules, segment, tree
+from ..operators import annotate, notes, rules, segment, tree
 from . import fixture
 from .text_queries import PERIODS, bigints, blank_lined, documents, tagged
 
@@ -301,10 +301,6 @@ def rule_negation_multiple(spark, sf_dir):
     return of_rule(spark, "negation_multiple")
 
 
-def _flat(spark) -> DataFrame:
-    return rules.ordered(rules.detect(fixture.annotated(spark), only=["clause", "tense", "connector", "negation_nao"]))
-
-
 @query(BASE + " SELECT doc_id, CAST(period AS BIGINT) AS period, CAST(count(*) AS BIGINT) AS unknown FROM t WHERE pos IS NULL GROUP BY ALL")
 def rule_pos_gap_guard(spark, sf_dir):
     """Periods with a token of unknown class: no occurrence of theirs has a scope."""
@@ -314,17 +310,193 @@ def rule_pos_gap_guard(spark, sf_dir):
     return bigints(gaps.join(scoped, ["doc_id", "period"], "left_anti"))
 
 
-@query(None)
+@query(BASE + " SELECT e.doc_id, CAST(e.ord AS BIGINT) AS ord, CAST(e.parent AS BIGINT) AS verb FROM e JOIN n v ON v.doc_id = e.doc_id AND v.ord = e.parent WHERE e.nucleus AND e.dep IN ('ccomp', 'parataxis') AND v.lemma IN " + _in(rules.SPEECH) + " UNION SELECT e.doc_id, e.ord, p.parent FROM e JOIN e p ON p.doc_id = e.doc_id AND p.ord = e.parent JOIN n v ON v.doc_id = p.doc_id AND v.ord = p.parent WHERE e.nucleus AND p.dep IN ('ccomp', 'parataxis') AND v.lemma IN " + _in(rules.SPEECH))
+def rule_reported_speech(spark, sf_dir):
+    return bigints(rules.reported_speech(rules.Index(fixture.annotated(spark))))
+
+
+# Notes, pendings and records -----------------------------------------------------------------------------------------
+
+_RULES = [r for r, _, _ in rules.CATALOGUE]
+_SHOWN = {
+    "correlative_negation": "rule_correlative", "clause": "rule_clauses", "negation_nao": "rule_negation_simple", "negation_nunca": "rule_negation_temporal", "negation_nem": "rule_negation_additive", "negation_multiple": "rule_negation_multiple",
+    "tense": "rule_tense", "relative_time": "rule_relative_time", "modal_verbal": "rule_modal_verbal", "modal_lexical": "rule_modal_lexical", "connector": "rule_connector", "therefore": "rule_therefore",
+}
+
+
+def occurrences_sql(names: list[str] = _RULES) -> str:
+    """All occurrences of the named rules by the rules' own SQL: occ, with m (first marker) and n (first nucleus)."""
+    every = " UNION ALL ".join(f"SELECT doc_id, period, rule, category, marker, nucleus, scope FROM ({ORACLES[_SHOWN[r]]}) AS o_{r}" for r in names)
+    return f", occ AS (SELECT *, split_part(marker, ',', 1)::BIGINT AS m, CASE WHEN nucleus <> '' THEN split_part(nucleus, ',', 1)::BIGINT END AS n FROM ({every}) AS every_rule)"
+
+
+_WORDS = {"correlative_negation": ["não", "só", "somente", "apenas", "mas", "também"], "negation_nao": ["não"], "negation_nunca": ["nunca"], "negation_nem": ["nem"], "negation_multiple": ["não", "nunca", "nem"], "relative_time": ["ontem", "hoje", "amanhã", "quando"]}
+_ADJ, _ADVB = "('necessário', 'obrigatório', 'capaz')", "('talvez', 'possivelmente', 'provavelmente')"
+#: (doc_id, period, rule) of periods with a missing class in which the rule has a candidate.
+_AFFECTED = """, cand AS (
+  SELECT doc_id, period, 'clause' AS rule FROM e WHERE nucleus OR pos IS NULL
+  UNION SELECT doc_id, period, 'correlative_negation' FROM e WHERE low IN ('não', 'só', 'somente', 'apenas', 'mas', 'também') AND coalesce(pos, 'ADV') IN ('ADV', 'PART', 'CCONJ')
+  UNION SELECT doc_id, period, CASE low WHEN 'não' THEN 'negation_nao' WHEN 'nunca' THEN 'negation_nunca' ELSE 'negation_nem' END FROM e WHERE low IN ('não', 'nunca', 'nem') AND (coalesce(pos, 'ADV') IN ('ADV', 'PART', 'CCONJ') OR region IS NOT NULL)
+  UNION SELECT doc_id, period, 'negation_multiple' FROM e WHERE low IN ('não', 'nunca', 'nem') AND (coalesce(pos, 'ADV') IN ('ADV', 'PART', 'CCONJ') OR region IS NOT NULL)
+  UNION SELECT doc_id, period, 'tense' FROM e WHERE coalesce(pos, 'VERB') IN ('VERB', 'AUX')
+  UNION SELECT doc_id, period, 'relative_time' FROM e WHERE low IN ('ontem', 'hoje', 'amanhã', 'quando') AND coalesce(pos, 'ADV') IN ('ADV', 'SCONJ')
+  UNION SELECT doc_id, period, 'modal_verbal' FROM e WHERE pos IN ('VERB', 'AUX') AND (lem IS NULL OR lem IN """ + _in(rules.MODALS) + """)
+  UNION SELECT doc_id, period, 'modal_lexical' FROM e WHERE (low IN """ + _ADVB + """ AND coalesce(pos, 'ADV') = 'ADV') OR (lem IN """ + _ADJ + """ AND coalesce(pos, 'ADJ') = 'ADJ')
+  UNION SELECT doc_id, period, 'connector' FROM e WHERE low IN ('mas', 'porque', 'se', 'quando') AND coalesce(pos, 'ADV') IN ('CCONJ', 'SCONJ', 'ADV')
+  UNION SELECT p.doc_id, p.period, 'therefore' FROM e p JOIN e i ON i.doc_id = p.doc_id AND i.period = p.period AND i.ord = p.ord + 1 WHERE p.low = 'por' AND i.low = 'isso'),
+affected AS (SELECT cand.* FROM cand JOIN unk USING (doc_id, period))"""
+#: The markers that the simple rules leave to a complete correlative pair, by the pair's own SQL.
+_HIDDEN = """, hidden AS (SELECT doc_id, unnest([split_part(marker, ',', 1)::BIGINT, split_part(marker, ',', 3)::BIGINT]) AS ord FROM ({sql}) AS pairs)"""
+
+
+def pendings_sql() -> str:
+    one = lambda rule, kind, where, source="e": f"SELECT doc_id, '{rule}' AS rule, '{kind}' AS kind, ord::VARCHAR AS tokens FROM {source} WHERE {where}"
+    parts = [one(r, "class", f"pos IS NULL AND low IN {_in(w)}") for r, w in _WORDS.items()]
+    parts += [
+        "SELECT doc_id, 'clause', 'class', string_agg(ord::VARCHAR, ',' ORDER BY ord) FROM e WHERE pos IS NULL GROUP BY doc_id",
+        one("tense", "class", "pos IS NULL"), one("tense", "feature", "pos IN ('VERB', 'AUX') AND feats IS NULL"), one("modal_verbal", "class", "pos IS NULL"), one("modal_verbal", "lemma", "pos IN ('VERB', 'AUX') AND lemma IS NULL"),
+        one("modal_verbal", "infinitive", "pos IN ('VERB', 'AUX') AND dep = 'xcomp' AND coalesce(feats, '') NOT LIKE '%VerbForm=%' AND head <> ord AND EXISTS (SELECT 1 FROM e s WHERE s.doc_id = e.doc_id AND s.ord = e.head AND s.lem IN ('saber', 'conseguir') AND s.pos IN ('VERB', 'AUX'))"),
+        one("modal_lexical", "lemma", "pos = 'ADJ' AND nucleus AND lemma IS NULL"), one("modal_lexical", "class", f"pos IS NULL AND (low IN {_ADVB} OR lem IN {_ADJ})"),
+        one("connector", "class", "pos IS NULL AND low IN ('mas', 'porque', 'se', 'quando') AND NOT EXISTS (SELECT 1 FROM hidden h WHERE h.doc_id = e.doc_id AND h.ord = e.ord)"),
+        "SELECT p.doc_id, 'therefore', 'class', CASE WHEN p.pos IS NULL AND i.pos IS NULL THEN p.ord || ',' || i.ord WHEN p.pos IS NULL THEN p.ord::VARCHAR ELSE i.ord::VARCHAR END FROM e p JOIN e i ON i.doc_id = p.doc_id AND i.period = p.period AND i.ord = p.ord + 1 WHERE p.low = 'por' AND i.low = 'isso' AND (p.pos IS NULL OR i.pos IS NULL)",
+        "SELECT a.doc_id, a.rule, 'boundaries', string_agg(e.ord::VARCHAR, ',' ORDER BY e.ord) FROM affected a JOIN e ON e.doc_id = a.doc_id AND e.period = a.period WHERE e.pos IS NULL GROUP BY a.doc_id, a.period, a.rule",
+    ]
+    return _AFFECTED + _HIDDEN.format(sql=ORACLES["rule_correlative"]) + ", pend AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(parts) + ") AS p)"
+
+
+@query(BASE + pendings_sql() + " SELECT * FROM pend")
+def rule_pendings(spark, sf_dir):
+    """What the rules miss: classes, features, lemmas, infinitives, and boundaries that hang on missing classes."""
+    return notes.pendings(fixture.annotated(spark)).withColumn("tokens", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ","))
+
+
+def notes_sql() -> str:
+    ungated = {r: ORACLES[_SHOWN[r]].replace("CASE WHEN unk.doc_id IS NULL AND m.ok THEN s.scope END", "CASE WHEN m.ok THEN s.scope END") for r in ("negation_nao", "negation_nunca", "negation_nem")}
+    single = " UNION ALL ".join(f"SELECT doc_id, period, rule, category, marker::BIGINT AS m, nucleus, scope FROM ({q}) AS u_{r}" for r, q in ungated.items())
+    note = lambda kind, code, source, target="NULL": f"SELECT doc_id, period, rule, category, m AS ord, '{kind}' AS kind, '{code}' AS code, {target} AS target FROM {source}"
+    limited = [note("link", "marker_negation", "negated", "x"), note("ambiguity", "negated_marker", "negated"), note("link", "negation_in_content", "denied", "x"), note("ambiguity", "negated_content", "denied"), note("context", "content", "modal WHERE NOT EXISTS (SELECT 1 FROM content c WHERE c.doc_id = modal.doc_id AND c.m = modal.m)")]
+    quoted = [
+        note("link", "quote_delimiter", "looked WHERE region IS NOT NULL", "region"), note("ambiguity", "quoted", "looked WHERE closed"), note("context", "mention_or_speech", "looked WHERE closed AND coalesce(n_region, -1) <> region"),
+        note("ambiguity", "unclosed_quote", "looked WHERE region IS NOT NULL AND NOT closed"), note("context", "unclosed_quote", "looked WHERE region IS NOT NULL AND NOT closed"), note("context", "nested_quotes", "looked WHERE nested"),
+        note("link", "reported_speech", "looked WHERE verb IS NOT NULL", "verb"), note("ambiguity", "reported", "looked WHERE verb IS NOT NULL"), note("context", "source_of_speech", "looked WHERE verb IS NOT NULL"),
+    ]
+    own = [
+        note("ambiguity", "constituent", "single JOIN e x ON x.doc_id = single.doc_id AND x.ord = single.m JOIN e h ON h.doc_id = x.doc_id AND h.ord = x.head WHERE x.pos IN ('ADV', 'PART', 'CCONJ') AND x.dep IN ('advmod', 'neg', 'cc', 'root') AND x.head <> x.ord AND h.pos IS NOT NULL AND NOT h.nucleus AND h.dep NOT IN ('aux', 'cop')").replace("doc_id, period, rule, category", "single.doc_id, single.period, single.rule, single.category", 1),
+        note("context", "scope", "single WHERE scope IS NULL"), note("context", "time_reference", "occ WHERE category = 'relative_reference'"),
+        *(note("alternative", a, "occ JOIN lemmas USING (doc_id, m) WHERE rule = 'modal_verbal' AND lem = 'poder'") for a in ("possibility", "permission", "capacity")),
+        *(note(k, "reading_of_poder", "occ JOIN lemmas USING (doc_id, m) WHERE rule = 'modal_verbal' AND lem = 'poder'") for k in ("ambiguity", "context")),
+        *(note("alternative", a, "occ JOIN lemmas USING (doc_id, m) WHERE rule = 'modal_verbal' AND lem = 'dever'") for a in ("obligation", "epistemic_inference")),
+        note("ambiguity", "reading_of_dever", "occ JOIN lemmas USING (doc_id, m) WHERE rule = 'modal_verbal' AND lem = 'dever'"), note("context", "expressed_wish", "occ WHERE rule = 'modal_verbal' AND category = 'wish'"),
+        note("link", "content", f"occ JOIN (SELECT doc_id AS d, head, ord AS x FROM e WHERE dep IN {_in(rules.COMPLEMENTS)} AND head <> ord) k ON k.d = occ.doc_id AND k.head = occ.m WHERE rule = 'modal_lexical' AND category IN ('necessity', 'obligation', 'capacity')", "x"),
+        note("context", "related_unit", "occ WHERE rule = 'connector' AND (SELECT parent FROM e WHERE e.doc_id = occ.doc_id AND e.ord = occ.n) IS NULL"), note("ambiguity", "cause_in_complement", "occ WHERE rule = 'connector' AND category = 'cause' AND (SELECT dep FROM e WHERE e.doc_id = occ.doc_id AND e.ord = occ.n) = 'ccomp'"),
+        note("ambiguity", "antecedent", "occ WHERE rule = 'therefore' AND coalesce((SELECT parent FROM e WHERE e.doc_id = occ.doc_id AND e.ord = occ.n) < m, false)"), note("context", "antecedent", "occ WHERE rule = 'therefore' AND NOT coalesce((SELECT parent FROM e WHERE e.doc_id = occ.doc_id AND e.ord = occ.n) < m, false)"),
+    ]
+    every = " UNION ALL ".join([*quoted, *limited, *own])
+    return _AFFECTED + occurrences_sql() + f""", single AS ({single}), lemmas AS (SELECT doc_id, ord AS m, lem FROM e),
+speech AS ({ORACLES["rule_reported_speech"]}),
+place AS (SELECT occ.*, CASE WHEN rule = 'therefore' THEN split_part(marker, ',', 2)::BIGINT ELSE m END AS at FROM occ WHERE rule NOT IN ('clause', 'negation_multiple')),
+seen AS (SELECT p.*, x.region, coalesce(x.rclosed, false) AND x.region IS NOT NULL AS closed, CASE WHEN rule IN ('modal_verbal', 'modal_lexical') THEN x.owner ELSE p.n END AS nuc,
+  coalesce(x.region IS NOT NULL AND EXISTS (SELECT 1 FROM reg o JOIN reg i ON i.doc_id = o.doc_id AND i.opened = x.region WHERE o.doc_id = p.doc_id AND o.opened < i.opened AND (o.closed IS NULL OR o.closed > i.opened)), false) AS nested
+  FROM place p JOIN e x ON x.doc_id = p.doc_id AND x.ord = p.at),
+looked AS (SELECT s.*, (SELECT region FROM r WHERE r.doc_id = s.doc_id AND r.ord = s.nuc) AS n_region, (SELECT min(verb) FROM speech v WHERE v.doc_id = s.doc_id AND v.ord = s.nuc) AS verb FROM seen s),
+modal AS (SELECT occ.*, x.pos AS m_pos, x.dep AS m_dep, x.head AS m_head FROM occ JOIN e x ON x.doc_id = occ.doc_id AND x.ord = occ.m WHERE rule IN ('modal_verbal', 'modal_lexical')),
+content AS (SELECT modal.doc_id, modal.m, anc.ord AS x FROM modal JOIN e k ON k.doc_id = modal.doc_id AND k.head = modal.m AND k.ord <> modal.m AND k.dep IN {_in(rules.COMPLEMENTS)} JOIN anc ON anc.doc_id = k.doc_id AND anc.top = k.ord WHERE m_pos <> 'ADV' AND m_dep <> 'aux'
+  UNION SELECT modal.doc_id, modal.m, anc.ord FROM modal JOIN anc ON anc.doc_id = modal.doc_id AND anc.top = modal.m_head WHERE m_pos <> 'ADV' AND m_dep = 'aux' AND anc.ord <> modal.m
+  UNION SELECT doc_id, m, unnest(string_split(scope, ','))::BIGINT FROM modal WHERE m_pos = 'ADV' AND scope IS NOT NULL),
+negator AS (SELECT doc_id AS d, ord AS x, head FROM e WHERE low IN ('não', 'nunca', 'nem') AND dep IN ('advmod', 'neg', 'cc')),
+negated AS (SELECT modal.*, x FROM modal JOIN negator ON d = doc_id AND negator.head = modal.m AND x <> modal.m),
+denied AS (SELECT modal.doc_id, period, rule, category, modal.m, min(negator.x) AS x FROM modal JOIN content c ON c.doc_id = modal.doc_id AND c.m = modal.m JOIN negator ON d = c.doc_id AND negator.x = c.x GROUP BY ALL),
+made AS ({every}),
+several AS (SELECT o.doc_id, made.period, o.rule, o.category, made.ord, kind, code, target FROM made JOIN occ o ON o.rule = 'negation_multiple' AND o.doc_id = made.doc_id AND o.m = made.ord WHERE made.rule IN ('negation_nao', 'negation_nunca', 'negation_nem')),
+gaps AS (SELECT occ.doc_id, occ.period, occ.rule, category, m AS ord, 'context' AS kind, 'missing_class' AS code, NULL AS target FROM occ JOIN affected USING (doc_id, period, rule)),
+noted AS (SELECT DISTINCT doc_id, CAST(period AS BIGINT) AS period, rule, category, CAST(ord AS BIGINT) AS ord, kind, code, CAST(target AS BIGINT) AS target FROM (SELECT * FROM made UNION ALL SELECT * FROM several UNION ALL SELECT * FROM gaps) AS n)"""
+
+
+@query(BASE + notes_sql() + " SELECT * FROM noted")
+def rule_context_notes(spark, sf_dir):
+    """Links, ambiguities, alternatives and needs of context of all occurrences."""
+    return bigints(notes.notes(fixture.annotated(spark)))
+
+
+@query(_HIDDEN.format(sql=ORACLES["rule_correlative"]).replace(", hidden", "WITH hidden", 1) + " SELECT doc_id, CAST(ord AS BIGINT) AS ord FROM hidden")
+def rule_suppression(spark, sf_dir):
+    """The não and mas that the simple rules leave to complete correlative pairs."""
+    return bigints(rules.suppressed(rules.Index(fixture.annotated(spark)).pairs()))
+
+
+@query(BASE + pendings_sql() + occurrences_sql() + f""", names(rule) AS (VALUES {", ".join(f"('{r}')" for r in _RULES)}),
+n_occ AS (SELECT rule, count(*) AS k FROM occ GROUP BY rule), n_pend AS (SELECT rule, count(*) AS k FROM pend GROUP BY rule)
+SELECT rule, CAST(CASE WHEN rule IN ('tense', 'therefore') THEN 0 ELSE coalesce(o.k, 0) END AS BIGINT) AS occurrences, CAST(CASE WHEN rule IN ('tense', 'therefore') THEN 0 ELSE coalesce(p.k, 0) END AS BIGINT) AS pendings,
+  CASE WHEN rule = 'therefore' THEN 'disabled' WHEN rule = 'tense' THEN 'failed' WHEN coalesce(p.k, 0) = 0 THEN 'done' WHEN coalesce(o.k, 0) > 0 THEN 'done_with_pendings' ELSE 'blocked' END AS state
+FROM names LEFT JOIN n_occ o USING (rule) LEFT JOIN n_pend p USING (rule)""")
+def rule_states(spark, sf_dir):
+    """States of the rules' runs over the annotated sentences; one rule is switched off and one counts as failed."""
+    rows = fixture.annotated(spark)
+    ix, names = rules.Index(rows), [r for r in _RULES if r != "therefore"]
+    enabled = rules.catalogue(spark).select("rule", (F.col("rule") != "therefore").alias("enabled"))
+    return bigints(rules.states(rules.detect(rows, names, ix), notes.pendings(rows, names, ix), enabled, failed=["tense"]))
+
+
+@query(BASE + occurrences_sql() + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY m, rule, category, marker) - 1 AS number, rule, category, m AS first_marker FROM occ")
 def occ_order(spark, sf_dir):
-    rows = _flat(spark)
+    rows = rules.ordered(rules.detect(fixture.annotated(spark)))
     return bigints(rows.select("doc_id", "number", "rule", "category", F.element_at("marker", 1).alias("first_marker")))
 
 
-@query(None)
+@query(BASE + occurrences_sql(["clause", "connector", "tense"]) + """, l AS (SELECT doc_id, rule, m, 'predicate' AS kind, n AS target FROM occ WHERE rule = 'tense' AND n IS NOT NULL UNION ALL SELECT doc_id, rule, m, 'marked_clause', n FROM occ WHERE rule = 'connector'
+  UNION ALL SELECT occ.doc_id, rule, m, 'related_to', e.parent FROM occ JOIN e ON e.doc_id = occ.doc_id AND e.ord = occ.n WHERE rule = 'connector' AND e.parent IS NOT NULL),
+c AS (SELECT doc_id, n AS target, m AS clause_marker FROM occ WHERE rule = 'clause')
+SELECT doc_id, rule, m AS first_marker, kind, CAST(target AS BIGINT) AS target, clause_marker FROM l LEFT JOIN c USING (doc_id, target)""")
 def occ_links(spark, sf_dir):
     return bigints(rules.clause_links(rules.detect(fixture.annotated(spark), only=["clause", "connector", "tense"])))
 
 
+@query(BASE + occurrences_sql() + """, ev AS (SELECT DISTINCT doc_id, rule, category, m, unnest(string_split(marker || CASE WHEN nucleus = '' THEN '' ELSE ',' || nucleus END, ','))::BIGINT AS token FROM occ)
+SELECT ev.doc_id, rule, category, m AS first_marker, ev.token, a.lemma, a.pos, a.feats, a.dep, CAST(a.head AS BIGINT) AS head FROM ev JOIN a ON a.doc_id = ev.doc_id AND a.ord = ev.token""")
+def occ_evidence(spark, sf_dir):
+    """The annotations of each occurrence's marker and nucleus."""
+    rows = fixture.annotated(spark)
+    return bigints(notes.annotations_used(rules.detect(rows), rows))
+
+
+@query(BASE + notes_sql() + """, cl AS (SELECT doc_id, n AS target, m AS to_marker FROM occ WHERE rule = 'clause'),
+tied AS (SELECT doc_id, rule, m, unnest(string_split(nucleus, ','))::BIGINT AS target FROM occ WHERE rule <> 'clause' AND nucleus <> ''),
+neg AS (SELECT doc_id, m AS target, rule AS to_rule FROM occ WHERE rule IN ('negation_nao', 'negation_nunca', 'negation_nem'))
+SELECT DISTINCT t.doc_id, t.rule, t.m AS first_marker, 'associated_structure' AS kind, 'clause' AS to_rule, cl.to_marker FROM tied t JOIN cl USING (doc_id, target)
+UNION SELECT n.doc_id, n.rule, n.ord, n.code, 'clause', cl.to_marker FROM noted n JOIN cl ON cl.doc_id = n.doc_id AND cl.target = n.target WHERE n.kind = 'link'
+UNION SELECT n.doc_id, n.rule, n.ord, n.code, neg.to_rule, neg.target FROM noted n JOIN neg ON neg.doc_id = n.doc_id AND neg.target = n.target WHERE n.kind = 'link' AND n.code IN ('marker_negation', 'negation_in_content')""")
+def occ_associated(spark, sf_dir):
+    """Links from occurrence to occurrence: the clauses of nuclei, and those that the notes lead to."""
+    rows = fixture.annotated(spark)
+    ix = rules.Index(rows)
+    made = notes.occurrence_links(rules.ordered(rules.detect(rows, index=ix)), notes.notes(rows, index=ix))
+    coded = ["associated_structure", "quote_delimiter", "reported_speech", "marker_negation", "negation_in_content"]
+    noted = F.col("kind").isin(coded) | ((F.col("rule") == "modal_lexical") & (F.col("kind") == "content"))
+    return bigints(made.where(noted))
+
+
+@query(BASE + occurrences_sql(["tense"]) + """ SELECT doc_id, rule, m AS first_marker, 'unknown' AS "check" FROM occ WHERE m % 5 = 0 UNION ALL SELECT doc_id, rule, m, 'repeated' FROM occ WHERE m % 5 = 1 UNION ALL SELECT doc_id, rule, m, 'empty_scope' FROM occ WHERE m % 5 = 2
+UNION ALL SELECT doc_id, rule, m, 'periods' FROM occ WHERE m % 5 = 3 AND period > 0""")
+def occ_proposals(spark, sf_dir):
+    """Occurrences of verb forms, damaged by the place of their marker: each damage is named, and no other."""
+    rows = fixture.annotated(spark)
+    found, first = rules.detect(rows, only=["tense"]), F.element_at("marker", 1)
+    kind = first % 5
+    nucleus = F.when(kind == 0, F.array(F.lit(-9))).when(kind == 1, F.array(first, first)).when((kind == 3) & (F.col("period") > 0), F.array(F.lit(0))).otherwise(F.col("nucleus"))
+    scope = F.when(kind == 2, F.array().cast("array<int>")).otherwise(F.col("scope"))
+    return bigints(notes.proposal_violations(found.withColumn("nucleus", nucleus.cast("array<int>")).withColumn("scope", scope), rows))
+
+
+@query(BASE + occurrences_sql(["clause"]) + " SELECT doc_id, 'clause' AS rule, 'recorded' AS side, count(*) AS rows FROM occ WHERE m % 4 = 1 GROUP BY doc_id UNION ALL SELECT doc_id, 'clause', 'recomputed', count(*) FROM occ WHERE m % 4 IN (1, 2) GROUP BY doc_id")
+def occ_recompute(spark, sf_dir):
+    """A record in which some occurrences were changed and some left out, against a new run; a rule that had failed is left out."""
+    rows = fixture.annotated(spark)
+    kept = rules.detect(rows).where("rule not in ('tense', 'connector')").where("rule <> 'clause' or element_at(marker, 1) % 4 <> 2")
+    kept = kept.withColumn("category", F.when((F.col("rule") == "clause") & (F.element_at("marker", 1) % 4 == 1), "changed").otherwise(F.col("category")))
+    enabled = [r for r in _RULES if r != "connector"]
+    return notes.differences(kept, rows, enabled, failed=["tense"]).groupBy("doc_id", "rule", "side").agg(F.count("*").alias("rows"))
+
+
 @query(TREES + " , f AS (SELECT doc_id, owner, ord, ord - row_number() OVER (PARTITION BY doc_id, owner ORDER BY ord) AS island FROM own) SELECT doc_id, owner, CAST(min(ord) AS BIGINT) AS first, CAST(max(ord) AS BIGINT) AS last FROM f GROUP BY doc_id, owner, island")
 def occ_fragments(spark, sf_dir):
     """Runs of consecutive tokens of each clause."""
@@ -347,8 +519,3 @@ def rule_family_rollup(spark, sf_dir):
     catalogue = rules.catalogue(spark)
     states = rules.states(d.where("event_id % 36 <> 4"), d.where("event_id % 24 = 5"), catalogue.select("rule", (F.col("rule") != "tense").alias("enabled")))
     return bigints(rules.by_family(states, catalogue))
-
-
-@query(BASE + " SELECT e.doc_id, CAST(e.ord AS BIGINT) AS ord, CAST(e.parent AS BIGINT) AS verb FROM e JOIN n v ON v.doc_id = e.doc_id AND v.ord = e.parent WHERE e.nucleus AND e.dep IN ('ccomp', 'parataxis') AND v.lemma IN " + _in(rules.SPEECH) + " UNION SELECT e.doc_id, e.ord, p.parent FROM e JOIN e p ON p.doc_id = e.doc_id AND p.ord = e.parent JOIN n v ON v.doc_id = p.doc_id AND v.ord = p.parent WHERE e.nucleus AND p.dep IN ('ccomp', 'parataxis') AND v.lemma IN " + _in(rules.SPEECH))
-def rule_reported_speech(spark, sf_dir):
-    return bigints(rules.reported_speech(rules.Index(fixture.annotated(spark))))
