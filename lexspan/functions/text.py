@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +16,15 @@ BLANK_LINE = r"(?:\r\n|\n)[ \t]*(?:\r\n|\n)(?:[ \t]*(?:\r\n|\n))*"
 #: Words of the structural validator: letters and digits with inner hyphens or apostrophes.
 STORY_WORD = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
 
-# Letters with diacritics and their base letters, used where Unicode decomposition is not available.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+def _folded(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c.casefold()) if unicodedata.category(x) != "Mn")
+
+
+#: Letters of the basic plane whose case folding without marks is another single letter, and those where it is several
+#: letters: made from the Unicode data, surrogates left out. Decomposed marks are dropped before.
+_FOLDS = {c: _folded(c) for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if unicodedata.category(c)[0] in "LNS"}
+SINGLE = {c: f for c, f in _FOLDS.items() if f != c and len(f) == 1}
+SEVERAL = {c: f for c, f in _FOLDS.items() if len(f) > 1 and not 0xAC00 <= ord(c) <= 0xD7A3}
 
 # Function words that are not index terms.
 FUNCTION_WORDS = (
@@ -30,12 +39,15 @@ def sha256(text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Case folding without marks: decomposed, marks dropped. Hangul syllables stay composed."""
+    bare = F.regexp_replace(text, r"\p{Mn}", "")
+    rare = F.when(bare.rlike("[" + "".join(SEVERAL) + "]"), reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(SEVERAL[c])), SEVERAL, bare)).otherwise(bare)
+    return F.translate(F.lower(rare), "".join(SINGLE), "".join(SINGLE.values()))
 
 
 def terms(text: Column) -> Column:
-    """Index terms in order: plain letters, longer than one, without function words."""
-    found = F.regexp_extract_all(plain(text), F.lit(r"(\p{L}+)"), F.lit(1))
+    """Index terms in order: runs of plain letters (and numerals other than digits), longer than one, without function words."""
+    found = F.regexp_extract_all(plain(text), F.lit(r"([\p{L}\p{Nl}\p{No}]+)"), F.lit(1))
     stop = F.array(*map(F.lit, FUNCTION_WORDS))
     return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
@@ -44,6 +56,22 @@ def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substr(text, start + F.lit(1), end - start)
 
 
+#: Spans cut out of one chunk of a text, so that no cut walks the whole text.
+TOGETHER = 64
+
+
+def cut_all(text: Column, spans: Column) -> Column:
+    """The texts under spans (start_pos, end_pos), which ascend by start; each chunk of TOGETHER spans is cut once."""
+    groups = F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(TOGETHER)), lambda g: F.slice(spans, g, TOGETHER))
+
+    def cut_group(some: Column) -> Column:
+        begin = F.element_at(some, 1)["start_pos"]
+        chunk = F.array(F.struct(cut(text, begin.cast("int"), F.array_max(some["end_pos"]).cast("int")).alias("t")))
+        return F.element_at(F.transform(chunk, lambda c: F.transform(some, lambda x: cut(c["t"], (x["start_pos"] - begin).cast("int"), (x["end_pos"] - begin).cast("int")))), 1)
+
+    return F.when(F.size(spans) > 0, F.flatten(F.transform(groups, cut_group))).otherwise(F.array().cast("array<string>"))
+
+
 def canonical(struct: Column) -> Column:
     """Canonical JSON of a struct whose fields are declared in alphabetical order at every level."""
     return F.to_json(struct, {"ignoreNullFields": "false"})

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical, cut, sha256
+from ..functions.text import canonical, cut_all, sha256
 
 # Reasons why a window ends where it does, and the limits of one run.
 REASONS = ("zero_radius", "radius_met", "document_edge", "paragraph_fence")
@@ -35,42 +37,76 @@ def windows(periods: DataFrame, before: int = 1, after: int = 1, cross: bool = F
 
 
 def with_digests(units: DataFrame, docs: DataFrame) -> DataFrame:
-    """Digests of the focus and of the window, separators between its periods included."""
-    rows = units.join(docs.select("doc_id", "text"), "doc_id")
-    focus, window = cut(F.col("text"), F.col("start_pos"), F.col("end_pos")), cut(F.col("text"), F.col("window_start"), F.col("window_end"))
-    return rows.select(*units.columns, sha256(focus).alias("focus_sha256"), sha256(window).alias("window_sha256"), F.length(window).cast("long").alias("window_chars"))
+    """Digests of the focus and of the window, separators between its periods included. A document's units are gathered
+    and its text is cut once."""
+    spans = lambda a, b: F.transform("u", lambda x: F.struct(x[a].alias("start_pos"), x[b].alias("end_pos")))
+    rows = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("period", *(c for c in units.columns if c not in ("doc_id", "period"))))).alias("u"))
+    rows = rows.join(docs.select("doc_id", "text"), "doc_id")
+    digests = lambda a, b: F.transform(cut_all(F.col("text"), spans(a, b)), lambda t: F.struct(sha256(t).alias("sha"), F.length(t).cast("long").alias("n")))
+    rows = rows.select("doc_id", F.explode(F.arrays_zip("u", digests("start_pos", "end_pos").alias("f"), digests("window_start", "window_end").alias("w"))).alias("x"))
+    return rows.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"x.u.{c}").alias(c) for c in units.columns), F.col("x.f.sha").alias("focus_sha256"), F.col("x.w.sha").alias("window_sha256"), F.col("x.w.n").alias("window_chars"))
 
 
-def logical_ids(units: DataFrame, periods: DataFrame, docs: DataFrame, before: int, after: int, cross: bool) -> DataFrame:
+def logical_ids(periods: DataFrame, docs: DataFrame, before: int, after: int, cross: bool) -> DataFrame:
     """An identity made of content alone: digest of the text, spans of the focus and of the window's periods, policy."""
-    spans = F.array_sort(F.collect_list(F.struct("p_end", "p_start"))).alias("periods")
-    inside = units.join(periods.select("doc_id", F.col("period").alias("p"), F.col("start_pos").alias("p_start"), F.col("end_pos").alias("p_end")), "doc_id").where("p between first_period and last_period")
-    rows = inside.groupBy("doc_id", "period", "start_pos", "end_pos").agg(spans).join(docs.select("doc_id", sha256(F.col("text")).alias("digest")), "doc_id")
-    listed = F.transform("periods", lambda x: F.struct(x["p_end"].cast("long").alias("end"), x["p_start"].cast("long").alias("start")))
-    identity = F.struct(
-        F.struct(F.col("digest").alias("sha256")).alias("document"), F.struct(F.col("end_pos").cast("long").alias("end"), F.col("start_pos").cast("long").alias("start")).alias("focus"), listed.alias("periods"),
-        F.struct(F.lit(after).alias("after"), F.lit(before).alias("before"), F.lit(cross).alias("cross")).alias("policy"), F.lit(IDENTITY_VERSION).alias("version"),
-    )
+    frame = Window.partitionBy("doc_id", *([] if cross else ["paragraph"])).orderBy("period").rowsBetween(-before, after)
+    span = F.struct(F.col("end_pos").cast("long").alias("end"), F.col("start_pos").cast("long").alias("start"))
+    rows = periods.select("doc_id", "period", span.alias("focus"), F.collect_list(span).over(frame).alias("periods")).join(docs.select("doc_id", sha256(F.col("text")).alias("digest")), "doc_id")
+    policy = F.struct(F.lit(after).alias("after"), F.lit(before).alias("before"), F.lit(cross).alias("cross"))
+    identity = F.struct(F.struct(F.col("digest").alias("sha256")).alias("document"), "focus", "periods", policy.alias("policy"), F.lit(IDENTITY_VERSION).alias("version"))
     return rows.select("doc_id", "period", sha256(canonical(identity)).alias("logical_id"))
 
 
-def cost(units: DataFrame) -> DataFrame:
-    """What a run over each document would make, before it is made, and whether it stays within the limits."""
-    out = units.groupBy("doc_id").agg(F.count("*").alias("units"), F.sum(F.col("last_period") - F.col("first_period") + 1).alias("period_refs"), F.sum(F.col("window_end") - F.col("window_start")).alias("chars"))
-    return out.withColumn("allowed", (F.col("units") <= MOST["units"]) & (F.col("period_refs") <= MOST["period_refs"]) & (F.col("chars") <= MOST["chars"]))
+def cost(units: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """What a run over each document would make, before it is made, and whether it stays within the limits. references:
+    doc_id, period, paragraph, tokens, refs (annotations, entities, occurrences and their links), notes, for each period;
+    with them, references count what the windows' records would repeat."""
+    sums = [F.count("*").alias("units"), F.sum(F.col("last_period") - F.col("first_period") + 1).alias("period_refs"), F.sum(F.col("window_end") - F.col("window_start")).alias("chars")]
+    if references is not None:
+        upto = references.select("doc_id", "period", "paragraph", "tokens", "refs", "notes", *(F.sum(c).over(Window.partitionBy("doc_id").orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"{c}_upto") for c in ("refs", "notes")))
+        last = upto.select("doc_id", F.col("period").alias("last_period"), F.col("refs_upto").alias("r1"), F.col("notes_upto").alias("n1"), F.col("paragraph").alias("p1"))
+        first = upto.select("doc_id", F.col("period").alias("first_period"), (F.col("refs_upto") - F.col("refs")).alias("r0"), (F.col("notes_upto") - F.col("notes")).alias("n0"), F.col("paragraph").alias("p0"))
+        units = units.join(last, ["doc_id", "last_period"]).join(first, ["doc_id", "first_period"]).join(references.select("doc_id", "period", "tokens"), ["doc_id", "period"])
+        n, paragraphs = F.col("last_period") - F.col("first_period") + 1, F.col("p1") - F.col("p0") + 1
+        sums.append(F.sum(F.col("r1") - F.col("r0") + F.col("tokens") + 2 * n + paragraphs + 6 + (F.col("n1") - F.col("n0")) * (2 * n + paragraphs + 2)).alias("references"))
+    out = units.groupBy("doc_id").agg(*sums)
+    return out.withColumn("allowed", reduce(lambda x, y: x & y, (F.col(c) <= MOST[c] for c in out.columns if c in MOST)))
+
+
+def refused(units: DataFrame, costs: DataFrame) -> DataFrame:
+    """The units, or an error where their document's cost exceeds a limit: nothing is left out or cut short."""
+    checked = costs.select("doc_id", F.when(F.col("allowed"), True).otherwise(F.raise_error(F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(" exceeds the limits of a run"))).cast("boolean")).alias("allowed"))
+    return units.join(checked, "doc_id").where("allowed").drop("allowed")
+
+
+def owner_references(units: DataFrame, layers: DataFrame) -> DataFrame:
+    """layers: doc_id, period (the owner), layer, ref. References of each unit, those of its focus and of its neighbours
+    apart: doc_id, period, owner, role, layer, refs (in order)."""
+    held = layers.groupBy("doc_id", F.col("period").alias("owner"), "layer").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
+    windows_ = units.select("doc_id", "period", F.explode(F.sequence("first_period", "last_period")).alias("owner"))
+    role = F.when(F.col("owner") == F.col("period"), "focus").otherwise("neighbour")
+    return windows_.join(held, ["doc_id", "owner"]).select("doc_id", "period", "owner", role.alias("role"), "layer", "refs")
+
+
+def _holding(units: DataFrame, rows: DataFrame, at: str) -> DataFrame:
+    """Each row beside the units whose windows hold its period `at`: a unit's window reaches no further than the widest
+    radius, so a row meets as many candidate units as a window has periods."""
+    reach = units.groupBy("doc_id").agg(F.max("selected_before").alias("b"), F.max("selected_after").alias("a"))
+    near = rows.join(reach, "doc_id").withColumn("focus", F.explode(F.sequence((F.col(at) - F.col("a")).cast("long"), (F.col(at) + F.col("b")).cast("long")))).drop("a", "b")
+    return near.join(units.select("doc_id", F.col("period").alias("focus"), "first_period", "last_period"), ["doc_id", "focus"]).where(F.col(at).between(F.col("first_period"), F.col("last_period")))
 
 
 def pendings(units: DataFrame, occurrences: DataFrame) -> DataFrame:
     """occurrences: doc_id, occurrence, period, notes (array of struct(field, number, message)). One row for each note of
     an occurrence in a window, with its role."""
     notes = occurrences.select("doc_id", "occurrence", F.col("period").alias("source_period"), F.explode("notes").alias("n"))
-    rows = units.select("doc_id", "period", "first_period", "last_period").join(notes, "doc_id").where("source_period between first_period and last_period")
-    return rows.select("doc_id", "period", "occurrence", "source_period", F.col("n.field").alias("field"), F.col("n.number").alias("number"), F.col("n.message").alias("message"), F.when(F.col("source_period") == F.col("period"), "focus").otherwise("neighbour").alias("role"))
+    rows = _holding(units, notes, "source_period")
+    return rows.select("doc_id", F.col("focus").alias("period"), "occurrence", "source_period", F.col("n.field").alias("field"), F.col("n.number").alias("number"), F.col("n.message").alias("message"), F.when(F.col("source_period") == F.col("focus"), "focus").otherwise("neighbour").alias("role"))
 
 
 def link_places(units: DataFrame, links: DataFrame) -> DataFrame:
     """links: doc_id, occurrence, period, target_period. Is the target inside the window of the unit that holds it?"""
-    rows = units.select("doc_id", F.col("period").alias("focus"), "first_period", "last_period").join(links, "doc_id").where("period between first_period and last_period")
+    rows = _holding(units, links, "period")
     inside = F.coalesce(F.col("target_period").between(F.col("first_period"), F.col("last_period")), F.lit(False))
     return rows.select("doc_id", "focus", "occurrence", "period", "target_period", F.when(inside, "in_window").otherwise("outside_window").alias("place"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cut, sha256, terms
+from ..sources.stage import materialized
 
 # Parameters of the scores and the fusion, limits of a report and of a request.
 K1, B, RRF, TOP, FINAL = 1.2, 0.75, 60, 50, 12
@@ -16,35 +17,50 @@ BREAK = r"(?:\r\n|\n|\r)"
 PASSAGE = r"[^.!?\n]+[.!?]*"
 
 
-def postings(fragments: DataFrame) -> DataFrame:
-    """fragments: frag, text. (term, frag, tf, size); counted on the map side, so a frequent term costs a row a fragment."""
-    rows = fragments.select("frag", F.explode(terms(F.col("text"))).alias("term"))
-    counts = rows.groupBy("frag", "term").agg(F.count("*").alias("tf"))
-    size = counts.groupBy("frag").agg(F.sum("tf").alias("size"))
-    return counts.join(size, "frag")
+def _indexed(fragments: DataFrame) -> DataFrame:
+    """(frag, size, terms) of a fragment's header, if it has one, and text."""
+    text = F.concat_ws("\n", "header", "text") if "header" in fragments.columns else F.col("text")
+    return fragments.select("frag", terms(text).alias("terms")).select("frag", F.greatest(F.size("terms"), F.lit(0)).alias("size"), "terms")
 
 
-def statistics(fragments: DataFrame, index: DataFrame) -> DataFrame:
+def postings(fragments: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """fragments: frag, text, and header if there is one. (term, frag, tf, size), of the wanted terms (term) only if they
+    are given; counted on the map side, so a frequent term costs a row a fragment."""
+    rows = _indexed(fragments).select("frag", "size", F.explode("terms").alias("term"))
+    if wanted is not None:
+        rows = rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("frag", "size", "term").agg(F.count("*").alias("tf"))
+
+
+def statistics(fragments: DataFrame) -> DataFrame:
     """One row: n fragments, mean size (empty fragments count; 1 if all are empty)."""
-    total = index.select("frag", "size").distinct().agg(F.sum("size").alias("total"))
-    return fragments.agg(F.count("*").alias("n")).crossJoin(total).select("n", F.when(F.coalesce("total", F.lit(0)) == 0, 1.0).otherwise(F.col("total") / F.col("n")).alias("mean"))
+    sums = _indexed(fragments).agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    return sums.select("n", F.when(F.coalesce("total", F.lit(0)) == 0, 1.0).otherwise(F.col("total") / F.col("n")).alias("mean"))
+
+
+#: Up to so many rows of terms or queries are broadcast.
+FEW = 100_000
 
 
 def bm25(queries: DataFrame, fragments: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """queries: query, text. (query, frag, score) of fragments that share a term; a query's terms count once."""
-    index = postings(fragments) if index is None else index
-    wanted = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    """queries: query, text. (query, frag, score) of fragments that share a term; a query's terms count once. Without an
+    index only the postings of the queries' terms are counted, and written once."""
+    asked = materialized(queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
+    words = asked.select("term").distinct()
+    if index is None:
+        index = materialized(postings(fragments, F.broadcast(words) if words.count() <= FEW else words))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    rows = wanted.join(df, "term").join(index, "term").crossJoin(F.broadcast(statistics(fragments, index)))  # one row
+    rows = asked.join(df, "term").join(index, "term").crossJoin(F.broadcast(statistics(fragments)))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     return rows.groupBy("query", "frag").agg(F.round(F.sum(part), 9).alias("score"))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, few: int) -> DataFrame:
-    """queries: query, q; vectors: frag, v. Every fragment against a stated set of `few` queries, which is broadcast."""
-    if few > 100_000:
-        raise ValueError("score queries in sets of at most 100,000")
+def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """queries: query, q; vectors: frag, v. Every fragment against a set of at most FEW queries, which is counted and
+    broadcast. `best` behind it keeps the best of each partition before anything is shuffled."""
+    if queries.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"score queries in sets of at most {FEW}")
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
     return vectors.crossJoin(F.broadcast(queries)).select("query", "frag", F.round(dot, 9).alias("score"))
 

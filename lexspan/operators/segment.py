@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK_LINE, PIECES, cut, sha256
+from ..functions.text import BLANK_LINE, PIECES, cut_all, sha256
 
 # Titles before whose dot no period ends, closing and opening marks.
 TITLES = ["dr", "dra", "sr", "sra"]
@@ -127,4 +127,8 @@ def too_long(docs: DataFrame, most: int = MOST_CHARS) -> DataFrame:
 
 
 def with_text(found: DataFrame, docs: DataFrame) -> DataFrame:
-    return found.join(docs.select("doc_id", "text"), "doc_id").withColumn("literal", cut(F.col("text"), F.col("start_pos"), F.col("end_pos"))).drop("text")
+    """Spans with the text under them; a document's spans are gathered and its text is cut once."""
+    rest = [c for c in found.columns if c not in ("doc_id", "start_pos", "end_pos")]
+    rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", *rest))).alias("s")).join(docs.select("doc_id", "text"), "doc_id")
+    rows = rows.select("doc_id", F.explode(F.arrays_zip("s", cut_all(F.col("text"), F.col("s")).alias("t"))).alias("x"))
+    return rows.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"x.s.{c}").alias(c) for c in found.columns), F.col("x.t").alias("literal"))

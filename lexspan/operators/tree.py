@@ -75,16 +75,22 @@ def owned(rows: DataFrame) -> DataFrame:
     return out.select("doc_id", "period", *fields, F.col("x.nucleus").alias("nucleus"), (F.col("low") + F.col("x.owner")).alias("owner"), (F.col("low") + F.col("x.parent")).alias("parent"))
 
 
+def _deepest(up: Column) -> Column:
+    """The greatest number of steps to a root, by doubling steps: up[i] is i itself at a root."""
+    start = F.transform(up, lambda j, i: F.struct(j.alias("to"), (j != i).cast("int").alias("d")))
+    passes = F.sequence(F.lit(1), F.ceil(F.log2(F.size(up) + 1)).cast("int") + 1)
+    double = lambda acc, _: F.transform(acc, lambda x: F.struct(F.get(acc, x["to"])["to"].alias("to"), (x["d"] + F.get(acc, x["to"])["d"]).alias("d")))
+    return F.array_max(F.aggregate(passes, start, double)["d"])
+
+
 def ancestry(rows: DataFrame) -> DataFrame:
-    """(doc_id, period, ord, ancestor, distance), itself included."""
-    f = forests(rows)
-    path = F.transform(
-        F.sequence(F.lit(0), F.size("h") - 1),
-        lambda i: F.aggregate(
-            F.sequence(F.lit(1), F.size("h")), F.array(i), lambda acc, _: _let(F.get(F.col("h"), F.element_at(acc, -1)), lambda j: F.when(j.isNull() | (j == F.element_at(acc, -1)), acc).otherwise(F.concat(acc, F.array(j)))),
-        ),
-    )
-    rows = f.select("doc_id", "period", "low", F.posexplode(path).alias("i", "path")).select("doc_id", "period", "low", "i", F.posexplode("path").alias("distance", "a"))
+    """(doc_id, period, ord, ancestor, distance), itself included. Trees without cycles; a path takes as many steps as the
+    period's tree is deep."""
+    f = forests(rows).withColumn("up", F.transform("h", lambda j, i: F.coalesce(j, i))).withColumn("deep", _deepest(F.col("up")))
+    steps = F.when(F.col("deep") > 0, F.sequence(F.lit(1), F.col("deep"))).otherwise(F.array().cast("array<int>"))
+    climb = lambda acc, _: _let(F.get(F.col("up"), F.element_at(acc, -1)), lambda j: F.when(j == F.element_at(acc, -1), acc).otherwise(F.concat(acc, F.array(j))))
+    path = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.aggregate(F.col("steps"), F.array(i), climb))
+    rows = f.withColumn("steps", steps).select("doc_id", "period", "low", F.posexplode(path).alias("i", "path")).select("doc_id", "period", "low", "i", F.posexplode("path").alias("distance", "a"))
     return rows.select("doc_id", "period", (F.col("low") + F.col("i")).alias("ord"), (F.col("low") + F.col("a")).alias("ancestor"), "distance")
 
 
@@ -93,37 +99,45 @@ def children(rows: DataFrame) -> DataFrame:
     return rows.where("head <> ord").groupBy("doc_id", "head").agg(F.array_sort(F.collect_list("ord")).alias("children"))
 
 
-def quote_regions(rows: DataFrame) -> DataFrame:
-    """(doc_id, opened, closed, nested): regions between whole-token quotes, by a stack over the document's quotes only;
-    closed is null where no end is met."""
+def _regions(rows: DataFrame) -> DataFrame:
+    """(doc_id, opened, closed, nested, outer): regions between whole-token quotes, by a stack over the document's quotes
+    only; closed is null where no end is met, outer is the region around it."""
     marks = [*QUOTES, *QUOTES.values()]
     few = rows.where(F.col("token").isin(marks)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "token"))).alias("q"))
     pair = F.create_map(*(F.lit(x) for kv in QUOTES.items() for x in kv))
-    kind = "array<struct<opened:int,closer:string,nested:boolean>>"
-    zero = F.struct(F.array().cast(kind).alias("stack"), F.array().cast("array<struct<opened:int,closed:int,nested:boolean>>").alias("out"))
+    kind = "array<struct<opened:int,closer:string,outer:int>>"
+    zero = F.struct(F.array().cast(kind).alias("stack"), F.array().cast("array<struct<opened:int,closed:int,outer:int>>").alias("out"))
 
     def step(acc, x):
         top = F.try_element_at(acc["stack"], F.lit(-1))
         closes = F.coalesce(top["closer"] == x["token"], F.lit(False))
-        popped = F.struct(F.slice(acc["stack"], 1, F.greatest(F.size(acc["stack"]) - 1, F.lit(0))).alias("stack"), F.concat(acc["out"], F.array(F.struct(top["opened"].alias("opened"), x["ord"].cast("int").alias("closed"), top["nested"].alias("nested")))).alias("out"))
-        pushed = F.struct(F.concat(acc["stack"], F.array(F.struct(x["ord"].cast("int").alias("opened"), F.try_element_at(pair, x["token"]).alias("closer"), (F.size(acc["stack"]) > 0).alias("nested")))).alias("stack"), acc["out"].alias("out"))
+        popped = F.struct(F.slice(acc["stack"], 1, F.greatest(F.size(acc["stack"]) - 1, F.lit(0))).alias("stack"), F.concat(acc["out"], F.array(F.struct(top["opened"].alias("opened"), x["ord"].cast("int").alias("closed"), top["outer"].alias("outer")))).alias("out"))
+        pushed = F.struct(F.concat(acc["stack"], F.array(F.struct(x["ord"].cast("int").alias("opened"), F.try_element_at(pair, x["token"]).alias("closer"), top["opened"].alias("outer")))).alias("stack"), acc["out"].alias("out"))
         return F.when(closes, popped).when(x["token"].isin(list(QUOTES)), pushed).otherwise(acc)
 
     done = few.select("doc_id", F.aggregate("q", zero, step).alias("r"))
-    left = F.transform("r.stack", lambda s: F.struct(s["opened"].alias("opened"), F.lit(None).cast("int").alias("closed"), s["nested"].alias("nested")))
-    return done.select("doc_id", F.explode(F.concat("r.out", left)).alias("r")).select("doc_id", "r.opened", "r.closed", "r.nested")
+    left = F.transform("r.stack", lambda s: F.struct(s["opened"].alias("opened"), F.lit(None).cast("int").alias("closed"), s["outer"].alias("outer")))
+    return done.select("doc_id", F.explode(F.concat("r.out", left)).alias("r")).select("doc_id", "r.opened", "r.closed", F.col("r.outer").isNotNull().alias("nested"), "r.outer")
+
+
+def quote_regions(rows: DataFrame) -> DataFrame:
+    """(doc_id, opened, closed, nested)."""
+    return _regions(rows).drop("outer")
 
 
 def with_regions(rows: DataFrame) -> DataFrame:
     """Tokens with region (ord of the opening quote of the innermost region around them) and region_closed, nested.
-    The marks themselves lie in no region."""
-    regions = quote_regions(rows)
-    marks = regions.select("doc_id", F.explode(F.array("opened", "closed")).alias("ord")).where("ord is not null").select("doc_id", "ord", F.lit(True).alias("mark"))
-    inner = rows.select("doc_id", "ord").join(regions, "doc_id").where((F.col("ord") > F.col("opened")) & (F.col("closed").isNull() | (F.col("ord") < F.col("closed"))))
-    inner = inner.groupBy("doc_id", "ord").agg(F.max(F.struct("opened", F.col("closed").isNotNull().alias("ok"), "nested")).alias("r"))
-    out = rows.join(inner, ["doc_id", "ord"], "left").join(marks, ["doc_id", "ord"], "left")
-    free = F.col("mark").isNull()
-    return out.select(*rows.columns, F.when(free, F.col("r.opened")).alias("region"), F.when(free, F.col("r.ok")).alias("region_closed"), F.when(free, F.col("r.nested")).alias("region_nested"))
+    The marks themselves lie in no region. Behind a mark that opens its own region holds, behind one that closes the
+    outer one; that is carried on to the next mark."""
+    regions = _regions(rows)
+    about = F.struct(F.col("opened"), F.col("closed").isNotNull().alias("ok"), "nested")
+    outer = regions.select("doc_id", F.col("opened").alias("outer"), about.alias("around"))
+    marks = regions.select("doc_id", F.col("opened").alias("ord"), F.lit(True).alias("inside"), about.alias("r"))
+    closing = regions.where("closed is not null").join(outer, ["doc_id", "outer"], "left").select("doc_id", F.col("closed").alias("ord"), F.col("around").isNotNull().alias("inside"), F.col("around").alias("r"))
+    out = rows.join(marks.unionByName(closing), ["doc_id", "ord"], "left")
+    state = F.last(F.when(F.col("inside").isNotNull(), F.struct("inside", "r")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = out.withColumn("state", F.when(F.col("inside").isNull(), state))
+    return out.select(*rows.columns, F.col("state.r.opened").alias("region"), F.col("state.r.ok").alias("region_closed"), F.col("state.r.nested").alias("region_nested"))
 
 
 def own_tokens(owned_rows: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..functions.text import canonical, cut, sha256
+from ..functions.text import canonical, sha256
+from .segment import with_text
 
 # Limits of one run and of the cache, and tolerances of a unit norm.
 MOST = {"representations": 25_000, "blocks": 50_000, "tokens": 2_000_000, "vector_bytes": 256 * 1024 * 1024, "chars": 32 * 1024 * 1024}
@@ -45,8 +46,7 @@ def chunks(targets_: DataFrame, docs: DataFrame, max_tokens: int) -> DataFrame:
     """Blocks of a tokenizer of one token a code point: greedy maximal prefixes have a closed form. Blank texts have none.
     weight: tokens of content, i.e. code points that are not white space."""
     room = max_tokens - OVERHEAD
-    rows = targets_.join(docs.select("doc_id", "text"), "doc_id").withColumn("content", cut(F.col("text"), F.col("start_pos"), F.col("end_pos")))
-    rows = rows.where(F.col("content").rlike(r"\S"))
+    rows = with_text(targets_, docs).withColumnRenamed("literal", "content").where(F.col("content").rlike(r"\S"))
     starts = F.sequence(F.lit(0), F.length("content") - 1, F.lit(room))
     rows = rows.select("doc_id", "ord", "kind", "content", F.posexplode(starts).alias("block", "at"))
     rows = rows.withColumn("block_text", F.substr("content", F.col("at") + 1, F.lit(room)))
@@ -86,7 +86,7 @@ def split_by(tokens_of: Callable[[str], int], max_tokens: int) -> Callable[[str]
 
 def chunks_by(targets_: DataFrame, docs: DataFrame, count: Callable[[], Callable[[str], int]], max_tokens: int) -> DataFrame:
     """As `chunks`, with an injected tokenizer made once a worker."""
-    rows = targets_.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "ord", "kind", cut(F.col("text"), F.col("start_pos"), F.col("end_pos")).alias("content"))
+    rows = with_text(targets_, docs).select("doc_id", "ord", "kind", F.col("literal").alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens_of = count()

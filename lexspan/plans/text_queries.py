@@ -228,7 +228,7 @@ def ctx_limit_reasons(spark, sf_dir):
 SELECT doc_id, period, sha256('{"document":{"sha256":"' || sha256(text) || '"},"focus":{"end":' || end_pos || ',"start":' || start_pos || '},"periods":[' || ps || '],"policy":{"after":1,"before":1,"cross":false},"version":"1.0.0"}') AS logical_id FROM listed JOIN docs USING (doc_id)""")
 def ctx_logical_ids(spark, sf_dir):
     found = segment.periods(tagged(spark, sf_dir))
-    return bigints(context.logical_ids(context.windows(found), found, blank_lined(spark, sf_dir), 1, 1, False))
+    return bigints(context.logical_ids(found, blank_lined(spark, sf_dir), 1, 1, False))
 
 
 @query(windows_sql(2, 2, True) + " SELECT doc_id, count(*) AS units, CAST(sum(last_period - first_period + 1) AS BIGINT) AS period_refs, CAST(sum(window_end - window_start) AS BIGINT) AS chars, count(*) <= 10000 AND sum(last_period - first_period + 1) <= 100000 AND sum(window_end - window_start) <= 16777216 AS allowed FROM units GROUP BY doc_id")

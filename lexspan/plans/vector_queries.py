@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ACCENTED, FUNCTION_WORDS, PLAIN, sha256
+from ..functions.text import FUNCTION_WORDS, sha256
 from ..operators import evaluate, retrieval, segment, store, vectors
 from .text_queries import PERIODS, bigints, blank_lined, documents, tagged, units, windows_sql
 
@@ -127,7 +127,8 @@ def vec_compatibility(spark, sf_dir):
 # Retrieval ----------------------------------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
-_TERMS = f"[x FOR x IN regexp_extract_all(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '\\p{{L}}+') IF length(x) > 1 AND x NOT IN ({_STOP})]"
+_PLAIN = "strip_accents(replace(lower({}), 'ß', 'ss'))"
+_TERMS = f"[x FOR x IN regexp_extract_all({_PLAIN.format('text')}, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+') IF length(x) > 1 AND x NOT IN ({_STOP})]"
 BM25 = f"""WITH ft AS (SELECT doc_id AS frag, unnest({_TERMS}) AS term FROM documents), post AS (SELECT frag, term, count(*) AS tf FROM ft GROUP BY ALL),
 sz AS (SELECT frag, sum(tf) AS size FROM post GROUP BY frag), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(size) FROM sz) / (SELECT count(*) FROM documents) AS mean),
 qt AS (SELECT DISTINCT item_id AS query, unnest({_TERMS}) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -152,12 +153,8 @@ def _lexical(spark, sf_dir):
 def _dense(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    n, found = queries.count(), []
-    sets = n // 50_000 + 1
-    for k in range(sets):
-        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(sets)) == k)
-        scores = retrieval.dense(part, e.select(F.col("vec_id").alias("frag"), F.col("embedding").alias("v")), n if sets == 1 else part.count())
-        found.append(retrieval.best(scores, False))
+    sets, vectors_ = queries.count() // (retrieval.FEW // 2) + 1, e.select(F.col("vec_id").alias("frag"), F.col("embedding").alias("v"))
+    found = [retrieval.best(retrieval.dense(queries.where(F.pmod(F.xxhash64("query"), F.lit(sets)) == k), vectors_), False) for k in range(sets)]
     return reduce(DataFrame.unionAll, found)
 
 
