@@ -70,6 +70,68 @@ def vocabulary(rows: DataFrame, *keys: str) -> DataFrame:
     return groups.select(*keys, (F.row_number().over(order) - 1).alias("rank"), "criterion", "key", "pos", "occurrences", "first", F.array_join("f.token", "|").alias("forms"))
 
 
+def vocabulary_tokens(rows: DataFrame, *keys: str) -> DataFrame:
+    """The tokens of each group of `vocabulary` in order: keys, criterion, key, pos, tokens. By document, so that a list
+    is no longer than a document."""
+    rows = rows.where(~F.coalesce(F.col("pos"), F.lit("")).isin(NOT_WORDS))
+    by = F.when(F.col("lemma").isNull(), "form").otherwise("lemma")
+    return rows.groupBy(*keys, by.alias("criterion"), F.coalesce("lemma", "token").alias("key"), "pos").agg(F.array_sort(F.collect_list("ord")).alias("tokens"))
+
+
+#: What a parser gives for a document: the head (ord) and label of each token, and entities (first and last ord, label).
+Parser = Callable[[list[dict]], tuple[list[int], list[str], list[tuple[int, int, str]]]]
+_PARSE = "doc_id long, trees array<struct<ord:int,head:int,dep:string>>, entities array<struct<first_token:int,last_token:int,label:string>>"
+
+
+def parsed(tokens: DataFrame, provider: Callable[[], Parser]) -> DataFrame:
+    """tokens: doc_id, period, ord, token and the inherited annotations. provider() is made once a worker and is given a
+    document's tokens as dicts; a wrong number of heads or a head or entity outside the document is an error. The
+    inherited columns never pass through the provider: `trees` joins its heads to them. (doc_id, trees, entities)"""
+    fields = [c for c in tokens.columns if c != "doc_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parse = provider()
+        for batch in batches:
+            rows = []
+            for doc_id, words in zip(batch["doc_id"], batch["t"]):
+                words = [dict(zip(fields, w)) if isinstance(w, tuple) else dict(w) for w in words]
+                ords = [w["ord"] for w in words]
+                heads, labels, entities = parse(words)
+                if len(heads) != len(words) or len(labels) != len(words):
+                    raise ValueError(f"document {doc_id}: {len(heads)} heads and {len(labels)} labels for {len(words)} tokens")
+                known = set(ords)
+                if not known.issuperset(heads) or any(a not in known or b not in known or a > b for a, b, _ in entities):
+                    raise ValueError(f"document {doc_id}: a head or entity outside its tokens")
+                rows.append((doc_id, [{"ord": o, "head": h, "dep": d} for o, h, d in zip(ords, heads, labels)], [{"first_token": a, "last_token": b, "label": x} for a, b, x in entities]))
+            yield pd.DataFrame(rows, columns=["doc_id", "trees", "entities"])
+
+    grouped = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", *(c for c in fields if c != "ord")))).alias("t"))
+    fields = ["ord", *(c for c in fields if c != "ord")]
+    return grouped.mapInPandas(run, _PARSE)
+
+
+def trees(tokens: DataFrame, parses: DataFrame) -> DataFrame:
+    """Tokens with their inherited annotations, head and dep."""
+    found = parses.select("doc_id", F.explode("trees").alias("x")).select("doc_id", "x.ord", "x.head", "x.dep")
+    return tokens.join(found, ["doc_id", "ord"])
+
+
+def entities(tokens: DataFrame, parses: DataFrame) -> DataFrame:
+    """doc_id, entity (number), label, first_token, last_token, tokens, start_pos, end_pos, first_start, last_end, periods."""
+    named = parses.select("doc_id", F.posexplode("entities").alias("entity", "x")).select("doc_id", "entity", "x.label", "x.first_token", "x.last_token")
+    inside = named.select("*", F.explode(F.sequence("first_token", "last_token")).alias("ord")).join(tokens.select("doc_id", "ord", "period", "start_pos", "end_pos"), ["doc_id", "ord"])
+    out = inside.groupBy("doc_id", "entity", "label", "first_token", "last_token").agg(F.count("*").alias("tokens"), F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count_distinct("period").alias("periods"))
+    return out.withColumn("first_start", F.col("start_pos")).withColumn("last_end", F.col("end_pos"))
+
+
+def parse_report(tokens: DataFrame, parses: DataFrame) -> DataFrame:
+    """(doc_id, tokens, parsed, periods, entities)."""
+    n = tokens.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_distinct("period").alias("periods"))
+    found = parses.select("doc_id", F.size("trees").alias("parsed"), F.size("entities").alias("entities"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return n.join(found, "doc_id", "left").select("doc_id", "tokens", zero("parsed"), "periods", zero("entities"))
+
+
 def coverage(rows: DataFrame, *keys: str) -> DataFrame:
     missing = [F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in FIELDS]
     return rows.groupBy(*keys).agg(F.count("*").alias("tokens"), *missing, F.sum(F.size(unresolved(*FIELDS))).alias("pendings"))

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cut, sha256, terms
+from ..sources.package import PackageError, strict_json
 from ..sources.stage import materialized
+from .vectors import CORPUS_UNIT, OVERHEAD, norm, split_by
 
 # Parameters of the scores and the fusion, limits of a report and of a request.
 K1, B, RRF, TOP, FINAL = 1.2, 0.75, 60, 50, 12
 MOST_WORDS, PARAGRAPHS, MOST_LINKS, REQUEST_BYTES = 400, 2, 24, 256 * 1024
+ANSWER_BYTES = 1 << 20
 SITUATIONS = ["pertinent", "partial", "discarded"]
 BREAK = r"(?:\r\n|\n|\r)"
 #: Passages: up to terminal punctuation or a line's end.
 PASSAGE = r"[^.!?\n]+[.!?]*"
 
 
+#: A fenced answer: the whole of it between two fence lines.
+FENCE = re.compile(r"```(?:json)?[ \t]*(?:\r\n|\n|\r)(.*?)(?:\r\n|\n|\r)```", re.DOTALL | re.IGNORECASE)
+
+
 def _indexed(fragments: DataFrame) -> DataFrame:
     """(frag, size, terms) of a fragment's header, if it has one, and text."""
     text = F.concat_ws("\n", "header", "text") if "header" in fragments.columns else F.col("text")
@@ -99,14 +111,64 @@ def report_intake(reports: DataFrame) -> DataFrame:
     return out.withColumn("valid", (F.col("words") > 0) & (F.col("words") <= MOST_WORDS) & (F.col("paragraphs") == PARAGRAPHS))
 
 
-def named_queries(reports: DataFrame, room: int) -> DataFrame:
-    """One query for each paragraph and one for the whole report, cut into blocks of `room` code points: P1, P1.1, …"""
-    parts = F.filter(F.split("text", f"{BREAK}[\t ]*{BREAK}(?:[\t ]*{BREAK})*"), lambda p: p.rlike(r"\S"))
-    each = reports.select("id", F.posexplode(parts).alias("i", "t")).select("id", F.concat(F.lit("P"), (F.col("i") + 1).cast("string")).alias("base"), F.trim("t").alias("t"))
-    rows = each.unionByName(reports.select("id", F.lit("report").alias("base"), F.col("text").alias("t")))
-    rows = rows.select("id", "base", F.length("t").alias("n"), F.posexplode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(room))).alias("k", "at"), "t")
-    name = F.when(F.col("n") <= room, F.col("base")).otherwise(F.concat_ws(".", "base", (F.col("k") + 1).cast("string")))
-    return rows.select("id", name.alias("query"), F.substr("t", F.col("at") + 1, F.lit(room)).alias("text"))
+def report_paragraphs(reports: DataFrame) -> DataFrame:
+    """reports: id, text. Paragraphs between blank lines, without outer white space: id, origin (P1, P2, …), start_pos,
+    end_pos, text; the offsets are those of the text as it is."""
+    blank = f"{BREAK}[\t ]*{BREAK}(?:[\t ]*{BREAK})*"
+    parts, gaps = F.split("text", blank, -1), F.regexp_extract_all("text", F.lit(f"({blank})"), F.lit(1))
+    rows = reports.select("id", F.posexplode(F.arrays_zip(parts.alias("p"), gaps.alias("g"))).alias("k", "x")).select("id", "k", F.col("x.p").alias("p"), F.coalesce("x.g", F.lit("")).alias("g"))
+    before = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("p") + F.length("g")).over(before), F.lit(0))).where(F.col("p").rlike(r"\S"))
+    left, body = F.length("p") - F.length(F.regexp_replace("p", r"^\s+", "")), F.regexp_replace("p", r"^\s+|\s+$", "")
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("id").orderBy("k"))).withColumn("start_pos", (F.col("at") + left).cast("long"))
+    return rows.select("id", F.concat(F.lit("P"), F.col("number").cast("string")).alias("origin"), "start_pos", (F.col("start_pos") + F.length(body)).cast("long").alias("end_pos"), body.alias("text"))
+
+
+def named_queries(reports: DataFrame, max_tokens: int, count: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
+    """One query for each paragraph and one for the whole report, cut into blocks of at most max_tokens: id, query (P1, or
+    P1.1, P1.2, … if there are several blocks), origin, start_pos, end_pos, tokens, text. count() makes a worker's
+    tokenizer; without it a token is a code point, beside the fixed ones of an input."""
+    whole = reports.where(F.col("text").rlike(r"\S")).select("id", F.lit("report").alias("origin"), F.lit(0).cast("long").alias("start_pos"), "text")
+    rows = report_paragraphs(reports).select("id", "origin", "start_pos", "text").unionByName(whole)
+    if count is None:
+        room = max_tokens - OVERHEAD
+        cuts = F.transform(F.sequence(F.lit(0), F.length("text") - 1, F.lit(room)), lambda a: F.struct(a.alias("a"), F.least(a + room, F.length("text")).alias("b"), (F.least(a + room, F.length("text")) - a + OVERHEAD).alias("tokens")))
+        rows = rows.withColumn("cuts", cuts)
+    else:
+        kind = "id long, origin string, start_pos long, text string, cuts array<struct<a:int,b:int,tokens:int>>"
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tokens_of = count()
+            split = split_by(tokens_of, max_tokens)
+            for batch in batches:
+                yield batch.assign(cuts=[[{"a": a, "b": b, "tokens": tokens_of(t[a:b])} for a, b in split(t)] for t in batch["text"]])
+
+        rows = rows.mapInPandas(run, kind)
+    rows = rows.select("id", "origin", "start_pos", "text", F.size("cuts").alias("n"), F.posexplode("cuts").alias("k", "c"))
+    name = F.when(F.col("n") == 1, F.col("origin")).otherwise(F.concat_ws(".", "origin", (F.col("k") + 1).cast("string")))
+    return rows.select("id", name.alias("query"), "origin", (F.col("start_pos") + F.col("c.a")).cast("long").alias("start_pos"), (F.col("start_pos") + F.col("c.b")).cast("long").alias("end_pos"), F.col("c.tokens").cast("long").alias("tokens"), cut(F.col("text"), F.col("c.a"), F.col("c.b")).alias("text"))
+
+
+def read_answers(answers: DataFrame, content: str = "content", most: int = ANSWER_BYTES) -> DataFrame:
+    """Strict reading of a model's answers: one JSON value, bare or in one fence, without repeated keys, NaN or deep
+    nesting; nothing is repaired. Adds value (canonical JSON, null if refused) and why (null if read)."""
+
+    @F.pandas_udf("value string, why string")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            try:
+                if text is None or len(text.encode("utf-8", "surrogatepass")) > most:
+                    raise PackageError("missing or too long")
+                bare = text.strip()
+                fence = FENCE.fullmatch(bare)
+                value = strict_json((fence.group(1) if fence else bare).encode("utf-8", "surrogatepass"))
+                out.append((json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")), None))
+            except (ValueError, RecursionError):
+                out.append((None, "invalid"))
+        return pd.DataFrame(out, columns=["value", "why"])
+
+    return answers.withColumn("read_", read(content)).select(*answers.columns, "read_.value", "read_.why")
 
 
 def rebuilt_blocks(fragments: DataFrame) -> DataFrame:
@@ -170,8 +232,9 @@ def within_budget(blocks: DataFrame, budget: int = REQUEST_BYTES, overhead: int
     return blocks.withColumn("bytes", F.sum(F.octet_length("text") + F.lit(overhead)).over(upto)).where(F.col("bytes") <= budget)
 
 
-def corpus_violations(fragments: DataFrame, vectors: DataFrame, expected: int) -> DataFrame:
-    """(check, n): repeated ids, fragments without vector and the reverse, digests, order of offsets, counts."""
+def corpus_violations(fragments: DataFrame, vectors: DataFrame, expected: int, prefix: str = "passage: ") -> DataFrame:
+    """(check, n): repeated ids, fragments without vector and the reverse, digests, order of offsets, counts; where the
+    columns exist, digests of the model's entries, and vectors that are not finite, not of unit length or uneven."""
     checks = {
         "repeated": fragments.groupBy("frag").count().where("count > 1"),
         "no_vector": fragments.join(vectors, "frag", "left_anti"),
@@ -179,6 +242,13 @@ def corpus_violations(fragments: DataFrame, vectors: DataFrame, expected: int) -
         "digest": fragments.where(sha256(F.col("text")) != F.col("sha256")),
         "offsets": fragments.where("start_pos < 0 or end_pos <= start_pos or end_pos - start_pos <> length(text)"),
     }
+    if "entry_sha256" in fragments.columns:
+        checks["entry"] = fragments.where(sha256(F.concat(F.lit(prefix), "header", F.lit("\n"), "text")) != F.col("entry_sha256"))
+    if "v" in vectors.columns:
+        bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        checks["not_finite"] = vectors.where(bad)
+        checks["norm"] = vectors.where(~bad & (F.abs(norm(F.col("v")) - 1) > CORPUS_UNIT))
+        checks["dimension"] = vectors.join(F.broadcast(vectors.agg(F.max(F.size("v")).alias("most"))), F.size("v") != F.col("most"))  # one row
     out = fragments.agg(F.count("*").alias("n")).where(F.col("n") != expected).select(F.lit("count").alias("check"), "n")
     for name, df in checks.items():
         out = out.unionByName(df.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(name).alias("check"), "n"))

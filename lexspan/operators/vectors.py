@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..functions.text import canonical, sha256
+from ..functions.text import canonical, cut, sha256
 from .segment import with_text
 
 # Limits of one run and of the cache, and tolerances of a unit norm.
@@ -174,6 +175,68 @@ def over_limits(blocks: DataFrame, dims: int = 64) -> DataFrame:
     return out.withColumn("allowed", fits)
 
 
+def content_tokens(inputs: DataFrame) -> Column:
+    """How many tokens of an input stand for content: no special ones, behind the prefix, over something not blank."""
+    every = F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b"), F.col("special").alias("s"))
+    behind = lambda x: F.greatest(x["a"], F.length("prefix"))
+    return F.size(F.filter(every, lambda x: (x["s"] == 0) & (x["b"] > x["a"]) & (x["b"] > F.length("prefix")) & cut(F.concat("prefix", "text"), behind(x).cast("int"), x["b"].cast("int")).rlike(r"\S")))
+
+
+def input_violations(inputs: DataFrame) -> DataFrame:
+    """inputs: id, prefix, text, ids, starts, ends (offsets in prefix and text), special (0 or 1). (id, check): ids out of
+    range, lists of different lengths, offsets outside the input or out of order, special tokens with an offset, a text
+    with content but without a token for it. Only the first of the checks that an input fails is named."""
+    n, whole = F.size("ids"), F.length("prefix") + F.length("text")
+    uneven = (n == 0) | (F.size("starts") != n) | (F.size("ends") != n) | (F.size("special") != n)
+    pairs = F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b"), F.col("special").alias("s"))
+    real = F.transform(F.filter(pairs, lambda x: (x["s"] == 0) & (x["b"] > x["a"])), lambda x: x["a"])
+    check = (
+        F.when(F.exists("ids", lambda x: x.isNull() | (x < 0)), "ids").when(uneven, "lengths").when(F.exists("special", lambda x: ~x.isin(0, 1)), "mask")
+        .when(F.exists(pairs, lambda x: (x["a"] < 0) | (x["b"] < x["a"]) | (x["b"] > whole)), "outside").when(F.exists(pairs, lambda x: (x["s"] == 1) & ((x["a"] != 0) | (x["b"] != 0))), "special")
+        .when(real != F.array_sort(real), "order").when(F.col("text").rlike(r"\S") & (content_tokens(inputs) == 0), "no_content")
+    )
+    return inputs.select("id", check.alias("check")).where("check is not null")
+
+
+def run_violations(docs: DataFrame, targets_: DataFrame, blocks: DataFrame, artifacts: DataFrame, representations: DataFrame, prefix: str, max_tokens: int, tolerance: float = 1e-6) -> DataFrame:
+    """A recorded run against its sources, without a model: (subject, check).
+
+    blocks: doc_id, ord, block, start_pos, end_pos, tokens, weight, block_text, artifact (null without content);
+    artifacts: artifact, vector; representations: doc_id, ord, vector. Blocks are compared with the text that they name;
+    artifacts with the identity of that text; vectors with the weighted mean of the blocks' vectors where those are sound.
+    """
+    spot, text = F.concat_ws(":", "doc_id", "ord"), with_text(targets_.select("doc_id", "ord", "start_pos", "end_pos"), docs).select("doc_id", "ord", "literal")
+    order = Window.partitionBy("doc_id", "ord").orderBy("start_pos", "block")
+    rows = blocks.join(text, ["doc_id", "ord"], "left").withColumn("true_text", cut(F.col("literal"), F.col("start_pos").cast("int"), F.col("end_pos").cast("int")))
+    rows = rows.withColumn("before", F.lag("end_pos", 1, 0).over(order)).withColumn("true_weight", F.length(F.regexp_replace("true_text", r"\s", "")))
+    rows = rows.withColumn("true_artifact", F.when(F.col("true_weight") > 0, artifact_id(F.col("true_text"), prefix, max_tokens)))
+    rows = rows.withColumn("held", F.lit(True))
+    faults = {"text": ~F.col("block_text").eqNullSafe(F.col("true_text")), "budget": F.col("tokens") > max_tokens, "weight": F.col("weight") != F.col("true_weight"), "identity": ~F.col("artifact").eqNullSafe(F.col("true_artifact"))}
+    found = F.filter(F.array(*(F.when(F.coalesce(v, F.lit(True)), F.lit(k)) for k, v in faults.items())), lambda x: x.isNotNull())
+    named = rows.select(spot.alias("subject"), F.explode(found).alias("check"))
+    covers = rows.groupBy("doc_id", "ord").agg(F.bool_and(F.col("start_pos") == F.col("before")).alias("even"), F.max("end_pos").alias("end"))
+    covers = text.join(covers, ["doc_id", "ord"], "left").withColumn("whole", F.when(F.col("end").isNull(), ~F.col("literal").rlike(r"\S")).otherwise(F.col("even") & (F.col("end") == F.length("literal"))))
+    parts = [named, covers.where("not whole").select(spot.alias("subject"), F.lit("cover").alias("check"))]
+    sound = artifacts.withColumn("bad", (F.abs(norm(F.col("vector")) - 1) > UNIT) | (F.size("vector") == 0))
+    of = lambda df, check: df.select(F.col("artifact").alias("subject"), F.lit(check).alias("check"))
+    used = rows.where("true_artifact is not null").select(F.col("true_artifact").alias("artifact")).distinct()
+    parts += [of(sound.where("bad"), "norm"), of(used.join(artifacts, "artifact", "left_anti"), "missing_artifact"), of(artifacts.select("artifact").join(used, "artifact", "left_anti"), "unused_artifact"), of(artifacts.groupBy("artifact").count().where("count > 1"), "repeated_artifact")]
+    weighed = rows.where("true_weight > 0").join(sound.dropDuplicates(["artifact"]).withColumnRenamed("artifact", "true_artifact"), "true_artifact", "left").join(covers.where("whole").select("doc_id", "ord"), ["doc_id", "ord"], "left_semi")
+    whole = weighed.groupBy("doc_id", "ord").agg(F.bool_and(F.col("vector").isNotNull() & ~F.col("bad")).alias("ok")).where("ok").select("doc_id", "ord")
+    means = weighted_mean(weighed.join(whole, ["doc_id", "ord"], "left_semi").select("doc_id", "ord", F.col("true_weight").alias("weight"), "vector"), "doc_id", "ord").withColumnRenamed("vector", "mean")
+    far = F.exists(F.zip_with("vector", "mean", lambda a, b: F.abs(a.cast("double") - b)), lambda d: d > tolerance)
+    compared = means.join(representations, ["doc_id", "ord"], "left")
+    parts.append(compared.where(F.col("vector").isNull() | (F.size("vector") != F.size("mean")) | far).select(spot.alias("subject"), F.lit("vector").alias("check")))
+    empty = text.where(~F.col("literal").rlike(r"\S")).select("doc_id", "ord")
+    parts.append(representations.where("vector is not null").join(empty, ["doc_id", "ord"], "left_semi").select(spot.alias("subject"), F.lit("surplus").alias("check")))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def representation(representations: DataFrame, doc_id: int, ord_: int) -> DataFrame:
+    """One representation by its id; none is an empty result."""
+    return representations.where((F.col("doc_id") == doc_id) & (F.col("ord") == ord_))
+
+
 def cached(store: DataFrame, rows: int = CACHE_ROWS, most: int = CACHE_BYTES, *partition: str) -> DataFrame:
     """store: partition columns, seq, logical_id, size. Newest first until a row or byte budget is first exceeded, then
     the newest of each logical id."""

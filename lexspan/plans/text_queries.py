@@ -270,6 +270,35 @@ def ctx_recompute_check(spark, sf_dir):
     return bigints(context.differences(u.withColumn("window_end", F.when(hit, F.col("window_end") + 1).otherwise(F.col("window_end"))), u).select("doc_id", "period", "side"))
 
 
+def _layers(spark, sf_dir):
+    """Tokens and occurrences, each owned by its period."""
+    own = tagged(spark, sf_dir).select("doc_id", "period", F.lit("token").alias("layer"), F.col("ord").cast("long").alias("ref"))
+    return own.unionByName(marked(spark, sf_dir).select("doc_id", "period", F.lit("occurrence").alias("layer"), F.col("occurrence").cast("long").alias("ref")))
+
+
+@query(windows_sql(1, 1, False) + _MARKED + """, layers AS (SELECT doc_id, CAST(period AS BIGINT) AS owner, 'token' AS layer, ord AS ref FROM tagged UNION ALL SELECT doc_id, source_period, 'occurrence', occurrence FROM marked)
+SELECT u.doc_id, u.period, owner, CASE WHEN owner = u.period THEN 'focus' ELSE 'neighbour' END AS role, layer, count(*) AS refs, CAST(min(ref) AS BIGINT) AS first_ref, CAST(max(ref) AS BIGINT) AS last_ref
+FROM units u JOIN layers l ON u.doc_id = l.doc_id AND owner BETWEEN first_period AND last_period GROUP BY ALL""")
+def ctx_owner_refs(spark, sf_dir):
+    """References of each window, those of the focus and of the neighbours apart."""
+    rows = context.owner_references(units(spark, sf_dir), _layers(spark, sf_dir))
+    return bigints(rows.select("doc_id", "period", "owner", "role", "layer", F.size("refs").alias("refs"), F.element_at("refs", 1).alias("first_ref"), F.element_at("refs", -1).alias("last_ref")))
+
+
+@query(windows_sql(1, 1, False) + _MARKED + """, per AS (SELECT p.doc_id, p.period, CAST(min(p.paragraph) AS BIGINT) AS paragraph, CAST(min(last_token - first_token + 1) AS BIGINT) AS tokens, count(m.occurrence) AS occ FROM periods p LEFT JOIN marked m ON m.doc_id = p.doc_id AND m.source_period = p.period GROUP BY ALL),
+win AS (SELECT u.doc_id, u.period, sum(2 * w.tokens + 2 * w.occ) AS refs, sum(2 * w.occ) AS notes, count(*) AS n, max(w.paragraph) - min(w.paragraph) + 1 AS paras FROM units u JOIN per w ON w.doc_id = u.doc_id AND w.period BETWEEN first_period AND last_period GROUP BY ALL)
+SELECT doc_id, count(*) AS units, CAST(sum(n) AS BIGINT) AS period_refs, CAST(sum(refs + tokens + 2 * n + paras + 6 + notes * (2 * n + paras + 2)) AS BIGINT) AS references, sum(refs + tokens + 2 * n + paras + 6 + notes * (2 * n + paras + 2)) <= 500000 AS fits
+FROM win JOIN per USING (doc_id, period) GROUP BY doc_id""")
+def ctx_cost_refs(spark, sf_dir):
+    """References that the windows' records would repeat: annotations and links in the window, notes with their context."""
+    found = segment.periods(tagged(spark, sf_dir))
+    n = marked(spark, sf_dir).groupBy("doc_id", "period").agg(F.count("*").alias("occ"))
+    per = found.join(n, ["doc_id", "period"], "left").select("doc_id", "period", "paragraph", (F.col("last_token") - F.col("first_token") + 1).alias("tokens"), F.coalesce("occ", F.lit(0)).alias("occ"))
+    per = per.select("doc_id", "period", "paragraph", "tokens", (2 * F.col("tokens") + 2 * F.col("occ")).alias("refs"), (2 * F.col("occ")).alias("notes"))
+    out = context.cost(units(spark, sf_dir), per)
+    return bigints(out.select("doc_id", "units", "period_refs", "references", (F.col("references") <= context.MOST["references"]).alias("fits")))
+
+
 def stories(spark, sf_dir):
     return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
@@ -284,13 +313,24 @@ def txt_word_count(spark, sf_dir):
 
 
 _KINDS = {"colon": ":", "semicolon": ";", "ellipsis": r"\.{3,}|…", "dash": "[—―]"}
-FORBIDDEN = STORIES + ", " + ", ".join(f"""{k}_p AS (SELECT id, unnest(regexp_extract_all(text, '(?s){p}|.')) AS piece, generate_subscripts(regexp_extract_all(text, '(?s){p}|.'), 1) AS k FROM s WHERE regexp_matches(text, '{p}')),
+#: Forbidden marks put into the texts, by their id.
+_PUT = [(",", ":"), (",", " ;"), (". ", "... "), (", ", " — "), (".", "…")]
+_PUT_SQL = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN replace(text, '{a}', '{b}')" for i, (a, b) in enumerate(_PUT)) + " END"
+FORBIDDEN = STORIES.replace("text FROM documents", f"{_PUT_SQL} AS text FROM documents") + ", " + ", ".join(f"""{k}_p AS (SELECT id, unnest(regexp_extract_all(text, '(?s){p}|.')) AS piece, generate_subscripts(regexp_extract_all(text, '(?s){p}|.'), 1) AS k FROM s WHERE regexp_matches(text, '{p}')),
 {k}_o AS (SELECT id, piece, sum(length(piece)) OVER (PARTITION BY id ORDER BY k) AS end_pos FROM {k}_p)""" for k, p in _KINDS.items())
 
 
 @query(FORBIDDEN + " " + " UNION ALL ".join(f"SELECT id, '{k}' AS kind, CAST(end_pos - length(piece) AS BIGINT) AS start_pos, CAST(end_pos AS BIGINT) AS end_pos, piece AS found FROM {k}_o WHERE regexp_full_match(piece, '{p}')" for k, p in _KINDS.items()))
 def txt_forbidden(spark, sf_dir):
-    return bigints(narrative.forbidden(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), False))
+    """Texts into which forbidden marks were put: every one is found where it stands."""
+    put = F.element_at(F.array(*(F.replace("text", F.lit(a), F.lit(b)) for a, b in _PUT)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return bigints(narrative.forbidden(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), put.alias("text")), False))
+
+
+@query()
+def txt_structure_guarded(spark, sf_dir):
+    """As txt_structure, with abbreviations and decimals guarded; tested against brute force, as SQL lacks look-around."""
+    return bigints(narrative.validated(stories(spark, sf_dir)))
 
 
 _RUN = """([^.!?]*[.!?]+["''”’»]*|[^.!?]+$)"""
@@ -332,3 +372,31 @@ def story_state(spark, sf_dir):
 @query(STATE + " SELECT story, string_agg(text, chr(10) || chr(10) ORDER BY slot) AS narrative FROM st GROUP BY story HAVING bool_and(approved) AND count(*) = 5")
 def story_assembled(spark, sf_dir):
     return narrative.assembled(narrative.state(story_events(spark, sf_dir)))
+
+
+#: Compositions saved and inherited, by event.
+_COMPOSED = "SELECT user_id AS story, event_id AS seq, CAST(event_id % 5 AS INT) AS slot, CASE WHEN event_type = 'view' THEN 'compose' ELSE 'inherit' END AS verb, event_type || '-' || event_id AS text FROM events"
+
+
+def _asof(slot: int) -> str:
+    """What a slot has after each event: saved, or the slot before at that moment."""
+    saved = f"SELECT story, seq, text FROM e WHERE slot = {slot} AND verb = 'compose'"
+    if not slot:
+        return f"c0 AS ({saved})"
+    return f"c{slot} AS ({saved} UNION ALL SELECT i.story, i.seq, arg_max(c.text, c.seq) FROM e i JOIN c{slot - 1} c ON c.story = i.story AND c.seq < i.seq WHERE i.slot = {slot} AND i.verb = 'inherit' GROUP BY ALL)"
+
+
+@query(f"WITH e AS ({_COMPOSED}), " + ", ".join(_asof(k) for k in range(5)) + " " + " UNION ALL ".join(f"SELECT story, CAST({k} AS BIGINT) AS slot, arg_max(text, seq) AS composition FROM c{k} GROUP BY story" for k in range(5)))
+def story_compositions(spark, sf_dir):
+    events = story_events(spark, sf_dir).withColumn("verb", F.when(F.col("text").startswith("view-"), "compose").otherwise("inherit"))
+    return bigints(narrative.compositions(events))
+
+
+@query(STATE + """, f AS (SELECT story, slot, CASE WHEN story % 2 = 0 THEN 'more dialogue' END AS instructions, CASE WHEN story % 3 = 0 THEN 'slow' WHEN story % 3 = 1 THEN ' ' END AS composition FROM st),
+p AS (SELECT st.*, coalesce((SELECT string_agg(to_json(o.text), ',' ORDER BY o.slot) FROM st o WHERE o.story = st.story AND o.slot < st.slot), '') AS previous FROM st)
+SELECT story, slot, '{' || CASE WHEN composition = 'slow' THEN '"composition":"slow",' ELSE '' END || CASE WHEN instructions IS NOT NULL THEN '"instructions":"more dialogue",' ELSE '' END || '"previous":[' || previous || '],"slot":' || slot || '}' AS message FROM p JOIN f USING (story, slot)""")
+def story_prompts(spark, sf_dir):
+    """The message for each slot's next text: what stands before it, and the controls that are set."""
+    current = narrative.state(story_events(spark, sf_dir))
+    fields = current.select("story", "slot", F.when(F.col("story") % 2 == 0, "more dialogue").alias("instructions"), F.when(F.col("story") % 3 == 0, "slow").when(F.col("story") % 3 == 1, " ").alias("composition"))
+    return bigints(narrative.prompts(current, fields))

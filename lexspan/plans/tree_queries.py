@@ -72,6 +72,12 @@ def vocab_classes(spark, sf_dir):
     return v.groupBy("pos", "criterion").agg(F.count_distinct("key").alias("keys"), F.sum("occurrences").alias("occurrences"))
 
 
+@query(VOCABULARY + " SELECT doc_id, criterion, key, pos, string_agg(ord::VARCHAR, ',' ORDER BY ord) AS tokens FROM kept GROUP BY ALL")
+def vocab_tokens(spark, sf_dir):
+    v = annotate.vocabulary_tokens(annotate.cleaned(words(spark, sf_dir)), "doc_id")
+    return v.withColumn("tokens", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ","))
+
+
 @query(WORDS + " SELECT array_to_string([x FOR x IN [CASE WHEN lemma IS NULL THEN 'lemma' END, CASE WHEN pos IS NULL THEN 'pos' END, CASE WHEN tag IS NULL THEN 'tag' END, CASE WHEN feats IS NULL THEN 'feats' END] IF x IS NOT NULL], ',') AS missing, count(*) AS tokens FROM words GROUP BY ALL")
 def annotation_unresolved(spark, sf_dir):
     rows = annotate.cleaned(words(spark, sf_dir))
@@ -107,6 +113,45 @@ def entity_checks(spark, sf_dir):
     return bigints(annotate.entity_violations(e.withColumn("entity", F.col("first_token"))))
 
 
+def formula_parser():
+    """A parser by formula, made once a worker: heap trees in each period, capitalised runs as entities."""
+
+    def parse(words: list[dict]) -> tuple[list[int], list[str], list[tuple[int, int, str]]]:
+        heads, labels, named, low, period = [], [], [], 0, None
+        for w in words:
+            if w["period"] != period:
+                period, low = w["period"], w["ord"]
+            i = w["ord"] - low
+            heads.append(w["ord"] if i == 0 else low + (i - 1) // 2)
+            labels.append("ROOT" if i == 0 else _DEP[(len(w["token"]) + i) % 8])
+            if w["token"][:1].isalpha() and w["token"][:1].isupper():
+                if named and named[-1][1] == w["ord"] - 1 and i:
+                    named[-1] = (named[-1][0], w["ord"], "MISC")
+                else:
+                    named.append((w["ord"], w["ord"], "MISC"))
+        return heads, labels, named
+
+    return parse
+
+
+def _parsed(spark, sf_dir):
+    return annotate.parsed(tagged(spark, sf_dir).select("doc_id", "period", F.col("ord").cast("int").alias("ord"), "token"), formula_parser)
+
+
+@query(FORMULA + " SELECT doc_id, CAST(ord AS BIGINT) AS ord, head, d AS dep FROM ft")
+def parse_trees(spark, sf_dir):
+    """Heads and labels of an injected parser beside the tokens."""
+    rows = annotate.trees(tagged(spark, sf_dir).select("doc_id", "ord"), _parsed(spark, sf_dir))
+    return bigints(rows.select("doc_id", "ord", "head", F.lower("dep").alias("dep")))
+
+
+@query(PERIODS + """, c AS (SELECT doc_id, period, ord FROM tagged WHERE regexp_matches(token, '^\\p{Lu}')), g AS (SELECT doc_id, period, ord - row_number() OVER (PARTITION BY doc_id, period ORDER BY ord) AS island FROM c),
+n AS (SELECT doc_id, count(DISTINCT (period, island)) AS entities FROM g GROUP BY doc_id)
+SELECT doc_id, count(*) AS tokens, count(*) AS parsed, count(DISTINCT period) AS periods, coalesce(max(entities), 0) AS entities FROM tagged LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
+def parse_report(spark, sf_dir):
+    return bigints(annotate.parse_report(tagged(spark, sf_dir).select("doc_id", "period", "ord"), _parsed(spark, sf_dir)))
+
+
 TREES = FORMULA.replace("WITH docs", "WITH RECURSIVE docs") + """, n AS (SELECT ft.*, (pos IN ('VERB', 'AUX') AND d NOT IN ('aux', 'cop')) OR c.head IS NOT NULL AS nucleus FROM ft LEFT JOIN (SELECT DISTINCT doc_id, head FROM ft WHERE d = 'cop') c ON ft.doc_id = c.doc_id AND ft.ord = c.head),
 walk AS (SELECT doc_id, period, ord, ord AS place FROM n UNION ALL SELECT w.doc_id, w.period, w.ord, n.head FROM walk w JOIN n ON n.doc_id = w.doc_id AND n.ord = w.place WHERE NOT n.nucleus AND n.head <> n.ord),
 own AS (SELECT w.doc_id, w.ord, w.place AS owner FROM walk w JOIN n ON n.doc_id = w.doc_id AND n.ord = w.place WHERE n.nucleus)"""

@@ -124,6 +124,84 @@ def vec_compatibility(spark, sf_dir):
     return vectors.compatibility(df(one), df(other))
 
 
+def _inputs(spark, sf_dir):
+    """Inputs of a tokenizer of one token a code point, with a special token at both ends, damaged by id."""
+    prefix = "passage: "
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit(prefix).alias("prefix"), "text")
+    n = F.lit(len(prefix)) + F.length("text")
+    at = F.sequence(F.lit(0), n - 1)
+    one = lambda x: F.array(F.lit(x))
+    b = b.withColumn("ids", F.concat(one(1), F.transform(at, lambda i: i + 10), one(2)).cast("array<long>")).withColumn("starts", F.concat(one(0), at, one(0))).withColumn("ends", F.concat(one(0), F.transform(at, lambda i: i + 1), one(0))).withColumn("special", F.concat(one(1), F.array_repeat(F.lit(0), n), one(1)))
+    kind = F.col("id") % 9
+    b = b.withColumn("ids", F.when(kind == 1, F.transform("ids", lambda x: -x)).when(kind == 2, F.slice("ids", 2, F.size("ids"))).otherwise(F.col("ids")))
+    b = b.withColumn("ends", F.when(kind == 3, F.transform("ends", lambda x: x + F.when(x == n, 1).otherwise(0))).when(kind == 4, F.transform("ends", lambda x, i: F.when(i == 0, 1).otherwise(x))).otherwise(F.col("ends")))
+    b = b.withColumn("starts", F.when(kind == 5, F.transform("starts", lambda x, i: F.when(i == 2, 0).when(i == 1, 1).otherwise(x))).otherwise(F.col("starts"))).withColumn("ends", F.when(kind == 5, F.transform("ends", lambda x, i: F.when(i == 1, 2).otherwise(x))).otherwise(F.col("ends")))
+    return b.withColumn("special", F.when(kind == 6, F.transform("special", lambda x: F.lit(2))).otherwise(F.col("special"))).withColumn("ends", F.when(kind == 7, F.col("starts")).otherwise(F.col("ends")))
+
+
+_FAULT = "CASE item_id % 9 WHEN 1 THEN 'ids' WHEN 2 THEN 'lengths' WHEN 3 THEN 'outside' WHEN 4 THEN 'special' WHEN 5 THEN 'order' WHEN 6 THEN 'mask' WHEN 7 THEN 'no_content' END"
+
+
+@query(f"SELECT item_id AS id, {_FAULT} AS \"check\", CAST(CASE WHEN item_id % 9 IN (0, 8) THEN length(regexp_replace(text, '\\s', '', 'g')) END AS BIGINT) AS content FROM benchmark")
+def vec_input_check(spark, sf_dir):
+    """Inputs damaged in seven ways, each named; content tokens of the sound ones."""
+    inputs = _inputs(spark, sf_dir)
+    sound = inputs.where("id % 9 in (0, 8)")
+    content = sound.select("id", vectors.content_tokens(sound).cast("long").alias("content"))
+    return inputs.select("id").join(vectors.input_violations(inputs), "id", "left").join(content, "id", "left")
+
+
+_PREFIX = "passage: "
+
+
+def _fake(artifact):
+    """A unit vector made of an artifact's digest."""
+    parts = F.array(*(F.conv(F.substring(artifact, 4 * k + 1, 4), 16, 10).cast("double") - 32767.5 for k in range(4)))
+    return F.transform(parts, lambda x: (x / vectors.norm(parts)).cast("float"))
+
+
+def _run(spark, sf_dir):
+    """A vector run over the turns of all conversations: docs, targets, blocks, artifacts, representations."""
+    docs = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    targets = docs.select("doc_id", F.lit(0).alias("ord"), F.lit("document").alias("kind"), F.lit(0).cast("long").alias("start_pos"), F.length("text").cast("long").alias("end_pos"))
+    blocks = vectors.chunks(targets, docs, BUDGET)
+    blocks = blocks.withColumn("artifact", F.when(F.col("weight") > 0, vectors.artifact_id(F.col("block_text"), _PREFIX, BUDGET)))
+    artifacts = blocks.where("artifact is not null").select("artifact").distinct().withColumn("vector", _fake(F.col("artifact")))
+    reps = vectors.weighted_mean(blocks.where("weight > 0").select("doc_id", "ord", "weight", _fake(F.col("artifact")).alias("vector")), "doc_id", "ord")
+    return docs, targets, blocks, artifacts, reps
+
+
+_RUN = f"""WITH d AS (SELECT conv_id * 1000 + turn AS doc_id, coalesce(text, '') AS text FROM conversations),
+b AS (SELECT doc_id, text, o // {ROOM} AS block, substring(text, o + 1, {ROOM}) AS t FROM (SELECT doc_id, text, unnest(range(0, length(text), {ROOM})) AS o FROM d WHERE regexp_matches(text, '\\S'))),
+a AS (SELECT *, length(regexp_replace(t, '\\s', '', 'g')) AS w, sha256('{{"input":"' || sha256('{_PREFIX}' || t) || '","max_tokens":{BUDGET},"version":"1.0.0"}}') AS artifact FROM b),
+kept AS (SELECT * FROM a WHERE NOT (doc_id % 40 = 5 AND block = 0)), n AS (SELECT doc_id, count(*) AS blocks, max(CASE WHEN w > 0 AND (artifact LIKE '00%' OR artifact LIKE '01%') THEN 1 ELSE 0 END) AS touched FROM a GROUP BY doc_id)"""
+
+
+@query(_RUN + """ SELECT doc_id || ':0' AS subject, CASE doc_id % 40 WHEN 1 THEN 'weight' WHEN 2 THEN 'text' WHEN 3 THEN 'budget' WHEN 4 THEN 'identity' WHEN 5 THEN 'cover' END AS "check" FROM n WHERE doc_id % 40 BETWEEN 1 AND 5
+UNION ALL SELECT doc_id || ':0', 'vector' FROM n WHERE doc_id % 40 = 6 AND touched = 0
+UNION ALL SELECT DISTINCT artifact, CASE WHEN artifact LIKE '00%' THEN 'missing_artifact' ELSE 'norm' END FROM kept WHERE w > 0 AND (artifact LIKE '00%' OR artifact LIKE '01%')
+UNION ALL SELECT DISTINCT artifact, 'unused_artifact' FROM a WHERE w > 0 AND artifact NOT LIKE '00%' AND artifact NOT IN (SELECT artifact FROM kept)
+UNION ALL SELECT DISTINCT artifact, 'norm' FROM a WHERE w > 0 AND artifact LIKE '01%' AND artifact NOT IN (SELECT artifact FROM kept)
+UNION ALL SELECT 'zz', 'unused_artifact'""")
+def vec_run_check(spark, sf_dir):
+    """A run damaged by id in blocks, artifacts and representations: each damage is named from the sources alone."""
+    docs, targets, blocks, artifacts, reps = _run(spark, sf_dir)
+    hit = lambda k: (F.col("doc_id") % 40 == k) & (F.col("block") == 0)
+    blocks = blocks.withColumn("weight", F.when(hit(1), F.col("weight") + 1).otherwise(F.col("weight"))).withColumn("block_text", F.when(hit(2), F.concat("block_text", F.lit("x"))).otherwise(F.col("block_text")))
+    blocks = blocks.withColumn("tokens", F.when(hit(3), BUDGET + 1).otherwise(F.col("tokens"))).withColumn("artifact", F.when(hit(4), "x").otherwise(F.col("artifact"))).where(~hit(5))
+    artifacts = artifacts.where("artifact not like '00%'").withColumn("vector", F.when(F.col("artifact").startswith("01"), F.transform("vector", lambda x: (x * 1.01).cast("float"))).otherwise(F.col("vector")))
+    artifacts = artifacts.unionByName(spark.createDataFrame([("zz", [1.0, 0.0, 0.0, 0.0])], "artifact string, vector array<float>"))
+    reps = reps.withColumn("vector", F.when(F.col("doc_id") % 40 == 6, F.transform("vector", lambda x: -x)).otherwise(F.col("vector")))
+    return vectors.run_violations(docs, targets, blocks, artifacts, reps, _PREFIX, BUDGET)
+
+
+@query(_RUN + " SELECT doc_id, CAST(0 AS BIGINT) AS ord, CAST(4 AS BIGINT) AS dims FROM a WHERE doc_id = (SELECT min(doc_id) FROM a) AND block = 0")
+def vec_representation(spark, sf_dir):
+    *_, reps = _run(spark, sf_dir)
+    low = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"\S")).agg(F.min(F.col("conv_id") * 1000 + F.col("turn"))).first()[0]
+    return bigints(vectors.representation(reps, low, 0).select("doc_id", "ord", F.size("vector").alias("dims")))
+
+
 # Retrieval ----------------------------------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
@@ -168,6 +246,13 @@ def bm25_index(spark, sf_dir):
     return retrieval.postings(_fragments(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"))
 
 
+@query("WITH t AS (SELECT doc_id, unnest([x FOR x IN regexp_extract_all(" + _PLAIN.format("source || chr(10) || text") + f", '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+') IF length(x) > 1 AND x NOT IN ({_STOP})]) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term")
+def bm25_header_index(spark, sf_dir):
+    """Terms of header and text together."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("frag"), F.col("source").alias("header"), "text")
+    return retrieval.postings(rows).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
 @query(BM25 + " SELECT query, frag, round(score, 6) AS score, rank FROM bm")
 def bm25_topk(spark, sf_dir):
     return bigints(_lexical(spark, sf_dir).withColumn("score", F.round("score", 6)))
@@ -204,6 +289,34 @@ def report_intake(spark, sf_dir):
     return retrieval.report_intake(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.replace("text", F.lit("\n"), F.lit("\r\r")).alias("text")))
 
 
+_ROOM = 120 - vectors.OVERHEAD
+
+
+@query(f"""WITH r AS (SELECT doc_id AS id, replace(text, chr(10), chr(10) || chr(10)) AS t, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM r), o AS (SELECT *, sum(length(line) + 2) OVER (PARTITION BY id ORDER BY k) - length(line) - 2 AS at0 FROM l),
+p AS (SELECT id, 'P' || row_number() OVER (PARTITION BY id ORDER BY k) AS origin, at0 + length(line) - length(regexp_replace(line, '^\\s+', '')) AS s, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS body FROM o WHERE regexp_matches(line, '\\S')
+  UNION ALL SELECT id, 'report', 0, t FROM r WHERE regexp_matches(t, '\\S')),
+c AS (SELECT *, unnest(range(0, length(body), {_ROOM})) AS a FROM p)
+SELECT id, CASE WHEN length(body) <= {_ROOM} THEN origin ELSE origin || '.' || (a // {_ROOM} + 1) END AS query, origin, CAST(s + a AS BIGINT) AS start_pos, CAST(least(s + a + {_ROOM}, s + length(body)) AS BIGINT) AS end_pos,
+  CAST(least({_ROOM}, length(body) - a) + {vectors.OVERHEAD} AS BIGINT) AS tokens, sha256(substring(body, a + 1, {_ROOM})) AS digest FROM c""")
+def report_queries(spark, sf_dir):
+    """Queries of each paragraph and of the whole text, within a budget of tokens."""
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return retrieval.named_queries(d, 120).withColumn("digest", sha256(F.col("text"))).drop("text")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, (conv_id + turn) % 7 AS kind FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN kind IN (2, 3, 4) THEN 'invalid' END AS why, CASE WHEN kind NOT IN (2, 3, 4) THEN sha256(text) END AS digest FROM t""")
+def answers_read(spark, sf_dir):
+    """Answers of a model, bare or fenced, some with a repeated key, NaN or cut off: those are refused, the others read."""
+    c = table(spark, sf_dir, "conversations").where("text is not null").withColumn("kind", (F.col("conv_id") + F.col("turn")) % 7)
+    body = F.to_json(F.struct(F.col("text").alias("said")))
+    fence = lambda mark, end: F.concat(F.lit(f"  ```{mark}{end}"), body, F.lit(f"{end}```\n"))
+    raw = F.when(F.col("kind") == 1, fence("json", "\n")).when(F.col("kind") == 2, F.lit('{"a":1,"a":2}')).when(F.col("kind") == 3, F.lit('{"a":NaN}')).when(F.col("kind") == 4, F.expr("substring(to_json(struct(text)), 1, length(to_json(struct(text))) - 1)")).when(F.col("kind") == 5, fence("JSON", "\r\n")).otherwise(body)
+    read = retrieval.read_answers(c.withColumn("content", raw))
+    return read.select("conv_id", "turn", "why", sha256(F.get_json_object("value", "$.said")).alias("digest"))
+
+
 @query("""WITH d AS (SELECT doc_id, text FROM documents), f AS (SELECT doc_id, text, unnest(range(0, length(text), 80)) AS s FROM d),
 g AS (SELECT doc_id, substring(text, s + 1, 100) AS t FROM f) SELECT doc_id AS block, sha256(text) AS sha256, CAST(0 AS BIGINT) AS gaps FROM d WHERE length(text) > 0 AND doc_id % 30 <> 0
 UNION ALL SELECT doc_id, sha256(coalesce(substring(text, 1, 100), '') || coalesce(substring(text, 161), '')), CASE WHEN length(text) > 160 THEN 1 ELSE 0 END FROM d WHERE length(text) > 0 AND doc_id % 30 = 0""")
