@@ -306,8 +306,8 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = list(batch["text"])
         for a, b in slices(texts):
-            rows = [(doc_id, len(s), *described(s, RULE)) for doc_id, s in zip(batch["doc_id"][a:b], shingle_sets(texts[a:b], SHINGLE))]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "signature", "bands"]).astype({"doc_id": "Int64"})
+            rows = [(doc_id, key, len(s), *described(s, RULE)) for doc_id, key, s in zip(batch["doc_id"][a:b], batch["text_key"][a:b], shingle_sets(texts[a:b], SHINGLE))]
+            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "class", "signature", "bands"]).astype({"doc_id": "Int64"})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -319,17 +319,17 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+    """doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text, which tells rows of one doc_id apart)."""
     stage = Stage(spark, "near")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = stage.put(spread(spark, docs).mapInPandas(_features, "doc_id long, n_shingles long, class binary, signature binary, bands array<long>"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    made = stage.put(spread(spark, docs).mapInPandas(_features, "doc_id long, text_key long, n_shingles long, class binary, signature binary, bands array<long>"))
     named = made.where("n_shingles > 0 and doc_id is not null")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """Only one text of each class is read again."""
         first = named.join(small(nodes, nodes.count()), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
         ids = stage.put(first.select("doc_id").distinct())
-        return docs.join(small(ids, ids.count()), "doc_id", "left_semi").mapInPandas(_sets, "class binary, hashes binary")
+        return docs.join(small(ids, ids.count()), "doc_id", "left_semi").select("text").mapInPandas(_sets, "class binary, hashes binary")
 
     nodes, labels = link_classes(stage, named.select("class", "signature", "bands"), RULE, sets_of)
     rep = stage.put(named.groupBy("class").agg(F.min("doc_id").alias("rep")))
@@ -338,6 +338,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     n = linked.count()
     moved = linked.join(small(least, n), "component").select("class", "least")
     by_class = rep.join(small(moved, 2 * n), "class", "left").select("class", F.coalesce("least", "rep").alias("component"))
-    out = made.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
+    out = made.select("doc_id", "n_shingles", "class", "text_key").join(by_class, "class", "left")
     component = F.coalesce("component", "doc_id")
-    return stage.result(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")))
+    return stage.result(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_key"))

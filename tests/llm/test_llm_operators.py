@@ -87,6 +87,53 @@ def test_near_duplicates_equal_brute_force(spark, odd_docs):
             assert not r.kept
 
 
+def test_near_duplicates_in_a_large_group(spark, monkeypatch):
+    """Over a thousand near copies of one text, many just under or over the threshold, in blocks far smaller than the
+    group; and one doc_id with two texts, each in its own group."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "HOT", 8)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    rng = random.Random(12)
+    base, other = prose(rng, 150), prose(rng, 90)
+    pool = [f"often{k}" for k in range(40)]  # edits that recur, so that shingles are seldom met once only
+
+    def changed(text, n):
+        words = text.split(" ")
+        for _ in range(n):
+            words[rng.randrange(len(words))] = rng.choice(pool)
+        return " ".join(words)
+
+    texts = [changed(base, rng.choice([0, 1, 2, 3, 4, 6, 9])) for _ in range(1100)] + [changed(other, rng.randint(0, 3)) for _ in range(60)]
+    rows = list(enumerate(texts)) + [(5000, base), (5000, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = dict(enumerate(shingles(t) for _, t in rows))
+    want = grouped(sets, lambda both, union: 100 * both >= 85 * union)
+    assert len(set(want.values())) > 20
+    ids = {k: min(rows[j][0] for j in want if want[j] == c) for k, c in want.items()}
+    expected = Counter((rows[k][0], len(sets[k]), ids[k]) for k in sets)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark, docs).collect()) == expected
+
+
+def test_components_beyond_one_task(spark, monkeypatch):
+    from lexspan.llm import common
+
+    monkeypatch.setattr(common, "LOCAL", 10)
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 60)]
+    got = {r.node: r.component for r in components(Stage(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        parent[max(p, q)] = min(p, q)
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
 def test_near_duplicates_of_nothing(spark, odd_docs):
     assert near_dedup.near_duplicates(spark, odd_docs.limit(0)).count() == 0
 
@@ -242,6 +289,84 @@ def test_repeated_passages_inside_and_across_lines(spark):
     assert left == {i: t.replace(dict(want)[i - 4], "") if i in (4, 5, 6) else t for i, t in enumerate(texts)}
 
 
+def brute_passages(texts):
+    """Removed code points of each text, from the definition: lines of 25 words or more linked by exact Jaccard
+    similarity, then all runs of 50 words in what is left; of equal ones the first stays."""
+    split = lambda t: [(m.group().translate(LOWER), m.start(), m.end()) for m in re.finditer("[^\x20\x09-\x0d]+", t)]
+    gone = {i: set() for i in texts}
+    lines = {}
+    for i, t in texts.items():
+        at = 0
+        for place, line in enumerate((t or "").split("\n")):
+            words = [w for w, _, _ in split(line)]
+            if len(words) >= 25:
+                lines[i, place] = (at, len(line), {tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+            at += len(line) + 1
+    groups = grouped({k: v[2] for k, v in lines.items()}, lambda both, union: 100 * both >= 80 * union)
+    for k, top in groups.items():
+        if k != top:
+            gone[k[0]] |= set(range(lines[k][0], lines[k][0] + lines[k][1]))
+    runs = {}
+    for i, t in texts.items():
+        stretch = []
+        for w, a, b in [*split(t or ""), (None, None, None)]:
+            if w is not None and a not in gone[i]:
+                stretch.append((w, a, b))
+                continue
+            for k in range(len(stretch) - 49):
+                some = stretch[k : k + 50]
+                runs.setdefault(tuple(x[0] for x in some), []).append((i, some[0][1], some[-1][2]))
+            stretch = []
+    for places in runs.values():
+        for i, a, b in sorted(places)[1:]:
+            gone[i] |= set(range(a, b))
+    return gone
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def test_repeated_passages_equal_brute_force(spark):
+    """Random texts with passages inside lines, over lines, edited lines, repeats within a text and long copies."""
+    rng, texts = random.Random(21), {}
+    shared = [prose(rng, n) for n in (50, 51, 60, 75, 120)]
+    lines = [prose(rng, n) for n in (25, 30, 60, 90)]
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            kind = rng.random()
+            own = prose(rng, rng.randint(1, 40))
+            if kind < 0.3:
+                parts.append(f"{own} {rng.choice(shared)} {prose(rng, rng.randint(0, 30))}")
+            elif kind < 0.5:
+                parts.append(edited(rng, rng.choice(lines), rng.randint(0, 2)))
+            elif kind < 0.6:
+                words = rng.choice(shared).split(" ")
+                parts.append("\n".join(" ".join(words[k : k + 11]) for k in range(0, len(words), 11)))
+            else:
+                parts.append(own.upper() if rng.random() < 0.3 else own)
+        texts[i] = "\n".join(parts)
+    texts |= {60: None, 61: "", 62: "same " * 300, 63: texts[5], 64: " \t\n "}
+    docs = spark.createDataFrame([*texts.items(), (5, texts[5])], "doc_id long, text string").repartition(5)
+    got = {i: set() for i in texts}
+    for r in passages.repeated_passages(spark, docs).where("not kept").collect():
+        got[r.doc_id] |= set(range(r.start, r.start + r.length))
+    want = brute_passages(texts)
+    blank = lambda i, at: {x for x in at if not texts[i][x].isspace()}
+    assert {i: blank(i, x) for i, x in got.items()} == {i: blank(i, x) for i, x in want.items()}
+    assert sum(map(len, want.values())) > 5000
+
+
+def test_repeated_passages_odd_cases(spark):
+    """Null ids come last and are only found, never cut; equal rows stay or go together; ties go to the first place."""
+    rng = random.Random(22)
+    line, passage = prose(rng, 40), prose(rng, 70)
+    rows = [(None, line), (3, line), (3, line), (1, f"x {passage} y"), (2, f"{prose(rng, 20)} {passage} {prose(rng, 9)}"), (None, f"z {passage}"), (4, f"{line}\n{line}")]
+    found = passages.repeated_passages(spark, spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, kept string"))
+    got = Counter((r.doc_id, r.place, r.component_id, r.kept) for r in found.collect())
+    assert got == {(None, 0, 3, False): 1, (3, 0, 3, True): 2, (4, 0, 3, False): 1, (4, 1, 3, False): 1, (1, 0, 1, True): 1, (2, 0, 1, False): 1}
+
+
 HARD = """<html><head><title>T</title><style>p{}</style></head><body class=x><nav><ul><li><a href=/>Home</a></li></ul></nav><header><p>Site name</p></header>
 <div class="cookie-notice">We use cookies. Accept them now.</div><article><h1>A &amp; B</h1><p>First <b>par</b>agraph
  here, with text.<p>Second&nbsp;one &lt;x&gt;, also long enough.<script>var a="</p>";</script><ul><li>one thing.<li>two things.</ul><div class="ad">Buy now!</div></article>
