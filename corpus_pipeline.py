@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of `documents`. `run` applies them in order, each result written as Parquet to the shared folder and read again.
+
+In every stage an empty table gives an empty one, other columns are dropped, and nulls in lang, source and n_chars stay as
+they are. Null and empty texts have no language, so the first stage drops them; in a later stage they stay and are packed
+as empty. Rows without a doc_id cannot be named by a decision: near-duplicates and repeated passages leave them as they
+are, leaks too, and packing packs them. Repeated rows are one row after the second stage.
 """
 
 from __future__ import annotations
@@ -26,18 +31,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group, the one with the smallest id; of repeated rows, one."""
+    """Keep one document of each group, the one with the smallest id; of rows with that id the one with the least text
+    hash, and of equal texts the least of the other columns."""
     stage = Stage(spark, "pipeline-near")
     found = near_dedup.near_duplicates(spark, docs)
-    gone = stage.put(found.where("not kept and doc_id is not null").select("doc_id").distinct())
-    kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
-    repeated = stage.put(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    gone = stage.put(found.where("not kept and doc_id is not null").select("doc_id", "text_key").distinct())
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    kept = rows.join(small(gone, gone.count()), ["doc_id", "text_key"], "left_anti")
+    repeated = stage.put(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text_key").alias("text_key")).where("n > 1").select("doc_id", "text_key"))
     n = repeated.count()
     if not n:
-        return kept
-    some = small(repeated, n)
-    twice = kept.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(some, "doc_id", "left_anti").select(*COLUMNS).unionByName(twice.select(*COLUMNS))
+        return kept.select(*COLUMNS)
+    one = kept.join(small(repeated, n), ["doc_id", "text_key"], "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return kept.join(small(repeated.select("doc_id"), n), "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
