@@ -183,6 +183,15 @@ def rebuilt_blocks(fragments: DataFrame) -> DataFrame:
     return grouped.select("block", "text", sha256(F.col("text")).alias("sha256"), "gaps")
 
 
+def overlap_conflicts(fragments: DataFrame) -> DataFrame:
+    """(block, frag_no): fragments whose beginning differs from the end of the fragment before, where the two overlap."""
+    order = Window.partitionBy("block").orderBy("start_pos", "frag_no")
+    rows = fragments.withColumn("last", F.lag(F.struct("start_pos", "end_pos", "text")).over(order))
+    shared = F.least("last.end_pos", "end_pos") - F.col("start_pos")
+    before = F.substr("last.text", F.col("start_pos") - F.col("last.start_pos") + 1, shared)
+    return rows.where((shared > 0) & (before != F.left("text", shared))).select("block", "frag_no")
+
+
 def passages(texts: DataFrame) -> DataFrame:
     """texts: id, text. Literal passages, trimmed, with offsets; the pieces between are cumulated, never searched."""
     every = F.regexp_extract_all("text", F.lit(rf"((?s){PASSAGE}|[.!?\n]+)"), F.lit(1))
