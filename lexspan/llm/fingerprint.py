@@ -13,8 +13,8 @@ whole texts, exact but for equal hashes; equal fingerprints have likeness 1, an
 
 Null texts count as empty; an empty or blank text has an empty fingerprint. The next document is the one before in
 ascending (doc_id, hash of the text, text); rows with a null doc_id come last, repeated rows follow one another, and a
-single document follows itself. Rows are dealt by ranges of doc_id whose edges are quantiles; an id that fills more than
-a range (null included) is dealt by hashes of its texts. The head of each range is handed to the range before, so that
+single document follows itself. Rows are dealt by ranges of doc_id whose edges are quantiles, put together to about
+equal bytes; an id that fills more than a range (null included) is dealt by hashes of its texts. The head of each range is handed to the range before, so that
 no task sees more than its range.
 """
 
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNITS, INNER, LONG = 12, 2, 24
+#: Quantiles of ids for each range, of which ranges of about equal bytes are made.
+FINE = 8
 #: Hashes of texts in an id that fills more than a range.
 SPLIT = 1 << 20
 
@@ -85,20 +87,31 @@ def _ranged(spark: SparkSession, docs: DataFrame) -> DataFrame:
     range's rows)."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    edges = set(docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n))) if n > 1 else set()
+    fine = FINE * n
+    edges = {int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [i / fine for i in range(1, fine)], 1 / (4 * fine))} if n > 1 else set()
     # Ids that fill more than a range stand alone and are dealt on; there are at most n of them.
     counts = docs.groupBy("doc_id").agg(F.count("*").alias("rows"))
     hot = counts.where(F.col("rows") > docs.count() / n).limit(n).collect()
-    edges |= {x for r in hot if r["doc_id"] is not None for x in (r["doc_id"] - 1, r["doc_id"])}
+    alone = {x for r in hot if r["doc_id"] is not None for x in (r["doc_id"] - 1, r["doc_id"])}
+    number = lambda edges: F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in sorted(edges))), lambda b: b < F.col("doc_id"))) if edges else F.lit(0)
+    # Neighbouring fine ranges are put together until they hold a range's share of bytes.
+    edges |= alone
+    bytes_ = {r["p"]: r["bytes"] for r in docs.where("doc_id is not null").groupBy(number(edges).alias("p")).agg(F.sum(F.octet_length("text") + 64).alias("bytes")).collect()}  # at most FINE * n and a few rows
+    share, held, wide = sum(bytes_.values()) / n, 0, set()
+    for k, edge in enumerate(sorted(edges)):
+        held += bytes_.get(k, 0)
+        if held + bytes_.get(k + 1, 0) > share or edge in alone:
+            wide.add(edge)
+            held = 0
+    edges = wide
     ids = spark.createDataFrame([(r["doc_id"], min(n, -(-r["rows"] * n // max(1, sum(x["rows"] for x in hot))))) for r in hot], "hot long, pieces int")
-    bounds = F.array(*(F.lit(int(x)).cast("long") for x in sorted(edges))) if edges else F.array().cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))))
+    part = F.when(F.col("doc_id").isNull(), -1).otherwise(number(edges))
     deal = F.pmod(F.xxhash64("text"), F.lit(SPLIT))
     rows = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("hot")), "left").withColumn("deal", deal)  # at most n rows
     rows = rows.select("doc_id", "text", "deal", (part * F.lit(n + 1) + F.coalesce(F.floor(F.col("deal") * F.col("pieces") / SPLIT), F.lit(0))).cast("int").alias("part"), F.lit(0).alias("last"))
     tops = rows.groupBy("part").agg(F.max(F.struct("doc_id", "deal")).alias("top")).withColumnRenamed("part", "p")
     same = (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("deal") == F.col("top.deal"))
-    heads = rows.join(F.broadcast(tops), same).groupBy("part").agg(F.max("text").alias("text"))  # tops has a row for each range, 4 * n at most
+    heads = rows.join(F.broadcast(tops), same).groupBy("part").agg(F.max("text").alias("text"))  # tops has a row for each range, 6 * n at most
     below = Window.orderBy(F.desc("part"))
     around = heads.select(F.col("part"), F.coalesce(F.lead("text").over(below), F.first("text").over(below)).alias("text"))
     sentinels = around.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("deal"), "part", F.lit(1).alias("last"))

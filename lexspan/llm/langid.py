@@ -6,8 +6,8 @@ Each candidate scores the word by naive Bayes over byte trigrams, byte 4-grams (
 itself. Viterbi over all words of the whole text, with one penalty for any switch, labels spans; the label that covers
 most bytes is the text's language, its share of them the score.
 
-The model is fitted on at most TRAIN_ROWS labelled texts, the first in the order of xxhash64(doc_id); whole texts are
-used. That bound is a parameter. Counts are hashed into tables of fixed size, so the model never grows.
+The model is fitted on at most TRAIN_ROWS labelled texts, the first in the order of xxhash64(doc_id), of which those
+longer than TRAIN_CHARS code points are left out; whole texts are used. Those bounds are parameters. Counts are hashed into tables of fixed size, so the model never grows.
 
 A null text, or one without a letter, is `und` with score 0; so is every text if nothing is labelled. A text with
 letters always gets a learned label. Repeated rows are repeated; a null doc_id is kept (it is not held out: it has no
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, slices, spread
 
-TRAIN_ROWS, TABLE_BITS, SWITCH, UNKNOWN = 4000, 17, 6.0, "und"
+TRAIN_ROWS, TRAIN_CHARS, TABLE_BITS, SWITCH, UNKNOWN = 4000, 100_000, 17, 6.0, "und"
 #: A language is a candidate for a script that holds at least this share of its training bytes.
 SCRIPT_SHARE = 0.01
 #: Held out: crc32 of the id as text has this remainder modulo FOLDS.
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     edge = labelled.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if edge is None:
         return Model([], [])
-    sample = labelled.where(F.xxhash64("doc_id") <= edge).where("text is not null").orderBy(F.xxhash64("doc_id"), "text").select("text", "lang").limit(rows).toPandas()
+    sample = labelled.where(F.xxhash64("doc_id") <= edge).where(F.length("text") <= TRAIN_CHARS).orderBy(F.xxhash64("doc_id"), "text").select("text", "lang").limit(rows).toPandas()
     return Model(list(sample["text"]), list(sample["lang"]))
 
 

@@ -106,4 +106,4 @@ def pack(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     dealt = parts.withColumn("bin", F.pmod(F.xxhash64("row"), F.lit(bins)))
     packed = dealt.groupBy("bin").applyInPandas(_fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     alone = whole.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionByName(alone)
+    return stage.result(packed.unionByName(alone))

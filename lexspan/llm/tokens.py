@@ -143,10 +143,11 @@ def flatten(docs: DataFrame, path: str) -> DataFrame:
 
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
-    """(stream, name, block, tokens) of plain flat files under a path; Spark reads a file of at most 2 GB as one row."""
+    """(stream, name, block, tokens) of plain flat files under a path; Spark reads a file of at most 2 GB as one row,
+    which is cut into its blocks once."""
     files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("stream"), F.col("path").alias("name"), "content", F.col("length").cast("long").alias("bytes"))
-    cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / (2 * BLOCK)))).alias("block")
-    return files.where("bytes > 0").select("stream", "name", cuts, "content").select("stream", "name", "block", F.substring("content", F.col("block").cast("int") * (2 * BLOCK) + 1, F.lit(2 * BLOCK)).alias("tokens"))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / (2 * BLOCK)).cast("int")), lambda k: F.substr("content", k * (2 * BLOCK) + 1, F.lit(2 * BLOCK)))
+    return files.where("bytes > 0").select("stream", "name", F.posexplode(cuts).alias("block", "tokens")).withColumn("block", F.col("block").cast("long"))
 
 
 def _scan(end_id: int):
@@ -186,4 +187,4 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     flat = stage.put(flatten(spread(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), path))
     lengths = document_lengths(stage, flat.where("tokens is not null").select("stream", F.col("n").alias("block"), "tokens"))
     named = flat.where("tokens is null").select("stream", F.col("n").alias("ordinal"), "doc_id")
-    return named.join(lengths, ["stream", "ordinal"]).select("doc_id", "n_tokens", "stream", "ordinal")
+    return stage.result(named.join(lengths, ["stream", "ordinal"]).select("doc_id", "n_tokens", "stream", "ordinal"))

@@ -581,6 +581,25 @@ def test_language_odd_cases(spark):
     assert [x for *_, x in model.spans("the cat and the dog and the house кошка и собака и дом der Hund und die Katze")] == ["en", "ru", "de"]
 
 
+def test_repeated_rows_and_missing_ids(spark):
+    """Language, toxicity and token counts give a row for each row, whatever its id."""
+    rng = random.Random(41)
+    train = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog and the house", "en"), ("der Hund und die Katze und das Haus", "de")] * 20)]
+    odd = [(500, "the dog", "en"), (500, "the dog", "en"), (500, "der Hund", None), (None, "the cat", None), (None, "the cat", None), (None, None, None)]
+    docs = spark.createDataFrame(train + odd, "doc_id long, text string, lang string")
+    got = Counter((r.doc_id, r.lang_pred, r.held_out) for r in langid.identify(spark, docs).collect() if r.doc_id is None or r.doc_id >= 500)
+    held = zlib.crc32(b"500") % 4 == 2
+    assert got == {(500, "en", held): 2, (500, "de", held): 1, (None, "en", False): 2, (None, "und", False): 1}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    scored = Counter((r.doc_id, r.held_out) for r in toxicity.rate(spark, docs, labels).collect())
+    assert scored[500, held] == 3 and scored[None, False] == 3 and sum(scored.values()) == 46
+    raw = Tokenizer.from_file(PATH)
+    count = lambda t: len(raw.encode(t or "", add_special_tokens=False).ids)
+    texts = [(None, prose(rng, 30)), (None, None), (7, "ä b"), (7, "ä b"), (8, prose(rng, 3))]
+    made = tokens.count_tokens(spark, spark.createDataFrame(texts, "doc_id long, text string"), PATH).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in made) == Counter((i, count(t)) for i, t in texts)
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(0)
     emit, first = rng.normal(size=(9, 3)) * 3, np.array([0, 4, 4, 9])
