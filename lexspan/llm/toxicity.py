@@ -73,19 +73,17 @@ class Texts:
 
 
 def log_odds(t: Texts, labels: np.ndarray) -> np.ndarray:
-    """Shrunken log odds of each word in toxic texts, by the texts without its own one."""
-    share = labels.mean()
-    odds = np.zeros(len(t.at))
+    """Shrunken log odds of each word and its six-grams in toxic texts, by the texts without its own one."""
+    share, odds = labels.mean(), np.zeros(len(t.at), np.float32)
     for what in ("word", "six"):
-        counts = np.zeros((2, 1 << BITS[what]))
-        seen = [np.unique(ids) for ids in t.spans(what)]
-        for ids, y in zip(seen, labels):
-            counts[int(y), ids] += 1
-        ids = getattr(t, what)
-        owner = np.repeat(labels, np.diff(t.first)) if what == "word" else np.repeat(np.repeat(labels, np.diff(t.first)), t.sizes)
-        one, every = counts[1][ids] - owner, counts.sum(axis=0)[ids] - 1
-        value = np.log((one + SHRINK * share) / (every * share + SHRINK * share))
-        odds += value if what == "word" else np.maximum.reduceat(value, t.at) if len(t.at) else 0
+        counts = np.zeros((2, 1 << BITS[what]), np.float32)
+        for ids, y in zip(t.spans(what), labels):
+            counts[int(y), np.unique(ids)] += 1
+        every = counts.sum(axis=0)
+        for ids, y, a, b in zip(t.spans(what), labels, t.first[:-1], t.first[1:]):
+            if a < b:
+                value = np.log((counts[1][ids] - y + SHRINK * share) / ((every[ids] - 1 + SHRINK) * share))
+                odds[a:b] += value if what == "word" else np.maximum.reduceat(value, t.at[a:b] - t.at[a])
     return odds
 
 
