@@ -42,7 +42,7 @@ def plain(text: Column) -> Column:
     """Case folding without marks: decomposed, marks dropped. Hangul syllables stay composed."""
     bare = F.regexp_replace(text, r"\p{Mn}", "")
     rare = F.when(bare.rlike("[" + "".join(SEVERAL) + "]"), reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(SEVERAL[c])), SEVERAL, bare)).otherwise(bare)
-    return F.translate(F.lower(rare), "".join(SINGLE), "".join(SINGLE.values()))
+    return F.lower(F.translate(rare, "".join(SINGLE), "".join(SINGLE.values())))
 
 
 def terms(text: Column) -> Column:

@@ -18,7 +18,7 @@ from lexspan.operators import annotate, context, narrative, notes, retrieval, ru
 from lexspan.plans import fixture
 from lexspan.sources import text as sources
 
-SLOW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+SLOW = settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def tokens(spark, texts):
