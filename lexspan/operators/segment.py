@@ -83,25 +83,30 @@ def with_periods(toks: DataFrame) -> DataFrame:
     belongs to the token before it; such a run ends a period at its last token if it holds a terminal candidate.
     """
     order = Window.partitionBy("doc_id", "paragraph").orderBy("ord")
-    onward, behind = order.rowsBetween(0, Window.unboundedFollowing), order.rowsBetween(1, Window.unboundedFollowing)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # What follows a token is carried back from the end: frames that reach ahead are computed anew for each row.
+    back = Window.partitionBy("doc_id", "paragraph").orderBy(F.desc("ord"))
+    onward, behind = back.rowsBetween(Window.unboundedPreceding, Window.currentRow), back.rowsBetween(Window.unboundedPreceding, -1)
     token = F.col("token")
     letter = F.regexp_extract(token, r"\p{L}", 0)
-    rows = toks.withColumn("prev", F.lag("token").over(order)).withColumn("next", F.lead("token").over(order))
+    rows = toks.withColumn("upper", F.last(F.when(~token.isin(OPENERS), letter.rlike(r"\p{Lu}")), ignorenulls=True).over(onward))
+    rows = rows.withColumn("upper_next", F.coalesce(F.last(F.when(~token.isin(CLOSERS), F.coalesce("upper", F.lit(False))), ignorenulls=True).over(behind), F.lit(True)))
+    rows = rows.withColumn("prev", F.lag("token").over(order)).withColumn("next", F.lead("token").over(order))
     rows = rows.withColumn("glued", F.coalesce(F.lag("end_pos").over(order) == F.col("start_pos"), F.lit(False)))
     rows = rows.withColumn("tight", F.coalesce(F.lead("start_pos").over(order) == F.col("end_pos"), F.lit(False)))
-    rows = rows.withColumn("upper", F.first(F.when(~token.isin(OPENERS), letter.rlike(r"\p{Lu}")), ignorenulls=True).over(onward))
-    rows = rows.withColumn("upper_next", F.coalesce(F.first(F.when(~token.isin(CLOSERS), F.coalesce("upper", F.lit(False))), ignorenulls=True).over(behind), F.lit(True)))
     word = F.regexp_replace(F.lower("prev"), r"\.+$", "")
     inner = F.col("tight") & F.col("prev").rlike(r"[0-9]$") & F.col("next").rlike(r"^[0-9]")
     dot = F.when(~F.col("glued"), True).when(word.isin(TITLES), False).when(word == "etc", F.col("upper_next")).when(inner, False).otherwise(True)
     candidate = F.when(F.lower(token) == "etc.", F.col("upper_next")).when(~_terminal(token), False).when(token.rlike(r"^\.{2,}$"), False).when(token == ".", dot).otherwise(True)
     absorbable = _terminal(token) | (token.isin(CLOSERS) & (~token.isin(STRAIGHT) | F.col("glued")))
-    rows = rows.withColumn("candidate", candidate).withColumn("run", F.sum(F.when(absorbable, 0).otherwise(1)).over(upto))
-    run = Window.partitionBy("doc_id", "paragraph", "run")
-    rows = rows.withColumn("ends", F.max("candidate").over(run) & (F.max("ord").over(run) == F.col("ord")))
+    rows = rows.withColumn("candidate", candidate).withColumn("absorbed", absorbable)
+    # A run begins at a token that is not absorbed; it ends a period at its last token if a candidate lies in it.
+    run = F.coalesce(F.max(F.when(~F.col("absorbed"), F.col("ord"))).over(upto), F.lit(-1))
+    inside = F.coalesce(F.max(F.when(F.col("candidate"), F.col("ord"))).over(upto) >= run, F.lit(False))
+    rows = rows.withColumn("ends", inside & ~F.coalesce(F.lead("absorbed").over(order), F.lit(False)))
     rows = rows.withColumn("cut_before", F.coalesce(F.lag("ends").over(order), F.lit(True)))
-    number = F.sum(F.col("cut_before").cast("int")).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    # In the order of the windows above, so that nothing is sorted again.
+    number = F.sum(F.col("cut_before").cast("int")).over(Window.partitionBy("doc_id").orderBy("paragraph", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
     return rows.select("doc_id", "ord", "token", "start_pos", "end_pos", "paragraph", number.alias("period"), "ends")
 
 
