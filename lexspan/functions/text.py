@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -60,16 +61,21 @@ def cut(text: Column, start: Column, end: Column) -> Column:
 TOGETHER = 64
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row: an expression that a lambda names is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def cut_all(text: Column, spans: Column) -> Column:
     """The texts under spans (start_pos, end_pos), which ascend by start; each chunk of TOGETHER spans is cut once."""
-    groups = F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(TOGETHER)), lambda g: F.slice(spans, g, TOGETHER))
 
     def cut_group(some: Column) -> Column:
         begin = F.element_at(some, 1)["start_pos"]
-        chunk = F.array(F.struct(cut(text, begin.cast("int"), F.array_max(some["end_pos"]).cast("int")).alias("t")))
-        return F.element_at(F.transform(chunk, lambda c: F.transform(some, lambda x: cut(c["t"], (x["start_pos"] - begin).cast("int"), (x["end_pos"] - begin).cast("int")))), 1)
+        chunk = F.struct(cut(text, begin.cast("int"), F.array_max(some["end_pos"]).cast("int")).alias("t"), begin.alias("at"))
+        return bound(chunk, lambda c: F.transform(some, lambda x: cut(c["t"], (x["start_pos"] - c["at"]).cast("int"), (x["end_pos"] - c["at"]).cast("int"))))
 
-    return F.when(F.size(spans) > 0, F.flatten(F.transform(groups, cut_group))).otherwise(F.array().cast("array<string>"))
+    groups = lambda s: F.transform(F.sequence(F.lit(1), F.size(s), F.lit(TOGETHER)), lambda g: bound(F.slice(s, g, TOGETHER), cut_group))
+    return bound(spans, lambda s: F.when(F.size(s) > 0, F.flatten(groups(s))).otherwise(F.array().cast("array<string>")))
 
 
 def canonical(struct: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 # Fixed values.
 VERBAL, HELPERS = ["VERB", "AUX"], ["aux", "cop"]
 QUOTES = {"“": "”", "«": "»", "‘": "’", '"': '"', "'": "'"}
@@ -20,10 +22,6 @@ def base(dep: Column) -> Column:
     return F.lower(F.split_part(dep, F.lit(":"), F.lit(1)))
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _followed(start: Column) -> Column:
     """Where repeated steps lead: start[i] is the next index of i, or i itself where the walk ends."""
     passes = F.sequence(F.lit(1), F.ceil(F.log2(F.size(start) + 1)).cast("int") + 1)
@@ -42,15 +40,15 @@ def forests(rows: DataFrame) -> DataFrame:
 def violations(rows: DataFrame) -> DataFrame:
     """(doc_id, period, check): roots other than one, a root that has a head, others that head themselves, heads outside
     the period, cycles."""
-    f = forests(rows).withColumn("up", F.transform("h", lambda j, i: F.coalesce(j, i)))
-    ends = _followed(F.col("up"))
+    f = forests(rows)
+    up = F.transform("h", lambda j, i: F.coalesce(j, i))
     root = lambda x: base(x["dep"]) == "root"
     checks = {
         "roots": F.size(F.filter("t", root)) != 1,
         "root_head": F.exists("t", lambda x: root(x) & (x["head"] != x["ord"])),
         "self_head": F.exists("t", lambda x: ~root(x) & (x["head"] == x["ord"])),
         "outside": F.exists("h", lambda j: j.isNull()),
-        "cycle": _let(ends, lambda e: F.exists(e, lambda j: F.get(F.col("up"), j) != j)),
+        "cycle": bound(up, lambda u: bound(_followed(u), lambda e: F.exists(e, lambda j: F.get(u, j) != j))),
     }
     found = F.filter(F.array(*(F.when(v, F.lit(k)) for k, v in checks.items())), lambda x: x.isNotNull())
     return f.select("doc_id", "period", F.explode(found).alias("check"))
@@ -60,19 +58,27 @@ def owned(rows: DataFrame) -> DataFrame:
     """Tokens with nucleus (is it a clause's), owner (ord of the nearest nucleus among itself and its ancestors) and
     parent (ord of the nucleus that owns the head of the owner; null at the root)."""
     f = forests(rows)
+    fields = [c for c in rows.columns if c not in ("doc_id", "period")]
     cop = F.transform(F.filter("t", lambda x: base(x["dep"]) == "cop"), lambda x: x["head"])
-    f = f.withColumn("cop", cop)
-    nucleus = F.transform("t", lambda x: F.coalesce(x["pos"].isin(VERBAL) & ~base(x["dep"]).isin(HELPERS), F.lit(False)) | F.array_contains(F.col("cop"), x["ord"]))
-    f = f.withColumn("nucleus", nucleus)
-    step = F.transform("h", lambda j, i: F.when(F.get(F.col("nucleus"), i) | j.isNull(), i).otherwise(j))
-    f = f.withColumn("step", step).withColumn("end", _followed(F.col("step")))
-    owner = F.transform("end", lambda e: F.when(F.get(F.col("nucleus"), e), e))
-    f = f.withColumn("owner", owner)
-    parent = F.transform("owner", lambda o: F.when(F.get(F.col("h"), o) != o, F.get(F.col("owner"), F.get(F.col("h"), o))))
-    f = f.withColumn("parent", parent)
-    out = f.select("doc_id", "period", "low", F.posexplode(F.arrays_zip("t", "nucleus", "owner", "parent")).alias("i", "x"))
-    fields = [F.col(f"x.t.{c}").alias(c) for c in rows.columns if c not in ("doc_id", "period")]
-    return out.select("doc_id", "period", *fields, F.col("x.nucleus").alias("nucleus"), (F.col("low") + F.col("x.owner")).alias("owner"), (F.col("low") + F.col("x.parent")).alias("parent"))
+
+    def nuclei(cops: Column) -> Column:
+        return F.transform("t", lambda x: F.coalesce(x["pos"].isin(VERBAL) & ~base(x["dep"]).isin(HELPERS), F.lit(False)) | F.array_contains(cops, x["ord"]))
+
+    def owners(h: Column, nucleus: Column) -> Column:
+        step = F.transform(h, lambda j, i: F.when(F.get(nucleus, i) | j.isNull(), i).otherwise(j))
+        return F.transform(_followed(step), lambda e: F.when(F.get(nucleus, e), e))
+
+    def tokens(h: Column, nucleus: Column, owner: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            o = F.get(owner, i)
+            parent = F.when(F.get(h, o) != o, F.get(owner, F.get(h, o)))
+            return F.struct(*(x[c].alias(c) for c in fields), F.get(nucleus, i).alias("nucleus"), (F.col("low") + o).alias("owner"), (F.col("low") + parent).alias("parent"))
+
+        return F.transform("t", one)
+
+    # Bound step by step: what a lambda only names, the optimiser would compute anew for each token.
+    made = bound(cop, lambda c: bound(nuclei(c), lambda n: bound(F.col("h"), lambda h: bound(owners(h, n), lambda o: tokens(h, n, o)))))
+    return f.select("doc_id", "period", F.inline(made))
 
 
 def _deepest(up: Column) -> Column:
@@ -86,11 +92,15 @@ def _deepest(up: Column) -> Column:
 def ancestry(rows: DataFrame) -> DataFrame:
     """(doc_id, period, ord, ancestor, distance), itself included. Trees without cycles; a path takes as many steps as the
     period's tree is deep."""
-    f = forests(rows).withColumn("up", F.transform("h", lambda j, i: F.coalesce(j, i))).withColumn("deep", _deepest(F.col("up")))
-    steps = F.when(F.col("deep") > 0, F.sequence(F.lit(1), F.col("deep"))).otherwise(F.array().cast("array<int>"))
-    climb = lambda acc, _: _let(F.get(F.col("up"), F.element_at(acc, -1)), lambda j: F.when(j == F.element_at(acc, -1), acc).otherwise(F.concat(acc, F.array(j))))
-    path = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.aggregate(F.col("steps"), F.array(i), climb))
-    rows = f.withColumn("steps", steps).select("doc_id", "period", "low", F.posexplode(path).alias("i", "path")).select("doc_id", "period", "low", "i", F.posexplode("path").alias("distance", "a"))
+    f = forests(rows)
+
+    def paths(up: Column, deep: Column) -> Column:
+        steps = F.when(deep > 0, F.sequence(F.lit(1), deep)).otherwise(F.array().cast("array<int>"))
+        climb = lambda acc, _: bound(F.get(up, F.element_at(acc, -1)), lambda j: F.when(j == F.element_at(acc, -1), acc).otherwise(F.concat(acc, F.array(j))))
+        return bound(steps, lambda s: F.transform(F.sequence(F.lit(0), F.size(up) - 1), lambda i: F.aggregate(s, F.array(i), climb)))
+
+    made = bound(F.transform("h", lambda j, i: F.coalesce(j, i)), lambda up: bound(_deepest(up), lambda deep: paths(up, deep)))
+    rows = f.select("doc_id", "period", "low", F.posexplode(made).alias("i", "path")).select("doc_id", "period", "low", "i", F.posexplode("path").alias("distance", "a"))
     return rows.select("doc_id", "period", (F.col("low") + F.col("i")).alias("ord"), (F.col("low") + F.col("a")).alias("ancestor"), "distance")
 
 
