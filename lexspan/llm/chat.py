@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 HEAD, COLON, END = "### ", ": ", "</turn>"
 STOP = END + "\n"
 LEARNED = "assistant"
@@ -93,17 +95,16 @@ TOGETHER = 64
 
 
 def cut(text: Column, spans: Column) -> Column:
-    """The stretches of a text under sorted spans (start, length) of code points, one behind another."""
-    groups = F.sequence(F.lit(0), F.ceil(F.size(spans) / TOGETHER).cast("int") - 1)
+    """The stretches of a text under sorted spans (start, length) of code points, unescaped, one behind another."""
     sub = lambda t, a, n: F.substr(t, (a + 1).cast("int"), n.cast("int"))
 
     def cut_group(some: Column) -> Column:
         begin, last = F.element_at(some, 1)["start"], F.element_at(some, -1)
-        chunk = F.struct(sub(text, begin, last["start"] + last["length"] - begin).alias("t"))
-        return F.element_at(F.transform(F.array(chunk), lambda c: F.array_join(F.transform(some, lambda s: unescape(sub(c["t"], s["start"] - begin, s["length"]))), "")), 1)
+        chunk = F.struct(sub(text, begin, last["start"] + last["length"] - begin).alias("t"), begin.alias("at"))
+        return bound(chunk, lambda c: F.array_join(F.transform(some, lambda s: unescape(sub(c["t"], s["start"] - c["at"], s["length"]))), ""))
 
-    parts = F.transform(F.transform(groups, lambda g: F.slice(spans, g * TOGETHER + 1, TOGETHER)), cut_group)
-    return F.when(F.size(spans) > 0, F.array_join(parts, "")).otherwise("")
+    groups = lambda s: F.transform(F.sequence(F.lit(1), F.size(s), F.lit(TOGETHER)), lambda g: bound(F.slice(s, g, TOGETHER), cut_group))
+    return bound(spans, lambda s: F.when(F.size(s) > 0, F.array_join(groups(s), "")).otherwise(""))
 
 
 def digest(formatted: DataFrame) -> DataFrame:

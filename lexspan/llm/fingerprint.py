@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 UNITS, INNER, LONG = 12, 2, 24
 #: Quantiles of ids for each range, of which ranges of about equal bytes are made.
 FINE = 8
@@ -30,14 +32,9 @@ FINE = 8
 SPLIT = 1 << 20
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once for a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def units(text: Column) -> Column:
     split = F.array_remove(F.split(text, r"\s+"), "")
-    return let(split, lambda w: F.when(F.length(text) > (LONG + 1) * F.size(w), F.array_remove(F.split(F.regexp_replace(text, r"\s+", ""), ""), "")).otherwise(w))
+    return bound(split, lambda w: F.when(F.length(text) > (LONG + 1) * F.size(w), F.array_remove(F.split(F.regexp_replace(text, r"\s+", ""), ""), "")).otherwise(w))
 
 
 def short(hashed: Column) -> Column:
@@ -54,13 +51,13 @@ def anchors(hashes: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(hashes) - UNITS)
         return F.filter(starts, lambda i: F.least(edge(i, 0), edge(i, last)) <= F.least(*(edge(i, j) for j in range(1, last))))
 
-    found = F.transform(let(inner, closed), lambda i: F.struct(i.alias("at"), short(F.xxhash64(*(at(i, j) for j in range(UNITS)))).alias("h")))
+    found = F.transform(bound(inner, closed), lambda i: F.struct(i.alias("at"), short(F.xxhash64(*(at(i, j) for j in range(UNITS)))).alias("h")))
     whole = F.array(F.struct(F.lit(0).alias("at"), short(F.xxhash64(hashes)).alias("h")))
     return F.when(F.size(hashes) >= UNITS, found).when(F.size(hashes) > 0, whole).otherwise(F.slice(whole, 1, 0))
 
 
 def text_anchors(text: Column) -> Column:
-    return let(F.transform(units(text), lambda w: F.xxhash64(w)), anchors)
+    return bound(F.transform(units(text), lambda w: F.xxhash64(w)), anchors)
 
 
 def as_text(found: Column) -> Column:
@@ -78,7 +75,7 @@ def parts(found: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two arrays of parts."""
-    shared = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    shared = bound(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared).cast("double")
 
 
