@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.stage import safe_unions, shared_dir
 
 #: Rows of an Arrow batch; texts may be long, and a worker holds a batch more than once.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 #: Words are runs without the ASCII white space of the contract.
 WORD_BREAKS = b" \t\n\x0b\x0c\r"
 
@@ -159,7 +159,7 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(words[a:b], k)) for a, b in zip(first[:-1], first[1:])]
 
 
-def slices(texts, most: int = 1_500_000):
+def slices(texts, most: int = 500_000):
     """Index ranges of a column of texts that hold about so many characters together; a longer text stands alone."""
     begin, size = 0, 0
     for i, t in enumerate(texts):

@@ -185,7 +185,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, c
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(texts, 700_000):
+            for a, b in slices(texts, 400_000):
                 found = model.label(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in keep), pa.array([x for x, _ in found]), pa.array([s for _, s in found])], names=[*keep, "lang_pred", "score"])
 

@@ -76,7 +76,7 @@ def _shingles_of(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.nd
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts, ids = list(batch["text"]), batch["doc_id"].astype("Int64")
-        for i, j in slices(texts, 500_000):
+        for i, j in slices(texts, 250_000):
             text, place, start, length, a, b, words = _paragraphs(texts[i:j])
             if len(text):
                 hashes, at = _shingles_of(words, a, b)
@@ -87,7 +87,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _wanted_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts, wanted = list(batch["text"]), list(batch["places"])
-        for i, j in slices(texts, 500_000):
+        for i, j in slices(texts, 250_000):
             text, place, _, _, a, b, words = _paragraphs(texts[i:j])
             pairs = {(k, p) for k, places in enumerate(wanted[i:j]) for p in places}
             take = [k for k, pair in enumerate(zip(text.tolist(), place.tolist())) if pair in pairs]
@@ -182,7 +182,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each text: its anchors' places and hashes."""
     for batch in batches:
         texts, gone = list(batch["text"]), list(batch["gone"])
-        for i, j in slices(texts, 300_000):
+        for i, j in slices(texts, 200_000):
             words, at, _, line = _words("\n".join(texts[i:j]))
             size = np.array([len(t) + 1 for t in texts[i:j]])
             begin = np.cumsum(size) - size
@@ -203,6 +203,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All runs of RUN words around the repeated anchors."""
+    columns = ["doc_id", "text_key", "at", "hash", "place", "start", "stop"]
     for batch in batches:
         parts = []
         for doc_id, text, gone, key, ranges in zip(batch["doc_id"], batch["text"], batch["gone"], batch["text_key"], batch["ranges"]):
@@ -217,8 +218,11 @@ def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 i = np.flatnonzero(np.cumsum(near[:-1]) > 0)
                 if len(i):
                     parts.append((doc_id, key, i + first, h[i].view(np.int64), line[i], a[i], b[i + RUN - 1]))
+            if sum(len(p[2]) for p in parts) > 50_000:
+                yield _frame(parts, columns)
+                parts = []
         if parts:
-            yield _frame(parts, ["doc_id", "text_key", "at", "hash", "place", "start", "stop"])
+            yield _frame(parts, columns)
 
 
 def _common_runs(stage: Stage, docs: DataFrame, found: DataFrame) -> DataFrame:
