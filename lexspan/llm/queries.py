@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprint, html_text, langid, near_dedup, packing, passages, tokens, toxicity
+from . import chat, decontaminate, fill_middle, fingerprint, html_text, langid, near_dedup, packing, passages, tokens, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -52,5 +52,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(spark, table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op3_chat_formatting, op4_substring_dedup, op5_html_extraction, op6_packing, op7_document_fingerprints, op8_language_id, op9_toxicity, op10_token_counts)}
-ORACLES = {"op3_chat_formatting": chat.ORACLE}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(spark, table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op3_chat_formatting, op4_substring_dedup, op5_html_extraction, op6_packing, op7_document_fingerprints, op8_language_id, op9_toxicity, op10_token_counts, op11_fill_in_middle)}
+ORACLES = {"op3_chat_formatting": chat.ORACLE, "op11_fill_in_middle": fill_middle.ORACLE}
