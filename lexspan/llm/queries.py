@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fill_middle, filter_audit, fingerprint, html_text, langid, near_dedup, packing, passages, tokens, toxicity
+from . import chat, decontaminate, fill_middle, filter_audit, fingerprint, html_text, langid, near_dedup, packing, passages, secret_scan, tokens, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -60,5 +60,9 @@ def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit.audit_documents(spark, table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op3_chat_formatting, op4_substring_dedup, op5_html_extraction, op6_packing, op7_document_fingerprints, op8_language_id, op9_toxicity, op10_token_counts, op11_fill_in_middle, op12_filter_interaction_audit)}
-ORACLES = {"op3_chat_formatting": chat.ORACLE, "op11_fill_in_middle": fill_middle.ORACLE, "op12_filter_interaction_audit": filter_audit.ORACLE}
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op3_chat_formatting, op4_substring_dedup, op5_html_extraction, op6_packing, op7_document_fingerprints, op8_language_id, op9_toxicity, op10_token_counts, op11_fill_in_middle, op12_filter_interaction_audit, op13_secret_scans)}
+ORACLES = {"op3_chat_formatting": chat.ORACLE, "op11_fill_in_middle": fill_middle.ORACLE, "op12_filter_interaction_audit": filter_audit.ORACLE, "op13_secret_scans": secret_scan.ORACLE}
