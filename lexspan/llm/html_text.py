@@ -7,7 +7,9 @@ content if the marginal of its nearest element is at least 0.5. The parameters a
 `labelled_pages` composes (layouts, names, languages and noise vary by a seeded generator; the labels are known by
 construction); PAGES of them are used, and none of the pages to be extracted.
 
-Scripts, styles, templates and comments of the markup hold no text. Character references are decoded, white space inside
+Scripts, styles, templates and comments of the markup hold no text. Optional tags may be left out: a head ends where what
+cannot stand in it begins, a title without an end at the next block, other silent elements without an end (noscript) with
+the element around them or at the next section. Character references are decoded, white space inside
 a block becomes one space, blocks are trimmed and joined in page order by one space. Broken markup is read as browsers do
 in the main cases: unknown end tags are dropped, open elements are closed with their parent.
 
@@ -34,6 +36,10 @@ PAGES, SEED = 700, 20
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = set("script style template noscript head title svg math iframe object select textarea option".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+#: What may stand in a head; any other tag, or text, ends it where its end tag is left out.
+IN_HEAD = set("base basefont bgsound link meta title noscript noframes style script template".split())
+#: Where a silent element whose end tag is missing altogether ends at the latest.
+SECTIONS = set("body article main section header footer nav aside h1".split())
 #: An opening tag closes these open elements first, up to the nearest one that bounds them.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tr", "td", "th"}}
 ENDED = set().union(*CLOSES.values())
@@ -98,11 +104,18 @@ def groups(names: str) -> set[int]:
 class Dom(HTMLParser):
     """A tree of elements; items of a node are its texts and children in page order."""
 
+    RCDATA_CONTENT_ELEMENTS = ()  # tags within an unclosed title are read as tags, whatever the library's version
+
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", {}, None)
+        # The elements open within silence, from the silent one inwards, and how often each tag is among them.
         self.silent: list[str] = []
+        self.quiet: dict[str, int] = {}
         self.open: dict[str, int] = {}
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        low = html.lower()
+        self.last_end = {tag: low.rfind(f"</{tag}") for tag in SILENT}
         self.feed(html)
         self.close()
 
@@ -123,17 +136,42 @@ class Dom(HTMLParser):
             if done:
                 return
 
+    def _closed_later(self, tag: str) -> bool:
+        line, column = self.getpos()
+        return self.last_end.get(tag, -1) > self.lines[line - 1] + column
+
+    def _hush(self, tag: str):
+        self.silent.append(tag)
+        self.quiet[tag] = self.quiet.get(tag, 0) + 1
+
+    def _speak(self, depth: int = 0):
+        """End the silent elements from the given depth inwards."""
+        while len(self.silent) > depth:
+            self.quiet[self.silent.pop()] -= 1
+
+    def _ends_silence(self, tag: str) -> bool:
+        """Does an opening tag end silence whose end tag is left out? A head ends where what cannot stand in it begins; a
+        title without an end ends at the next block, another silent element without an end at the next section."""
+        k = int(self.silent[0] == "head")
+        if k and tag == "body":
+            return True
+        if len(self.silent) == k:
+            return tag not in IN_HEAD and tag not in ("html", "head")
+        held = self.silent[k]
+        return tag in (BLOCKS | SECTIONS if held == "title" else SECTIONS) and not self._closed_later(held)
+
     def handle_starttag(self, tag, attrs):
+        if self.silent and self._ends_silence(tag):
+            self._speak()
         if self.silent:
-            if tag not in VOID and tag == self.silent[-1]:
-                self.silent.append(tag)
+            if tag not in VOID:
+                self._hush(tag)
             return
         if tag in ("html", "body"):
             self._name(self.root, dict(attrs))
             return
         if tag in SILENT:
-            if tag == "head" or tag not in VOID:
-                self.silent.append(tag)
+            self._hush(tag)
             return
         if tag in BLOCKS and self.at.p is not None:
             self._leave(self.at.p)
@@ -161,25 +199,30 @@ class Dom(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in SILENT:
+        if tag not in VOID:
             self.handle_endtag(tag)
-        elif tag in SILENT and self.silent:
-            self.silent.pop()
 
     def handle_endtag(self, tag):
+        inner = (self.at.run.inlines or {}) if tag in INLINE else self.open
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
-            elif tag == "head":
-                self.silent.clear()
-            return
-        if (((self.at.run.inlines or {}) if tag in INLINE else self.open)).get(tag, 0):
+            if self.quiet.get(tag, 0):
+                while self.silent[-1] != tag:
+                    self._speak(len(self.silent) - 1)
+                self._speak(len(self.silent) - 1)
+                return
+            # The end of an element around it ends a silent one that nothing closes.
+            if not inner.get(tag, 0) or self._closed_later(self.silent[0]):
+                return
+            self._speak()
+        if inner.get(tag, 0):
             node = self.at
             while node.tag != tag:
                 node = node.parent
             self._leave(node)
 
     def handle_data(self, data):
+        if self.silent == ["head"] and data.strip():
+            self._speak()
         if not self.silent:
             self.at.items.append(data)
 

@@ -1,5 +1,7 @@
 """Main text of pages written and labelled by hand, and of deep ones."""
 
+import random
+import re
 import time
 
 import pytest
@@ -63,3 +65,65 @@ def test_a_very_long_page_is_read_whole(model):
     body = "".join(f"<p>Paragraph number {i} tells a little more of the story, and ends here.</p>" for i in range(20_000))
     text = model.text(f"<html><body><nav><a href='/'>Home</a></nav><article>{body}</article></body></html>")
     assert text.startswith("Paragraph number 0 ") and text.count("Paragraph number") == 20_000
+
+
+ARTICLE = "<article><h1>Rivers</h1><p>The river rose in the night, and by morning the lower fields stood under water.</p><p>Nobody was hurt, said the mayor.</p></article>"
+TEXT = "Rivers The river rose in the night, and by morning the lower fields stood under water. Nobody was hurt, said the mayor."
+
+#: Legal or common pages whose head, title or silent elements lack tags.
+UNCLOSED = [
+    f"<html><head><title>T</title><body>{ARTICLE}",
+    f"<html><head><title>T</title>{ARTICLE}",
+    f"<title>T</title>{ARTICLE}",
+    f"<head><meta charset=utf-8><link rel=x><style>p {{}}</style>{ARTICLE}</head>",
+    f"<html><head><title>T<body>{ARTICLE}</body></html>",
+    f"<html><head><title>T</head><body>{ARTICLE}</body></html>",
+    f"<title>T {ARTICLE}",
+    f"<html><head><noscript><link rel=s><body>{ARTICLE}",
+    f"<html><head><noscript><img src=x></noscript><title>T</title><body>{ARTICLE}",
+    f"<html><head><noscript><img src=x></head><body>{ARTICLE}",
+    f"<body><div><noscript>Turn scripts on</div>{ARTICLE}</body>",
+    f"<body><noscript><p>Turn scripts on</p>{ARTICLE}</body>",
+    f"<body><svg><g><title>icon</svg>{ARTICLE}</body>",
+    f"<body><select><option>a<option>b</select>{ARTICLE}</body>",
+    f"<body><svg/><template/>{ARTICLE}</body>",
+    f"<html><head><title>a <b>bold</b> title</title><base href=x>{ARTICLE}",
+]
+
+
+@pytest.mark.parametrize("k", range(len(UNCLOSED)))
+def test_optional_and_missing_tags(model, k):
+    assert model.text(UNCLOSED[k]) == TEXT
+
+
+def test_text_ends_a_head_without_an_end(model):
+    assert model.text("<head><title>T</title>Plain words.") == "Plain words."
+
+
+def test_silent_elements_that_are_closed_stay_silent(model):
+    page = f"<body><noscript><section><h1>no</h1></section></noscript><template><article><p>No text of a template is shown here.</p></article></template>{ARTICLE}"
+    assert model.text(page) == TEXT
+
+
+OPTIONAL = re.compile(r"</?(?:html|head|body)>|</(?:p|li|td|tr)>")
+
+
+def test_optional_tags_dropped_at_random(model):
+    """An end tag of p is left out only where a block or the parent's end follows, as the standard has it."""
+    rng = random.Random(11)
+    for page in html_text.labelled_pages(1000, seed=77):
+        want = model.text(page)
+
+        def drop(m):
+            follows = page[m.end() : m.end() + 30]
+            ended = m[0] != "</p>" or re.match(r"</(?!a>|b>|i>|em>|span>)|<(?:p|div|ul|ol|h[1-6]|table|section|article|aside|header|footer|nav|form|blockquote|pre)\b", follows)
+            return "" if ended and rng.random() < 0.5 else m[0]
+
+        assert model.text(OPTIONAL.sub(drop, page)) == want
+
+
+def test_deep_silence_takes_linear_time(model):
+    start = time.perf_counter()
+    assert model.text("<svg>" + "<g>" * N + "</x>" * N + "</svg>" + ARTICLE) == TEXT
+    assert model.text("<svg></b>" * N + "</svg>" * N + ARTICLE) == TEXT
+    assert time.perf_counter() - start < 60
