@@ -81,7 +81,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(text):
                 hashes, at = _shingles_of(words, a, b)
                 digests = [xxhash.xxh3_128_digest(words[x:y].tobytes()) for x, y in zip(a, b)]
-                yield pd.DataFrame({"doc_id": ids[i:j].array[text], "place": place, "start": start, "length": length, "class": digests, "bands": list(RULE.bands_of(hashes, at))})
+                yield pd.DataFrame({"doc_id": ids[i:j].array[text], "text_key": batch["text_key"].to_numpy()[i:j][text], "place": place, "start": start, "length": length, "class": digests, "bands": list(RULE.bands_of(hashes, at))})
 
 
 def _wanted_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,11 +165,6 @@ def _anchors(words: np.ndarray, stretch: np.ndarray) -> np.ndarray:
     return begins
 
 
-def _text_key(text: str) -> int:
-    """Tells the texts of a repeated doc_id apart."""
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
-
-
 def _frame(parts: list[tuple], columns: list[str]) -> pd.DataFrame:
     """One frame from (doc_id, text_key, array, ...) of many stretches."""
     sizes = [len(p[2]) for p in parts]
@@ -197,7 +192,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             begins = np.flatnonzero(_anchors(words, stretch))
             h = _runs(words, WORDS)[begins].view(np.int64) if len(begins) else np.zeros(0, np.int64)
             edge = np.searchsorted(begins, first)
-            rows = [(doc_id, _text_key(t), begins[a:b] - f, h[a:b]) for doc_id, t, f, a, b in zip(batch["doc_id"][i:j], texts[i:j], first, edge, edge[1:]) if b > a]
+            rows = [(doc_id, key, begins[a:b] - f, h[a:b]) for doc_id, key, f, a, b in zip(batch["doc_id"][i:j], batch["text_key"][i:j], first, edge, edge[1:]) if b > a]
             yield pd.DataFrame(rows, columns=["doc_id", "text_key", "at", "hash"])
 
 
@@ -207,8 +202,6 @@ def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         parts = []
         for doc_id, text, gone, key, ranges in zip(batch["doc_id"], batch["text"], batch["gone"], batch["text_key"], batch["ranges"]):
-            if _text_key(text) != key:
-                continue
             low, high = (np.array([r[k] for r in ranges]) for k in ("low", "high"))
             for first, line, words, a, b in _left(text, gone):
                 h = _runs(words, RUN)
@@ -227,8 +220,8 @@ def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _common_runs(stage: Stage, docs: DataFrame, found: DataFrame) -> DataFrame:
     """Runs of at least RUN words that occur more than once in what is left of the texts without the found lines."""
-    gone = stage.put(found.where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("place").alias("gone")))
-    left = docs.where("doc_id is not null and text is not null").join(small(gone, 4 * gone.count()), "doc_id", "left")
+    gone = stage.put(found.where("not kept and doc_id is not null").groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("gone")))
+    left = docs.where("doc_id is not null and text is not null").join(small(gone, 4 * gone.count()), ["doc_id", "text_key"], "left")
     anchors = stage.put(spread(stage.spark, left).mapInPandas(_anchor_rows, "doc_id long, text_key long, at array<long>, hash array<long>"))
     anchors = anchors.select("doc_id", "text_key", F.posexplode(F.arrays_zip("at", "hash")).alias("n", "a")).select("doc_id", "text_key", "n", "a.at", "a.hash")
     spot = F.xxhash64("doc_id", "text_key", "at")  # repeated rows are one occurrence
@@ -239,7 +232,7 @@ def _common_runs(stage: Stage, docs: DataFrame, found: DataFrame) -> DataFrame:
     ranges = again.withColumn("island", island).groupBy("doc_id", "text_key", "island").agg(F.min("at").alias("low"), F.max("at").alias("high"))
     by_doc = stage.put(ranges.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
     n = by_doc.select(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
-    rows = left.join(small(by_doc, 2 * n), "doc_id").mapInPandas(_window_rows, "doc_id long, text_key long, at long, hash long, place long, start long, stop long")
+    rows = left.join(small(by_doc, 2 * n), ["doc_id", "text_key"]).mapInPandas(_window_rows, "doc_id long, text_key long, at long, hash long, place long, start long, stop long")
     rows = stage.put(rows)
     low = F.min(F.struct("doc_id", "text_key", "at", "place")).alias("low")
     tops = stage.put(rows.groupBy("hash").agg(low, F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("hash", "low"))
@@ -250,40 +243,46 @@ def _common_runs(stage: Stage, docs: DataFrame, found: DataFrame) -> DataFrame:
     island = F.col("at") - F.dense_rank().over(Window.partitionBy("doc_id", "text_key", "kept").orderBy("at"))
     runs = rows.withColumn("island", island).groupBy("doc_id", "text_key", "kept", "island")
     runs = runs.agg(F.min("place").alias("place"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(F.struct("at", "low")).alias("first"))
-    return runs.select("doc_id", "place", "start", (F.col("stop") - F.col("start")).alias("length"), F.col("first.low.doc_id").alias("component_id"), F.col("first.low.place").alias("component_place"), "kept")
+    return runs.select("doc_id", "text_key", "place", "start", (F.col("stop") - F.col("start")).alias("length"), F.col("first.low.doc_id").alias("component_id"), F.col("first.low.place").alias("component_place"), "kept")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Passages that occur more than once, whole lines and runs of words: doc_id, place (line, of a run its first), start,
-    length, component_id (doc_id of the first occurrence), component_place, kept."""
+    """Passages that occur more than once, whole lines and runs of words: doc_id, text_key (hash of the text, which tells
+    rows of one doc_id apart), place (line, of a run its first), start, length, component_id (doc_id of the first
+    occurrence), component_place, kept."""
     stage = Stage(spark, "passages")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
     lines = stage.put(_repeated_lines(stage, docs))
     return stage.result(lines.unionByName(_common_runs(stage, docs, lines)))
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of a repeated doc_id apart."""
+    return F.xxhash64(text)
+
+
 def _repeated_lines(stage: Stage, docs: DataFrame) -> DataFrame:
     """Paragraphs that occur more than once."""
-    made = stage.put(spread(stage.spark, docs).mapInPandas(_features, "doc_id long, place long, start long, length long, class binary, bands array<long>"))
+    made = stage.put(spread(stage.spark, docs).mapInPandas(_features, "doc_id long, text_key long, place long, start long, length long, class binary, bands array<long>"))
     named = made.where("doc_id is not null")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """Only one text that holds a wanted paragraph is read again."""
-        first = named.join(small(nodes, nodes.count()), "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "place")).alias("p"))
-        by_doc = stage.put(first.groupBy("p.doc_id").agg(F.collect_set("p.place").alias("places")))
+        first = named.join(small(nodes, nodes.count()), "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "text_key", "place")).alias("p"))
+        by_doc = stage.put(first.groupBy("p.doc_id", "p.text_key").agg(F.collect_set("p.place").alias("places")))
         n = by_doc.select(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-        return docs.join(small(by_doc, n), "doc_id").mapInPandas(_wanted_sets, "class binary, hashes binary")
+        return docs.join(small(by_doc, n), ["doc_id", "text_key"]).mapInPandas(_wanted_sets, "class binary, hashes binary")
 
     nodes, labels = link_classes(stage, named.select("class", "bands"), RULE, sets_of)
     linked = stage.put(nodes.join(labels.withColumnRenamed("node", "id"), "id").select("class", F.col("component").alias("linked")))
-    rows = made.select("doc_id", "place", "start", "length", "class").join(small(linked, 2 * linked.count()), "class", "left")
+    rows = made.select("doc_id", "text_key", "place", "start", "length", "class").join(small(linked, 2 * linked.count()), "class", "left")
     # A group is a component of linked classes, or one class of copies.
     rows = rows.withColumn("group", F.when(F.col("linked").isNull(), F.col("class")).otherwise(F.encode(F.col("linked").cast("string"), "utf-8"))).drop("class", "linked")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("top")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "place")).alias("top")
     tops = stage.put(rows.groupBy("group").agg(first, F.count("*").alias("n")).where("n > 1").select("group", "top"))
     out = rows.join(small(tops, 3 * tops.count()), "group")
-    kept = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("place") == F.col("top.place"))
-    return out.select("doc_id", "place", "start", "length", F.col("top.doc_id").alias("component_id"), F.col("top.place").alias("component_place"), kept.alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("text_key") == F.col("top.text_key")) & (F.col("place") == F.col("top.place"))
+    return out.select("doc_id", "text_key", "place", "start", "length", F.col("top.doc_id").alias("component_id"), F.col("top.place").alias("component_place"), kept.alias("kept"))
 
 
 def _cut(text: Column, gone: Column) -> Column:
@@ -306,12 +305,17 @@ def _cut(text: Column, gone: Column) -> Column:
 
 
 def without_passages(docs: DataFrame, found: DataFrame, rows: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """rows: number of documents that lose a passage, if counted. docs with the passages that are not kept cut out; texts left blank go. Other columns stay as they are."""
+    """docs with the passages that are not kept cut out; texts left blank go. Other columns stay as they are. rows: number
+    of documents that lose a passage, if counted. Without a text_key in found, what it names goes from every text of an id."""
     span = F.struct(F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"))
-    gone = found.where("not kept").where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set(span).alias("_gone"))
+    keys = [F.col("doc_id").alias("_key"), *([F.col("text_key").alias("_text_key")] if "text_key" in found.columns else [])]
+    gone = found.where("not kept").where(F.col("doc_id").isNotNull()).groupBy(*keys).agg(F.collect_set(span).alias("_gone"))
     if rows is not None:
         gone = small(gone, 4 * rows)
-    rows = docs.join(gone, F.col(key) == F.col("_key"), "left")
+    same = F.col(key) == F.col("_key")
+    if len(keys) > 1:
+        same &= text_key(F.col(text)) == F.col("_text_key")
+    rows = docs.join(gone, same, "left").drop("_text_key")
     rows = rows.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_cut(F.col(text), F.col("_gone"))))
     blank = F.col("_gone").isNotNull() & (F.trim(F.translate(F.col(text), "\n\t\r", "   ")) == "")
     return rows.where(~blank).drop("_key", "_gone")

@@ -367,6 +367,18 @@ def test_repeated_passages_odd_cases(spark):
     assert got == {(None, 0, 3, False): 1, (3, 0, 3, True): 2, (4, 0, 3, False): 1, (4, 1, 3, False): 1, (1, 0, 1, True): 1, (2, 0, 1, False): 1}
 
 
+def test_texts_of_one_id_are_cut_apart(spark):
+    """Of the two texts of id 2 only the line that is repeated goes; the same place in the other text stays."""
+    rng = random.Random(23)
+    a, b, c, d = (prose(rng, n) for n in (40, 30, 35, 38))
+    passage = prose(rng, 60)
+    rows = [(1, a), (2, f"{a}\n{b}"), (2, f"{c}\n{d}"), (3, f"{prose(rng, 9)} {passage} x"), (4, f"y {passage} {prose(rng, 7)}"), (4, f"{prose(rng, 20)}")]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, text_key int")
+    found = passages.repeated_passages(spark, docs)
+    left = Counter((r.doc_id, r.text) for r in passages.without_passages(docs, found).collect())
+    assert left == Counter([(1, a), (2, b), (2, f"{c}\n{d}"), rows[3], (4, rows[4][1].replace(passage, "")), rows[5]])
+
+
 HARD = """<html><head><title>T</title><style>p{}</style></head><body class=x><nav><ul><li><a href=/>Home</a></li></ul></nav><header><p>Site name</p></header>
 <div class="cookie-notice">We use cookies. Accept them now.</div><article><h1>A &amp; B</h1><p>First <b>par</b>agraph
  here, with text.<p>Second&nbsp;one &lt;x&gt;, also long enough.<script>var a="</p>";</script><ul><li>one thing.<li>two things.</ul><div class="ad">Buy now!</div></article>
