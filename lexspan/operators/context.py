@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, cut_all, sha256
+from . import spans
 
 # Reasons why a window ends where it does, and the limits of one run.
 REASONS = ("zero_radius", "radius_met", "document_edge", "paragraph_fence")
@@ -39,14 +40,24 @@ def windows(periods: DataFrame, before: int = 1, after: int = 1, cross: bool = F
 def with_digests(units: DataFrame, docs: DataFrame) -> DataFrame:
     """Digests of the focus and of the window, separators between its periods included. A document's units are gathered
     and its text is cut once."""
-    spans = lambda a, b: F.transform("u", lambda x: F.struct(x[a].alias("start_pos"), x[b].alias("end_pos")))
+    placed = lambda a, b: F.transform("u", lambda x: F.struct(x[a].alias("start_pos"), x[b].alias("end_pos")))
     rows = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("period", *(c for c in units.columns if c not in ("doc_id", "period"))))).alias("u"))
     rows = rows.join(docs.select("doc_id", "text"), "doc_id")
-    digests = lambda a, b: F.transform(cut_all(F.col("text"), spans(a, b)), lambda t: F.struct(sha256(t).alias("sha"), F.length(t).cast("long").alias("n")))
+    digests = lambda a, b: F.transform(cut_all(F.col("text"), placed(a, b)), lambda t: F.struct(sha256(t).alias("sha"), F.length(t).cast("long").alias("n")))
     rows = rows.select("doc_id", F.explode(F.arrays_zip("u", digests("start_pos", "end_pos").alias("f"), digests("window_start", "window_end").alias("w"))).alias("x"))
     return rows.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"x.u.{c}").alias(c) for c in units.columns), F.col("x.f.sha").alias("focus_sha256"), F.col("x.w.sha").alias("window_sha256"), F.col("x.w.n").alias("window_chars"))
 
 
+def with_original_digests(units: DataFrame, prepared: DataFrame) -> DataFrame:
+    """doc_id, period, and of focus and window the span in the original text, its digest and its length: the spans in the
+    work text are mapped through the preparation, and what the original holds there is digested, changes undone."""
+    rows = units.select("doc_id", "period", "start_pos", "end_pos", F.col("window_start").alias("w0"), F.col("window_end").alias("w1"))
+    mapped = spans.original_spans(spans.span_map(prepared), rows, {"focus": ("start_pos", "end_pos"), "window": ("w0", "w1")})
+    placed = mapped.select("doc_id", "period", F.col("focus_start").alias("start_pos"), F.col("focus_end").alias("end_pos"), "window_start", "window_end")
+    made = with_digests(placed, prepared.select("doc_id", F.col("original").alias("text")))
+    return made.select("doc_id", "period", F.col("start_pos").alias("original_start"), F.col("end_pos").alias("original_end"), F.col("window_start").alias("original_window_start"), F.col("window_end").alias("original_window_end"), F.col("focus_sha256").alias("original_focus_sha256"), F.col("window_sha256").alias("original_window_sha256"), F.col("window_chars").alias("original_window_chars"))
+
+
 def logical_ids(periods: DataFrame, docs: DataFrame, before: int, after: int, cross: bool) -> DataFrame:
     """An identity made of content alone: digest of the text, spans of the focus and of the window's periods, policy."""
     frame = Window.partitionBy("doc_id", *([] if cross else ["paragraph"])).orderBy("period").rowsBetween(-before, after)

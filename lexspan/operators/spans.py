@@ -70,6 +70,33 @@ def map_intervals(prepared: DataFrame, intervals: DataFrame) -> DataFrame:
     return rows.select("doc_id", "work_start", "work_end", to_original(F.col("work_start"), F.col("ends")).alias("original_start"), to_original(F.col("work_end"), F.col("ends")).alias("original_end"))
 
 
+def original_places(pieces: DataFrame, places: DataFrame) -> DataFrame:
+    """places: doc_id, any other columns, place (in the work text), is_end. places with `original`, through any map of
+    pieces: inside a copy the offset is kept; a change that is touched counts whole, so a start in it goes to its first
+    and an end to its last original place. The piece of a place is the last one that begins before it, carried along in
+    one ordered pass by document: no range join, and a document with many pieces and places is not their product."""
+    held = F.struct("kind", "work_start", "work_end", "original_start", "original_end")
+    rest = [c for c in places.columns if c != "doc_id"]
+    asked = places.withColumn("_at", F.col("place") - F.col("is_end").cast("int")).withColumn("_order", F.lit(1))
+    marks = pieces.select("doc_id", F.col("work_start").alias("_at"), F.lit(0).alias("_order"), held.alias("_piece"))
+    order = Window.partitionBy("doc_id").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = marks.unionByName(asked, allowMissingColumns=True).withColumn("_piece", F.last("_piece", ignorenulls=True).over(order)).where("_order = 1")
+    p, into = F.col("_piece"), F.col("place") - F.col("_piece.work_start")
+    change = F.when(F.col("is_end") | (into > 0), p["original_end"]).otherwise(p["original_start"])
+    mapped = F.when(p.isNull(), F.col("place")).when(p["kind"] == COPY, p["original_start"] + into).otherwise(change)
+    return rows.select("doc_id", *rest, mapped.cast("long").alias("original"))
+
+
+def original_spans(pieces: DataFrame, spans_: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """spans_ with the original coordinates of the spans that `pairs` names (name: its columns of start and end), as
+    <name>_start and <name>_end. Rows are told apart by all their columns; an empty span stays empty."""
+    key = F.struct(*(c for c in spans_.columns if c != "doc_id"))
+    ends = [F.struct(F.lit(f"{name}_{side}").alias("what"), F.col(b if side == "end" else a).cast("long").alias("place"), (F.lit(side == "end") & (F.col(b) > F.col(a))).alias("is_end")) for name, (a, b) in pairs.items() for side in ("start", "end")]
+    places = spans_.select("doc_id", key.alias("key"), F.explode(F.array(*ends)).alias("e")).select("doc_id", "key", "e.*")
+    found = original_places(pieces, places).groupBy("doc_id", "key").agg(*(F.max(F.when(F.col("what") == f"{name}_{side}", F.col("original"))).alias(f"{name}_{side}") for name in pairs for side in ("start", "end")))
+    return found.select("doc_id", "key.*", *(f"{name}_{side}" for name in pairs for side in ("start", "end")))
+
+
 def violations(prepared: DataFrame, pieces: DataFrame) -> DataFrame:
     """(doc_id, check) for each check that fails; a valid preparation has none."""
     digests = prepared.where((sha256(F.col("original")) != F.col("original_sha256")) | (sha256(F.col("work")) != F.col("work_sha256"))).select("doc_id", F.lit("digest").alias("check"))

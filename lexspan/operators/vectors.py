@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -10,9 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.text import canonical, cut, sha256
+from . import scan
 from .segment import with_text
 
 # Limits of one run and of the cache, and tolerances of a unit norm.
@@ -148,11 +150,68 @@ def mean_pooled(states: DataFrame) -> DataFrame:
     return _unit(means, "id")
 
 
+#: An exact sum is kept as LIMBS whole numbers, each worth 2^-GRID of the one before: all multiples of 2^-150, which
+#: holds every product of a float32 and a whole number.
+GRID, LIMBS = 30, 6
+
+
+def limbs(x: Column) -> list[Column]:
+    """A double as whole numbers; every step is exact. A double that is no multiple of the last one's worth is an error."""
+    out, rest = [], x.cast("double")
+    for k in range(LIMBS):
+        whole = rest.cast("long")  # towards zero, so that the rest keeps its sign and all its bits
+        out.append(whole)
+        rest = (rest - whole) * (1.0 if k == LIMBS - 1 else float(1 << GRID))
+    out[-1] = F.when(rest == 0, out[-1]).otherwise(F.raise_error(F.lit("a number is too small for an exact sum")).cast("long"))
+    return out
+
+
+def exact_sums(rows: DataFrame, x: Column, *keys: str) -> DataFrame:
+    """(keys, limbs): the sum of a double, exact and so the same in any order. Limbs are added as whole numbers, partly
+    before the shuffle; `as_integer` and `rounded` read them."""
+    return rows.groupBy(*keys).agg(F.array(*(F.sum(n) for n in limbs(x))).alias("limbs"))
+
+
+def as_integer(sums: Column, bits: int = 80) -> Column:
+    """An exact sum times 2^bits, as a decimal; limbs below 2^-bits must be nothing."""
+    worth = lambda k: F.lit(str(1 << (bits - GRID * k))).cast("decimal(25,0)")
+    parts = [F.get(sums, k).cast("decimal(13,0)") * worth(k) for k in range(bits // GRID + 1)]
+    rest = [F.get(sums, k) for k in range(bits // GRID + 1, LIMBS)]
+    clean = reduce(lambda a, b: a & b, (r == 0 for r in rest))
+    return F.when(clean, reduce(lambda a, b: a + b, parts)).otherwise(F.raise_error(F.lit("bits below the scale")).cast("decimal(38,0)"))
+
+
+def rounded(sums: list[int]) -> float:
+    """The double nearest to an exact sum: rounded once."""
+    total = 0
+    for n in sums:
+        total = (total << GRID) + int(n)
+    return total / (1 << (GRID * (LIMBS - 1)))
+
+
+def _unit_means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A vector for each row of exact sums (by dimension) and their weight: mean, then unit length, each sum rounded once."""
+    for batch in batches:
+        vectors_ = []
+        for sums, total in zip(batch["sums"], batch["total"]):
+            means = [rounded(s) / total for s in sums]
+            length = math.sqrt(math.fsum(m * m for m in means))
+            if not (length > 0 and math.isfinite(length)):
+                raise ValueError("a mean vector has no length")
+            vectors_.append([m / length for m in means])
+        yield batch.drop(columns=["sums", "total"]).assign(vector=vectors_)
+
+
 def weighted_mean(blocks: DataFrame, *ids: str) -> DataFrame:
-    """blocks: ids, weight, vector. Sum of weight * vector over the sum of weights, then unit length."""
-    rows = blocks.select(*ids, "weight", F.posexplode("vector").alias("dim", "v"))
-    means = rows.groupBy(*ids, "dim").agg((F.sum(F.col("weight") * F.col("v").cast("double")) / F.sum("weight")).alias("v"))
-    return _unit(means, *ids)
+    """blocks: ids, weight (whole numbers), vector (float32). Sum of weight * vector over the sum of weights, then unit
+    length. Sums are exact, so a representation's vector has the same bits however its blocks are dealt; blocks without
+    weight take no part."""
+    rows = blocks.where("weight > 0").select(*ids, F.col("weight").cast("long").alias("weight"), F.posexplode("vector").alias("dim", "v"))
+    rows = rows.withColumn("product", F.col("weight").cast("double") * F.col("v").cast("double"))
+    sums = rows.groupBy(*ids, "dim").agg(F.array(*(F.sum(n) for n in limbs(F.col("product")))).alias("limbs"), F.sum("weight").alias("total"))
+    grouped = sums.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("dim", "limbs"))).alias("d"), F.max("total").alias("total")).select(*ids, F.col("d.limbs").alias("sums"), "total")
+    schema = StructType([*(f for f in grouped.schema.fields if f.name in ids), StructField("vector", ArrayType(DoubleType()))])
+    return grouped.mapInPandas(_unit_means, schema)
 
 
 def _unit(means: DataFrame, *ids: str) -> DataFrame:
@@ -239,7 +298,13 @@ def representation(representations: DataFrame, doc_id: int, ord_: int) -> DataFr
 
 def cached(store: DataFrame, rows: int = CACHE_ROWS, most: int = CACHE_BYTES, *partition: str) -> DataFrame:
     """store: partition columns, seq, logical_id, size. Newest first until a row or byte budget is first exceeded, then
-    the newest of each logical id."""
+    the newest of each logical id. Without partition columns the store has one budget, kept by a scan over ranges of seq
+    (which tells all rows apart): ranges beyond the budget are not read again, and no task sees more than a range."""
+    if not partition:
+        counted = store.select("seq", "logical_id", "size", F.lit(1).alias("one"))
+        kept = scan.running(counted, [F.desc("seq")], {"bytes": "size", "n": "one"}, {"bytes": most, "n": rows})
+        newest = kept.groupBy("logical_id").agg(F.max_by(F.struct("seq", "size"), "seq").alias("x"))
+        return newest.select("x.seq", "logical_id", "x.size")
     newest = Window.partitionBy(*partition).orderBy(F.desc("seq"))
     upto = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = store.withColumn("bytes", F.sum("size").over(upto)).withColumn("n", F.row_number().over(newest)).where((F.col("bytes") <= most) & (F.col("n") <= rows))

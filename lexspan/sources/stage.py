@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,7 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Tables that lazy results may still read, by the session that wrote them.
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def materialized(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """A written table; `sweep` deletes it, at the latest when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _MADE.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def sweep() -> None:
+    """Delete all tables that `materialized` wrote; results that read them can no longer be computed."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        with contextlib.suppress(Exception):  # a session that has ended takes its connection with it
+            delete(spark, path)

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.store import as_record
-from .package import strict_json
+from .corpus import FRAGMENT, corpus
 
-FRAGMENT = "frag string, block string, work string, volume int, section string, frag_no int, start_pos long, end_pos long, pages array<int>, text string, header string, sha256 string"
+__all__ = ["FRAGMENT", "append", "corpus", "fragments", "literal_files", "write_records", "write_table"]
 
 
 def literal_files(spark: SparkSession, path: str) -> DataFrame:
@@ -28,39 +23,6 @@ def fragments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FRAGMENT).option("mode", "FAILFAST").json(path)
 
 
-def corpus(spark: SparkSession, folder: str) -> tuple[dict, DataFrame, DataFrame]:
-    """A corpus folder: manifest.json (fragments, blocks, dims, references, vectors: the two file names), fragments as JSON
-    lines and their vectors as a float32 matrix in one .npy file. (manifest, fragments with row, vectors as row and v);
-    row i of the matrix belongs to line i, by number and never by the order of a table. Another count, type or shape than
-    the manifest's is an error."""
-    raw = {r["path"].rsplit("/", 1)[-1]: r["content"] for r in spark.read.format("binaryFile").load(f"{folder}/manifest.json").collect()}
-    manifest = strict_json(bytes(raw["manifest.json"]))
-    for key in ("references", "vectors"):
-        name = manifest.get(key)
-        if not isinstance(name, str) or "/" in name or name in ("", ".", ".."):
-            raise ValueError(f"{key} names no file of the folder")
-    file = lambda key: spark.read.format("binaryFile").load(f"{folder}/{manifest[key]}")
-    lines = file("references").select(F.posexplode(F.split(F.regexp_replace(F.col("content").cast("string"), "\n\\z", ""), "\n")).alias("row", "line"))
-    parsed = lines.withColumn("f", F.from_json("line", FRAGMENT + ", entry_sha256 string", {"mode": "FAILFAST"}))
-    fragments = parsed.select(F.col("row").cast("long").alias("row"), "f.*")
-    dims, rows = manifest["dims"], manifest["fragments"]
-
-    def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                m = np.load(io.BytesIO(content), allow_pickle=False)
-                if m.dtype != np.dtype("float32") or m.shape != (rows, dims):
-                    raise ValueError(f"the matrix holds {m.dtype} {m.shape}, the manifest says float32 {(rows, dims)}")
-                for i in range(0, len(m), 512):
-                    yield pd.DataFrame({"row": np.arange(i, min(i + 512, len(m))), "v": list(m[i : i + 512])})
-
-    vectors = file("vectors").select("content").mapInPandas(matrix, "row long, v array<float>")
-    found = fragments.agg(F.count("*").alias("n"), F.count_distinct("block").alias("b")).first()
-    if (found["n"], found["b"]) != (rows, manifest["blocks"]):
-        raise ValueError(f"{found['n']} fragments in {found['b']} blocks, the manifest says {rows} in {manifest['blocks']}")
-    return manifest, fragments, vectors
-
-
 def write_records(rows: DataFrame, path: str) -> None:
     as_record(rows).write.text(path)
 
