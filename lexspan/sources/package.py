@@ -6,12 +6,19 @@ import hashlib
 import io
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from ..operators import scan
 
 # Limits of a package.
 ZIP_BYTES, MEMBER_BYTES, TOTAL_BYTES, DEPTH = 64 << 20, 96 << 20, 128 << 20, 64
@@ -64,6 +71,85 @@ def write(vectors: dict[str, bytes], meta: dict) -> bytes:
     return out.getvalue()
 
 
+#: Bytes that a package holds at most beside its members' own: names, digests and headers of each.
+BESIDE = 512
+
+
+def _folder(path: str):
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+class PackageWriter(DataSourceWriter):
+    """Each task writes whole packages beside their place; the commit moves them there by name."""
+
+    def __init__(self, path: str, meta: str):
+        self.path, self.meta, self.beside = path, meta, f"_beside-{uuid.uuid4().hex}"
+
+    def write(self, rows: Iterator) -> Written:
+        system, folder = _folder(self.path)
+        names, meta = [], json.loads(self.meta)
+        for number, members in groupby(rows, key=lambda r: r["package"]):
+            # One package is held at a time: its size is bounded when the members are dealt.
+            raw = write({r["artifact"]: bytes(r["bytes"]) for r in members}, {**meta, "package": number})
+            if len(raw) > ZIP_BYTES:
+                raise PackageError("package too large")
+            name = f"package-{number:08d}.zip"
+            system.create_dir(f"{folder}/{self.beside}", recursive=True)
+            # A task that runs twice writes under another name each time.
+            made = f"{self.beside}/{uuid.uuid4().hex}-{name}"
+            with system.open_output_stream(f"{folder}/{made}") as out:
+                out.write(raw)
+            names.append(made)
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, folder = _folder(self.path)
+        for message in messages:
+            for made in message.names if message else []:
+                system.move(f"{folder}/{made}", f"{folder}/{made.rpartition('/')[2].partition('-')[2]}")
+        self._clear(system, folder)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clear(*_folder(self.path))
+
+    def _clear(self, system, folder: str) -> None:
+        if system.get_file_info(f"{folder}/{self.beside}").type != pyarrow.fs.FileType.NotFound:
+            system.delete_dir(f"{folder}/{self.beside}")
+
+
+class Packages(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "vector_packages"
+
+    def schema(self) -> str:
+        return "package long, artifact string, bytes binary"
+
+    def writer(self, schema, overwrite: bool) -> PackageWriter:
+        return PackageWriter(self.options["path"], self.options.get("meta", "{}"))
+
+
+def export(artifacts: DataFrame, path: str, meta: dict, room: int = ZIP_BYTES // 2) -> None:
+    """artifacts: artifact (unique), bytes. Packages of about `room` bytes in order of the artifacts' names, each written by
+    the task that holds its members; no bytes pass the driver, and equal artifacts give equal packages. An artifact that
+    would fill more than half a package is refused, and so is one that comes twice."""
+    spark = artifacts.sparkSession
+    size = F.octet_length("bytes") + F.octet_length("artifact") + BESIDE
+    checked = F.when(size <= ZIP_BYTES // 2, size).otherwise(F.raise_error(F.concat(F.lit("artifact too large: "), "artifact")).cast("int"))
+    sized = artifacts.select("artifact", checked.cast("long").alias("size"))
+    if sized.groupBy("artifact").count().where("count > 1").limit(1).count():
+        raise PackageError("an artifact comes twice")
+    placed = scan.running(sized, [F.col("artifact")], {"upto": "size"}).select("artifact", F.floor((F.col("upto") - 1) / room).alias("package"))
+    rows = artifacts.select("artifact", "bytes").join(placed, "artifact").repartition("package").sortWithinPartitions("package", "artifact")
+    spark.dataSource.register(Packages)
+    rows.select("package", "artifact", "bytes").write.format("vector_packages").option("meta", json.dumps(meta)).mode("append").save(path)
+
+
 def _inflated(z: zipfile.ZipFile, info: zipfile.ZipInfo, raw: bytes) -> bytes:
     """A member's bytes, inflated no further than the size that it declares."""
     at = info.header_offset

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.store import as_record
 from .corpus import FRAGMENT, corpus
+from .log import append
 
 __all__ = ["FRAGMENT", "append", "corpus", "fragments", "literal_files", "write_records", "write_table"]
 
@@ -31,18 +32,3 @@ def write_table(rows: DataFrame, path: str) -> None:
     """Tab-separated with headings; tabs and line ends inside cells become spaces."""
     cell = lambda c: F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]+", " ").alias(c)
     rows.select(*map(cell, rows.columns)).write.option("sep", "\t").option("header", "true").csv(path)
-
-
-def append(rows: DataFrame, path: str, key: list[str]) -> None:
-    """Append-only write of a stage; a key that is stored already is refused. Check and write are two steps: of two writers
-    at the same time both may pass, so concurrent writers need a table format that commits atomically."""
-    spark = rows.sparkSession
-    try:
-        known = spark.read.schema(rows.schema).parquet(path).join(rows.select(*key), key, "left_semi").limit(1).count()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = 0
-    if known or rows.groupBy(*key).count().where("count > 1").limit(1).count():
-        raise ValueError("a key is stored already, or twice in this write")
-    rows.write.mode("append").parquet(path)
