@@ -9,9 +9,9 @@ least 0.8; a shingle weighs 1 + ln((items + 1) / (items that hold it + 1)).
 2. In the texts found, all shingles of the items found are met, and every start is kept at which the shingles met inside
    an item-sized window weigh at least 0.8 of the item (repeated ones count each time, so no window is missed).
 3. Each such window and each item gets a 64-bit SimHash of its weighted shingles.
-4. Windows meet items of their own size through BLOCKS blocks of bits. Two fingerprints that differ in at most
-   RADIUS < BLOCKS bits agree on a block, so none within the radius is missed. With so wide a radius a block holds three
-   bits and excludes little; what limits the candidates is step 2 and the equal size.
+4. A window meets the items for which it was kept, and no others, through BLOCKS blocks of bits. Two fingerprints that
+   differ in at most RADIUS < BLOCKS bits agree on a block, so none within the radius is missed; any leak's window is kept
+   for its own item in step 2, so candidates grow with what texts and items share and not with the number of items.
 5. Candidates within the radius are verified by the exact weighted similarity; each (document, item) keeps its best
    window, the first of equals.
 
@@ -65,6 +65,16 @@ def _blocks(simhash: Column) -> Column:
     return F.array(*(F.shiftrightunsigned(simhash, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).bitwiseOR(F.lit(i << 32)) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
 
 
+SPOT = ("text", "start", "size")
+
+
+def candidates(window_sets: DataFrame, laid: DataFrame, item_sets: DataFrame, n_items: int) -> DataFrame:
+    """Windows beside the items that they were kept for and agree with on a block; a pair comes once for each such block."""
+    items = item_sets.select("item", "k", F.col("simhash").alias("item_hash"), F.col("mass").alias("item_mass"), F.explode(_blocks(F.col("simhash"))).alias("block"))
+    rows = laid.join(window_sets, list(SPOT)).withColumn("block", F.explode(_blocks(F.col("simhash"))))
+    return rows.join(small(items, 3 * BLOCKS * n_items), ["item", "block"])
+
+
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start (first word of the window), size (its words), similarity."""
     stage = Stage(spark, "leaks")
@@ -118,21 +128,19 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     events = events.join(small(item_sets.select("item", "mass"), n_items), "item").where(F.col("held") >= SIMILARITY * F.col("mass") - 1e-5)
     last = F.least(F.col("next") - 1, F.greatest(F.col("n") - F.col("size"), F.lit(0)))
     begin = F.least("s", last)
-    windows = events.select("text", "size", F.explode(F.sequence(begin, last)).alias("start")).distinct()
+    laid = stage.put(events.select("text", "size", "item", F.explode(F.sequence(begin, last)).alias("start")).distinct())
 
-    cut = stage.put(windows.join(held.select("text", "words"), "text").select("text", "start", "size", F.slice("words", F.col("start") + 1, F.col("size")).alias("words")))
+    cut = stage.put(laid.select("text", "size", "start").distinct().join(held.select("text", "words"), "text").select("text", "start", "size", F.slice("words", F.col("start") + 1, F.col("size")).alias("words")))
     grams_of = lambda df, k: df.where(F.size("words") >= k).where(F.col("size") >= k if k == SHINGLE else F.col("size") == k).withColumn("grams", grams(F.col("words"), k))
-    spot = ("text", "start", "size")
-    window_sets = fingerprints(weighted(every(lambda k: grams_of(cut, k).select(*spot, F.explode("grams").alias("h")))), *spot)
-    small_items = small(item_sets.select("item", "size", "k", F.col("simhash").alias("item_hash"), F.col("mass").alias("item_mass"), F.explode(_blocks(F.col("simhash"))).alias("block")), 3 * BLOCKS * n_items)
-    near = window_sets.withColumn("block", F.explode(_blocks(F.col("simhash")))).join(small_items, ["size", "block"])
+    window_sets = fingerprints(weighted(every(lambda k: grams_of(cut, k).select(*SPOT, F.explode("grams").alias("h")))), *SPOT)
+    near = candidates(window_sets, laid, item_sets, n_items)
     near = near.where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_hash"))) <= RADIUS)
     # A pair meets in several blocks: it counts in the lowest block on which both agree.
     mine, theirs = _blocks(F.col("simhash")), _blocks(F.col("item_hash"))
-    near = stage.put(near.where(F.col("block") == F.array_min(F.array_intersect(mine, theirs))).select(*spot, "item", "k", "mass", "item_mass"))
+    near = stage.put(near.where(F.col("block") == F.array_min(F.array_intersect(mine, theirs))).select(*SPOT, "item", "k", "mass", "item_mass"))
 
-    shared = every(lambda k: grams_of(cut.join(near.where(F.col("k") == k).withColumnRenamed("k", "near_k"), list(spot)), k).select(*spot, "item", "mass", "item_mass", F.explode("grams").alias("h")))
-    both = shared.join(small(rows.select("item", "h", "weight"), 2 * n_rows), ["item", "h"]).groupBy(*spot, "item", "mass", "item_mass").agg(F.sum("weight").alias("both"))
+    shared = every(lambda k: grams_of(cut.join(near.where(F.col("k") == k).withColumnRenamed("k", "near_k"), list(SPOT)), k).select(*SPOT, "item", "mass", "item_mass", F.explode("grams").alias("h")))
+    both = shared.join(small(rows.select("item", "h", "weight"), 2 * n_rows), ["item", "h"]).groupBy(*SPOT, "item", "mass", "item_mass").agg(F.sum("weight").alias("both"))
     close = both.withColumn("similarity", F.round(F.col("both") / (F.col("mass") + F.col("item_mass") - F.col("both")), 6)).where(F.col("similarity") >= SIMILARITY)
     best = close.groupBy("text", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "size")).alias("m"))
     best = best.join(texts, "text").join(named.select("item_id", "item"), "item").groupBy("doc_id", "item_id").agg(F.max("m").alias("m"))

@@ -204,6 +204,28 @@ def test_a_leak_with_changed_ends_and_insertions_is_found(spark):
     assert set(got) == {(1, 1), (2, 1)} and got[2, 1].similarity == 1 and got[1, 1].similarity > 0.8
 
 
+def test_candidates_grow_with_hits_and_not_with_items(spark, monkeypatch):
+    """All items have one size; whether there are 500 or 2,000, a window meets the items that it shares shingles with."""
+    rng = random.Random(80)
+    words = [f"w{i}" for i in range(4000)]
+    items = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(2000)]
+    texts = [" ".join([prose(rng, 20), edited(rng, items[i], 1), prose(rng, 20)]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    real, met = decontaminate.candidates, []
+
+    def counted(*args):
+        rows = real(*args)
+        met.append(rows.select("text", "start", "size", "item").distinct().count())
+        return rows
+
+    monkeypatch.setattr(decontaminate, "candidates", counted)
+    for n in (500, 2000):
+        bench = spark.createDataFrame([(i, t) for i, t in enumerate(items[:n])], "item_id long, text string")
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark, docs, bench).collect()} <= {(i, i) for i in range(40)}
+    print("CANDIDATES", met)
+    assert met[0] == met[1] <= 40 * 15
+
+
 def test_decontamination_odd_cases(spark):
     """Null ids keep their null, equal texts tie on the first window, one id may stand for several texts or items."""
     rng = random.Random(3)
