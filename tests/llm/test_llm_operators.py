@@ -735,3 +735,16 @@ def test_pipeline(spark):
     assert near_dedup.near_duplicates(spark, docs).where("not kept").count() == 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert out.doc_id.nunique() == before and isinstance(out, pd.DataFrame)
+
+
+def test_settings_are_compared_without_the_held_out_fold(spark, monkeypatch):
+    """The comparison trains on two folds, scores a third, and never reads the held-out one."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    seen, real = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, *a: seen.append((set(texts), a)) or real(texts, y, *a))
+    got = toxicity.compare(docs, labels, [(1, 0.05), (2, 0.02)])
+    assert list(got) == [(1, 0.05), (2, 0.02)] == [a for _, a in seen] and all(0 <= x <= 1 for x in got.values())
+    rows = docs.join(labels, "doc_id").where("text is not null").select("doc_id", "text").collect()
+    fold = lambda k: {r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == k}
+    for texts, _ in seen:
+        assert texts <= fold(1) | fold(3) and not texts & (fold(2) - fold(1) - fold(3))
