@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import check_queries, text_queries, tree_queries, vector_queries
+from . import check_queries, rule_queries, text_queries, tree_queries, vector_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **tree_queries.QUERIES, **vector_queries.QUERIES, **check_queries.QUERIES}
-ORACLES: dict[str, str] = {**text_queries.ORACLES, **tree_queries.ORACLES, **vector_queries.ORACLES, **check_queries.ORACLES}
+QUERIES: dict = {**text_queries.QUERIES, **tree_queries.QUERIES, **vector_queries.QUERIES, **check_queries.QUERIES, **rule_queries.QUERIES}
+ORACLES: dict[str, str] = {**text_queries.ORACLES, **tree_queries.ORACLES, **vector_queries.ORACLES, **check_queries.ORACLES, **rule_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
