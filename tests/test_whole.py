@@ -1,15 +1,9 @@
-"""Queries over whole tables: each against its SQL, which has none of the filters that both had once."""
+"""Queries over whole tables: the SQL has none of the filters that both sides had once."""
 
-from pathlib import Path
-
-import duckdb
 import pytest
 
 from lexspan.plans import registry
 
-from .conftest import SF
-from .test_queries import canonical
-
 #: query: the filters that its SQL had, and what stands there now.
 WHOLE = {
     "vec_chunks": [("doc_id % 20 = 0", "true")],
@@ -40,17 +34,10 @@ WHOLE = {
 
 
 @pytest.mark.parametrize("name", list(WHOLE))
-def test_whole_table(spark, name):
-    con = duckdb.connect()
-    for p in Path(SF).glob("*.parquet"):
-        con.sql(f"create view {p.stem} as select * from '{p}'")
-    sql = registry.ORACLES[name]
+def test_sql_reads_the_whole_table(name):
+    """test_queries compares the results; here it is only seen that no filter has come back."""
     for old, _ in WHOLE[name]:
-        assert old not in sql
-    want = con.sql(sql)
-    df = registry.QUERIES[name](spark, SF)
-    got = canonical([tuple(r) for r in df.collect()], df.columns)
-    assert got == canonical(want.fetchall(), want.columns)
+        assert old not in registry.ORACLES[name]
 
 
 def test_map_intervals_of_a_long_text(spark, tmp_path):
