@@ -122,8 +122,12 @@ def link_places(units: DataFrame, links: DataFrame) -> DataFrame:
     return rows.select("doc_id", "focus", "occurrence", "period", "target_period", F.when(inside, "in_window").otherwise("outside_window").alias("place"))
 
 
-def unit(units: DataFrame, doc_id: int, period: int) -> DataFrame:
-    return units.where((F.col("doc_id") == doc_id) & (F.col("period") == period))
+def unit(units: DataFrame, doc_id: int | None = None, period: int | None = None, logical_id: str | None = None) -> DataFrame:
+    """One unit, by its document and focus period or by its logical id (a column of units): exactly one of the two."""
+    by_place = doc_id is not None and period is not None
+    if by_place == (logical_id is not None) or (doc_id is None) != (period is None):
+        raise ValueError("a unit is asked for by document and period, or by its logical id")
+    return units.where((F.col("doc_id") == doc_id) & (F.col("period") == period)) if by_place else units.where(F.col("logical_id") == logical_id)
 
 
 def differences(made: DataFrame, again: DataFrame) -> DataFrame:

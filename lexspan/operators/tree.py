@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
+from .segment import with_text
 
 # Fixed values.
 VERBAL, HELPERS = ["VERB", "AUX"], ["aux", "cop"]
@@ -161,3 +162,11 @@ def fragments(spans: DataFrame) -> DataFrame:
     order = Window.partitionBy(*ids).orderBy("ord")
     islands = spans.withColumn("island", F.col("ord") - F.row_number().over(order))
     return islands.groupBy(*ids, "island").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).drop("island")
+
+
+def fragment_texts(fragments_: DataFrame, tokens: DataFrame, docs: DataFrame) -> DataFrame:
+    """fragments_ (doc_id, ..., first, last) with start_pos, end_pos and the literal text from the first token to the last,
+    separators between them included. tokens: doc_id, ord, start_pos, end_pos."""
+    begin = tokens.select("doc_id", F.col("ord").alias("first"), "start_pos")
+    end = tokens.select("doc_id", F.col("ord").alias("last"), "end_pos")
+    return with_text(fragments_.join(begin, ["doc_id", "first"]).join(end, ["doc_id", "last"]), docs)

@@ -113,8 +113,11 @@ def distinct_inputs(blocks: DataFrame) -> DataFrame:
 
 
 def cache_split(inputs: DataFrame, cache: DataFrame) -> DataFrame:
-    known = cache.select("artifact").distinct().withColumn("known", F.lit(True))
-    return inputs.join(known, "artifact", "left").withColumn("origin", F.when(F.col("known"), "reused").otherwise("generated")).drop("known")
+    """Which inputs a cache holds already. Where both sides have `input` (the canonical input itself, or its digest), an
+    artifact counts as held only if its input is the same: an equal name alone is not trusted."""
+    keys = ["artifact", *(["input"] if "input" in inputs.columns and "input" in cache.columns else [])]
+    known = cache.select(*keys).distinct().withColumn("known", F.lit(True))
+    return inputs.join(known, keys, "left").withColumn("origin", F.when(F.col("known"), "reused").otherwise("generated")).drop("known")
 
 
 def embed(inputs: DataFrame, model: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "block_text", batch: int = 4) -> DataFrame:
@@ -234,6 +237,16 @@ def over_limits(blocks: DataFrame, dims: int = 64) -> DataFrame:
     return out.withColumn("allowed", fits)
 
 
+def within_limits(blocks: DataFrame, dims: int = 64) -> DataFrame:
+    """The blocks, or an error that names what a run over them would exceed: known before a model is asked, and nothing is
+    left out. One aggregation over the blocks, whose only row is looked at."""
+    cost = over_limits(blocks, dims).first()
+    if not cost["allowed"]:
+        made = cost.asDict() | {"vector_bytes": cost["blocks"] * 4 * dims}
+        raise ValueError("a run would exceed its limits: " + ", ".join(f"{made[k]} {k} of {most}" for k, most in MOST.items() if k in made and made[k] > most))
+    return blocks
+
+
 def content_tokens(inputs: DataFrame) -> Column:
     """How many tokens of an input stand for content: no special ones, behind the prefix, over something not blank."""
     every = F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b"), F.col("special").alias("s"))

@@ -185,3 +185,45 @@ def test_damaged_matrices_are_refused(spark, tmp_path, folder):
             (tmp_path / f"{name}.npy").write_bytes(raw[:-3])
         with pytest.raises(Exception, match=said):
             corpus.matrix(spark, str(tmp_path / f"{name}.npy")).collect()
+
+
+# Limits, caches, look-ups ----------------------------------------------------------------------------------------------
+
+
+def test_a_run_over_its_limits_is_refused_before_a_model_is_asked(spark, monkeypatch):
+    blocks_ = spark.createDataFrame([(1, k, "focus", 0, 5, "words") for k in range(4)], "doc_id long, ord int, kind string, block int, tokens long, block_text string")
+    assert vectors.within_limits(blocks_) is blocks_ and vectors.within_limits(blocks_.limit(0)).count() == 0
+    for name, limit in (("blocks", 3), ("tokens", 19), ("chars", 19), ("representations", 3), ("vector_bytes", 4 * 64 * 4 - 1)):
+        with monkeypatch.context() as m:
+            m.setitem(vectors.MOST, name, limit)
+            with pytest.raises(ValueError, match=name):
+                vectors.within_limits(blocks_)
+
+
+def test_a_cached_artifact_counts_only_with_its_input(spark):
+    inputs = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "artifact string, input string")
+    cache = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "other")], "artifact string, input string")
+    assert {r.artifact: r.origin for r in vectors.cache_split(inputs, cache).collect()} == {"a": "reused", "b": "generated", "c": "generated"}
+    assert {r.artifact: r.origin for r in vectors.cache_split(inputs, cache.select("artifact")).collect()} == {"a": "reused", "b": "reused", "c": "generated"}
+
+
+def test_a_unit_is_asked_for_in_exactly_one_way(spark):
+    from lexspan.operators import context
+
+    units = spark.createDataFrame([(1, 0, "p"), (1, 1, "q"), (2, 0, "r")], "doc_id long, period int, logical_id string")
+    assert [tuple(r) for r in context.unit(units, logical_id="q").collect()] == [(1, 1, "q")] == [tuple(r) for r in context.unit(units, 1, 1).collect()]
+    assert context.unit(units, logical_id="none").count() == 0
+    for bad in ({}, {"doc_id": 1}, {"period": 0}, {"doc_id": 1, "period": 0, "logical_id": "p"}, {"doc_id": 1, "logical_id": "p"}):
+        with pytest.raises(ValueError):
+            context.unit(units, **bad)
+
+
+def test_fragments_hold_their_inner_separators(spark):
+    from lexspan.operators import segment, tree
+
+    text = "Um  dia, dois\n\ndias."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    tokens = segment.tokens(segment.pieces(docs))
+    own = spark.createDataFrame([(1, 0, o) for o in (0, 1, 3, 4)] + [(1, 9, 2), (1, 9, 5)], "doc_id long, owner int, ord int")
+    rows = tree.fragment_texts(tree.fragments(own), tokens, docs).collect()
+    assert sorted((r.owner, r["first"], r["last"], r.literal) for r in rows) == [(0, 0, 1, "Um  dia"), (0, 3, 4, "dois\n\ndias"), (9, 2, 2, ","), (9, 5, 5, ".")]
