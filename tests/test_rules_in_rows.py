@@ -1,6 +1,9 @@
-"""Rules over the index: each is a scan."""
+"""Rules over the index: each is a scan; and a parser that never holds more than a few documents."""
 
-from lexspan.operators import rules
+import pandas as pd
+import pyarrow as pa
+
+from lexspan.operators import annotate, rules
 from lexspan.plans import fixture
 
 
@@ -10,3 +13,20 @@ def test_rules_scan_the_index(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
     assert found.count() > 50
+
+
+def test_parser_holds_few_documents(spark):
+    docs = [(d, 0, k, f"w{k}") for d in range(300) for k in range(3)]
+    tokens = spark.createDataFrame(docs, "doc_id long, period int, ord int, token string").coalesce(1)
+
+    def provider():
+        return lambda words: ([w["ord"] for w in words], ["ROOT"] * len(words), [(0, 0, "MISC")])
+
+    parses = annotate.parsed(tokens, provider)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"n": [b.num_rows]}))
+
+    assert parses.count() == 300 and annotate.trees(tokens, parses).count() == 900
+    assert max(r.n for r in parses.mapInArrow(sizes, "n long").collect()) <= annotate.AT_ONCE
