@@ -6,7 +6,9 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,10 @@ def postings(fragments: DataFrame, wanted: DataFrame | None = None) -> DataFrame
 
 def statistics(fragments: DataFrame) -> DataFrame:
     """One row: n fragments, mean size (empty fragments count; 1 if all are empty)."""
-    sums = _indexed(fragments).agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    return _means(_indexed(fragments).agg(F.count("*").alias("n"), F.sum("size").alias("total")))
+
+
+def _means(sums: DataFrame) -> DataFrame:
     return sums.select("n", F.when(F.coalesce("total", F.lit(0)) == 0, 1.0).otherwise(F.col("total") / F.col("n")).alias("mean"))
 
 
@@ -54,17 +59,31 @@ def statistics(fragments: DataFrame) -> DataFrame:
 FEW = 100_000
 
 
+#: Pairs of a query and a fragment that one task sums up.
+PAIRS = 2_000_000
+
+
 def bm25(queries: DataFrame, fragments: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """queries: query, text. (query, frag, score) of fragments that share a term; a query's terms count once. Without an
-    index only the postings of the queries' terms are counted, and written once."""
+    index only the postings of the queries' terms are counted, in one pass over the texts, and written once, with a row
+    without term for each fragment, which holds its size. Postings are dealt by fragment, so that its scores meet in one
+    task, and into so many parts that a task's pairs stay bounded."""
     asked = materialized(queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
-    words = asked.select("term").distinct()
+    words = asked.select("term").distinct().withColumn("asked", F.lit(True))
     if index is None:
-        index = materialized(postings(fragments, F.broadcast(words) if words.count() <= FEW else words))
+        rows = _indexed(fragments).select("frag", "size", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("terms", F.array().cast("array<string>")))).alias("term"))
+        rows = rows.join(F.broadcast(words) if words.count() <= FEW else words, "term", "left").where("term is null or asked")
+        index = materialized(rows.groupBy("frag", "size", "term").agg(F.count("*").alias("tf")))
+        stats = _means(index.where("term is null").agg(F.count("*").alias("n"), F.sum("size").alias("total")))
+        index = index.where("term is not null")
+    else:
+        stats = statistics(fragments)
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    rows = asked.join(df, "term").join(index, "term").crossJoin(F.broadcast(statistics(fragments)))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    weighed = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    weighed = weighed.select("query", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, -(-stats.first()["n"] * queries.count() // PAIRS))
+    rows = index.repartition(parts, "frag").join(F.broadcast(weighed) if asked.count() <= FEW else weighed, "term")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     return rows.groupBy("query", "frag").agg(F.round(F.sum(part), 9).alias("score"))
 
 
@@ -84,9 +103,59 @@ def best(scores: DataFrame, positive: bool, top: int = TOP) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def block_ranks(ranked: DataFrame, blocks: DataFrame) -> DataFrame:
-    """blocks: frag, block. Blocks in order of their first fragment: (query, block, first_rank, block_rank)."""
-    first = ranked.join(blocks, "frag").groupBy("query", "block").agg(F.min("rank").alias("first_rank"))
+#: Queries and vectors of one cell of dense_best, and queries scored together in it.
+CELL_QUERIES, CELL_VECTORS, SCORED = 4096, 65_536, 128
+
+
+def _cell(asked: pa.Table, held: pa.Table, top: int) -> pa.Table:
+    """The best of a cell's vectors for each of its queries; a vector that is missing or of another length scores null."""
+
+    def matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = column.to_pylist()
+        sound = np.array([v is not None and len(v) == width and None not in v for v in rows], bool)
+        return np.array([v if ok else [0.0] * width for v, ok in zip(rows, sound)], np.float64).reshape(len(rows), width), sound
+
+    width = max((len(v) for v in asked["q"].to_pylist() if v is not None), default=0)
+    (q, q_sound), (v, v_sound) = matrix(asked["q"], width), matrix(held["v"], width)
+    ids, frags = asked["query"].to_numpy(), held["frag"].to_numpy()
+    out = ([], [], [])
+    for at in range(0, len(ids) if len(frags) else 0, SCORED):
+        scores = np.round(q[at : at + SCORED] @ v.T, 9)
+        scores[:, ~v_sound] = -np.inf
+        scores[~q_sound[at : at + SCORED]] = -np.inf
+        for i, row in enumerate(scores):
+            # All that tie with the last one stay, so that the lower fragment wins.
+            some = np.flatnonzero(row >= np.partition(row, len(row) - top)[len(row) - top]) if len(row) > top else np.arange(len(row))
+            some = some[np.lexsort((frags[some], -row[some]))][:top]
+            for column, values in zip(out, (np.full(len(some), ids[at + i]), frags[some], row[some])):
+                column.append(values)
+    query, frag, score = (np.concatenate(x) if x else np.empty(0) for x in out)
+    return pa.table({"query": pa.array(query, pa.int64()), "frag": pa.array(frag, pa.int64()), "score": pa.array(score, pa.float64(), mask=np.isneginf(score))})
+
+
+def dense_best(queries: DataFrame, vectors: DataFrame, top: int = TOP) -> DataFrame:
+    """queries: query, q; vectors: frag, v (ids are whole numbers). (query, frag, score, rank) of the best fragments by
+    every score, as best(dense(...)) gives them: queries and vectors are dealt by hash into a grid of cells of bounded size,
+    in each of which the scores are a product of matrices, and a cell gives back a query's best only. What is shuffled are
+    the vectors once for each CELL_QUERIES queries, and a query's best once for each CELL_VECTORS vectors."""
+    asked, held = -(-queries.count() // CELL_QUERIES) or 1, -(-vectors.count() // CELL_VECTORS) or 1
+    # Few cells would leave cores idle: smaller ones cost little while the rows that they repeat are few.
+    asked = max(asked, min(-(-queries.sparkSession.sparkContext.defaultParallelism // held), 16))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col("query").cast("long").alias("query"), "q", place("query", asked).alias("a"), every(held).alias("b"))
+    right = vectors.select(F.col("frag").cast("long").alias("frag"), "v", place("frag", held).alias("b"), every(asked).alias("a"))
+    cell = lambda x, y: _cell(x, y, top)
+    # A number of its own, so that small cells are not put together into one task.
+    dealt = lambda rows: rows.repartition(2 * asked * held, "a", "b").groupBy("a", "b")
+    return best(dealt(left).cogroup(dealt(right)).applyInArrow(cell, "query long, frag long, score double"), False, top)
+
+
+def block_ranks(ranked: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """blocks: frag, block (none if `ranked` names its blocks). Blocks in order of their first fragment: (query, block,
+    first_rank, block_rank)."""
+    rows = ranked if blocks is None else ranked.join(blocks, "frag")
+    first = rows.groupBy("query", "block").agg(F.min("rank").alias("first_rank"))
     return first.withColumn("block_rank", F.row_number().over(Window.partitionBy("query").orderBy("first_rank")))
 
 
