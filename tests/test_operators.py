@@ -165,3 +165,21 @@ def test_markdown_and_records(spark):
 def test_zoned_times(spark):
     rows = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("2024-01-02T03:04:05+02:00",), ("2024-01-02T03:04:05",), ("x Z",), (None,)], "t string")
     assert [r[0] for r in rows.select(spans.zoned(F.col("t"))).collect()] == [True, True, False, False, False]
+
+
+def test_chunks_give_the_tokens_and_periods_of_the_windows(spark):
+    """Tokens and periods cut out of chunks equal those found token by token, over random texts of all marks that matter;
+    the windows behind sort a row for each stretch, not for each token."""
+    import random
+
+    from lexspan.operators import segment
+
+    random.seed(11)
+    marks = ["Dr", "dra", "SR", "x-dr", "'dr", "3dr", "etc", "Etc", "Ab", "cd", "É", "́", "́-A", "3.5", "7,", ".", ".", "..", "...", "!", "?!", '"', "'", "”", "’", ")", "]", "“", "(", "«", " ", " ", "\n", "\n\n", "\n \n", "\r\n\r\n", "\t", ",", "-", "—", "😀"]
+    texts = [(i, "".join(random.choice(marks) for _ in range(random.randint(0, 40)))) for i in range(2000)]
+    texts += [(2000, None), (2001, "word " * 5000 + "end. Next"), (2002, ". " * 3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    old, new = segment.with_periods(segment.tokens(segment.pieces(docs))), segment.tagged_in(docs)
+    assert sorted(map(tuple, new.select(old.columns).collect())) == sorted(map(tuple, old.collect()))
+    assert sorted(map(tuple, segment.periods_in(docs).collect())) == sorted(map(tuple, segment.periods(old).collect()))
+    assert segment.chunks(docs.where("doc_id = 2001")).count() == 2
