@@ -30,3 +30,12 @@ def test_parser_holds_few_documents(spark):
 
     assert parses.count() == 300 and annotate.trees(tokens, parses).count() == 900
     assert max(r.n for r in parses.mapInArrow(sizes, "n long").collect()) <= annotate.AT_ONCE
+
+
+def test_index_copies_no_whole_head_or_owner(spark):
+    """Of a token's head and owner the index lays out only the columns that the rules ask for."""
+    from lexspan.operators import rules
+    from lexspan.plans import fixture
+
+    plan = rules.enriched(fixture.annotated(spark))._jdf.queryExecution().analyzed().toString()
+    assert "up.t" not in plan and "ow.t" not in plan
