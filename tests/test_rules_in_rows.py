@@ -39,3 +39,36 @@ def test_index_copies_no_whole_head_or_owner(spark):
 
     plan = rules.enriched(fixture.annotated(spark))._jdf.queryExecution().analyzed().toString()
     assert "up.t" not in plan and "ow.t" not in plan
+
+
+def test_index_of_gathered_documents(spark):
+    """Documents gathered into rows give the occurrences of their token rows; the index leaves out what no rule asks for."""
+    from lexspan.operators import tree
+
+    rows = fixture.annotated(spark)
+    filler = spark.createDataFrame([(100, 0, k, f"w{k}", f"w{k}", "NOUN", "ROOT" if k == 0 else "nmod", 0, None) for k in range(40)], fixture.COLUMNS)
+    rows = rows.unionByName(filler)
+    index = rules.Index(tree.gathered(tree.forests(rows)))
+    assert index.tokens.where("doc_id = 100").count() == 0 and rows.count() > index.tokens.count() > 100
+    same = lambda df: sorted(map(str, df.collect()))
+    assert same(rules.detect(None, index=index)) == same(rules.detect(rows))
+    assert same(tree.spread(tree.gathered(tree.forests(rows))).select("doc_id", "ord", "token")) == same(rows.select("doc_id", "ord", "token"))
+
+
+def test_order_meets_documents_once(spark):
+    """Repeats and numbers of occurrences need one exchange, by document."""
+    found = spark.createDataFrame(rules.detect(fixture.annotated(spark)).collect(), "doc_id long, period int, rule string, category string, marker array<int>, nucleus array<int>, scope array<int>, links array<struct<kind:string,target:int>>")
+    plan = rules.ordered(found)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_differences_count_rows(spark):
+    """A record with an occurrence twice and another left out, against one run over the same index."""
+    from lexspan.operators import notes
+
+    index = rules.Index(fixture.annotated(spark))
+    found = rules.detect(None, ["tense", "clause"], index)
+    record = found.where("rule = 'tense'").unionByName(found.where("rule = 'tense'"))
+    got = {(r.rule, r.side): r["count"] for r in notes.differences(record, None, ["tense", "clause"], index=index).groupBy("rule", "side").count().collect()}
+    n = {r.rule: r["count"] for r in found.groupBy("rule").count().collect()}
+    assert got == {("tense", "recorded"): n["tense"], ("clause", "recomputed"): n["clause"]}
