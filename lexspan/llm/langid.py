@@ -148,23 +148,29 @@ def viterbi(emit: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.n
         return path
     steps = int(size[0])
     active = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")  # sequences longer than t
+    # In the order of steps, so that each step reads and writes a slice.
+    edge = np.concatenate([[0], np.cumsum(active)])
+    at = begin[np.arange(edge[-1]) - np.repeat(edge[:-1], active)] + np.repeat(np.arange(steps), active)
+    emit = emit[at]
     moved = np.zeros(emit.shape, bool)
     source = np.zeros(len(emit), np.int8)
-    score = emit[begin].copy()
-    for t in range(1, steps):
-        n = active[t]
-        at, now = begin[:n] + t, score[:n]
-        top = now.max(axis=1)
-        jump = (top - switch)[:, None]
-        moved[at] = now < jump
-        source[at] = now.argmax(axis=1)
-        score[:n] = np.maximum(now, jump) + emit[at]
+    edges = edge.tolist()
+    score = emit[: edges[1]].copy()
+    for a, b in zip(edges[1:-1], edges[2:]):
+        now = score[: b - a]
+        source[a:b] = now.argmax(axis=1)
+        jump = now.max(axis=1, keepdims=True) - switch
+        np.less(now, jump, out=moved[a:b])
+        np.maximum(now, jump, out=now)
+        now += emit[a:b]
     state = score.argmax(axis=1)
-    for t in range(steps - 1, -1, -1):
-        n = active[t]
-        at, now = begin[:n] + t, state[:n]
-        path[at] = now
-        state[:n] = np.where(moved[at, now], source[at], now)
+    came = np.where(moved, source[:, None], np.arange(emit.shape[1], dtype=np.int8))
+    rank, found = np.arange(len(order)), np.zeros(len(emit), np.int8)
+    for a, b in zip(edges[-2::-1], edges[:0:-1]):
+        now = state[: b - a]
+        found[a:b] = now
+        state[: b - a] = came[a:b][rank[: b - a], now]
+    path[at] = found
     return path
 
 
