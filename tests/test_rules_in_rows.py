@@ -72,3 +72,11 @@ def test_differences_count_rows(spark):
     got = {(r.rule, r.side): r["count"] for r in notes.differences(record, None, ["tense", "clause"], index=index).groupBy("rule", "side").count().collect()}
     n = {r.rule: r["count"] for r in found.groupBy("rule").count().collect()}
     assert got == {("tense", "recorded"): n["tense"], ("clause", "recomputed"): n["clause"]}
+
+
+def test_reported_speech_writes_no_index(spark):
+    """What one rule reads once is not written first."""
+    once, written = rules.Index(fixture.annotated(spark), written=False), rules.Index(fixture.annotated(spark))
+    found = rules.reported_speech(once)
+    assert "parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(found.collect()) == sorted(rules.reported_speech(written).collect()) and found.count() > 0
