@@ -80,3 +80,55 @@ def test_reported_speech_writes_no_index(spark):
     found = rules.reported_speech(once)
     assert "parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(found.collect()) == sorted(rules.reported_speech(written).collect()) and found.count() > 0
+
+
+def test_index_walks_periods_in_arrow_batches(spark):
+    """The index is one walk over a period's row, not expressions that are interpreted for each token; a head outside, a
+    cycle, a missing head of a copula and quotes that never close are walked too."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, 0, "“", "“", "PUNCT", "punct", 2, None), (1, 0, 1, "Não", "não", "ADV", "advmod", 2, None), (1, 0, 2, "quis", "querer", "VERB", "ROOT", 2, "VerbForm=Fin"), (1, 0, 3, "sair", "sair", "VERB", "xcomp", 2, "VerbForm=Inf"), (1, 0, 4, "que", "que", "SCONJ", "mark", 3, None)]
+    rows += [(2, 0, 0, "a", "a", "VERB", "aux", 1, None), (2, 0, 1, "nem", "nem", "ADV", "advmod", 0, None), (2, 0, 2, "é", "ser", "AUX", "cop", None, None), (2, 0, 3, "x", "dever", "VERB", "obj", 9, None)]
+    df = rules.enriched(spark.createDataFrame(rows, fixture.COLUMNS))
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.ord): r for r in df.orderBy("doc_id", "ord").collect()}
+    modal = got[1, 2]
+    assert (modal.own, modal.comps, modal.content, modal.cut, modal.able, modal.words) == ([0, 1, 2], [3], [3, 4], [3, 4], True, [4])
+    assert got[1, 1].scope_own is None and got[1, 1].region == 0 and got[1, 1].region_closed is False and got[1, 1].nx.ord == 2
+    assert got[1, 4].dep == "mark" and got[1, 2].whole_dep == "ROOT"
+    assert got[2, 3].nucleus and got[2, 3].head_pos is None and got[2, 3].own == [3] and got[2, 0].nucleus is None and got[2, 1].owner is None
+    assert df.where(F.col("unknown")).count() == 0
+
+
+def test_evidence_is_in_the_index(spark):
+    """Annotations of evidence come from the index; no table of all tokens is joined."""
+    from lexspan.operators import notes
+
+    rows = fixture.annotated(spark)
+    index = rules.Index(rows)
+    found = rules.detect(None, index=index)
+    same = lambda df: sorted(map(str, df.collect()))
+    assert same(notes.annotations_used(found, index.annotations())) == same(notes.annotations_used(found, rows))
+
+
+def test_proposals_meet_stretches_of_tokens(spark):
+    """Occurrences meet a document's periods, not its tokens; what lies in no one period is still looked at by token."""
+    from lexspan.operators import notes, tree
+
+    rows = spark.createDataFrame([(1, p, o, "w", "w", "VERB", "ROOT", o, None) for p, os in ((0, [0, 1, 2]), (1, [4, 5])) for o in os], fixture.COLUMNS)
+    given = [([0], [1], [0, 1, 2]), ([0], [4], None), ([3], [], None), ([], [0, 0], []), ([5], [9], [4, 5])]
+    found = spark.createDataFrame([(1, f"r{k}", *x) for k, x in enumerate(given)], "doc_id long, rule string, marker array<int>, nucleus array<int>, scope array<int>")
+    want = [("r1", "periods"), ("r2", "unknown"), ("r3", "empty_scope"), ("r3", "marker"), ("r3", "repeated"), ("r4", "unknown")]
+    for some in (rows, tree.gathered(tree.forests(rows))):
+        bad = notes.proposal_violations(found, some)
+        assert "Generate explode(concat" not in bad._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.rule, r.check) for r in bad.collect()) == want
+
+
+def test_order_writes_out_only_what_is_open(spark):
+    """Repeats go, numbers have no gaps, and an occurrence alone at its marker is not written out as text."""
+    kind = "doc_id long, period int, rule string, category string, marker array<int>, nucleus array<int>, scope array<int>, links array<struct<kind:string,target:int>>"
+    found = spark.createDataFrame([(1, 0, "a", "x", [3], [1], None, []), (1, 0, "a", "x", [3], [1], None, []), (1, 0, "a", "x", [3], [2], [1, 2], []), (1, 0, "b", "x", [0], [0], [0], [])], kind)
+    rows = rules.ordered(found)
+    assert sorted((r.number, r.rule, r.nucleus) for r in rows.collect()) == [(0, "b", [0]), (1, "a", [1]), (2, "a", [2])]
+    assert "alike" in rows._jdf.queryExecution().optimizedPlan().toString()
